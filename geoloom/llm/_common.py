@@ -70,5 +70,5 @@ def wider(df: DataFrame, *more: tuple[str, str]) -> StructType:
     """The schema of df with further (name, type) columns."""
     out = StructType(list(df.schema.fields))
     for name, kind in more:
-        out.add(name, kind)
+        out.add(name, StructType.fromDDL(f"x {kind}")[0].dataType)
     return out
