@@ -18,12 +18,17 @@ GEOMETRY = f"struct<kind: string, dim: int, parts: array<array<array<{XY}>>>>"
 DIMS = {"Point": 0, "MultiPoint": 0, "LineString": 1, "MultiLineString": 1, "Polygon": 2, "MultiPolygon": 2}
 
 
+def named(**fields: Column) -> Column:
+    """A struct whose field names hold inside lambdas too, where aliases can get lost."""
+    return F.named_struct(*[c for n, v in fields.items() for c in (F.lit(n), v)])
+
+
 def xy(x: Column, y: Column) -> Column:
-    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return named(x=x.cast("double"), y=y.cast("double"))
 
 
 def geometry(kind: str, parts: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), F.lit(DIMS[kind]).alias("dim"), parts.alias("parts")).cast(GEOMETRY)
+    return named(kind=F.lit(kind), dim=F.lit(DIMS[kind]), parts=parts).cast(GEOMETRY)
 
 
 def point(x: Column, y: Column) -> Column:
@@ -66,7 +71,7 @@ def vertices(g: Column) -> Column:
 def segments(ring: Column) -> Column:
     """(a, b) of consecutive vertices; none for a single point."""
     n = F.size(ring)
-    return F.zip_with(F.slice(ring, 1, F.greatest(n - 1, F.lit(0))), F.slice(ring, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.zip_with(F.slice(ring, 1, F.greatest(n - 1, F.lit(0))), F.slice(ring, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: named(a=a, b=b))
 
 
 def _sum(values: Column, of: Callable[[Column], Column]) -> Column:
@@ -93,7 +98,7 @@ def length(g: Column) -> Column:
 
 def bbox(g: Column) -> Column:
     xs, ys = F.transform(vertices(g), lambda v: v["x"]), F.transform(vertices(g), lambda v: v["y"])
-    return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
+    return named(xmin=F.array_min(xs), ymin=F.array_min(ys), xmax=F.array_max(xs), ymax=F.array_max(ys))
 
 
 def centroid(g: Column) -> Column:
@@ -113,7 +118,7 @@ def centroid(g: Column) -> Column:
         return F.try_divide(_sum(rings(g), lambda r: _sum(segments(r), lambda s: size(s) * (s["a"][k] + s["b"][k]) / 2)), length(g))
 
     pick = lambda k: F.when(g["dim"] == 2, F.coalesce(weighted(k), mean(k))).when(g["dim"] == 1, F.coalesce(along(k), mean(k))).otherwise(mean(k))
-    return F.struct(pick("x").alias("x"), pick("y").alias("y"))
+    return named(x=pick("x"), y=pick("y"))
 
 
 def _cross(a: Column, b: Column, x: Column, y: Column) -> Column:
@@ -227,7 +232,7 @@ def from_wkt(text: Column) -> Column:
     shown = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[kind]
     dims = F.create_map(*[F.lit(x) for k, v in DIMS.items() for x in (k.upper(), v)])[kind]
     known = kind.isin(*names)
-    return F.when(known & parts.isNotNull(), F.struct(shown.alias("kind"), dims.alias("dim"), parts.alias("parts")).cast(GEOMETRY))
+    return F.when(known & parts.isNotNull(), named(kind=shown, dim=dims, parts=parts).cast(GEOMETRY))
 
 
 def geojson(g: Column) -> Column:

@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from geoloom.functions import geometry as G
 from geoloom.functions.keys import column_name, finite
@@ -206,11 +207,9 @@ def cluster(points: DataFrame, key: str, eps_m: float, min_samples: int, output_
     named = rows.join(spots.select("x", "y", "s"), ["x", "y"]).join(of_spot, "s").select("k", "root")
     # The number of a cluster: its place among the smallest keys. One row for each cluster.
     sizes = materialize(named.groupBy("root").agg(F.min("k").alias("low"), F.count("*").alias("size")), "clusters")
-    from pyspark.sql.window import Window
-
-    ids = sizes.select("root", "size", (F.row_number().over(Window.orderBy("low")) - 1).cast("long").alias("id"))
-    labels = named.join(ids, "root").select(F.col("k").alias("__k"), "id", "size")
-    out = points.join(labels, points[key] == F.col("__k"), "left").withColumn(output_field, F.coalesce("id", F.lit(-1).cast("long")))
+    ids = sizes.select("root", F.col("size").alias("__size"), (F.row_number().over(Window.orderBy("low")) - 1).cast("long").alias("__id"))
+    labels = named.join(ids, "root").select(F.col("k").alias("__k"), "__id", "__size")
+    out = points.join(labels, points[key] == F.col("__k"), "left").withColumn(output_field, F.coalesce("__id", F.lit(-1).cast("long")))
     if size_field:
-        out = out.withColumn(size_field, F.coalesce("size", F.lit(0).cast("long")))
-    return out.drop("__k", *[c for c in ("id", "size") if c not in points.columns and c not in (output_field, size_field)])
+        out = out.withColumn(size_field, F.coalesce("__size", F.lit(0).cast("long")))
+    return out.drop("__k", "__id", "__size")
