@@ -64,7 +64,7 @@ def links(parsed: DataFrame) -> DataFrame:
     digest = lambda x: [F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), F.reverse(x)).alias("h2")]
     asks = parsed.filter("quoted").withColumn("level", F.explode(F.array_distinct(F.filter(F.transform("lines", lambda x: x["level"]), lambda x: x > 0))))
     asks = asks.select("conv", "turn", "th", "level", F.explode(_passages("lines", F.col("level"))).alias("p"))
-    asks = asks.select("conv", "turn", "th", "level", *digest(F.col("p")))
+    asks = asks.select("conv", "turn", "th", "level", *digest(F.col("p"))).distinct()  # a row that stands twice asks once
     says = parsed.select("conv", "turn", "th", F.explode(_passages("own", F.lit(0))).alias("p")).select("conv", "turn", "th", *digest(F.col("p")))
     first = says.groupBy("conv", "h1", "h2").agg(F.min(F.struct("turn", "th")).alias("first"))
     met = asks.join(first, ["conv", "h1", "h2"]).filter(F.struct("turn", "th") > F.col("first"))
@@ -115,8 +115,9 @@ def conversations(messages: DataFrame) -> DataFrame:
     levels = F.transform("lines", lambda x: x["level"])
     starts = F.filter(levels, lambda x, i: (x > 0) & ((i == 0) | (F.coalesce(F.try_element_at(levels, i), F.lit(0)) != x)))
     no_turn = lambda c: F.expr(f"nullif({c}, {-(2**63) + 1}L - 1L)")
-    out = [clean.alias(old) if n == at["text"] else F.col(n).alias(old) for n, old in zip(names, keep, strict=True)]
-    return shown.select(
-        *out, no_turn("p_turn").alias("parent_turn"), no_turn("coalesce(r_turn, turn)").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"),
-        F.when(F.col("quoted"), F.size(starts)).otherwise(0).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
-    )
+    # Names that no input column has, until the end: a helper column may be called as one of theirs.
+    out = [(clean if n == at["text"] else F.col(n)).alias(f"x_{n}") for n in names]
+    depth, linked = F.coalesce("depth", F.lit(0)), F.coalesce("n_linked", F.lit(0))
+    n_quotes = F.when(F.col("quoted"), F.size(starts)).otherwise(0).cast("long")
+    made = (no_turn("p_turn"), no_turn("coalesce(r_turn, turn)"), depth, n_quotes, linked)
+    return shown.select(*out, *[c.alias(f"y_{n}") for c, n in zip(made, new, strict=True)]).toDF(*keep, *new)
