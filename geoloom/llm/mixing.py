@@ -59,9 +59,11 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return take[np.argsort(order)]
     if budget >= total:
         return counts[np.argsort(order)]
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
-    rest = budget - int((take * sizes).sum())
+    # In proportion, down to a rest that the dynamic programme can fit exactly from all lengths.
     keep = max(FIT, int(sizes[0]))
+    bulk = max(0, budget - keep)
+    take = np.array([int(c) * bulk // total for c in counts], np.int64)
+    rest = budget - int((take * sizes).sum())
     for i in np.flatnonzero(take < counts):  # longest first, one of each at most
         if 0 < sizes[i] <= rest - keep:
             take[i] += 1
