@@ -27,10 +27,10 @@ REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 #: (bytes from which a band holds, lowest ratio, highest ratio) of whole texts. Under 100 bytes the frame outweighs the text.
-BANDS = ((0, 0.0, 9.0), (100, 0.35, 1.3), (200, 0.30, 1.0), (400, 0.25, 0.85), (1600, 0.22, 0.80), (6400, 0.20, 0.75))
+BANDS = ((0, 0.0, 9.0), (100, 0.35, 1.3), (200, 0.30, 1.0), (400, 0.25, 0.85), (1600, 0.22, 0.74), (6400, 0.20, 0.70))
 CHUNK = 2048
 #: Ratios of a chunk; a last chunk under half of CHUNK is judged with the one before it.
-CHUNK_BAND = (0.20, 0.85)
+CHUNK_BAND = (0.20, 0.80)
 CHUNK_SHARE = 0.30
 LEVEL = 3
 
