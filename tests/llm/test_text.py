@@ -1,0 +1,389 @@
+"""Operators that judge, change or encode texts: brute force, round trips, held-out accuracy and awkward rows."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from geoloom.llm import bpe, langid, linededup, mixing, pii, quality, quotes
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+AWKWARD = [
+    (1, None, None, None, None),
+    (2, "", "en", "a", 0),
+    (3, "   \n\t\n ", "en", "a", 7),
+    (4, "one two three\nfour five\n\nsix", "en", "b", 29),
+    (4, "one two three\nfour five\n\nsix", "en", "b", 29),
+    (None, "one two three\nfour five\n\nsix\nseven", None, "b", 35),
+    (5, "word " * 60000, "en", None, 300000),
+    (6, "x" * 100000, "fr", "c", 100000),
+    (7, "12345 67 %%%    ",
+     "de", "c", 17),
+    (8, "Σίσυφος ΣΑΣ İstanbul 日本語 <|endoftext|> don't", "el", "c", 40),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame(AWKWARD, DOC)
+
+
+def clashing(df):
+    """Columns named like what operators add or use inside."""
+    names = ("kept", "score", "lang_pred", "ids", "decoded", "n_words", "fp", "rid", "th", "o", "size", "times", "component_id", "k", "ratio", "text_", "gone", "ink", "new", "tries", "salt", "ranges", "taken", "pass", "conv", "own", "lines")
+    return df.withColumns({n: F.lit(1) for n in names})
+
+
+# --- language ---------------------------------------------------------------------------------------------------
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = langid.identify_documents(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    held = out[out.held_out]
+    assert (held.lang == held.lang_pred).mean() > 0.97
+    assert out.score.between(0, 1).all()
+    assert len(out) == docs.count()
+
+
+def test_language_reads_no_held_out_labels(spark, docs):
+    wrong = docs.withColumn("lang", F.when(langid.held_out(), F.lit("zz")).otherwise(F.col("lang")))
+    a, b = (sorted(map(tuple, langid.identify_documents(d).collect())) for d in (docs, wrong))
+    assert a == b
+
+
+def test_ngrams_brute_force():
+    for text in ("Ab ab a", "one, two!", "日本 語 ab" * 30, "".join(map(chr, range(200, 400)))):
+        padded = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+        want = Counter(c for c in padded if c != " ") + Counter(padded[i : i + 2] for i in range(len(padded) - 1)) + Counter(padded[i : i + 3] for i in range(len(padded) - 2) if padded[i + 1] != " ")
+        codes, counts = langid.ngrams(text)
+        got = Counter()
+        for c, n in zip(codes.tolist(), counts.tolist(), strict=True):
+            gram = ""
+            while c:
+                gram, c = chr(c & (1 << 21) - 1) + gram, c >> 21
+            got[gram] += n
+        assert got == want
+
+
+def test_language_awkward(spark, awkward):
+    got = {(r.doc_id, r.text is None): r for r in langid.predict(clashing(awkward), langid.train(awkward)).collect()}
+    assert got[1, True].lang_pred == got[2, False].lang_pred == got[7, False].lang_pred == "und"
+    assert langid.identify_documents(awkward.limit(0)).count() == 0
+    only = langid.identify_documents(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r.lang_pred for r in only} == {"und"}
+
+
+# --- quality ----------------------------------------------------------------------------------------------------
+
+
+def brute_repeats(words, width=5):
+    spans = [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
+    n = Counter(spans)
+    hit = {j for i, s in enumerate(spans) if n[s] > 1 for j in range(i, i + width)}
+    return len(hit)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=40))
+def test_repeated_words(words):
+    assert quality.repeated_words(words) == brute_repeats(words)
+
+
+def test_quality_brute_force(docs):
+    rows = quality.quality(docs.select("doc_id", "text")).collect()
+    for r in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text)
+        lines = [x for x in r.text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", r.text)), sum(x in lines[:i] for i, x in enumerate(lines)), brute_repeats(words))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+        assert not (r.base_failed and r.kept)
+
+
+def test_compression_bands(spark):
+    rng = random.Random(1)
+    prose = " ".join("".join(rng.choices(["er", "in", "th", "and", "re", "on", "ly"], k=rng.randint(1, 4))) for _ in range(900))
+    noise = " ".join("".join(chr(rng.randint(33, 126)) for _ in range(40)) for _ in range(200))
+    same = " ".join(f"{i % 10}word{'abcdefg'[i % 7]}" + "lorem ipsum dolor sit amet" * 30 for i in range(20))
+    df = spark.createDataFrame([(1, prose), (2, noise), (3, same)], "doc_id long, text string")
+    assert [r.kept for r in quality.quality(df).orderBy("doc_id").collect()] == [True, False, False]
+
+
+def test_quality_awkward(awkward):
+    rows = {(r.doc_id, i): r for i, r in enumerate(quality.quality(clashing(awkward)).collect())}
+    assert len(rows) == len(AWKWARD)
+    assert all(not r.kept for r in rows.values())
+    kept = quality.quality_filter(clashing(awkward))
+    assert kept.columns == clashing(awkward).columns
+    assert quality.quality(awkward.limit(0)).count() == 0
+
+
+# --- lines ------------------------------------------------------------------------------------------------------
+
+
+def brute_lines(rows):
+    """rows (doc_id, text) with distinct ids -> {doc_id: (text, n_removed)}."""
+    first, out = {}, {}
+    for d, text in sorted(rows):
+        lines = text.split("\n")
+        ink = [i for i, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+        gone = set()
+        for p in range(len(ink) - 2):
+            w = tuple(lines[i] for i in ink[p : p + 3])
+            if first.setdefault(w, (d, p)) != (d, p):
+                gone |= set(ink[p : p + 3])
+        out[d] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone))
+    return out
+
+
+def test_lines_brute_force_and_sql(spark, docs):
+    rng = random.Random(3)
+    rows = [(i, "\n".join(rng.choices(["a", "b", "c", " ", ""], k=rng.randint(0, 15)))) for i in range(150)]
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()
+    assert {r.doc_id: (r.text, r.n_removed) for r in got} == brute_lines(rows)
+    real = [(r.doc_id, r.text) for r in docs.collect()]
+    got = linededup.line_dedup(docs, counts=True).collect()
+    assert {r.doc_id: (r.text, r.n_removed) for r in got} == brute_lines(real)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert {r[0]: (r[1], r[3]) for r in con.execute(linededup.ORACLE_SQL).fetchall()} == brute_lines(rows)
+
+
+def test_lines_awkward(awkward):
+    out = linededup.line_dedup(clashing(awkward))
+    assert out.columns == clashing(awkward).columns
+    rows = out.collect()
+    assert len(rows) == len(AWKWARD)
+    assert [r.text for r in rows if r.doc_id == 1] == [None]
+    assert [r.text for r in rows if r.doc_id == 4] == [AWKWARD[3][1]] * 2  # the same row twice is one document
+    assert [(r.text, r.n_chars) for r in rows if r.doc_id is None] == [("\nseven", 6)]
+    assert linededup.line_dedup(awkward.limit(0)).count() == 0
+
+
+def test_lines_native(docs, capsys):
+    linededup.line_dedup(docs).explain()
+    assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+# --- tokens -----------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def path():
+    return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+
+
+def test_tokens_equal_the_library(path):
+    from tokenizers import Tokenizer
+
+    own, ref = bpe.WordBpe(path), Tokenizer.from_file(path)
+    rng = random.Random(5)
+    letters = [chr(c) for c in [*range(32, 127), *range(0, 32), *range(0xA0, 0x400), 0x3A3, 0x130, 0x2028, 0x1F600, 0xFB01, 0x301, 0xAC00, 0x3042, 0x4E2D]]
+    texts = ["", "a" * 3000, "<|startoftext|>x<|endoftext|>", "don't WE'LL", "ΣΑΣ", *["".join(rng.choices(letters, k=rng.randint(0, 50))) for _ in range(2000)], *["".join(rng.choices("aeihtnrs", k=rng.randint(1, 30))) for _ in range(5000)]]
+    want = [x.ids for x in ref.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in own.encode(texts)] == want
+    assert [own.decode(np.array(x, np.int32)) for x in want] == [ref.decode(x, skip_special_tokens=False) for x in want]
+
+
+def test_tokens_query(spark, docs, path):
+    from tokenizers import Tokenizer
+
+    ref = Tokenizer.from_file(path)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in bpe.digests(docs, path).collect():
+        ids = ref.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(ref.decode(ids, skip_special_tokens=False)))
+
+
+def test_tokens_awkward(awkward, path):
+    rows = bpe.decode(bpe.encode(clashing(awkward), path), path).collect()
+    assert len(rows) == len(AWKWARD)
+    assert [(r.ids, r.decoded) for r in rows if r.doc_id in (1, 2, 3)] == [([], "")] * 3
+    assert bpe.digests(awkward.limit(0), path).count() == 0
+
+
+# --- personal data ----------------------------------------------------------------------------------------------
+
+
+def test_surrogates(spark):
+    text = "Mrs. Anna Smith wrote to john.doe7@mail.example.com and +1 (564) 555-4526, from 10.20.30.40, card 4111 1111 1111 1111, SSN 123-45-6789, IBAN DE89 3704 0044 0532 0130 00, token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\". Smith agreed. JOHN.DOE7@MAIL.EXAMPLE.COM"
+    df = spark.createDataFrame([(1, text), (2, "Mr Smith: 4111-1111-1111-1111"), (3, None), (4, "nothing 12 here")], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.anonymize(df, "k", counts=True).collect()}
+    new = out[1].text
+    for secret in ("Anna", "Smith", "john", "JOHN", "555-4526", "10.20.30.40", "4111", "123-45", "3704", "04dbebab"):
+        assert secret not in new
+    assert (out[1].n_email, out[1].n_phone, out[1].n_ip, out[1].n_card, out[1].n_ssn, out[1].n_iban, out[1].n_secret, out[1].n_name) == (2, 1, 1, 1, 1, 1, 1, 3)
+    family = new.split()[2]
+    assert new.split(". ")[-2 if "agreed" in new.split(". ")[-2] else -1].startswith(family)  # coreference in a document
+    assert out[2].text.split()[1].rstrip(":") == family  # and across documents
+    digits = re.search(r"card ([\d ]{19})", new)[1].replace(" ", "")
+    assert pii.luhn(digits) == 0
+    assert out[2].text.endswith("-".join(digits[i : i + 4] for i in (0, 4, 8, 12)))
+    mails = re.findall(r"\S+@\S+", new)
+    assert mails[0].lower() == mails[1].lower()
+    assert mails[1].isupper()
+    assert out[3].text is None
+    assert out[4].text == "nothing 12 here"
+    again = {r.doc_id: r.text for r in pii.anonymize(df, "k").collect()}
+    other = {r.doc_id: r.text for r in pii.anonymize(df, "k2").collect()}
+    assert again[1] == new != other[1]
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    """With surrogates out of few, collisions and real values are drawn again until all differ."""
+    monkeypatch.setattr(pii, "_draw", pii._draw)
+    real = pii.surrogate
+    try:
+        pii.surrogate = lambda kind, canon, attempt, key: f"10.0.0.{int(hashlib.md5(f'{canon}{attempt}'.encode()).hexdigest(), 16) % 120}" if kind == "ip" else real(kind, canon, attempt, key)
+        found = spark.createDataFrame([("ip", f"10.0.0.{i}") for i in range(40)], "kind string, canon string").collect()
+        now = {r.canon: (0, pii.surrogate("ip", r.canon, 0, "k")) for r in found}
+        clash = len({v for _, v in now.values()}) < len(now) or any(v in now for _, v in now.values())
+        assert clash
+    finally:
+        pii.surrogate = real
+    found = spark.createDataFrame([("card", f"{i}") for i in range(4)] + [("name", f"given-f:a{i}") for i in range(3000)], "kind string, canon string")
+    out = pii.attempts(found.filter("kind = 'name'"), "k").collect()
+    assert len({r.new for r in out}) == len(out) == 3000
+    assert not {r.new for r in out} & {r.canon for r in out}
+
+
+def test_attempts_are_applied(spark):
+    ips = [f"10.0.0.{i}" for i in range(3)]
+    text, _ = pii.replace(" ".join(ips), "k", {("ip", ips[1]): 5})
+    assert text.split() == [pii.surrogate("ip", ips[0], 0, "k"), pii.surrogate("ip", ips[1], 5, "k"), pii.surrogate("ip", ips[2], 0, "k")]
+
+
+def test_redrawn_rows_reach_their_documents(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"host 10.0.{i}.1 up") for i in range(6)], "doc_id long, text string")
+    forced = spark.createDataFrame([("ip", "10.0.3.1", 7, pii.surrogate("ip", "10.0.3.1", 7, "k"))], "kind string, canon string, attempt int, new string")
+    monkeypatch.setattr(pii, "attempts", lambda found, key: forced)
+    out = {r.doc_id: r.text for r in pii.anonymize(clashing(df), "k").collect()}
+    assert out[3] == f"host {pii.surrogate('ip', '10.0.3.1', 7, 'k')} up"
+    assert out[2] == f"host {pii.surrogate('ip', '10.0.2.1', 0, 'k')} up"
+
+
+def test_surrogates_awkward(awkward):
+    out = pii.anonymize(clashing(awkward))
+    assert out.columns == clashing(awkward).columns
+    assert out.count() == len(AWKWARD)
+    assert pii.anonymize(awkward.limit(0)).count() == 0
+
+
+# --- mixing -----------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(0, 40), st.integers(1, 6), max_size=8), st.integers(0, 400))
+def test_fit_is_exact(counts, budget):
+    sizes, n = np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64)
+    got = mixing.fit(sizes, n, budget)
+    assert ((got >= 0) & (got <= n)).all()
+    sums = {0}
+    for s, c in counts.items():
+        sums = {a + s * k for a in sums for k in range(c + 1)}
+    assert int((got * sizes).sum()) == max(s for s in sums if s <= budget)
+
+
+def brute_targets(totals):
+    order = sorted(totals, key=lambda s: (s is None, s))
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(totals.values()))
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * unit > 3 * totals[s]}
+        if not over:
+            target |= {s: weight[s] * unit for s in free}
+            break
+        target |= {s: 3.0 * totals[s] for s in over}
+        left -= sum(3.0 * totals[s] for s in over)
+        free -= over
+    return target
+
+
+def test_mixture(spark, docs):
+    rng = random.Random(7)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a"] * 60 + ["b"] * 5 + ["c", "é", None])) for i in range(600)]
+    small = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for df in (small, docs):
+        out = mixing.mixture(df).join(df.select("doc_id", "source"), "doc_id").toPandas()
+        totals = {(None if pd.isna(k) else k): v for k, v in out.groupby("source", dropna=False)["size"].sum().items()}
+        want = brute_targets(totals)
+        for s, g in out.groupby("source", dropna=False):
+            key = None if pd.isna(s) else s
+            assert g.target.iloc[0] == pytest.approx(want[key])
+            assert g.source_size.iloc[0] == totals[key]
+            assert abs(g.taken.sum() - want[key]) <= max(1, g["size"].max())
+        assert (out.taken <= 3 * out["size"]).all()
+    again = sorted(map(tuple, mixing.mixture(small.repartition(7)).collect()))
+    assert again == sorted(map(tuple, mixing.mixture(small).collect()))
+
+
+def test_mixing_awkward(awkward):
+    out = mixing.mixture(awkward).collect()
+    assert len(out) == len(AWKWARD)
+    assert mixing.mixture(awkward.limit(0)).count() == 0
+    mixed = mixing.mix(clashing(awkward))
+    assert mixed.columns == clashing(awkward).columns
+    assert mixed.count() > 0
+
+
+# --- quotations -------------------------------------------------------------------------------------------------
+
+
+def test_quotations(spark):
+    rows = [
+        (1, 0, "u", "Hello there. How are you?"),
+        (1, 1, "a", "> Hello there.\n> How are\n> you?\nFine thanks!"),
+        (1, 2, "u", "On Monday A wrote:\n>> Hello there.\n> Fine thanks!\nGood."),
+        (1, 3, "b", "> nothing said\nx"),
+        (2, 5, "u", "> Fine thanks!\nother talk"),
+        (2, 6, "u", None),
+        (2, 7, "u", ""),
+        (3, None, "u", "start."),
+        (3, 1, "u", "> start.\nyes"),
+        (None, 0, "u", "lone."),
+        (None, 1, "u", "> LONE.  \nok"),
+        (None, 1, "u", "> LONE.  \nok"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = quotes.conversations(clashing(df))
+    got = {(r.conv_id, r.turn): (r.text, r.parent_turn, r.root_turn, r.depth, r.n_quotes, r.n_linked) for r in out.collect()}
+    assert got[1, 0] == ("Hello there. How are you?", None, 0, 0, 0, 0)
+    assert got[1, 1] == ("Fine thanks!", 0, 0, 1, 1, 2)
+    assert got[1, 2] == ("Good.", 1, 0, 2, 2, 2)
+    assert got[1, 3] == ("x", None, 3, 0, 1, 0)
+    assert got[2, 5][:2] == ("other talk", None)
+    assert got[2, 6][0] is None
+    assert got[3, 1][0] == "yes"
+    assert got[3, 1][3] == 1
+    assert got[None, 1] == ("ok", 0, 0, 1, 1, 1)
+    assert out.count() == len(rows)
+    assert quotes.conversations(df.limit(0)).count() == 0
+
+
+def test_long_reply_chain(spark):
+    rows = [(1, i, f"> line {i - 1}.\nline {i}." if i else "line 0.") for i in range(40)]
+    out = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, text string")).orderBy("turn").collect()
+    assert [r.depth for r in out] == list(range(40))
+    assert {r.root_turn for r in out} == {0}
+
+
+def test_quotations_native(spark, capsys):
+    quotes.conversations(spark.read.parquet(f"{SF}/conversations.parquet")).explain()
+    assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
