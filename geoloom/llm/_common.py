@@ -72,3 +72,17 @@ def wider(df: DataFrame, *more: tuple[str, str]) -> StructType:
     for name, kind in more:
         out.add(name, StructType.fromDDL(f"x {kind}")[0].dataType)
     return out
+
+
+#: Rows of texts that go to a Python worker at once.
+TEXT_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches kept to TEXT_ROWS rows: texts are long, and the JVM and the Python worker of
+    every task hold a whole batch outside the heap, twice while it is copied.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+    return df

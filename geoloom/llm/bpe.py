@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm._common import wider
+from geoloom.llm._common import text_batches, wider
 
 #: Words that a worker keeps.
 CACHE = 400_000
@@ -242,7 +242,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, "ids"])
 
-    return docs.mapInArrow(run, wider(docs, ("ids", "array<int>")))
+    return text_batches(docs).mapInArrow(run, wider(docs, ("ids", "array<int>")))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geoloom.llm._common import wider
+from geoloom.llm._common import text_batches, wider
 
 #: n-grams of a profile.
 PROFILE = 300
@@ -146,7 +146,7 @@ def predict(docs: DataFrame, model: Profiles, text: str = "text") -> DataFrame:
                 [*b.schema.names, "lang_pred", "score"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return text_batches(docs).mapInArrow(run, schema)
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

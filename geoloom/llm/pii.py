@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm._common import materialize, wider
+from geoloom.llm._common import materialize, text_batches, wider
 
 KEY = "change-me"
 MAX_ATTEMPTS = 64
@@ -219,7 +219,7 @@ def entities(docs: DataFrame, text: str = "text", *ids: str) -> DataFrame:
     names = ["kind", "canon", *ids]
     kinds = [("kind", pa.string()), ("canon", pa.string()), *((i, pa.int64()) for i in ids)]
     schema = pa.schema(kinds)
-    return docs.mapInArrow(run, ", ".join(["kind string", "canon string", *(f"{i} long" for i in ids)]))
+    return text_batches(docs).mapInArrow(run, ", ".join(["kind string", "canon string", *(f"{i} long" for i in ids)]))
 
 
 def _named(rows: DataFrame, key: str) -> DataFrame:
@@ -277,4 +277,4 @@ def anonymize(docs: DataFrame, key: str = KEY, *, counts: bool = False) -> DataF
             numbers = [pa.array([d[1].get(k, 0) for d in done], pa.int64()) for k in KINDS] if counts else []
             yield pa.RecordBatch.from_arrays([*columns, *numbers], [*names, *extra])
 
-    return rows.mapInArrow(run, wider(docs.select(*keep).toDF(*names), *((n, "long") for n in extra))).toDF(*keep, *extra)
+    return text_batches(rows).mapInArrow(run, wider(docs.select(*keep).toDF(*names), *((n, "long") for n in extra))).toDF(*keep, *extra)

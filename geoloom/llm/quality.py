@@ -20,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from geoloom.llm._common import wider
+from geoloom.llm._common import text_batches, wider
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
@@ -111,7 +111,7 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[] for _ in OUT]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], [*b.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return text_batches(docs).mapInArrow(run, schema)
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
