@@ -121,3 +121,49 @@ def conversations(messages: DataFrame) -> DataFrame:
     n_quotes = F.when(F.col("quoted"), F.size(starts)).otherwise(0).cast("long")
     made = (no_turn("p_turn"), no_turn("coalesce(r_turn, turn)"), depth, n_quotes, linked)
     return shown.select(*out, *[c.alias(f"y_{n}") for c, n in zip(made, new, strict=True)]).toDF(*keep, *new)
+
+
+#: The same for tables whose (conv_id, turn) are unique and not null, by comparing passages instead of hashes.
+ORACLE_SQL = r"""
+WITH RECURSIVE line AS (
+  SELECT conv_id, turn, i, l, regexp_extract(l, '^(?:[ \t]*>)+') AS mark
+  FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations WHERE text IS NOT NULL)
+), said AS (
+  SELECT conv_id, turn, i, length(regexp_replace(mark, '[^>]', '', 'g')) AS level, substr(l, length(mark) + 1) AS said FROM line
+), near AS (
+  SELECT *, coalesce(lead(level) OVER w, 0) AS after, lag(level) OVER w AS before, max(level) OVER (PARTITION BY conv_id, turn) AS deepest
+  FROM said WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)
+), own AS (
+  SELECT conv_id, turn, i, said FROM near
+  WHERE level = 0 AND NOT (deepest > 0 AND after > 0 AND regexp_matches(said, '(?i)(?:wrote|writes|schrieb.*|a écrit|escribió|escreveu|ha scritto)\s*:\s*$'))
+), levels AS (
+  SELECT DISTINCT conv_id, turn, level FROM near WHERE level > 0
+), flat AS (
+  SELECT v.conv_id, v.turn, v.level, string_agg(CASE WHEN n.level = v.level THEN n.said ELSE chr(1) END, ' ' ORDER BY n.i) AS t
+  FROM levels v JOIN near n ON n.conv_id = v.conv_id AND n.turn = v.turn GROUP BY ALL
+  UNION ALL SELECT conv_id, turn, 0, string_agg(said, ' ' ORDER BY i) FROM own GROUP BY ALL
+), passage AS (
+  SELECT DISTINCT conv_id, turn, level, p FROM (
+    SELECT conv_id, turn, level, trim(unnest(string_split(regexp_replace(regexp_replace(lower(t), '[\s\v]+', ' ', 'g'), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)))) AS p FROM flat
+  ) WHERE p <> ''
+), origin AS (
+  SELECT conv_id, p, min(turn) AS turn FROM passage WHERE level = 0 GROUP BY ALL
+), link AS (
+  SELECT a.conv_id, a.turn, a.level, o.turn AS p_turn, count(*) AS n FROM passage a JOIN origin o ON o.conv_id = a.conv_id AND o.p = a.p AND o.turn < a.turn WHERE a.level > 0 GROUP BY ALL
+), reply AS (
+  SELECT conv_id, turn, arg_max(p_turn, (-level, n, p_turn)) AS p_turn, CAST(sum(n) AS BIGINT) AS n_linked FROM link GROUP BY ALL
+), up AS (
+  SELECT conv_id, turn, p_turn AS above, 1 AS depth FROM reply
+  UNION ALL SELECT u.conv_id, u.turn, r.p_turn, u.depth + 1 FROM up u JOIN reply r ON r.conv_id = u.conv_id AND r.turn = u.above
+), top AS (
+  SELECT conv_id, turn, arg_max(above, depth) AS root_turn, CAST(max(depth) AS BIGINT) AS depth FROM up GROUP BY ALL
+), shape AS (
+  SELECT conv_id, turn, max(level) AS deepest, count(*) FILTER (level > 0 AND before IS DISTINCT FROM level) AS n_quotes FROM near GROUP BY ALL
+), clean AS (
+  SELECT conv_id, turn, string_agg(said, chr(10) ORDER BY i) AS t FROM own GROUP BY ALL
+)
+SELECT c.conv_id, c.turn, c.role, CASE WHEN s.deepest > 0 THEN trim(coalesce(k.t, ''), ' ' || chr(9) || chr(10) || chr(13)) ELSE c.text END AS text,
+       r.p_turn AS parent_turn, coalesce(t.root_turn, c.turn) AS root_turn, coalesce(t.depth, 0) AS depth, coalesce(s.n_quotes, 0) AS n_quotes, coalesce(r.n_linked, 0) AS n_linked
+FROM conversations c LEFT JOIN shape s ON s.conv_id = c.conv_id AND s.turn = c.turn LEFT JOIN clean k ON k.conv_id = c.conv_id AND k.turn = c.turn
+LEFT JOIN reply r ON r.conv_id = c.conv_id AND r.turn = c.turn LEFT JOIN top t ON t.conv_id = c.conv_id AND t.turn = c.turn
+"""

@@ -387,3 +387,25 @@ def test_long_reply_chain(spark):
 def test_quotations_native(spark, capsys):
     quotes.conversations(spark.read.parquet(f"{SF}/conversations.parquet")).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def test_quotations_equal_sql(spark):
+    """Random threads with quotes of quotes, cut and wrapped otherwise, against the SQL."""
+    rng = random.Random(9)
+    rows = []
+    for conv in range(25):
+        texts: list[str] = []
+        for turn in range(rng.randint(1, 9)):
+            lines = [f"s{rng.randint(0, 12)} is {rng.choice('abc')}{rng.choice(['.', '!', ''])}" for _ in range(rng.randint(1, 4))]
+            if texts and rng.random() < 0.7:
+                quoted = rng.choice(texts).split("\n")
+                quoted = quoted[rng.randint(0, len(quoted) - 1) :]
+                lines = [*lines[:1], *(["On Friday X wrote:"] if rng.random() < 0.5 else []), *[rng.choice(["> ", ">", " > "]) + x for x in quoted], *lines[1:]]
+            texts.append("\n".join(lines))
+            rows.append((conv, turn, "u", texts[-1]))
+    got = sorted(map(tuple, quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()), key=str)
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    want = sorted(con.execute(quotes.ORACLE_SQL).fetchall(), key=str)
+    assert got == want
+    assert sum(r[6] > 1 for r in got) > 5
