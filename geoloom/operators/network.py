@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from geoloom.functions import geometry as G
 from geoloom.functions.keys import to_double
+from geoloom.operators.spatial import pairs
 from geoloom.plans.stages import components, materialize
 
 #: Edges of a graph that one task may hold, about 200 MB.
@@ -300,3 +301,38 @@ def power_grid_topology(substations: DataFrame, lines: DataFrame, min_voltage: f
     if field in lines.columns:
         lines = lines.filter(F.coalesce(voltage(F.col(field)) >= min_voltage, F.lit(True)))
     return build_network(lines, strong, tolerance_m, node_key)
+
+
+def merge_ends(points: DataFrame, tolerance_m: float) -> DataFrame:
+    """points (id, x, y) with group: the smallest id of those that single linkage within the tolerance joins."""
+    step = lambda v: F.floor(F.col(v) / tolerance_m).cast("long")
+    near = lambda v: F.explode(F.sequence(step(v) - 1, step(v) + 1))
+    spots = materialize(points.groupBy("x", "y").agg(F.min("id").alias("s")), "spots")
+    a = spots.select(F.col("s").alias("a"), F.col("x").alias("x1"), F.col("y").alias("y1"), near("x").alias("cx"), "y").withColumn("cy", near("y"))
+    b = spots.select(F.col("s").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), step("x").alias("cx"), step("y").alias("cy"))
+    met = a.join(b, ["cx", "cy"]).filter((F.col("a") < F.col("b")) & (F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")) <= tolerance_m))
+    roots = components(met.select("a", "b"))
+    named = spots.join(roots, spots.s == roots.node, "left").select("x", "y", F.coalesce("root", "s").alias("group"))
+    return points.join(named, ["x", "y"])
+
+
+def grid_of_lines(lines: DataFrame, substations: DataFrame, key: str, tolerance_m: float) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of power lines: an end in a substation's area (or within the tolerance of its centre) is that
+    substation, the other ends are joined by single linkage. Loops go, parallel edges merge to the shortest.
+    """
+    parts = lines.select(F.explode("geometry.parts").alias("p")).select(F.xxhash64("p").alias("k"), F.col("p")[0].alias("ring")).dropDuplicates(["k"])
+    ends = parts.select("k", G.length(G.line_of(F.col("ring"))).alias("length"), F.posexplode(F.array(F.col("ring")[0], F.element_at("ring", -1))).alias("end", "e"))
+    ends = materialize(ends.select("k", "length", "end", F.col("e.x").alias("x"), F.col("e.y").alias("y"), F.xxhash64("e.x", "e.y").alias("id"), G.point(F.col("e.x"), F.col("e.y")).alias("geometry")), "ends")
+    inside = pairs(ends.select("k", "end", "geometry").withColumn("key", F.struct("k", "end")), substations.select(F.col(key).alias("station"), "geometry"), max(10 * tolerance_m, 1000.0), G.intersects(F.col("l.geometry"), F.col("r.geometry")))
+    inside = inside.groupBy("l.k", "l.end").agg(F.min("r.station").alias("station"))
+    c = G.centroid(F.col("geometry"))
+    centres = substations.select(F.col(key).alias("id"), c["x"].alias("x"), c["y"].alias("y"))
+    near = _snap(ends.withColumn("ke", F.struct("k", "end")), centres, "ke", tolerance_m).select("k.k", "k.end", F.col("node").alias("close"))
+    named = ends.join(inside, ["k", "end"], "left").join(near, ["k", "end"], "left").withColumn("station", F.coalesce("station", "close"))
+    free = merge_ends(named.filter("station IS NULL").select("k", "end", "length", "id", "x", "y"), tolerance_m)
+    all_ = named.filter("station IS NOT NULL").select("k", "end", "length", F.concat(F.lit("s"), F.col("station").cast("string")).alias("node"))
+    all_ = all_.unionByName(free.select("k", "end", "length", F.concat(F.lit("e"), F.col("group").cast("string")).alias("node")))
+    both = all_.groupBy("k", "length").agg(F.max(F.when(F.col("end") == 0, F.col("node"))).alias("u"), F.max(F.when(F.col("end") == 1, F.col("node"))).alias("v"))
+    at = centres.select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("id"), "x", "y", F.lit("substation").alias("kind"))
+    at = at.union(free.groupBy("group").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).select(F.concat(F.lit("e"), F.col("group").cast("string")).alias("id"), "x", "y", F.lit("end").alias("kind")))
+    return at, merge_parallel(both.filter("u <> v").select("u", "v", "length"))

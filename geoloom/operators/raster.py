@@ -133,3 +133,23 @@ def zonal_stats(zones: DataFrame, cells: DataFrame, grid: Grid, key: str, band:
     name = output_field or f"{stat}_value"
     by_zone = met.groupBy("__k").agg(F.bround(value, decimals).alias(name))
     return zones.join(by_zone, zones[key] == F.col("__k"), "left").drop("__k")
+
+
+def warp_area(cells: DataFrame, band: str, source: Grid, target: Grid, how: str = "average") -> DataFrame:
+    """The band on a target grid in the same reference system, by shares of area: average, or sum (which keeps totals).
+
+    A source cell goes to each target cell that it overlaps, with its overlap as weight.
+    """
+    left, top = F.lit(source.x0) + F.col("col") * source.cell, F.lit(source.y0) - F.col("row") * source.cell
+    span = lambda a, b, n: F.sequence(F.greatest(F.floor(a).cast("long"), F.lit(0)), F.least(F.ceil(b).cast("long") - 1, F.lit(n - 1)))
+    a, b = (left - target.x0) / target.cell, (left + source.cell - target.x0) / target.cell
+    c, d = (target.y0 - top) / target.cell, (target.y0 - top + source.cell) / target.cell
+    have = cells.filter(finite(F.col(band)).isNotNull()).select(F.col(band).cast("double").alias("z"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
+    have = have.filter((F.col("b") > 0) & (F.col("a") < target.cols) & (F.col("d") > 0) & (F.col("c") < target.rows))
+    have = have.withColumn("col", F.explode(span(F.col("a"), F.col("b"), target.cols))).withColumn("row", F.explode(span(F.col("c"), F.col("d"), target.rows)))
+    wide = F.least(F.col("b"), F.col("col") + 1) - F.greatest(F.col("a"), F.col("col"))
+    high = F.least(F.col("d"), F.col("row") + 1) - F.greatest(F.col("c"), F.col("row"))
+    whole = (F.col("b") - F.col("a")) * (F.col("d") - F.col("c"))
+    met = have.withColumn("w", wide * high)
+    value = F.sum(F.col("z") * F.col("w") / whole) if how == "sum" else F.try_divide(F.sum(F.col("z") * F.col("w")), F.sum("w"))
+    return met.groupBy("row", "col").agg(value.alias(band))

@@ -363,3 +363,53 @@ def places(spark: SparkSession, named: Sequence[tuple[str, float, float]]) -> Da
     """A layer of (name, lon, lat)."""
     rows = spark.createDataFrame([(n, float(x), float(y)) for n, x, y in named], "name string, lon double, lat double")
     return rows.withColumn("geometry", G.point(F.col("lon"), F.col("lat")))
+
+
+_SHAPES = {1: "Point", 3: "MultiLineString", 5: "MultiPolygon", 8: "MultiPoint"}
+
+
+def _shp(content: bytes) -> Iterator[dict | None]:
+    """Geometries of a .shp file; Z and M values are passed over."""
+    at = 100
+    while at + 8 <= len(content):
+        (size,) = struct.unpack_from(">i", content, at + 4)
+        at += 8
+        (code,) = struct.unpack_from("<i", content, at)
+        kind = _SHAPES.get(code % 10)
+        if kind is None:
+            yield None
+        elif kind == "Point":
+            x, y = struct.unpack_from("<2d", content, at + 4)
+            yield {"kind": kind, "dim": 0, "parts": [[[{"x": x, "y": y}]]]}
+        elif kind == "MultiPoint":
+            (n,) = struct.unpack_from("<i", content, at + 36)
+            p = np.frombuffer(content, "<f8", 2 * n, at + 40).reshape(n, 2)
+            yield {"kind": kind, "dim": 0, "parts": [[[{"x": float(x), "y": float(y)}]] for x, y in p]}
+        else:
+            m, n = struct.unpack_from("<2i", content, at + 36)
+            starts = [*struct.unpack_from(f"<{m}i", content, at + 44), n]
+            p = np.frombuffer(content, "<f8", 2 * n, at + 44 + 4 * m).reshape(n, 2)
+            rings = [[{"x": float(x), "y": float(y)} for x, y in p[a:b]] for a, b in zip(starts, starts[1:], strict=False)]
+            if kind == "MultiLineString":
+                yield {"kind": kind, "dim": 1, "parts": [[r] for r in rings]}
+            else:
+                parts: list = []
+                for r in rings:  # outer rings turn clockwise; holes follow theirs
+                    turn = sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(r, r[1:], strict=False))
+                    if turn <= 0 or not parts:
+                        parts.append([r])
+                    else:
+                        parts[-1].append(r)
+                yield {"kind": kind, "dim": 2, "parts": parts}
+        at += 2 * size
+
+
+def read_shp(spark: SparkSession, path: str) -> DataFrame:
+    """(position, geometry) of the .shp files of a path; null shapes have no geometry."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for content in map(bytes, f["content"]):
+                shapes = list(_shp(content))
+                yield pd.DataFrame({"position": range(len(shapes)), "geometry": shapes})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, f"position long, geometry {G.GEOMETRY}")

@@ -189,3 +189,19 @@ def test_projections(spark):
     assert df.select(*[c.alias(n) for c, n in zip(crs.project(F.lit(10.0), F.lit(52.0), 3035), "xy", strict=True)]).first()[0] == pytest.approx(4321000)
     with pytest.raises(ValueError, match="no formula"):
         crs.project(F.lit(0), F.lit(0), 31468)
+
+
+def test_area_warp(spark):
+    source, target = R.Grid(0.0, 4.0, 1.0, 4, 4), R.Grid(0.5, 4.0, 2.0, 2, 1)
+    cells = source.cells(spark).withColumn("v", (F.col("col") + 1).cast("double"))
+    assert sorted(map(tuple, R.warp_area(cells, "v", source, target).collect())) == [(0, 0, 2.0), (1, 0, 2.0)]
+    assert R.warp_area(cells, "v", source, R.Grid(-1.0, 5.0, 3.0, 2, 2), "sum").agg(F.sum("v")).first()[0] == pytest.approx(40.0)
+
+
+def test_power_grid(spark):
+    stations = boxes(spark, [(1, 0, 0, 10, 10), (2, 100, 0, 110, 10)])
+    lines = spark.createDataFrame([("LINESTRING (5 5, 50 50)",), ("LINESTRING (50.5 50, 101 5)",), ("LINESTRING (5 5, 6 6)",), ("LINESTRING (300 300, 400 300)",)], "t string").select(G.from_wkt(F.col("t")).alias("geometry"))
+    nodes, edges = N.grid_of_lines(lines, stations, "id", 1.0)
+    assert sorted(r.kind for r in nodes.collect()) == ["end"] * 3 + ["substation"] * 2
+    assert edges.count() == 3
+    assert {"s1", "s2"} <= {n for e in edges.collect() for n in (e.u, e.v)}

@@ -103,3 +103,21 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["count"] for r in spark.table("hexes").collect()] == [2]
+
+
+def test_shapefile(spark, tmp_path):
+    import struct
+
+    def record(i, body):
+        return struct.pack(">ii", i, len(body) // 2) + body
+
+    ring = [(0, 0), (0, 2), (2, 2), (2, 0), (0, 0)]
+    hole = [(0.5, 0.5), (1, 0.5), (1, 1), (0.5, 1), (0.5, 0.5)]
+    flat = [v for p in ring + hole for v in p]
+    polygon = struct.pack("<i4d2i2i", 5, 0, 0, 2, 2, 2, 10, 0, 5) + struct.pack("<20d", *flat)
+    body = record(1, struct.pack("<i2d", 1, 3.0, 4.0)) + record(2, polygon) + record(3, struct.pack("<i", 0))
+    (tmp_path / "a.shp").write_bytes(b"\0" * 100 + body)
+    rows = files.read_shp(spark, str(tmp_path / "a.shp")).select("position", G.wkt(F.col("geometry")).alias("w"), G.area(F.col("geometry")).alias("a")).orderBy("position").collect()
+    assert rows[0].w == "POINT (3.0 4.0)"
+    assert rows[1].a == 4 - 0.25
+    assert rows[2].w is None or rows[2].a is None
