@@ -30,7 +30,7 @@ EPOCHS = 3
 BUCKETS = 1024
 SEED = 20240229
 #: Words that the dynamic programme fits at least (and as many as the longest document, if that is longer).
-FIT = 65_536
+FIT = 16_384
 
 
 def targets(per_source: DataFrame) -> DataFrame:
