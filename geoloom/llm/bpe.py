@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from geoloom.llm._common import text_batches, wider
 
 #: Words that a worker keeps.
-CACHE = 400_000
+CACHE = 100_000
 NEVER = np.iinfo(np.int64).max
 #: Rows that are encoded together.
 ROWS = 512
