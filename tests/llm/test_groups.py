@@ -73,7 +73,7 @@ def test_links_and_components(spark, block):
             for b in rng.sample(range(64), rng.randint(1, 4)):
                 x ^= 1 << b
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    df = materialize(spark.createDataFrame([(f,) for f in signed], "fp long").distinct(), "test")
+    df = materialize(spark.createDataFrame([(0, f) for f in signed], "s long, fp long").distinct(), "test")
     roots = {r.node: r.root for r in simhash.components(simhash.links(df, block=block)).collect()}
     want = brute_components(fps, signed)
     assert [roots.get(f, f) for f in signed] == want
@@ -87,6 +87,23 @@ def test_near_duplicates_query(spark):
     assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == want
 
 
+def test_stage_catches_edited_copies(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    rows, lost, groups = [], 0, 60
+    for g in range(groups):
+        words = [word() for _ in range(300)]
+        rows.append((1000 + g, " ".join(words)))
+        words[rng.randrange(300)], words[rng.randrange(300)] = word(), word()  # a similarity of about 0.93
+        rows += [(2000 + g, " ".join(words)), (g, " ".join(word() for _ in range(200)))]
+    rows += [(3000, rows[0][1]), (3001, rows[0][1].upper())]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d for d, _ in rows if d < 2000} <= kept  # first ones and all clean documents stay
+    assert not {3000, 3001} & kept
+    lost = len({d for d in kept if 2000 <= d < 3000})
+    assert lost <= groups * 0.05
+
+
 def test_near_duplicates_awkward(spark):
     df = spark.createDataFrame(AWKWARD, DOC)
     got = simhash.near_duplicates(clashing(df)).collect()
