@@ -435,3 +435,184 @@ def line_network(spark, sf_dir):
     edges = N.line_network(lines)[1]
     left = F.when(F.split("u", "/")[0].cast("double") < F.split("v", "/")[0].cast("double"), F.col("u")).otherwise(F.col("v"))
     return edges.select(left.alias("a"), "length")
+
+
+# --- more of each family ----------------------------------------------------------------------------------------
+
+
+def _cores(spark):
+    """A square of 500 m in the middle of every third zone."""
+    z = spark.range(100).withColumnRenamed("id", "core").filter("core % 3 = 0")
+    return _square(z, F.col("core") % 10 * 1000 + 250, F.floor(F.col("core") / 10) * 1000 + 250, 500.0)
+
+
+@query("SELECT z AS zone_1, NULL::BIGINT AS core_2, CASE WHEN z % 3 = 0 THEN 750000.0::DOUBLE ELSE 1000000.0::DOUBLE END AS area FROM range(100) t(z)")
+def overlay_difference(spark, sf_dir):
+    return P.overlay(_zones(spark), _cores(spark), "zone", "core", "difference").select("zone_1", "core_2", F.round("area", 3).alias("area"))
+
+
+@query("""SELECT z AS zone_1, NULL::BIGINT AS core_2, CASE WHEN z % 3 = 0 THEN 750000.0::DOUBLE ELSE 1000000.0::DOUBLE END AS area FROM range(100) t(z)
+UNION ALL SELECT z, z, 250000.0 FROM range(100) t(z) WHERE z % 3 = 0""")
+def overlay_union(spark, sf_dir):
+    return P.overlay(_zones(spark), _cores(spark), "zone", "core", "union").select("zone_1", "core_2", F.round("area", 3).alias("area"))
+
+
+@query("SELECT 0::BIGINT AS id, 2e7 AS area UNION ALL SELECT 4, 1e7")
+def dissolve_parts(spark, sf_dir):
+    return P.dissolve(_zones(spark).filter("zone % 10 IN (0, 1, 4)"), key="zone").select("id", F.round("area", 3).alias("area"))
+
+
+@query("SELECT z AS zone, CASE WHEN z % 3 = 0 THEN 0.25 ELSE 0.0 END::DOUBLE AS share FROM range(100) t(z)")
+def area_share_dissolved(spark, sf_dir):
+    twice = _cores(spark).union(_cores(spark))
+    return P.area_share(_zones(spark), twice, "zone").select("zone", "share")
+
+
+@query("SELECT z AS zone, (z % 10 * 1000 + 500)::DOUBLE AS x, (z // 10 * 1000 + 500)::DOUBLE AS y FROM range(100) t(z)")
+def to_points(spark, sf_dir):
+    g = F.col("geometry")
+    return P.to_points(_zones(spark)).select("zone", G.px(g).alias("x"), G.py(g).alias("y"))
+
+
+@query("SELECT p_partkey, round(p_size * p_size / 2.0, 3)::DOUBLE AS area FROM part WHERE p_size > 0")
+def repair_bow_ties(spark, sf_dir):
+    n = F.col("p_size")
+    ring = F.array(G.xy(F.lit(0), F.lit(0)), G.xy(n, n), G.xy(n, F.lit(0)), G.xy(F.lit(0), n), G.xy(F.lit(0), F.lit(0)))
+    out = P.repair_geometry(_t(spark, sf_dir, "part").select("p_partkey", G.polygon_of(ring).alias("geometry")), "p_partkey")
+    return out.select("p_partkey", F.round(G.area(F.col("geometry")), 3).alias("area"))
+
+
+@query("SELECT c_custkey, round(6378137.0 * radians(c_custkey % 360 - 180), 3) + 0.0::DOUBLE AS x, round(6378137.0 * ln(tan(pi() / 4 + radians(c_custkey % 160 - 80) / 2)), 3) + 0.0::DOUBLE AS y FROM customer")
+def reproject_mercator(spark, sf_dir):
+    from geoloom.functions import crs
+
+    at = G.point(F.col("c_custkey") % 360 - 180, F.col("c_custkey") % 160 - 80)
+    g = crs.reproject(at, 3857)
+    return _t(spark, sf_dir, "customer").select("c_custkey", (F.round(G.px(g), 3) + 0.0).alias("x"), (F.round(G.py(g), 3) + 0.0).alias("y"))
+
+
+@query("SELECT s_suppkey, concat('POINT (', (s_suppkey * 7919 % 10007)::DOUBLE, ' ', (s_suppkey * 104729 % 10009)::DOUBLE, ')') AS wkt FROM supplier")
+def wkt_points(spark, sf_dir):
+    text = G.wkt(G.from_wkt(G.wkt(F.col("geometry"))))
+    return _place(_t(spark, sf_dir, "supplier"), "s_suppkey").select("s_suppkey", text.alias("wkt"))
+
+
+@query(f"SELECT event_id FROM ({_EV}) WHERE x BETWEEN 2000 AND 4500 AND y BETWEEN 1000 AND 7000")
+def region_filter(spark, sf_dir):
+    from geoloom.sources.files import region_filter as keep
+
+    region = spark.range(1).select(G.box(F.lit(2000), F.lit(1000), F.lit(4500), F.lit(7000)).alias("geometry"))
+    return keep(_events(spark, sf_dir), region).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' OR (event_type = 'error' AND user_id % 2 = 0)")
+def tag_filter(spark, sf_dir):
+    from geoloom.sources.files import tag_filter as wanted
+
+    tags = F.create_map(F.lit("type"), F.col("event_type"), F.concat(F.lit("even"), (F.col("user_id") % 2).cast("string")), F.lit("1"))
+    return _t(spark, sf_dir, "events").filter(wanted(tags, [{"type": "click"}, {"type": "error", "even0": "*"}])).select("event_id")
+
+
+@query("SELECT n_nationkey, lower(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g')) AS key FROM nation")
+def normalized_keys(spark, sf_dir):
+    from geoloom.functions.keys import normalize_key
+
+    return _t(spark, sf_dir, "nation").select("n_nationkey", normalize_key(F.concat(F.lit("-"), "n_name", F.lit(". "))).alias("key"))
+
+
+@query("SELECT p_partkey, greatest(p_size, p_size * 2 % 37)::DOUBLE AS v FROM part")
+def highest_voltage(spark, sf_dir):
+    text = F.concat_ws(";", F.col("p_size").cast("string"), F.lit("no"), (F.col("p_size") * 2 % 37).cast("string"))
+    return _t(spark, sf_dir, "part").select("p_partkey", N.voltage(text).alias("v"))
+
+
+@query(f"SELECT count(*) AS rows, min(x)::DOUBLE AS xmin, min(y)::DOUBLE AS ymin, max(x)::DOUBLE AS xmax, max(y)::DOUBLE AS ymax, min(value) AS value_min, max(value) AS value_max, round(avg(value), 6) AS value_mean FROM ({_EV})")
+def layer_summary(spark, sf_dir):
+    from geoloom.outputs.writers import summary
+
+    return summary(_events(spark, sf_dir), ["value"]).withColumn("value_mean", F.round("value_mean", 6)).drop("kinds")
+
+
+@query(f"SELECT z.zone, round(avg(c.nir), 3) AS mean_value FROM {_ZONAL}")
+def zonal_mean(spark, sf_dir):
+    return R.zonal_stats(_zones(spark), _cells(spark), _GRID, "zone", "nir", "mean", 3).select("zone", F.round("mean_value", 3).alias("mean_value"))
+
+
+@query(f"SELECT z.zone, round(avg((c.nir = 13)::INT), 3)::DOUBLE AS share_value FROM {_ZONAL}")
+def zonal_share(spark, sf_dir):
+    return R.zonal_stats(_zones(spark), _cells(spark), _GRID, "zone", "nir", "share", class_value=13.0).drop("geometry")
+
+
+@query(f"SELECT row // 7 AS row, col // 9 AS col, round(avg(nir), 9) AS nir FROM ({_CELLS}) GROUP BY 1, 2")
+def raster_block_mean(spark, sf_dir):
+    out = R.block_aggregate(_cells(spark), "nir", 7, 9, "mean")
+    return out.withColumn("nir", F.round("nir", 9))
+
+
+@query(f"SELECT row // 2 AS row, col // 2 AS col, round(avg(red), 6) AS red FROM ({_CELLS}) WHERE row < 200 AND col < 200 GROUP BY 1, 2")
+def raster_warp_area(spark, sf_dir):
+    out = R.warp_area(_cells(spark), "red", _GRID, R.Grid(0.0, 10050.0, 100.0, 100, 100))
+    return out.withColumn("red", F.round("red", 6))
+
+
+@query(f"""SELECT a.row, a.col, round((a.red + b.red + c.red + d.red) / 4, 6) AS red FROM ({_CELLS}) a JOIN ({_CELLS}) b ON b.row = a.row AND b.col = a.col + 1
+JOIN ({_CELLS}) c ON c.row = a.row + 1 AND c.col = a.col JOIN ({_CELLS}) d ON d.row = a.row + 1 AND d.col = a.col + 1""")
+def raster_warp_bilinear(spark, sf_dir):
+    out = R.warp(_cells(spark), "red", _GRID, R.Grid(25.0, 10025.0, 50.0, 200, 201), F.col("x"), F.col("y"), "bilinear")
+    return out.withColumn("red", F.round("red", 6))
+
+
+@query(f"SELECT row, col, 1.0::DOUBLE AS value FROM ({_CELLS}) WHERE (col + 0.5) * 50 <= 10000 AND 10050 - (row + 0.5) * 50 <= 10000 AND CAST(floor((col + 0.5) * 50 / 1000) + 10 * floor((10050 - (row + 0.5) * 50) / 1000) AS BIGINT) % 4 = 0")
+def rasterize_zones(spark, sf_dir):
+    return R.rasterize(_zones(spark).filter("zone % 4 = 0"), _GRID, ["zone"]).filter("value IS NOT NULL")
+
+
+@query("""SELECT CAST(least(a, b) AS BIGINT) AS u, CAST(greatest(a, b) AS BIGINT) AS v, round(min(d), 6) AS length, count(DISTINCT (a, b)) AS parallel_edges FROM (
+SELECT s_nationkey AS a, s_suppkey * 5 % 25 AS b, sqrt(power(s_nationkey * 7919 % 10007 - s_suppkey * 5 % 25 * 7919 % 10007, 2) + power(s_nationkey * 104729 % 10009 - s_suppkey * 5 % 25 * 104729 % 10009, 2)) AS d FROM supplier
+) WHERE a <> b GROUP BY 1, 2""")
+def build_network(spark, sf_dir):
+    nodes = _places(spark, sf_dir)
+    end = lambda n: nodes.select(F.col("id").alias(n), F.struct((F.col("x") + 1).alias("x"), "y").alias(f"p{n}"))
+    lines = _links(spark, sf_dir).filter("a <> b").join(end("a"), "a").join(end("b"), "b").select(G.line(F.col("pa"), F.col("pb")).alias("geometry"))
+    edges = N.build_network(lines, nodes.withColumn("geometry", G.point(F.col("x"), F.col("y"))), 5.0)[1]
+    return edges.withColumn("length", F.round("length", 6))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT u, v, min(length) AS w FROM (SELECT u, v, length FROM ({_LINKS}) WHERE u <> v UNION ALL SELECT v, u, length FROM ({_LINKS}) WHERE u <> v) GROUP BY 1, 2),
+r AS (SELECT n::BIGINT AS n, CAST(0 AS DOUBLE) AS d, 0 AS hops FROM (VALUES (0), (7)) t(n) UNION SELECT e.v, r.d + e.w, r.hops + 1 FROM r JOIN e ON e.u = r.n WHERE r.hops < 6)
+SELECT n_nationkey::BIGINT AS id, min(d) AS network_distance FROM nation LEFT JOIN r ON r.n = n_nationkey GROUP BY 1""")
+def shortest_path(spark, sf_dir):
+    nodes, edges = N.edge_list_network(_places(spark, sf_dir), _links(spark, sf_dir), "id", "a", "b", "km", 1000.0)
+    origins = nodes.select("id", G.point(F.col("x") + 1, F.col("y")).alias("geometry"))
+    return N.shortest_path(nodes, edges, origins, origins.filter("id IN (0, 7)"), "id", 5.0).select("id", "network_distance")
+
+
+@query(f"""SELECT CAST(u AS BIGINT) AS node_u, CAST(v AS BIGINT) AS node_v, round(sqrt(power(u * 7919 % 10007 - v * 7919 % 10007, 2) + power(u * 104729 % 10009 - v * 104729 % 10009, 2)), 6) AS straight
+FROM (SELECT DISTINCT u, v FROM ({_LINKS}) WHERE u <> v)""")
+def graph_to_vector(spark, sf_dir):
+    nodes, edges = N.edge_list_network(_places(spark, sf_dir), _links(spark, sf_dir), "id", "a", "b", "km", 1000.0)
+    return N.graph_to_vector(nodes, edges).select("node_u", "node_v", F.round(G.length(F.col("geometry")), 6).alias("straight"))
+
+
+@query()
+def isochrone(spark, sf_dir):
+    nodes, edges = N.edge_list_network(_places(spark, sf_dir), _links(spark, sf_dir), "id", "a", "b", "km", 1000.0)
+    near = N.reached(nodes, edges, nodes.filter("id = 0").select("id", G.point(F.col("x"), F.col("y")).alias("geometry")), "id", 1.0, 20000.0)
+    return P.isochrone(near, edges, [5000, 20000]).select("limit_m", F.round("area", 1).alias("area"))
+
+
+@query("""SELECT (user_id % 50) AS row, (user_id // 50) AS col, arg_min(value, (event_id)) AS value FROM events WHERE event_type <> 'error' GROUP BY 1, 2""")
+def mosaic_first(spark, sf_dir):
+    from geoloom.sources.web import mosaic_first as first
+
+    cells = _t(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("row"), F.floor(F.col("user_id") / 50).alias("col"), "event_id", "value", "event_type")
+    return first(cells, "event_id", ["value"], F.col("event_type") != "error")
+
+
+@query("SELECT event_id, ts, value FROM events WHERE CAST(ts AS DATE) = (SELECT CAST(ts AS DATE) FROM events GROUP BY 1 ORDER BY sum(value) DESC, 1 DESC LIMIT 1)")
+def best_day(spark, sf_dir):
+    from geoloom.sources.web import best_date
+
+    e = _t(spark, sf_dir, "events").select("event_id", "ts", "value", F.to_date("ts").alias("date"))
+    scenes = e.withColumns({"covered": F.col("value") / 1e9, "cloud": F.lit(0.0)})
+    return best_date(scenes).select("event_id", "ts", "value")
