@@ -34,6 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from geoloom.llm._common import drop_path, materialize, order_id, shared_dir, wider
 
@@ -165,6 +166,16 @@ def _text_key(text: str) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit((1 << TH_BITS) - 1))
 
 
+def _ranked(run: DataFrame) -> DataFrame:
+    """Rows (f, g, o, place) of a run with head (whether no row of its f and g is earlier) and the range of its f's g.
+
+    Runs lie in buckets of f, so the windows need no shuffle.
+    """
+    kind, whole = Window.partitionBy("f", "g").orderBy("o", "place"), Window.partitionBy("f")
+    rows = run.filter("NOT dup").select("f", "g", "o", "place", (F.row_number().over(kind) == 1).alias("head"))
+    return rows.withColumns({"low": F.min("g").over(whole), "high": F.max("g").over(whole)})
+
+
 class FingerprintIndex:
     """Runs of window fingerprints in one folder that all executors see."""
 
@@ -181,17 +192,12 @@ class FingerprintIndex:
         parts.write.bucketBy(self.buckets, "f").sortBy("f").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name)
         return name
 
-    def _first(self, runs: list[str]) -> DataFrame:
-        """(f, g, first): the first place of each kind of stretch."""
-        rows = reduce(DataFrame.union, [self.spark.table(r).filter("NOT dup").select("f", "g", "o", "place") for r in runs])
-        return rows.groupBy("f", "g").agg(F.min(F.struct("o", "place")).alias("first"))
-
     def compact(self) -> None:
         """Merge the runs into one."""
         if len(self.runs) < 2:
             return
-        old, first = self.runs, self._first(self.runs)
-        self.runs = [self._write(first.select("f", "g", "first.o", "first.place", F.lit(False).alias("dup")))]
+        old, rows = self.runs, _ranked(reduce(DataFrame.union, [self.spark.table(r) for r in self.runs]))
+        self.runs = [self._write(rows.filter("head").select("f", "g", "o", "place", F.lit(False).alias("dup")))]
         self._drop(old)
 
     def _drop(self, runs: list[str]) -> None:
@@ -210,27 +216,27 @@ class FingerprintIndex:
         """
         history, run = self.runs, self._write(docs.mapInArrow(_runs_of, "f long, g long, o long, place long, dup boolean"))
         table = self.spark.table(run)
-        rows = table.filter("NOT dup").select("f", "g", "o", "place")
-        first = self._first([run])
+        rows = _ranked(table)
         if history:
-            before = self._first(history).withColumnRenamed("first", "old")
-            kinds = first.join(before, ["f", "g"], "left")
-            spans = before.groupBy("f").agg(F.min("g").alias("low2"), F.max("g").alias("high2"))
+            before = _ranked(reduce(DataFrame.union, [self.spark.table(r) for r in history])).filter("head")
+            kinds = before.select("f", "g", F.lit(True).alias("old"))
+            spans = before.filter("g = low").select("f", F.col("low").alias("low2"), F.col("high").alias("high2"))
+            rows = rows.join(kinds, ["f", "g"], "left").join(spans, "f", "left")
+            rows = rows.withColumn("old", F.coalesce("old", F.lit(False))).withColumns({"low": F.least("low", "low2"), "high": F.greatest("high", "high2")})
         else:
-            kinds = first.withColumn("old", F.lit(None).cast(first.schema["first"].dataType))
-        # A stretch is covered whole if its kind is in the history, or earlier in the batch.
-        whole = rows.join(kinds, ["f", "g"]).filter(F.col("old").isNotNull() | (F.struct("o", "place") > F.col("first"))).select("o", "place")
-        whole = whole.select("o", "place", F.col("place").bitwiseAND(F.lit((1 << N_BITS) - 1)).alias("n"))
-        inside = table.filter("dup").select("o", "place", F.col("g").alias("n"))
-        # Fingerprints with different words: the first stretch of each kind is compared window by window.
-        by_f = first.groupBy("f").agg(F.min("g").alias("low"), F.max("g").alias("high"))
+            rows = rows.withColumn("old", F.lit(False))
+        # A stretch is covered whole if its kind is in the history, or earlier in the batch. Where a fingerprint has
+        # different words, the first stretch of each kind is compared window by window.
+        late, mixed = ~F.col("head") | F.col("old"), F.col("low") < F.col("high")
+        judged = materialize(rows.filter(late | mixed).select("o", "place", late.alias("late")), "judged")
+        shown = judged.filter("NOT late").select(F.lit(1).alias("age"), "o", "place")
         if history:
-            by_f = by_f.join(spans, "f", "left").select("f", F.least("low", "low2").alias("low"), F.greatest("high", "high2").alias("high"))
-        mixed = by_f.filter("low < high").select("f")
-        shown = kinds.join(mixed, "f").filter("old IS NULL").select(F.lit(1).alias("age"), "first.o", "first.place")
-        if history:
-            shown = shown.union(before.join(mixed, "f").select(F.lit(0).alias("age"), "old.o", "old.place"))
+            own = _ranked(table).filter("head AND g = low").select("f", F.col("low").alias("low2"), F.col("high").alias("high2"))
+            asked = before.join(own, "f").filter(F.least("low", "low2") < F.greatest("high", "high2"))
+            shown = shown.union(asked.select(F.lit(0).alias("age"), "o", "place"))
         shown = materialize(shown, "stretches")
+        whole = judged.filter("late").select("o", "place", F.col("place").bitwiseAND(F.lit((1 << N_BITS) - 1)).alias("n"))
+        inside = table.filter("dup").select("o", "place", F.col("g").alias("n"))
         self.texts.append(docs)
         late = self._verify(shown)
         self.runs = [*history, run]
