@@ -1,7 +1,7 @@
 """PII: detected entities get keyed surrogates of their own type and shape.
 
-Detected are e-mail addresses, IBANs, phone numbers, payment-card-like numbers, social security numbers, IPv4 addresses,
-secrets that an assignment names (token, key, password, secret) and personal names after a title, with later mentions
+Detected are e-mail addresses, IBANs, phone numbers, payment-card-like numbers, social security numbers, IP and MAC
+addresses, secrets that an assignment names (token, key, password, secret) or that start like known keys, and names after a title, with later mentions
 of the same names. An entity is (kind, canonical value): letters folded, format signs left out, so that two spellings of
 one phone number are one entity.
 
@@ -56,16 +56,21 @@ _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](
 _GAP = r"[^\w+()]{0,6}"
 _PATTERNS = (
     ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
-    ("phone", re.compile(rf"(?<!\w)(?:\+[0-9]{{1,3}}{_GAP})?\([0-9]{{2,4}}\){_GAP}[0-9]{{3,4}}[-. ]?[0-9]{{3,4}}(?!\w)|(?<!\w)\+[0-9]{{1,3}}(?:[-. ]?[0-9]{{2,4}}){{2,4}}(?!\w)")),
+    ("phone", re.compile(rf"(?<!\w)(?:\+[0-9]{{1,3}}{_GAP})?\([0-9]{{2,4}}\){_GAP}[0-9]{{3,4}}[-. ]?[0-9]{{3,4}}(?!\w)|(?<!\w)\+[0-9]{{1,3}}(?:[-. ]?[0-9]{{2,4}}){{2,4}}(?!\w)|(?<![\w.-])[0-9]{{3}}([-. ])[0-9]{{3}}\1[0-9]{{4}}(?![\w-])")),
+    ("mac", re.compile(r"(?<![\w:-])[0-9A-Fa-f]{2}(?:([:-])[0-9A-Fa-f]{2})(?:\1[0-9A-Fa-f]{2}){4}(?![\w:-])")),
+    ("ipv6", re.compile(r"(?<![\w:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![\w:])")),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("card", re.compile(r"(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?![\w])")),
     ("ip", re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?!\w|\.[0-9])")),
 )
-_DIGITS = re.compile("[0-9]{2}")  # no number, network address or secret is without
+_DIGITS = re.compile("[0-9]")  # no number, network address or secret is without
+#: How well-known services start their keys.
+_KEY_STARTS = r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|sk-|xox[abpr]-|AIza|glpat-)"
+_KEYS = re.compile(rf"(?<![\w-]){_KEY_STARTS}[A-Za-z0-9_\-]{{16,}}")
 _SECRET = re.compile(r"(?i)(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)\W{1,12}([A-Za-z0-9+/_\-]{12,})")
 _TITLE = re.compile(r"\b(" + "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)) + r")\b\.?((?: [^\W\d_][\w'’-]*){1,3})")
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-KINDS = ("email", "iban", "phone", "ssn", "card", "ip", "secret", "name")
+KINDS = ("email", "iban", "phone", "ssn", "card", "ip", "ipv6", "mac", "secret", "name")
 
 
 def luhn(digits: str) -> int:
@@ -108,6 +113,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     for m in _SECRET.finditer(text) if any(x in low for x in ("token", "secret", "passw", "key")) else ():
         if any(c.isdigit() for c in m[1]):
             add(m.start(1), m.end(1), "secret", m[1])
+    for m in _KEYS.finditer(text) if digits else ():
+        add(m.start(), m.end(), "secret", m[0])
     for kind, pattern in _PATTERNS:
         for m in pattern.finditer(text) if digits else ():
             canon = re.sub(r"[^A-Za-z0-9.]" if kind == "ip" else r"[^A-Za-z0-9]", "", m[0])
@@ -167,6 +174,10 @@ def surrogate(kind: str, canon: str, attempt: int, key: str) -> str:
         return head + (last if luhn(canon) == 0 else str((int(last) + 1 + draw(9)) % 10))
     if kind == "phone":
         return "".join(map(alike, canon)) if len(canon) < 11 else canon[:-10] + "".join(map(alike, canon[-10:]))
+    if kind in ("mac", "ipv6"):
+        return "".join(("0123456789ABCDEF" if canon.isupper() else "0123456789abcdef")[draw(16)] for _ in canon)
+    if kind == "secret" and (start := re.match(_KEY_STARTS, canon)):
+        return start[0] + "".join(map(alike, canon[start.end() :]))
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", canon):
         return "".join(("0123456789ABCDEF" if canon.isupper() else "0123456789abcdef")[draw(16)] for _ in canon)
     if kind == "name":
