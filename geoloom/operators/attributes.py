@@ -36,9 +36,9 @@ def filter_rows(df: DataFrame, condition: str, refs: Sequence[str], on_missing:
     need(df, *refs, *(types or ()))
     df = df.withColumns({c: CASTS[t](F.col(c)) for c, t in (types or {}).items()})
     missing = reduce(Column.__or__, [F.col(c).isNull() for c in refs], F.lit(False))
+    if on_missing == "exclude":  # bare comparisons reach the scan
+        return df.filter(~missing).filter(condition)
     holds = F.coalesce(F.expr(condition), F.lit(False))
-    if on_missing == "exclude":
-        return df.filter(~missing & holds)
     if on_missing == "include":
         return df.filter(missing | holds)
     if on_missing == "error":
