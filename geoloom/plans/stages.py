@@ -23,17 +23,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (a, b); root is the smallest node that is reachable.
 
-    Each round a node takes the smallest label around it and then that label's own label, so chains shrink fast.
+    Rounds of contraction: every node points to its smallest neighbour if that is smaller, pointers are followed to their
+    ends by doubling, and the edges are drawn again between the ends, without loops and repeats. A component's smallest
+    node always points to itself, so it is the last one left. Edges, not nodes, are few after a round or two; nothing is
+    collected, and all state is written between steps.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.filter("a <> b").distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
-    while not labels.isEmpty():
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("m"))
-        step = materialize(labels.join(near, labels.node == near.a).select("node", F.col("root").alias("old"), F.least("root", "m").alias("root")), "labels")
-        up = step.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        step = materialize(step.join(up, step.root == up.n2).select("node", "old", F.least("root", "r2").alias("root")), "labels")
-        labels = step.select("node", "root")
-        if step.filter("old <> root").isEmpty():
-            break
-    return labels
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    left = materialize(edges.filter("a <> b").select(low, high).distinct(), "edges")
+    rounds = []
+    while not left.isEmpty():
+        near = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("m"))
+        ends = materialize(near.select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "pointers")
+        while True:
+            step = ends.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            moved = materialize(ends.join(step, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "pointers")
+            ends = moved.select("node", "root")
+            if moved.filter("moved").isEmpty():
+                break
+        rounds.append(ends)
+        of = lambda n, r: ends.select(F.col("node").alias(n), F.col("root").alias(r))  # noqa: E731, B023
+        drawn = left.join(of("a", "ra"), "a").join(of("b", "rb"), "b").filter("ra <> rb")
+        left = materialize(drawn.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+    if not rounds:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = rounds[0]
+    for ends in rounds[1:]:
+        out = out.join(ends.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return materialize(out, "components")
