@@ -90,3 +90,29 @@ def summary(df: DataFrame, numeric: Sequence[str] = ()) -> DataFrame:
     for c in numeric:
         out += [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.avg(c).alias(f"{c}_mean")]
     return df.agg(*out)
+
+
+def preview(df: DataFrame, rows: int, columns: int | None = None) -> DataFrame:
+    """At most ``rows`` rows, shared among the kinds of geometry by their numbers (one of each at least), and the
+    ``columns`` attributes that are filled most. A report: it leaves rows out on purpose.
+    """
+    kinds = {r[0]: r[1] for r in df.groupBy("geometry.kind").count().collect()}  # six kinds at most
+    total = sum(kinds.values())
+    attributes = [c for c in df.columns if c != "geometry"]
+    if columns is not None and columns < len(attributes):
+        filled = df.agg(*[F.count(c).alias(c) for c in attributes]).first()
+        attributes = sorted(sorted(attributes, key=lambda c: -filled[c])[:columns], key=attributes.index)
+    slim, out = df.select(*attributes, "geometry"), None
+    for kind, n in kinds.items():
+        part = slim.filter(F.col("geometry.kind").eqNullSafe(F.lit(kind))).limit(n if total <= rows else max(1, rows * n // total))
+        out = part if out is None else out.union(part)
+    return slim.limit(0) if out is None else out
+
+
+def coverage(df: DataFrame, region: DataFrame) -> DataFrame:
+    """One row: how much of the region's bounding box the layer's covers, in each direction (0 to 1)."""
+    b, r = G.bbox(F.col("geometry")), G.bbox(F.col("geometry"))
+    ends = lambda d, c, p: d.agg(F.min(c.xmin).alias(f"{p}x0"), F.min(c.ymin).alias(f"{p}y0"), F.max(c.xmax).alias(f"{p}x1"), F.max(c.ymax).alias(f"{p}y1"))
+    both = ends(df, b, "a").crossJoin(ends(region, r, "b"))  # one row each
+    share = lambda k: F.try_divide(F.greatest(F.least(f"a{k}1", f"b{k}1") - F.greatest(f"a{k}0", f"b{k}0"), F.lit(0.0)), F.col(f"b{k}1") - F.col(f"b{k}0"))
+    return both.select(share("x").alias("width"), share("y").alias("height"))

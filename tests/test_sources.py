@@ -121,3 +121,15 @@ def test_shapefile(spark, tmp_path):
     assert rows[0].w == "POINT (3.0 4.0)"
     assert rows[1].a == 4 - 0.25
     assert rows[2].w is None or rows[2].a is None
+
+
+def test_preview_and_coverage(spark):
+    df = layer(spark)
+    many = df.unionByName(df.filter("id = 1").crossJoin(spark.range(20)).select("name", "geometry", F.lit(1).cast("long").alias("id")).select("id", "name", "geometry"))
+    shown = writers.preview(many, 10, 1)
+    assert shown.columns == ["id", "geometry"]
+    assert shown.count() <= 12
+    assert shown.select("geometry.kind").distinct().count() == 3
+    region = spark.range(1).select(G.box(F.lit(0), F.lit(0), F.lit(6), F.lit(3)).alias("geometry"))
+    assert tuple(writers.coverage(df, region).first()) == (0.5, 1.0)
+    assert writers.preview(df.limit(0), 5).count() == 0
