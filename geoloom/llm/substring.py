@@ -167,12 +167,13 @@ def _text_key(text: str) -> Column:
 
 
 def _ranked(run: DataFrame) -> DataFrame:
-    """Rows (f, g, o, place) of a run with head (whether no row of its f and g is earlier) and the range of its f's g.
+    """Rows (f, g, o, place) of a run with late (whether a row of its f and g is earlier), head (one row of each f and g
+    that is not late; a document that stands twice has several) and the range of its f's g.
 
     Runs lie in buckets of f, so the windows need no shuffle.
     """
     kind, whole = Window.partitionBy("f", "g").orderBy("o", "place"), Window.partitionBy("f")
-    rows = run.filter("NOT dup").select("f", "g", "o", "place", (F.row_number().over(kind) == 1).alias("head"))
+    rows = run.filter("NOT dup").select("f", "g", "o", "place", (F.row_number().over(kind) == 1).alias("head"), (F.rank().over(kind) > 1).alias("late"))
     return rows.withColumns({"low": F.min("g").over(whole), "high": F.max("g").over(whole)})
 
 
@@ -227,8 +228,8 @@ class FingerprintIndex:
             rows = rows.withColumn("old", F.lit(False))
         # A stretch is covered whole if its kind is in the history, or earlier in the batch. Where a fingerprint has
         # different words, the first stretch of each kind is compared window by window.
-        late, mixed = ~F.col("head") | F.col("old"), F.col("low") < F.col("high")
-        judged = materialize(rows.filter(late | mixed).select("o", "place", late.alias("late")), "judged")
+        late, mixed = F.col("late") | F.col("old"), F.col("low") < F.col("high")
+        judged = materialize(rows.filter(late | (F.col("head") & mixed)).select("o", "place", late.alias("late")), "judged")
         shown = judged.filter("NOT late").select(F.lit(1).alias("age"), "o", "place")
         if history:
             own = _ranked(table).filter("head AND g = low").select("f", F.col("low").alias("low2"), F.col("high").alias("high2"))

@@ -184,6 +184,10 @@ def test_substrings_awkward(spark):
     nine = sorted((r.n_words, r.n_removed) for r in got if r.doc_id == 9)
     assert nine in ([(30, 0), (30, 0), (31, 30)], [(30, 30), (30, 30), (31, 0)])
     assert [r.n_removed for r in got if r.doc_id is None and r.n_words == 30] == [30]
+    # The same row in several partitions is one document, too.
+    apart = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    apart = apart.union(apart).union(apart).union(spark.createDataFrame([(2, "x " + long)], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_removed) for r in substring.substring_dedup(apart).collect()) == [(1, 0), (1, 0), (1, 0), (2, 30)]
     assert [r.n_words for r in got if r.doc_id in (1, 2, 3)] == [0, 0, 0]
     assert substring.digests(df.limit(0)).count() == 0
 
