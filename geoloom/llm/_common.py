@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from geoloom.plans.stages import materialize, shared_dir  # noqa: F401
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-GAP = r"[\x20\x09-\x0D]+"
 #: Stands for a null doc_id where documents are ordered: after every other.
 NO_ID = 2**63 - 1
 
@@ -19,25 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Only where the session has none (tests on one machine) a folder under /tmp is used.
-    """
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/geoloom-shared").rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again.
-
-    Unlike localCheckpoint() this survives the loss of executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system, so that it works in any store."""
     jvm = spark.sparkContext._jvm
@@ -49,23 +29,6 @@ def order_id(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))
 
 
-def text_or_empty(col: str = "text") -> Column:
-    return F.coalesce(F.col(col), F.lit(""))
-
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names for helper columns that clash with no column of df."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for n in names:
-        name = f"__{n}"
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def wider(df: DataFrame, *more: tuple[str, str]) -> StructType:
     """The schema of df with further (name, type) columns."""
     out = StructType(list(df.schema.fields))
