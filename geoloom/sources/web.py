@@ -87,3 +87,26 @@ def first_hits(pages: DataFrame, bbox: tuple[float, float, float, float]) -> Dat
 def latest(rows: DataFrame, key: str, time: str) -> DataFrame:
     """The newest row of each key, for resources that list several versions."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(time).desc()))).filter("__n = 1").drop("__n")
+
+
+def post(url: str, body: str) -> str:
+    request = urllib.request.Request(url, body.encode("utf-8"), {"Content-Type": "application/json"}, method="POST")
+    with urllib.request.urlopen(request, timeout=60) as r:  # noqa: S310
+        return r.read().decode("utf-8")
+
+
+def through_service(df: DataFrame, url: str, columns: dict[str, str], batch: int = 1000, send: Callable[[str, str], str] = post) -> DataFrame:
+    """What a service makes of a layer: tasks post FeatureCollections of up to ``batch`` features and read those of the replies."""
+    from geoloom.outputs.writers import feature
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), batch):
+                body = '{"type":"FeatureCollection","features":[' + ",".join(f["value"].iloc[at : at + batch]) + "]}"
+                yield pd.DataFrame({"url": [url], "body": [send(url, body)]})
+
+    replies = df.select(feature(df).alias("value")).mapInPandas(run, "url string, body string")
+    named = "struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>"
+    rows = replies.select(F.explode(F.from_json("body", f"struct<features: array<{named}>>")["features"]).alias("f"))
+    picked = [CASTS[t](F.col("f.properties")[c]).alias(c) for c, t in columns.items()]
+    return rows.select(*picked, _from_geojson(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("geometry"))

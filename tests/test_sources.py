@@ -133,3 +133,9 @@ def test_preview_and_coverage(spark):
     region = spark.range(1).select(G.box(F.lit(0), F.lit(0), F.lit(6), F.lit(3)).alias("geometry"))
     assert tuple(writers.coverage(df, region).first()) == (0.5, 1.0)
     assert writers.preview(df.limit(0), 5).count() == 0
+
+
+def test_layer_through_a_service(spark):
+    df = layer(spark)
+    same = web.through_service(df, "u", {"id": "integer", "name": "string"}, 2, lambda url, body: body)
+    assert sorted(map(str, same.collect())) == sorted(map(str, df.collect()))
