@@ -16,6 +16,7 @@ encoded whole. Repeated rows are encoded alike. Columns that clash with an outpu
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from geoloom.llm._common import text_batches, wider
 
 #: Words that a worker keeps.
-CACHE = 100_000
+CACHE = 120_000
 NEVER = np.iinfo(np.int64).max
 #: Rows that are encoded together.
 ROWS = 512
@@ -58,8 +59,12 @@ class WordBpe:
             self.tokens[i] = t
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
+        # The same pattern for ASCII texts, which the plain module matches faster.
+        ascii_ = split["pattern"]["Regex"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
+        self.ascii_words = re.compile(ascii_, re.ASCII)
         self.cut = regex.compile("|".join(map(regex.escape, self.special)))
         self.letters = byte_letters()
+        self.inner, self.last = ([self.vocab[x + e] for x in self.letters] for e in ("", self.end))
         n = len(self.tokens)
         #: A token is made by the merge of ``rank`` (-1: of none) from ``left`` and ``right``.
         self.rank, self.left, self.right = (np.full(n, -1, np.int64) for _ in range(3))
@@ -72,15 +77,17 @@ class WordBpe:
         order = np.argsort(pairs)
         self.pair_codes, self.pair_ranks = pairs[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
         self.made = np.array([m for _, m in self.merges.values()], np.int64)  # by rank
-        #: The longest token that starts with these two letters.
+        #: The longest token that starts with these three letters.
         self.longest: dict[str, int] = {}
         for t in self.vocab:
             t = t.removesuffix(self.end)
-            self.longest[t[:2]] = max(len(t), self.longest.get(t[:2], 1))
+            self.longest[t[:3]] = max(len(t), self.longest.get(t[:3], 2))
         self.known: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text without special tokens, in byte letters when not ASCII."""
+        if text.isascii():
+            return self.ascii_words.findall(text.lower())
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # Each character by itself, so a final sigma is like any other. White space of any kind is in no word.
@@ -92,7 +99,7 @@ class WordBpe:
             word = "".join([self.letters[b] for b in word.encode("utf-8")])
         out, at, n, vocab, longest = [], 0, len(word), self.vocab, self.longest
         while at < n:
-            most = longest.get(word[at : at + 2], 1)
+            most = longest.get(word[at : at + 3], 2)
             if n - at <= most and (t := vocab.get(word[at:] + self.end)) is not None:
                 out.append(t)
                 break
@@ -181,9 +188,11 @@ class WordBpe:
         return np.where(self.pair_codes[at] == code, self.pair_ranks[at], NEVER)
 
     def base(self, word: str) -> list[int]:
-        letters = [self.letters[b] for b in word.encode("utf-8")]
-        letters[-1] += self.end
-        return [self.vocab[x] for x in letters]
+        """The ids of a word's letters, the last one with the end mark."""
+        *inner, last = word.encode("utf-8")
+        out = [self.inner[b] for b in inner]
+        out.append(self.last[last])
+        return out
 
     def learn(self, words: list[str]) -> None:
         """Put the encodings of the words into ``known``."""
@@ -207,10 +216,11 @@ class WordBpe:
                 parts += [*self.pieces(text[at : m.start()]), m[0]]
                 at = m.end()
             cut.append(parts + self.pieces((text or "")[at:]))
-        if len(self.known) > CACHE:
-            self.known.clear()
+        words = set(chain.from_iterable(cut))
+        if len(self.known) > CACHE:  # what these texts have too is kept
+            self.known = {w: self.known[w] for w in words if w in self.known}
         self.known.update({t: (i,) for t, i in self.special.items()})
-        fresh = set(chain.from_iterable(cut)).difference(self.known)
+        fresh = words.difference(self.known)
         if fresh:
             self.learn(list(fresh))
         get = self.known.__getitem__
