@@ -237,9 +237,10 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with ids (array of int), the whole text's tokens."""
-    docs = docs.select(*[c for c in docs.columns if c.lower() != "ids"])
+def encode(docs: DataFrame, path: str, text: str = "text", *, back: bool = False) -> DataFrame:
+    """docs with ids (array of int), the whole text's tokens; back adds decoded, what decode() gives for them, at once."""
+    new = [("ids", "array<int>"), ("decoded", "string")][: 1 + back]
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in [n for n, _ in new]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -250,9 +251,10 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 ends = np.cumsum([0, *map(len, found)])
                 values = np.concatenate(found) if found else np.empty(0, np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, "ids"])
+                texts = [pa.array([bpe.decode(x) for x in found], pa.string())] if back else []
+                yield pa.RecordBatch.from_arrays([*b.columns, ids, *texts], [*b.schema.names, *[n for n, _ in new]])
 
-    return text_batches(docs).mapInArrow(run, wider(docs, ("ids", "array<int>")))
+    return text_batches(docs).mapInArrow(run, wider(docs, *new))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -272,7 +274,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
-    both = decode(encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    both = encode(docs.select("doc_id", "text"), path, back=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
