@@ -104,6 +104,62 @@ def test_stage_catches_edited_copies(spark):
     assert lost <= groups * 0.05
 
 
+def brute_groups(texts, least=0.8, width=5):
+    """The smallest id of each id's group: closure of all pairs with a Jaccard similarity of at least ``least``."""
+    sets = {}
+    for d, t in texts.items():
+        words = t.split()
+        sets[d] = {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+    root = {d: d for d in texts}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in texts:
+        for b in texts:
+            if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in texts}
+
+
+def test_stage_checks_similarity(spark):
+    """Template texts of a similarity just below 0.8 stay, those above go, as brute force says; chains are followed."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = {}
+    for _ in range(12):  # families of texts with a long passage in common
+        passage = [word() for _ in range(300)]
+        own = rng.choice([10, 25, 34, 36, 40, 50])
+        for _ in range(12):
+            texts[len(texts)] = " ".join(passage + [word() for _ in range(own)])
+    words = [word() for _ in range(300)]
+    for _ in range(20):  # a chain whose ends share little
+        texts[len(texts)] = " ".join(words)
+        at = rng.randrange(0, 280)
+        words[at : at + 20] = [word() for _ in range(20)]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(df).collect()}
+    assert kept == set(brute_groups(texts).values())
+
+
+def test_refused_links_do_not_hide_others(spark):
+    """A second round takes the links that a unit's spanning forest left out."""
+    sk = np.zeros((5, 8), np.uint64)
+    for i, bits in enumerate((0, 1, 3, 7, 15)):
+        sk[i, 0] = bits
+    rows = [(i, [7], sk[i].tobytes()) for i in range(5)]
+    kinds = spark.createDataFrame(rows, "node long, bands array<long>, sk binary")
+    # 1 to 4 are near in bits but share nothing with each other; 0 and 4, the ends, are alike.
+    sets = {0: range(10), 4: range(11), **{i: range(100 * i, 100 * i + 10) for i in (1, 2, 3)}}
+    made = spark.createDataFrame([(i, np.array(list(s), "<u8").tobytes()) for i, s in sets.items()], "node long, grams binary")
+    for block in (4096, 2):
+        got = simhash.similar_groups(kinds, lambda nodes: made.join(nodes, "node"), block=block).collect()
+        assert {(r.node, r.root) for r in got} == {(0, 0), (4, 0)}
+
+
 def test_near_duplicates_awkward(spark):
     df = spark.createDataFrame(AWKWARD, DOC)
     got = simhash.near_duplicates(clashing(df)).collect()
