@@ -145,6 +145,23 @@ def test_stage_checks_similarity(spark):
     assert kept == set(brute_groups(texts).values())
 
 
+def test_stage_finds_pairs_at_the_threshold(spark):
+    """Nearly all pairs of a similarity from 0.8 to 0.85 are found."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = {}
+    for g in range(200):
+        passage = [word() for _ in range(300)]
+        for i in (0, 1):
+            texts[2 * g + i] = " ".join(passage + [word() for _ in range(30)])
+    want = brute_groups({d: texts[d] for d in (0, 1)})
+    assert want == {0: 0, 1: 0}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(df).collect()}
+    assert {2 * g for g in range(200)} <= kept
+    assert len(kept) <= 202
+
+
 def test_refused_links_do_not_hide_others(spark):
     """A second round takes the links that a unit's spanning forest left out."""
     sk = np.zeros((5, 8), np.uint64)
