@@ -2,7 +2,7 @@
 
 Detected are e-mail addresses, IBANs, phone numbers, payment-card-like numbers, social security numbers, IP and MAC
 addresses, secrets that an assignment names (token, key, password, secret) or that start like known keys, and names after a title, with later mentions
-of the same names. An entity is (kind, canonical value): letters folded, format signs left out, so that two spellings of
+of the same names. Names without a title in TITLES are out of reach. An entity is (kind, canonical value): letters folded, format signs left out, so that two spellings of
 one phone number are one entity.
 
 A surrogate is a keyed hash (BLAKE2b) of the entity, spelled in its alphabet: digits stay digits, hexadecimal stays so,
@@ -21,6 +21,7 @@ alike. Columns other than text pass through, whatever they are called.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -59,6 +60,7 @@ _PATTERNS = (
     ("phone", re.compile(rf"(?<!\w)(?:\+[0-9]{{1,3}}{_GAP})?\([0-9]{{2,4}}\){_GAP}[0-9]{{3,4}}[-. ]?[0-9]{{3,4}}(?!\w)|(?<!\w)\+[0-9]{{1,3}}(?:[-. ]?[0-9]{{2,4}}){{2,4}}(?!\w)|(?<![\w.-])[0-9]{{3}}([-. ])[0-9]{{3}}\1[0-9]{{4}}(?![\w-])")),
     ("mac", re.compile(r"(?<![\w:-])[0-9A-Fa-f]{2}(?:([:-])[0-9A-Fa-f]{2})(?:\1[0-9A-Fa-f]{2}){4}(?![\w:-])")),
     ("ipv6", re.compile(r"(?<![\w:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![\w:])")),
+    ("ipv6", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?:(?<=:)[0-9]{1,3}(?:\.[0-9]{1,3}){3}|:[0-9]{1,3}(?:\.[0-9]{1,3}){3})?(?![\w:]|\.[0-9])")),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("card", re.compile(r"(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?![\w])")),
     ("ip", re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?!\w|\.[0-9])")),
@@ -88,6 +90,29 @@ def iban_check(country: str, body: str) -> str:
     return f"{98 - int(number) % 97:02d}"
 
 
+def _ibans(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int, str]]:
+    """(start, end, canonical value): the longest part of each match, up to the end of a word, whose check digits are right."""
+    m = pattern.search(text)
+    while m:
+        at = m.start() + 2
+        for end in range(m.end(), m.start() + 14, -1):
+            canon = text[m.start() : end].replace(" ", "")
+            whole = text[end - 1].isalnum() and not text[end : end + 1].isalnum()
+            if whole and len(canon) >= 15 and int(iban_check(canon[:2], canon[4:])) == int(canon[2:4]):
+                yield m.start(), end, canon
+                at = end
+                break
+        m = pattern.search(text, at)
+
+
+def _ipv6(text: str) -> str | None:
+    """The canonical form of a compressed address; None if it is none or has no digit, as names in code do."""
+    try:
+        return ipaddress.IPv6Address(text).compressed if _DIGITS.search(text) else None
+    except ValueError:
+        return None
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value), in order and without overlaps; the earlier kind wins."""
     found: list[tuple[int, int, str, str]] = []
@@ -116,9 +141,15 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     for m in _KEYS.finditer(text) if digits else ():
         add(m.start(), m.end(), "secret", m[0])
     for kind, pattern in _PATTERNS:
+        if kind == "iban":
+            for a, b, canon in _ibans(text, pattern) if digits else ():
+                add(a, b, kind, canon)
+            continue
         for m in pattern.finditer(text) if digits else ():
             canon = re.sub(r"[^A-Za-z0-9.]" if kind == "ip" else r"[^A-Za-z0-9]", "", m[0])
-            if kind != "iban" or int(iban_check(canon[:2], canon[4:])) == int(canon[2:4]):
+            if kind == "ipv6" and "::" in m[0]:
+                canon = _ipv6(m[0])
+            if canon:
                 add(m.start(), m.end(), kind, canon)
     names: dict[str, str] = {}
     for m in _TITLE.finditer(text) if any(t in text for t in _GENDER) else ():
@@ -174,6 +205,8 @@ def surrogate(kind: str, canon: str, attempt: int, key: str) -> str:
         return head + (last if luhn(canon) == 0 else str((int(last) + 1 + draw(9)) % 10))
     if kind == "phone":
         return "".join(map(alike, canon)) if len(canon) < 11 else canon[:-10] + "".join(map(alike, canon[-10:]))
+    if kind == "ipv6" and ":" in canon:
+        return re.sub("[0-9a-f]+", lambda _: "".join("0123456789abcdef"[draw(16)] for _ in range(4)), canon)
     if kind in ("mac", "ipv6"):
         return "".join(("0123456789ABCDEF" if canon.isupper() else "0123456789abcdef")[draw(16)] for _ in canon)
     if kind == "secret" and (start := re.match(_KEY_STARTS, canon)):
@@ -197,6 +230,8 @@ def render(mention: str, kind: str, new: str) -> str:
         if letters and len(letters) > 1 and all(c.isupper() for c in letters):
             return new.upper()
         return new[:1].upper() + new[1:] if letters and mention[0].isupper() else new
+    if kind == "ipv6" and ":" in new:
+        return new.upper() if mention.isupper() else new
     if kind in ("ip", "secret"):
         return new
     signs = iter(new)

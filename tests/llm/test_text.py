@@ -262,6 +262,16 @@ def test_detection(text, kind):
         assert [c for c in new if not c.isalnum()] == [c for c in text if not c.isalnum()]
 
 
+@pytest.mark.parametrize(("text", "found"), [
+    ("to BE68539007547034 BIC", ["BE68539007547034"]), ("BE68 5390 0754 7034 BIC", ["BE68 5390 0754 7034"]), ("BE68539007547034 DE89370400440532013000", ["BE68539007547034", "DE89370400440532013000"]),
+    ("at 2001:db8::1.", ["2001:db8::1"]), ("FE80::1 up", ["FE80::1"]), ("::1", ["::1"]), ("::ffff:10.0.0.1", ["::ffff:10.0.0.1"]), ("std::abc Bad::Face 1:::2", []),
+])
+def test_whole_entities(text, found):
+    assert [text[a:b] for a, b, kind, _ in pii.detect(text) if kind in ("iban", "ipv6")] == found
+    new, _ = pii.replace(text, "k", {})
+    assert not any(f in new for f in found)
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """With surrogates out of few, collisions and real values are drawn again until all differ."""
     monkeypatch.setattr(pii, "_draw", pii._draw)
