@@ -7,18 +7,23 @@ Fingerprints. A window's fingerprint is the smallest hash of its 8-word pieces.
 and neighbours mostly share theirs, so a stretch of windows with one fingerprint is stored as one row: the fingerprint
 f, a hash g of all the stretch's words, and its place.
 
-Index. Each batch of documents becomes one immutable run: a table in buckets of f, sorted by f. A new batch's run is
-merge-joined with the runs of earlier batches by f, without moving them. A stretch whose (f, g) stands earlier is covered
-whole. Where an f has stretches of different words, the first stretch of each kind is verified window by window against
-the texts by 128-bit hashes. When there are more than FANOUT runs, compact() merges them into one that keeps the first
-place of each (f, g).
+Index. Each batch of documents becomes two immutable tables: a run in buckets of f, sorted by f, and the packed texts
+in buckets of their keys. A new batch's run is merge-joined with the runs of earlier batches by f, without moving them.
+A stretch whose (f, g) stands earlier is covered whole. Where an f has stretches of different words, the first stretch
+of each kind is verified window by window by 128-bit hashes of the words; only the documents of such stretches are taken
+from the packed texts, whose buckets stay where they are. When there are more than FANOUT runs, compact() merges them
+into one that keeps the first place of each (f, g). A manifest names the tables, so that an index can be opened again.
 
-Skew. Stretches that repeat within an Arrow batch of documents are settled there and do not enter the groups by f;
-the windows that are verified are counted with map-side aggregation and joined back under skew handling.
+A document's key is its doc_id and 94 bits of its text: a 64-bit hash, and 30 bits of another that lie in every place.
+
+Skew. Stretches that repeat among some thousand documents are settled there and do not enter the groups by f; rows that
+repeat as a whole are indexed once, combined before the shuffle; the windows that are verified are counted with
+map-side aggregation and joined back under skew handling.
 
 Defined results: a null text has no words; a text under 20 words keeps all; documents of an earlier batch count as
 earlier, within a batch a smaller doc_id does, and a null doc_id comes last. Rows that agree in doc_id and text count
-as one document and get the same result. Other columns pass through, whatever they are called.
+as one document and get the same result; different texts with one doc_id, or without one, are documents of their own.
+Texts may have up to 2**29 words. Other columns pass through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -40,9 +46,12 @@ from geoloom.llm._common import drop_path, materialize, order_id, shared_dir, wi
 
 WINDOW = 20
 PIECE = 8
-#: Runs that may stand side by side.
-FANOUT = 4
-TH_BITS, N_BITS = 27, 4  # a place is start << 31 | th << 4 | windows; th tells apart texts with one doc_id
+#: Runs that may stand side by side, and batches that a table is taken in as.
+FANOUT, BATCHES = 2, 4
+C_BITS, N_BITS = 30, 4  # a place is start << 34 | c << 4 | windows; with k, c tells apart texts with one doc_id
+#: Stretches that are compared with each other before they leave a task.
+SETTLED = 300_000
+KEY = ["o", "k", "c"]
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
@@ -51,97 +60,105 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _rolling(hashes: np.ndarray, starts: np.ndarray | slice, n: int, width: int, factor: np.uint64) -> np.ndarray:
-    """A hash of the ``width`` words from each start; starts: all from 0 to n - 1 if a slice."""
+def _rolling(hashes: np.ndarray, n: int, width: int, factor: np.uint64) -> np.ndarray:
+    """A hash of the ``width`` words from each of the first n starts."""
     out = np.zeros(n, np.uint64)
     for k in range(width):
         out *= factor
-        out += hashes[k : n + k] if isinstance(starts, slice) else hashes[starts + k]
+        out += hashes[k : n + k]
     out ^= out >> np.uint64(29)
     out *= _MIX[1]
     return out ^ (out >> np.uint64(32))
 
 
-def stretches(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _spans(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words joined by blanks, and where each begins and ends."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    return b" ".join(words), np.r_[0, ends[:-1] + 1], ends
+
+
+def stretches(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """f, g, first window and number of windows of each stretch of the text."""
-    words = text.encode("utf-8", "surrogatepass").split()
+    words = text.split()
     n = len(words) - WINDOW + 1
     if n < 1:
         return (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-    pieces = _rolling(_word_hashes(words), slice(None), len(words) - PIECE + 1, PIECE, _MIX[0])
+    pieces = _rolling(_word_hashes(words), len(words) - PIECE + 1, PIECE, _MIX[0])
     at = np.arange(n) + np.lib.stride_tricks.sliding_window_view(pieces, WINDOW - PIECE + 1).argmin(1)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     count = np.diff(np.r_[first, n])
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    begins = np.r_[0, ends[:-1] + 1]
+    line, begins, ends = _spans(words)
     h = xxhash.xxh3_64_intdigest
     g = np.array([h(line[a:b]) for a, b in zip(begins[first].tolist(), ends[first + count + WINDOW - 2].tolist(), strict=True)], np.uint64)
     return pieces[at[first]], g, first, count
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a run from (o, th, text). dup marks merged stretches that this very batch has earlier; g counts their windows."""
+    """Rows of a run from (o, k, c, z). dup marks merged stretches that came earlier in this task; g counts their windows."""
+    unzip = zstandard.ZstdDecompressor()
+    kept: list[tuple[np.ndarray, ...]] = []
     for b in batches:
-        os, ths = b.column("o").to_numpy(), b.column("th").to_numpy()
-        found = [stretches(t.as_py() or "") for t in b.column("text")]
-        sizes = [len(x[0]) for x in found]
-        f, g = (np.concatenate([x[i] for x in found] or [np.empty(0, np.uint64)]).view(np.int64) for i in (0, 1))
-        first, count = (np.concatenate([x[i] for x in found] or [np.empty(0, np.int64)]) for i in (2, 3))
-        o, th = np.repeat(os, sizes), np.repeat(ths, sizes)
-        place = first << TH_BITS + N_BITS | th << N_BITS | count
-        order = np.lexsort((place, o, g, f))
-        again = np.zeros(len(f), bool)
-        again[order[1:]] = (f[order[1:]] == f[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
-        # The same document twice: its stretches stand at one place, which is not earlier.
-        same = again.copy()
-        same[order[1:]] &= (o[order[1:]] == o[order[:-1]]) & (place[order[1:]] == place[order[:-1]])
-        drop = same & again
-        late = np.flatnonzero(again & ~drop)
-        stays = np.flatnonzero(~again)
-        # Neighbouring late stretches make one row.
-        joins = np.zeros(len(late), bool)
-        joins[1:] = (late[1:] == late[:-1] + 1) & (o[late[1:]] == o[late[:-1]]) & (th[late[1:]] == th[late[:-1]]) & (first[late[1:]] == first[late[:-1]] + count[late[:-1]])
-        heads = np.flatnonzero(~joins)
-        n = np.add.reduceat(count[late], heads) if len(late) else np.empty(0, np.int64)
-        head = late[heads]
-        spread = (_MIX[2] * (o[head].astype(np.uint64) ^ (first[head].astype(np.uint64) << np.uint64(20)))).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate((f[stays], spread))),
-                pa.array(np.concatenate((g[stays], n))),
-                pa.array(np.concatenate((o[stays], o[head]))),
-                pa.array(np.concatenate((place[stays], place[head]))),
-                pa.array(np.concatenate((np.zeros(len(stays), bool), np.ones(len(head), bool)))),
-            ],
-            ["f", "g", "o", "place", "dup"],
-        )
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            found = [stretches(unzip.decompress(z.as_py()) if z.is_valid else b"") for z in part.column("z")]
+            sizes = [len(x[0]) for x in found]
+            f, g = (np.concatenate([x[i] for x in found]).view(np.int64) for i in (0, 1))
+            first, count = (np.concatenate([x[i] for x in found]) for i in (2, 3))
+            o, k, c = (np.repeat(part.column(n).to_numpy(), sizes) for n in KEY)
+            kept.append((f, g, o, k, first << C_BITS + N_BITS | c << N_BITS | count))
+            if sum(len(x[0]) for x in kept) >= SETTLED:
+                yield _settled(kept)
+                kept = []
+    if kept:
+        yield _settled(kept)
+
+
+def _settled(kept: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    f, g, o, k, place = (np.concatenate(x) for x in zip(*kept, strict=True))
+    first, count, c = place >> C_BITS + N_BITS, place & (1 << N_BITS) - 1, place & ((1 << C_BITS) - 1 << N_BITS)
+    order = np.lexsort((place, k, o, g, f))
+    again = np.zeros(len(f), bool)
+    again[order[1:]] = (f[order[1:]] == f[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
+    late, stays = np.flatnonzero(again), np.flatnonzero(~again)
+    # Neighbouring late stretches make one row.
+    joins = np.zeros(len(late), bool)
+    same = (o[late[1:]] == o[late[:-1]]) & (k[late[1:]] == k[late[:-1]]) & (c[late[1:]] == c[late[:-1]])
+    joins[1:] = (late[1:] == late[:-1] + 1) & same & (first[late[1:]] == first[late[:-1]] + count[late[:-1]])
+    heads = np.flatnonzero(~joins)
+    n = np.add.reduceat(count[late], heads) if len(late) else np.empty(0, np.int64)
+    head = late[heads]
+    spread = (_MIX[2] * ((o[head] ^ k[head]).astype(np.uint64) ^ (first[head].astype(np.uint64) << np.uint64(20)))).view(np.int64)
+    columns = [np.concatenate(x) for x in ((f[stays], spread), (g[stays], n), (o[stays], o[head]), (k[stays], k[head]), (place[stays], place[head]), (np.zeros(len(stays), bool), np.ones(len(head), bool)))]
+    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["f", "g", "o", "k", "place", "dup"])
 
 
 def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, o, place) of the windows at ``places`` in packed texts."""
-    unzip = zstandard.ZstdDecompressor()
+    """(w1, w2, o, k, place) of the windows at ``places`` in packed texts."""
+    unzip, h = zstandard.ZstdDecompressor(), xxhash.xxh3_128_digest
     for b in batches:
-        w1, w2, o, place = [], [], [], []
-        for own, z, places in zip(b.column("o").to_pylist(), b.column("z"), b.column("places"), strict=True):
+        for row in range(b.num_rows):
+            own, k, z, places = (b.column(x)[row] for x in ("o", "k", "z", "places"))
             p = places.values.to_numpy()
-            hashes = _word_hashes(unzip.decompress(z.as_py()).split())
-            n, start = p & (1 << N_BITS) - 1, p >> TH_BITS + N_BITS
-            starts = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            w1.append(_rolling(hashes, starts, len(starts), WINDOW, _MIX[1]))
-            w2.append(_rolling(hashes, starts, len(starts), WINDOW, _MIX[2]))
-            o.append(np.full(len(starts), own))
-            place.append(starts << TH_BITS + N_BITS | np.repeat(p & ((1 << TH_BITS) - 1 << N_BITS), n) | 1)
-        cat = lambda x, kind: pa.array(np.concatenate(x).view(np.int64) if x else np.empty(0, kind))
-        yield pa.RecordBatch.from_arrays([cat(x, np.int64) for x in (w1, w2, o, place)], ["w1", "w2", "o", "place"])
+            line, begins, ends = _spans(unzip.decompress(z.as_py()).split())
+            n, start = p & (1 << N_BITS) - 1, p >> C_BITS + N_BITS
+            starts = np.unique(np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            words = zip(begins[starts].tolist(), ends[starts + WINDOW - 1].tolist(), strict=True)
+            w = np.frombuffer(b"".join([h(line[x:y]) for x, y in words]), "<i8").reshape(-1, 2)
+            place = starts << C_BITS + N_BITS | int(p[0] & ((1 << C_BITS) - 1 << N_BITS)) | 1
+            columns = [np.ascontiguousarray(w[:, 0]), np.ascontiguousarray(w[:, 1]), np.full(len(starts), own.as_py()), np.full(len(starts), k.as_py()), place]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["w1", "w2", "o", "k", "place"])
 
 
 def _pack(text: str, schema: StructType):  # noqa: ANN202
+    """Texts as compressed bytes; a null text stays null in the rows, and is empty in the index."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            z = pa.array([zip_.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(text)], pa.binary())
-            yield pa.RecordBatch.from_arrays([z if n == text else c for n, c in zip(b.schema.names, b.columns, strict=True)], b.schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                z = pa.array([None if (s := t.as_py()) is None else zip_.compress(s.encode("utf-8", "surrogatepass")) for t in b.column(text)], pa.binary())
+                yield pa.RecordBatch.from_arrays([z if n == text else c for n, c in zip(b.schema.names, b.columns, strict=True)], b.schema.names)
 
     return run, StructType([f if f.name != text else StructType().add(text, "binary")[0] for f in schema])
 
@@ -158,39 +175,79 @@ def kept_words(text: bytes, ranges: np.ndarray) -> tuple[list[bytes], list[bytes
     return words, [w for w, k in zip(words, stay.tolist(), strict=True) if k]
 
 
-def _th_of(place: str) -> Column:
-    return F.shiftright(place, N_BITS).bitwiseAND(F.lit((1 << TH_BITS) - 1))
+def _c_of(place: str) -> Column:
+    return F.shiftright(place, N_BITS).bitwiseAND(F.lit((1 << C_BITS) - 1))
 
 
-def _text_key(text: str) -> Column:
-    return F.xxhash64(text).bitwiseAND(F.lit((1 << TH_BITS) - 1))
+def _text_key(text: str) -> dict[str, Column]:
+    """k and c: 94 bits of a text; a null text counts as empty."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return {"k": F.xxhash64(whole), "c": F.crc32(whole).bitwiseAND(F.lit((1 << C_BITS) - 1))}
 
 
 def _ranked(run: DataFrame) -> DataFrame:
-    """Rows (f, g, o, place) of a run with late (whether a row of its f and g is earlier), head (one row of each f and g
-    that is not late; a document that stands twice has several) and the range of its f's g.
+    """Rows (f, g, o, k, place) of a run with late (whether a row of its f and g is earlier) and the range of its f's g.
 
     Runs lie in buckets of f, so the windows need no shuffle.
     """
-    kind, whole = Window.partitionBy("f", "g").orderBy("o", "place"), Window.partitionBy("f")
-    rows = run.filter("NOT dup").select("f", "g", "o", "place", (F.row_number().over(kind) == 1).alias("head"), (F.rank().over(kind) > 1).alias("late"))
+    kind, whole = Window.partitionBy("f", "g").orderBy("o", "k", "place"), Window.partitionBy("f")
+    rows = run.filter("NOT dup").select("f", "g", "o", "k", "place", (F.row_number().over(kind) > 1).alias("late"))
     return rows.withColumns({"low": F.min("g").over(whole), "high": F.max("g").over(whole)})
 
 
 class FingerprintIndex:
-    """Runs of window fingerprints in one folder that all executors see."""
+    """Runs of window fingerprints and the packed texts, in one folder that all executors see.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None) -> None:
-        self.spark = spark
+    With the path of an earlier index that index is opened again. Use it in a with statement, or call close(), so that
+    no table stays in the session's catalogue; the files stay if keep is set.
+    """
+
+    RUN, TEXTS = "f LONG, g LONG, o LONG, k LONG, place LONG, dup BOOLEAN", "o LONG, k LONG, c LONG, z BINARY"
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, *, keep: bool = False) -> None:
+        self.spark, self.keep = spark, keep
         self.path = path or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
-        self.texts: list[DataFrame] = []  # (o, th, text) of the batches so far, for verification
-
-    def _write(self, rows: DataFrame) -> str:
+        self.texts: list[str] = []
+        self.version = 0
+        if path and (rows := self._manifest()):
+            self.version, self.buckets = rows[0].version, rows[0].buckets
+            for kind, names in (("run", self.runs), ("texts", self.texts)):
+                names += [r.name for r in rows if r.kind == kind]
+                columns, by = (self.RUN, "f") if kind == "run" else (self.TEXTS, "o, k, c")
+                for n in names:
+                    spark.sql(f"CREATE TABLE IF NOT EXISTS {n} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{n}'")
+
+    def __enter__(self) -> FingerprintIndex:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def _manifest(self) -> list:
+        try:
+            rows = self.spark.read.parquet(f"{self.path}/manifest-*")
+        except AnalysisException:  # a new index
+            return []
+        last = rows.agg(F.max("version").alias("version"))
+        return rows.join(last, "version").orderBy("at").collect()  # a row for each table
+
+    def _commit(self) -> None:
+        """Name the tables of this version; what an earlier one named stays until it is no longer named."""
+        self.version += 1
+        rows = [(self.version, i, kind, n, self.buckets) for i, (kind, n) in enumerate([*(("run", n) for n in self.runs), *(("texts", n) for n in self.texts)])]
+        made = self.spark.createDataFrame(rows, "version int, at int, kind string, name string, buckets int").coalesce(1)
+        made.write.parquet(f"{self.path}/manifest-{self.version:08d}")
+
+    def _write(self, rows: DataFrame, *by: str) -> str:
         name = f"fingerprints_{uuid.uuid4().hex}"
-        parts = rows.repartition(self.buckets, "f")
-        parts.write.bucketBy(self.buckets, "f").sortBy("f").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name)
+        parts = rows.repartition(self.buckets, *by)
+        try:
+            parts.write.bucketBy(self.buckets, *by).sortBy(*by).option("path", f"{self.path}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
+        except Exception:
+            self._drop([name])
+            raise
         return name
 
     def compact(self) -> None:
@@ -198,28 +255,37 @@ class FingerprintIndex:
         if len(self.runs) < 2:
             return
         old, rows = self.runs, _ranked(reduce(DataFrame.union, [self.spark.table(r) for r in self.runs]))
-        self.runs = [self._write(rows.filter("head").select("f", "g", "o", "place", F.lit(False).alias("dup")))]
+        self.runs = [self._write(rows.filter("NOT late").select("f", "g", "o", "k", "place", F.lit(False).alias("dup")), "f")]
+        self._commit()
         self._drop(old)
 
-    def _drop(self, runs: list[str]) -> None:
-        for r in runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {r}")
-            drop_path(self.spark, f"{self.path}/{r}")
+    def _drop(self, names: list[str]) -> None:
+        for n in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {n}")
+            drop_path(self.spark, f"{self.path}/{n}")
 
     def close(self) -> None:
-        self._drop(self.runs)
-        self.runs = []
+        if not self.keep:
+            self._drop([*self.runs, *self.texts])
+            drop_path(self.spark, self.path)
+        for n in [*self.runs, *self.texts]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {n}")
+        self.runs, self.texts = [], []
 
     def ingest(self, docs: DataFrame) -> DataFrame:
-        """(o, th, ranges): what to remove from the batch's documents (o, th, text), which then belong to the index.
+        """(o, k, c, ranges): what to remove from the batch's documents (o, k, c, text), which then belong to the index.
 
         ranges are (first word, number of windows); documents that keep all are left out.
         """
-        history, run = self.runs, self._write(docs.mapInArrow(_runs_of, "f long, g long, o long, place long, dup boolean"))
+        history, older = self.runs, self.texts
+        pack, schema = _pack("text", docs.select(*KEY, "text").schema)
+        packed = docs.select(*KEY, "text").mapInArrow(pack, schema).groupBy(*KEY).agg(F.first("text").alias("z"))
+        texts = self._write(packed, *KEY)
+        run = self._write(self.spark.table(texts).mapInArrow(_runs_of, "f long, g long, o long, k long, place long, dup boolean"), "f")
         table = self.spark.table(run)
         rows = _ranked(table)
         if history:
-            before = _ranked(reduce(DataFrame.union, [self.spark.table(r) for r in history])).filter("head")
+            before = _ranked(reduce(DataFrame.union, [self.spark.table(r) for r in history])).filter("NOT late")
             kinds = before.select("f", "g", F.lit(True).alias("old"))
             spans = before.filter("g = low").select("f", F.col("low").alias("low2"), F.col("high").alias("high2"))
             rows = rows.join(kinds, ["f", "g"], "left").join(spans, "f", "left")
@@ -229,43 +295,35 @@ class FingerprintIndex:
         # A stretch is covered whole if its kind is in the history, or earlier in the batch. Where a fingerprint has
         # different words, the first stretch of each kind is compared window by window.
         late, mixed = F.col("late") | F.col("old"), F.col("low") < F.col("high")
-        judged = materialize(rows.filter(late | (F.col("head") & mixed)).select("o", "place", late.alias("late")), "judged")
-        shown = judged.filter("NOT late").select(F.lit(1).alias("age"), "o", "place")
+        judged = materialize(rows.filter(late | mixed).select("o", "k", "place", late.alias("late")), "judged")
+        windows = self._windows([texts], judged.filter("NOT late"), 1)
         if history:
-            own = _ranked(table).filter("head AND g = low").select("f", F.col("low").alias("low2"), F.col("high").alias("high2"))
-            asked = before.join(own, "f").filter(F.least("low", "low2") < F.greatest("high", "high2"))
-            shown = shown.union(asked.select(F.lit(0).alias("age"), "o", "place"))
-        shown = materialize(shown, "stretches")
-        whole = judged.filter("late").select("o", "place", F.col("place").bitwiseAND(F.lit((1 << N_BITS) - 1)).alias("n"))
-        inside = table.filter("dup").select("o", "place", F.col("g").alias("n"))
-        self.texts.append(docs)
-        late = self._verify(shown)
-        self.runs = [*history, run]
-        gone = whole.union(inside).union(late)
-        gone = gone.select("o", _th_of("place").alias("th"), F.struct(F.shiftright("place", TH_BITS + N_BITS).alias("at"), "n").alias("r"))
-        out = materialize(gone.groupBy("o", "th").agg(F.collect_list("r").alias("ranges")), "ranges")
+            own = _ranked(table).filter("NOT late AND g = low").select("f", F.col("low").alias("low2"), F.col("high").alias("high2"))
+            asked = before.join(own, "f").filter(F.least("low", "low2") < F.greatest("high", "high2")).select("o", "k", "place")
+            windows = windows.union(self._windows(older, asked, 0))
+        windows = materialize(windows, "windows")
+        at = F.struct("age", "o", "k", "place")  # what an earlier batch has is earlier, whatever its doc_id
+        first = windows.groupBy("w1", "w2").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first < last").drop("last")
+        found = windows.join(first, ["w1", "w2"]).filter((F.col("age") == 1) & (at > F.col("first"))).select("o", "k", "place", F.lit(1).cast("long").alias("n"))
+        whole = judged.filter("late").select("o", "k", "place", F.col("place").bitwiseAND(F.lit((1 << N_BITS) - 1)).alias("n"))
+        inside = table.filter("dup").select("o", "k", "place", F.col("g").alias("n"))
+        gone = whole.union(inside).union(found)
+        gone = gone.select("o", "k", _c_of("place").alias("c"), F.struct(F.shiftright("place", C_BITS + N_BITS).alias("at"), "n").alias("r"))
+        out = materialize(gone.groupBy(*KEY).agg(F.collect_list("r").alias("ranges")), "ranges")
+        self.runs, self.texts = [*history, run], [*older, texts]
+        self._commit()
         if len(self.runs) > FANOUT:
             self.compact()
         return out
 
-    def _verify(self, shown: DataFrame) -> DataFrame:
-        """(o, place, n = 1) of the windows in the stretches (age, o, place) that stand in an earlier one too."""
-        asked = shown.groupBy("o", _th_of("place").alias("th")).agg(F.collect_set("place").alias("places"), F.max("age").alias("age"))
-        texts = reduce(DataFrame.union, [t.select("o", "th", F.col("text").alias("z")) for t in self.texts])
-        run, schema = _pack("z", texts.schema)
-        met = texts.mapInArrow(run, schema).join(asked.hint("shuffle_hash"), ["o", "th"]).select("o", "z", "places", "age")
-        windows = met.select("o", "z", "places").mapInArrow(_windows_of, "w1 long, w2 long, o long, place long")
-        windows = materialize(windows, "windows")
-        at, own = F.struct("o", "place"), F.lit(True)
-        if len(self.texts) > 1:  # what an earlier batch has is earlier, whatever its doc_id, and is not judged again
-            ages = asked.select(F.col("o").alias("o2"), F.col("th").alias("th2"), "age")
-            windows = windows.join(ages, (F.col("o") == F.col("o2")) & (_th_of("place") == F.col("th2"))).drop("o2", "th2")
-            at, own = F.struct("age", "o", "place"), F.col("age") == 1
-        first = windows.groupBy("w1", "w2").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first < last").drop("last")
-        return windows.join(first, ["w1", "w2"]).filter(own & (at > F.col("first"))).select("o", "place", F.lit(1).cast("long").alias("n"))
+    def _windows(self, tables: list[str], shown: DataFrame, age: int) -> DataFrame:
+        """(w1, w2, age, o, k, place) of the windows in the stretches (o, k, place) of the texts in the tables."""
+        asked = shown.groupBy("o", "k", _c_of("place").alias("c")).agg(F.collect_set("place").alias("places"))
+        met = [self.spark.table(t).join(asked.hint("shuffle_hash"), KEY).select("o", "k", "z", "places").mapInArrow(_windows_of, "w1 long, w2 long, o long, k long, place long") for t in tables]
+        return reduce(DataFrame.union, met).select("w1", "w2", F.lit(age).alias("age"), "o", "k", "place")
 
 
-def substring_dedup(docs: DataFrame, batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
     """docs with kept (the words that stay, joined by blanks), n_words and n_removed in place of such columns.
 
     The table is taken in as ``batches`` batches by doc_id; with an index, after what the index holds already.
@@ -276,41 +334,45 @@ def substring_dedup(docs: DataFrame, batches: int = 2, index: FingerprintIndex |
     names = [f"c{i}" for i in range(len(keep))]
     at = {c.lower(): n for c, n in zip(keep, names, strict=True)}
     text = at["text"]
-    rows = docs.select(*keep).toDF(*names).withColumns({"o": order_id(at["doc_id"]), "th": _text_key(text)})
+    rows = docs.select(*keep).toDF(*names).withColumns({"o": order_id(at["doc_id"]), **_text_key(text)})
     cuts = docs.filter("doc_id IS NOT NULL").approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     own = index or FingerprintIndex(spark)
     ranges, low = [], None
-    for cut in [*sorted({int(c) for c in cuts}), None]:
-        part = rows if low is None else rows.filter(F.col("o") > low)
-        part = part if cut is None else part.filter(F.col("o") <= cut)
-        ranges.append(own.ingest(part.select("o", "th", F.col(text).alias("text"))))
-        low = cut
-    if index is None:
-        own.close()
+    try:
+        for cut in [*sorted({int(c) for c in cuts}), None]:
+            part = rows if low is None else rows.filter(F.col("o") > low)
+            part = part if cut is None else part.filter(F.col("o") <= cut)
+            ranges.append(own.ingest(part.select(*KEY, F.col(text).alias("text"))))
+            low = cut
+    finally:
+        if index is None:
+            own.close()
     found = reduce(DataFrame.union, ranges)
     run, schema = _pack(text, rows.schema)
-    met = rows.mapInArrow(run, schema).join(found.hint("shuffle_hash"), ["o", "th"], "left").select(*names, "ranges")
+    met = rows.mapInArrow(run, schema).join(found.hint("shuffle_hash"), KEY, "left").select(*names, "ranges")
 
     def clean(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        for b in parts:
-            texts, kept, n, gone = [], [], [], []
-            for z, r in zip(b.column(text), b.column("ranges"), strict=True):
-                data = unzip.decompress(z.as_py())
-                pairs = np.stack([r.values.field(0).to_numpy(), r.values.field(1).to_numpy()], 1) if r.is_valid else np.empty((0, 2), np.int64)
-                words, left = kept_words(data, pairs)
-                texts.append(data.decode("utf-8", "surrogatepass"))
-                kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
-                n.append(len(words))
-                gone.append(len(words) - len(left))
-            columns = [pa.array(texts, pa.string()) if c == text else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, "kept", "n_words", "n_removed"])
+        for whole in parts:
+            for start in range(0, whole.num_rows, 256):
+                b = whole.slice(start, 256)
+                texts, kept, n, gone = [], [], [], []
+                for z, r in zip(b.column(text), b.column("ranges"), strict=True):
+                    data = unzip.decompress(z.as_py()) if z.is_valid else b""
+                    pairs = np.stack([r.values.field(0).to_numpy(), r.values.field(1).to_numpy()], 1) if r.is_valid else np.empty((0, 2), np.int64)
+                    words, left = kept_words(data, pairs)
+                    texts.append(data.decode("utf-8", "surrogatepass") if z.is_valid else None)
+                    kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
+                    n.append(len(words))
+                    gone.append(len(words) - len(left))
+                columns = [pa.array(texts, pa.string()) if c == text else b.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, "kept", "n_words", "n_removed"])
 
     out = met.mapInArrow(clean, wider(rows.select(*names), ("kept", "string"), ("n_words", "long"), ("n_removed", "long")))
     return out.toDF(*keep, "kept", "n_words", "n_removed")
 
 
-def digests(docs: DataFrame, batches: int = 2) -> DataFrame:
+def digests(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row."""
     out = substring_dedup(docs.select("doc_id", "text"), batches)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -248,6 +248,33 @@ def test_index_grows_and_compacts(spark):
     index.close()
 
 
+def test_index_opens_again(spark, tmp_path):
+    rows = passages(7)
+    whole = brute_substrings(rows)
+    take = lambda a, b: spark.createDataFrame(rows[a:b], "doc_id long, text string")
+    got = {}
+    for a, b in ((0, 20), (20, 40), (40, 64)):  # a new index object, as in a new session, for every batch
+        with substring.FingerprintIndex(spark, str(tmp_path / "index"), 3, keep=True) as index:
+            out = substring.substring_dedup(take(a, b), 1, index).collect()
+        got |= {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in out}
+    assert got == whole
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("fingerprints_")]
+
+
+def test_many_rows_without_id(spark):
+    """Texts without an id, or with one id, are documents of their own; which of equal passages stays is not fixed."""
+    rng = random.Random(9)
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows = [(None, " ".join(f"n{rng.randrange(10**9)}" for _ in range(rng.randint(0, 45)))) for _ in range(5000)]
+    rows += [(5, f"a{i} b{i} {shared}") for i in range(40)] + [(None, f"c{i} {shared}") for i in range(40)]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    assert all(r.kept == r.text for r in got if shared not in r.text)
+    hit = [r for r in got if shared in r.text]
+    assert sorted(r.n_removed for r in hit) == [0] + [30] * 79
+    assert [r.doc_id for r in hit if not r.n_removed] == [5]
+
+
 def test_substrings_awkward(spark):
     long = " ".join(f"w{i}" for i in range(30))
     rows = [*AWKWARD, (9, long, "en", "a", 1), (9, long, "en", "a", 1), (9, long + " more", "en", "a", 1), (None, long, "en", "a", 1)]
