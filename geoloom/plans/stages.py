@@ -2,26 +2,63 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one under /tmp where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/geoloom-shared").rstrip("/")
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a folder of this
+    machine serves, but only if all tasks run here; on a cluster each machine would read only what it wrote itself.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or f"{tempfile.gettempdir()}/geoloom-shared").rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again; survives lost executors."""
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system, so that it works in any store."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, written as Parquet in the shared folder and read again, and its path; survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    return written(df, name)[0]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Within the block, what written stages leave in the shared folder is recorded; it is deleted at the end.
+
+    Results that are still lazy read these files, so write or collect them inside the block.
+    """
+    before = len(_WRITTEN)
+    try:
+        yield _WRITTEN
+    finally:
+        for path in _WRITTEN[before:]:
+            drop_path(spark, path)
+        del _WRITTEN[before:]
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of edges (a, b); root is the smallest node that is reachable.
+    """(node, root) for the nodes of edges (a, b), of any type with an order; root is the smallest node that is reachable.
 
     Rounds of contraction: every node points to its smallest neighbour if that is smaller, pointers are followed to their
     ends by doubling, and the edges are drawn again between the ends, without loops and repeats. A component's smallest
@@ -35,11 +72,12 @@ def components(edges: DataFrame) -> DataFrame:
         near = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("m"))
         ends = materialize(near.select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "pointers")
         while True:
-            step = ends.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            moved = materialize(ends.join(step, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "pointers")
-            ends = moved.select("node", "root")
-            if moved.filter("moved").isEmpty():
+            # Roots that are no ends yet: few, and none where all pointers of a component already meet in one node.
+            step = ends.filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("next"))
+            step = materialize(step.join(ends.select("root").distinct(), "root"), "steps")
+            if step.isEmpty():
                 break
+            ends = materialize(ends.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "pointers")
         rounds.append(ends)
         of = lambda n, r: ends.select(F.col("node").alias(n), F.col("root").alias(r))  # noqa: E731, B023
         drawn = left.join(of("a", "ra"), "a").join(of("b", "rb"), "b").filter("ra <> rb")
