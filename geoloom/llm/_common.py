@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from geoloom.plans.stages import materialize, shared_dir  # noqa: F401
+from geoloom.plans.stages import drop_path, materialize, shared_dir  # noqa: F401
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,13 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system, so that it works in any store."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def order_id(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))
 
@@ -37,15 +33,14 @@ def wider(df: DataFrame, *more: tuple[str, str]) -> StructType:
     return out
 
 
-#: Rows of texts that go to a Python worker at once.
-TEXT_ROWS = 1000
+#: Rows of texts that a worker looks at together.
+TEXT_ROWS = 512
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches kept to TEXT_ROWS rows: texts are long, and the JVM and the Python worker of
-    every task hold a whole batch outside the heap, twice while it is copied.
+def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, since texts are long. How much a batch holds the session says, in bytes
+    (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB if not set otherwise).
     """
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
-    return df
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

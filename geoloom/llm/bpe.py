@@ -7,7 +7,7 @@ one on, and a pair fails if the two tokens at its seam would have been merged be
 Only words with a failing pair are merged exactly, lowest rank first.
 
 The tokenizer file is a parameter (a path on each machine); each Python worker reads it once. Words repeat, so a worker
-keeps the words that it has met, up to CACHE of them.
+keeps the short words that it has met, up to CACHE letters of them.
 
 Defined results: a null text counts as empty and gives no tokens and an empty decoded text. Texts of any length are
 encoded whole. Repeated rows are encoded alike. Columns that clash with an output column are replaced.
@@ -15,6 +15,7 @@ encoded whole. Repeated rows are encoded alike. Columns that clash with an outpu
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -28,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm._common import text_batches, wider
+from geoloom.llm._common import slices, wider
 
-#: Words that a worker keeps.
-CACHE = 120_000
+#: Letters of the words that a worker keeps, and of the longest word that it keeps.
+CACHE, KEPT = 1_000_000, 64
 NEVER = np.iinfo(np.int64).max
 #: Rows that are encoded together.
 ROWS = 512
@@ -83,6 +84,7 @@ class WordBpe:
             t = t.removesuffix(self.end)
             self.longest[t[:3]] = max(len(t), self.longest.get(t[:3], 2))
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0  # letters of known
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text without special tokens, in byte letters when not ASCII."""
@@ -131,22 +133,27 @@ class WordBpe:
         return good
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Exact merging of one word, from its letters: the lowest rank first, from left to right."""
+        """Exact merging of one word, from its letters: the lowest rank first, from left to right.
+
+        A heap of pairs over a linked list, so that a word of n letters takes n log n steps.
+        """
         ids = list(ids)
-        while len(ids) > 1:
-            best = min((self.merges.get(p, (1 << 60, 0)) for p in zip(ids, ids[1:], strict=False)))
-            if best[0] == 1 << 60:
-                break
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and self.merges.get((ids[i], ids[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+        n, get, tokens = len(ids), self.merges.get, len(self.tokens)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(*m, i, ids[i] * tokens + ids[i + 1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            rank, made, i, pair = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j < 0 or ids[i] * tokens + ids[j] != pair:
+                continue  # one of the two has been merged since
+            ids[i], ids[j], after[i] = made, -1, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y >= 0 and (m := get((ids[x], ids[y]))):
+                    heapq.heappush(heap, (*m, x, ids[x] * tokens + ids[y]))
+        return [t for t in ids if t >= 0]
 
     def merge_all(self, words: list[list[int]]) -> list[list[int]]:
         """merge() of many words at once: each round does the next merge of every word."""
@@ -217,14 +224,21 @@ class WordBpe:
                 at = m.end()
             cut.append(parts + self.pieces((text or "")[at:]))
         words = set(chain.from_iterable(cut))
-        if len(self.known) > CACHE:  # what these texts have too is kept
+        if self.held > CACHE:  # what these texts have too is kept
             self.known = {w: self.known[w] for w in words if w in self.known}
+            self.held = sum(map(len, self.known))
         self.known.update({t: (i,) for t, i in self.special.items()})
         fresh = words.difference(self.known)
         if fresh:
             self.learn(list(fresh))
         get = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, parts)), np.int32) for parts in cut]
+        out = [np.fromiter(chain.from_iterable(map(get, parts)), np.int32) for parts in cut]
+        for w in fresh:
+            if len(w) > KEPT:
+                del self.known[w]
+            else:
+                self.held += len(w)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """Tokens joined by blanks, as the file names no decoder."""
@@ -244,17 +258,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", *, back: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS):
-                b = whole.slice(start, ROWS)
-                found = bpe.encode(b.column(text).to_pylist())
-                ends = np.cumsum([0, *map(len, found)])
-                values = np.concatenate(found) if found else np.empty(0, np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-                texts = [pa.array([bpe.decode(x) for x in found], pa.string())] if back else []
-                yield pa.RecordBatch.from_arrays([*b.columns, ids, *texts], [*b.schema.names, *[n for n, _ in new]])
+        for b in slices(batches, ROWS):
+            found = bpe.encode(b.column(text).to_pylist())
+            ends = np.cumsum([0, *map(len, found)])
+            values = np.concatenate(found) if found else np.empty(0, np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+            texts = [pa.array([bpe.decode(x) for x in found], pa.string())] if back else []
+            yield pa.RecordBatch.from_arrays([*b.columns, ids, *texts], [*b.schema.names, *[n for n, _ in new]])
 
-    return text_batches(docs).mapInArrow(run, wider(docs, *new))
+    return docs.mapInArrow(run, wider(docs, *new))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -263,11 +275,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS):
-                b = whole.slice(start, ROWS)
-                texts = pa.array([bpe.decode(x.values.to_numpy()) if x.is_valid else "" for x in b.column("ids")], pa.string())
-                yield pa.RecordBatch.from_arrays([*b.columns, texts], [*b.schema.names, "decoded"])
+        for b in slices(batches, ROWS):
+            texts = pa.array([bpe.decode(x.values.to_numpy()) if x.is_valid else "" for x in b.column("ids")], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, texts], [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, wider(encoded, ("decoded", "string")))
 

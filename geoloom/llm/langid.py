@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geoloom.llm._common import text_batches, wider
+from geoloom.llm._common import slices, wider
 
 #: n-grams of a profile.
 PROFILE = 300
-#: Training documents of a language that are read, about; they are those with the smallest hashes of their ids.
+#: Training documents of a language that are read, about; they are drawn by a hash of id and text.
 TRAIN_PER_LANG = 1500
 BITS = 21  # of a code point
 
@@ -96,10 +96,11 @@ def train(docs: DataFrame, size: int = PROFILE, per_lang: int = TRAIN_PER_LANG)
     share = F.lit(0.0)
     for lang, count in n.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / count))).otherwise(share)
-    sample = docs.filter((F.abs(F.xxhash64("doc_id") % 1_000_000) < share * 1_000_000))
+    # The text counts too, so that rows without an id, or with one id, do not enter all together.
+    sample = docs.filter((F.abs(F.xxhash64("doc_id", "text") % 1_000_000) < share * 1_000_000))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2000):
             langs = np.array(b.column("lang").to_pylist(), dtype=object)
             texts = b.column("text").to_pylist()
             for lang in sorted(set(langs)):
@@ -109,8 +110,8 @@ def train(docs: DataFrame, size: int = PROFILE, per_lang: int = TRAIN_PER_LANG)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], ["lang", "gram", "n"])
 
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1).filter(F.col("rank") < size)
-    rows = ranked.select("lang", "gram", "rank").collect()  # size rows for each language
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= size)
+    rows = ranked.select("lang", "gram", F.col("rank") - 1).collect()  # size rows for each language
     langs = sorted({r[0] for r in rows})
     grams = np.array(sorted({r[1] for r in rows}), np.int64)
     rank = np.full((len(grams), len(langs)), size, np.int32)
@@ -139,14 +140,14 @@ def predict(docs: DataFrame, model: Profiles, text: str = "text") -> DataFrame:
     schema = wider(docs, ("lang_pred", "string"), ("score", "double"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [identify(t.as_py(), model) for t in b.column(text)]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 [*b.schema.names, "lang_pred", "score"],
             )
 
-    return text_batches(docs).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm._common import materialize, text_batches, wider
+from geoloom.llm._common import materialize, slices, wider
 
 KEY = "change-me"
 MAX_ATTEMPTS = 64
@@ -257,7 +257,7 @@ def entities(docs: DataFrame, text: str = "text", *ids: str) -> DataFrame:
     """(kind, canon, *ids) of the entities of docs, once for each batch of rows (or for each row, with ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [(k, c, *i) for t, *i in zip(b.column(text).to_pylist(), *(b.column(x).to_pylist() for x in ids), strict=True) for _, _, k, c in detect(t or "")]
             rows = list(dict.fromkeys(rows))
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
@@ -265,14 +265,14 @@ def entities(docs: DataFrame, text: str = "text", *ids: str) -> DataFrame:
     names = ["kind", "canon", *ids]
     kinds = [("kind", pa.string()), ("canon", pa.string()), *((i, pa.int64()) for i in ids)]
     schema = pa.schema(kinds)
-    return text_batches(docs).mapInArrow(run, ", ".join(["kind string", "canon string", *(f"{i} long" for i in ids)]))
+    return docs.mapInArrow(run, ", ".join(["kind string", "canon string", *(f"{i} long" for i in ids)]))
 
 
 def _named(rows: DataFrame, key: str) -> DataFrame:
     """rows (kind, canon, attempt) with new, the surrogate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             new = [surrogate(*x, key) for x in zip(*(b.column(c).to_pylist() for c in ("kind", "canon", "attempt")), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], [*b.schema.names, "new"])
 
@@ -315,7 +315,7 @@ def anonymize(docs: DataFrame, key: str = KEY, *, counts: bool = False) -> DataF
         rows = rows.join(tries.hint("shuffle_hash"), ["th", "salt"], "left").select(*names, "tries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = b.column("tries").to_pylist() if "tries" in b.schema.names else [None] * b.num_rows
             done = [replace(t, key, {(x["kind"], x["canon"]): x["attempt"] for x in f or ()}) for t, f in zip(b.column(text).to_pylist(), found, strict=True)]
             new = pa.array([d[0] for d in done], pa.string())
@@ -323,4 +323,4 @@ def anonymize(docs: DataFrame, key: str = KEY, *, counts: bool = False) -> DataF
             numbers = [pa.array([d[1].get(k, 0) for d in done], pa.int64()) for k in KINDS] if counts else []
             yield pa.RecordBatch.from_arrays([*columns, *numbers], [*names, *extra])
 
-    return text_batches(rows).mapInArrow(run, wider(docs.select(*keep).toDF(*names), *((n, "long") for n in extra))).toDF(*keep, *extra)
+    return rows.mapInArrow(run, wider(docs.select(*keep).toDF(*names), *((n, "long") for n in extra))).toDF(*keep, *extra)

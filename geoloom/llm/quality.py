@@ -20,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from geoloom.llm._common import text_batches, wider
+from geoloom.llm._common import slices, wider
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
@@ -106,12 +106,12 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=LEVEL)
-        for b in batches:
+        for b in slices(batches):
             rows = [judge(t.as_py(), zip_) for t in b.column(text)]
             columns = zip(*rows, strict=True) if rows else [[] for _ in OUT]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], [*b.schema.names, *names])
 
-    return text_batches(docs).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
