@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from geoloom.plans.stages import drop_path, materialize, shared_dir  # noqa: F401
+from geoloom.plans.stages import drop_path, materialize, scratch, shared_dir  # noqa: F401
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

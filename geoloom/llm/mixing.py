@@ -12,7 +12,9 @@ hash ranges: counts of BUCKETS hash ranges settle all but one range, and only th
 third of all rows have is never sorted in one task.
 
 Defined results: a null or wordless text has size 0 and is taken with 0 words; a source of empty documents has target
-0; an empty table gives no rows. Repeated rows are documents of their own. Reruns agree.
+0; an empty table gives no rows. Repeated rows are documents of their own. Reruns agree, however the files are laid
+out: of the documents of one length the hashes of id and text decide, and rows that agree in both are interchangeable.
+The list of sources is ordered in one task: sources are taken to be some thousands at most.
 """
 
 from __future__ import annotations
@@ -103,8 +105,8 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def decide(rows: DataFrame) -> DataFrame:
-    """rows (rid, doc_id, source, size, written somewhere) with source_size, target and times."""
-    rows = rows.withColumn("h", F.xxhash64(F.lit(SEED), F.col("doc_id")))
+    """rows (rid, doc_id, th, source, size, written somewhere) with source_size, target and times; th is a text's hash."""
+    rows = rows.withColumn("h", F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("th")))
     rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(BUCKETS)).cast("int"))
     counts = materialize(rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("n")), "mix-counts")
     per_source = materialize(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "mix-targets")
@@ -122,7 +124,7 @@ def decide(rows: DataFrame) -> DataFrame:
     extra = F.when(F.col("before") < F.col("more"), 1).otherwise(0)
     out = [*rows.columns[: rows.columns.index("h")], "source_size", "target"]
     sure = met.filter(settled).select(*out, (F.col("passes") + extra).alias("times"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id", "rid"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id", "th", "rid"))
     cut = met.filter(~settled).withColumn("rank", rank)
     ranked = cut.select(*out, (F.col("passes") + F.when(F.col("before") + F.col("rank") <= F.col("more"), 1).otherwise(0)).alias("times"))
     return sure.union(ranked)
@@ -134,7 +136,7 @@ def _size(text: str) -> Column:
 
 def mixture(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken, times) for each row of docs (doc_id, source, text)."""
-    rows = docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.source.cast("string").alias("source"), _size("text").alias("size"))
+    rows = docs.select(docs.doc_id.cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), docs.source.cast("string").alias("source"), _size("text").alias("size"))
     rows = materialize(rows.select(F.monotonically_increasing_id().alias("rid"), "*"), "mix-rows")
     taken = (F.col("times") * F.col("size")).alias("taken")
     return decide(rows).select("doc_id", "size", "source_size", "target", taken, "times")
@@ -146,7 +148,7 @@ def mix(docs: DataFrame) -> DataFrame:
     at = {c.lower(): n for c, n in zip(docs.columns, names, strict=True)}
     rows = docs.toDF(*names).withColumns({"rid": F.monotonically_increasing_id(), "size": _size(at["text"])})
     rows = materialize(rows, "mix-docs")
-    slim = rows.select("rid", F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["source"]).cast("string").alias("source"), "size")
+    slim = rows.select("rid", F.col(at["doc_id"]).cast("long").alias("doc_id"), F.xxhash64(at["text"]).alias("th"), F.col(at["source"]).cast("string").alias("source"), "size")
     times = decide(slim).select("rid", F.when(F.col("size") == 0, 1).otherwise(F.col("times")).cast("int").alias("times"))
     taken = rows.join(times.filter("times > 0").hint("shuffle_hash"), "rid")
     return taken.select(*names, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("pass")).select(*names).toDF(*docs.columns)

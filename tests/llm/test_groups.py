@@ -73,8 +73,8 @@ def test_links_and_components(spark, block):
             for b in rng.sample(range(64), rng.randint(1, 4)):
                 x ^= 1 << b
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    df = materialize(spark.createDataFrame([(0, f) for f in signed], "s long, fp long").distinct(), "test")
-    roots = {r.node: r.root for r in simhash.components(simhash.links(df, block=block)).collect()}
+    df = materialize(spark.createDataFrame([(f, f) for f in signed], "low long, fp long").distinct(), "test")
+    roots = {r.node.fp: r.root.low for r in simhash.components(simhash.links(df, block=block)).collect()}
     want = brute_components(fps, signed)
     assert [roots.get(f, f) for f in signed] == want
 

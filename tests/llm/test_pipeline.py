@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline as cp
 from geoloom.llm import simhash
+from tests.llm.test_groups import brute_groups
 from tests.llm.test_text import AWKWARD, DOC, brute_lines, brute_repeats, brute_targets, clashing
 
 SF = "/root/testdata/sf0.001"
@@ -50,20 +51,9 @@ def test_near_stage(steps):
     before, after = steps[2]
     texts = dict(zip(before.doc_id, before.text, strict=True))
     kept = set(after.doc_id)
-    sketch = {d: simhash.sketches(t, cp.SHINGLE, 4) for d, t in texts.items()}
-    ids = sorted(texts)
-    root = {d: d for d in ids}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if any((x ^ y).bit_count() <= 4 for x, y in zip(sketch[a], sketch[b], strict=True)):
-                root[max(find(a), find(b))] = min(find(a), find(b))
-    assert kept == {find(d) for d in ids}
+    fold = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    words = {d: " ".join(re.findall(r"[^\x20\x09-\x0D]+", fold(t))) for d, t in texts.items()}
+    assert kept == set(brute_groups(words, simhash.SIMILAR, cp.SHINGLE).values())
     assert all(texts[d] == t for d, t in zip(after.doc_id, after.text, strict=True))
 
 
@@ -78,6 +68,17 @@ def test_mixing_stage(steps):
     assert max(Counter(after.doc_id).values()) <= 3
 
 
+def test_run_leaves_only_its_result(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        rows = cp.run(spark, SF).count()
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    assert rows > 0
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["pipeline-bpe_encode"]
+
+
 def test_tokens_stage(steps):
     from tokenizers import Tokenizer
 
