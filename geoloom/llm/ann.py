@@ -5,15 +5,18 @@ one of 16 centroids (4 bits). The loss of a code is the squared error plus (eta
 the vector, since that part moves the scores of the queries that matter; codes are chosen by coordinate descent over
 the pairs, and centroids solve the weighted normal equations. |x|² is kept exactly.
 
-Queries and candidates meet in tiles of a block of each. A tile looks up byte tables (two 4-bit codes at once) for all
-its candidates, takes the RERANK best of each query by that score and computes their true distances; the best k of all
-tiles remain. Equal vectors of a tile are scored once and stand for their k + 1 smallest ids, so copies neither hide
-other neighbours nor meet pairwise.
+Queries and codes meet in tiles of a block of each; no candidate's doubles go there, only its packed codes, |x|²/2, a
+hash of the vector and its id. A tile looks up byte tables (two 4-bit codes at once) for all its candidates and names
+the RERANK best of each query. Of all tiles' names the RERANK best of each query remain, and only for these the vectors
+are joined and the true distances computed. Equal vectors of a tile are scored once and stand for their k + 1 smallest
+ids, so copies neither hide other neighbours nor meet pairwise. Every query scans every code: no candidate is skipped
+for being in another part of the space. With rerank as large as the table the search is exact.
 
 The codebook is fitted on a bounded sample (TRAIN_FLOATS numbers at most, the rows with the smallest hashes); every row
 is indexed. Defined results: vectors that are null, zero, of another dimension than most, or with null or non-finite
-components take no part, nor do rows without an id. Rows with the query's id count as the query's own. With fewer than
-k candidates all are returned; without a query the result is empty.
+components take no part, nor do rows without an id. Rows with the query's id count as the query's own; of different
+vectors with a query's id one, the smallest as bytes, is the query. With fewer than k candidates all are
+returned; without a query the result is empty.
 """
 
 from __future__ import annotations
@@ -23,16 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geoloom.llm._common import materialize
+from geoloom.llm._common import materialize, slices
 
 #: Numbers of the training sample, and rows at most.
 TRAIN_FLOATS, TRAIN_ROWS = 2_000_000, 20_000
 RERANK = 128
-BLOCK, QUERY_BLOCK = 32_768, 1024
+#: Candidates and queries of a tile, about: 50 bytes each for 64 dimensions (codes), and 512 (doubles).
+BLOCK, QUERY_BLOCK = 32_768, 4096
 THRESHOLD = 0.2
 ROUNDS = 8
 
@@ -124,81 +129,96 @@ def train(rows: DataFrame) -> Quantizer | None:
     if one is None:
         return None
     n = max(256, min(TRAIN_ROWS, TRAIN_FLOATS // one[0]))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).toArrow()
+    sample = rows.orderBy(F.xxhash64("vec_id", "embedding")).limit(n).toArrow()
     return Quantizer.fit(_stack(sample.column("embedding").combine_chunks()))
 
 
 def index(rows: DataFrame, quantizer: Quantizer) -> DataFrame:
-    """(vec_id, vec, codes): the vector's doubles and its packed codes as bytes."""
+    """(vec_id, vec, codes, half, vh): the vector's doubles, its packed codes as bytes, |x|²/2 and a hash of the vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                b = whole.slice(at, 4096)
-                x = _stack(b.column("embedding"))
-                codes = quantizer.pack(quantizer.encode(x))
-                packed = [pa.array([r.tobytes() for r in m], pa.binary()) for m in (x, codes)]
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), *packed], ["vec_id", "vec", "codes"])
-
-    return rows.mapInArrow(run, "vec_id long, vec binary, codes binary")
-
-
-def scan(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, q: np.ndarray, quantizer: Quantizer, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, distance) of the k nearest found for each query among the candidates."""
-    order = np.argsort(ids, kind="stable")
-    ids, x, codes = ids[order], x[order], codes[order]
-    kinds, first, at = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    by_kind = np.argsort(at, kind="stable")  # within a kind by id
-    begin = np.searchsorted(at[by_kind], np.arange(len(kinds) + 1))
-    x, codes = x[first], codes[first]
-    half = (x**2).sum(1) / 2
-    out: tuple[list, list, list] = ([], [], [])
+        for b in slices(batches, 4096):
+            x = _stack(b.column("embedding"))
+            codes = quantizer.pack(quantizer.encode(x))
+            packed = [pa.array([r.tobytes() for r in m], pa.binary()) for m in (x, codes)]
+            vh = np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in x + 0.0], np.uint64).view(np.int64)  # -0.0 is 0.0
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), *packed, pa.array((x**2).sum(1) / 2), pa.array(vh)], ["vec_id", "vec", "codes", "half", "vh"])
+
+    return rows.mapInArrow(run, "vec_id long, vec binary, codes binary, half double, vh long")
+
+
+def scan(rows: pd.DataFrame, query_ids: np.ndarray, q: np.ndarray, quantizer: Quantizer, k: int, rerank: int) -> pd.DataFrame:
+    """The rerank best of rows (rid, vec_id, codes, half, vh) for each query: query_id, rid, vec_id, vh and near, the score."""
+    rows = rows.sort_values(["vh", "vec_id"], kind="stable", ignore_index=True)
+    vh, ids, rid = (rows[c].to_numpy() for c in ("vh", "vec_id", "rid"))
+    first = np.flatnonzero(np.r_[True, vh[1:] != vh[:-1]])
+    last = np.minimum(np.r_[first[1:], len(rows)], first + k + 1)
+    codes = np.frombuffer(b"".join(rows.codes.iloc[first]), np.uint8).reshape(len(first), -1).T.copy()
+    half = rows.half.to_numpy()[first].astype(np.float32)
+    out: list[tuple] = []
     for s in range(0, len(q), 64):
-        tables = quantizer.tables(q[s : s + 64])
-        for i, table in enumerate(tables, s):
-            score = -half.astype(np.float32)
-            for j in range(codes.shape[1]):
-                score += table[j][codes[:, j]]
+        for i, table in enumerate(quantizer.tables(q[s : s + 64]), s):
+            score = -half
+            for j, byte in enumerate(codes):
+                score += table[j][byte]
             best = np.argpartition(-score, rerank)[:rerank] if len(score) > rerank else np.arange(len(score))
-            away = np.sqrt(((x[best] - q[i]) ** 2).sum(1))
-            near = np.argsort(away, kind="stable")
-            limit = away[near[min(len(near), k + 1) - 1]] if len(near) else 0
-            found = [(away[b], v) for b in np.flatnonzero(away <= limit) for v in ids[by_kind[begin[best[b]] : min(begin[best[b]] + k + 1, begin[best[b] + 1])]] if v != query_ids[i]]
-            for d, v in sorted(found)[:k]:
-                out[0].append(query_ids[i])
-                out[1].append(v)
-                out[2].append(d)
-    return np.array(out[0], np.int64), np.array(out[1], np.int64), np.array(out[2], np.float64)
+            n = last[best] - first[best]
+            at = np.repeat(first[best], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            near = np.repeat(score[best], n)
+            own = ids[at] != query_ids[i]
+            out.append((np.full(own.sum(), query_ids[i]), rid[at][own], ids[at][own], vh[at][own], near[own].astype(np.float64)))
+    return pd.DataFrame(dict(zip(("query_id", "rid", "vec_id", "vh", "near"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
 
 def search(candidates: DataFrame, queries: DataFrame, quantizer: Quantizer, k: int = 10, rerank: int = RERANK, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest candidates found for each query. Both are tables of index()."""
+    """(query_id, rank, vec_id, score): the k nearest candidates found for each query.
+
+    Both are written tables of index() with rid, a number of its own for each row of candidates.
+    """
     blocks = max(1, -(-candidates.count() // block))
     query_blocks = max(1, -(-queries.count() // query_block))
-    # A block holds BLOCK rows on average; ids are spread by hash, so copies and hot ids fill all blocks alike.
-    own = F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(blocks)).cast("int")
+    # A block holds BLOCK rows on average. Rows are spread by their number, so copies and hot ids fill all blocks alike.
+    own = F.pmod(F.xxhash64(F.lit(7), "rid"), F.lit(blocks)).cast("int")
     asks = F.pmod(F.xxhash64(F.lit(8), "vec_id"), F.lit(query_blocks)).cast("int")
-    left = candidates.select(own.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "vec_id", "vec", "codes")
+    left = candidates.select(own.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "rid", "vec_id", "codes", "half", "vh")
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), asks.alias("qb"), "vec_id", "vec")
 
     def tile(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(wanted):
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        x, q = (np.frombuffer(b"".join(t.vec), np.float64).reshape(len(t), -1) for t in (rows, wanted))
-        codes = np.frombuffer(b"".join(rows.codes), np.uint8).reshape(len(rows), -1)
-        a, b, d = scan(rows.vec_id.to_numpy(), x, codes, wanted.vec_id.to_numpy(), q, quantizer, k, rerank)
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": d})
-
-    found = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInPandas(tile, "query_id long, vec_id long, score double")
+            return pd.DataFrame({"query_id": [], "rid": [], "vec_id": [], "vh": [], "near": []}).astype({"query_id": "int64", "rid": "int64", "vec_id": "int64", "vh": "int64"})
+        q = np.frombuffer(b"".join(wanted.vec), np.float64).reshape(len(wanted), -1)
+        return scan(rows, wanted.vec_id.to_numpy(), q, quantizer, k, rerank)
+
+    named = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInPandas(tile, "query_id long, rid long, vec_id long, vh long, near double")
+    # A vector has the same score in all tiles. Of its copies the k + 1 smallest ids are enough.
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("near"), "vh")
+    named = named.withColumn("place", F.dense_rank().over(by_score)).filter(F.col("place") <= rerank)
+    copies = Window.partitionBy("query_id", "place").orderBy("vec_id", "rid")
+    named = named.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).select("query_id", "rid", "vec_id")
+    met = named.join(candidates.select("rid", "vec"), "rid").join(queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q")), "query_id")
+
+    def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096):
+            x, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.float64).reshape(b.num_rows, -1) for c in ("vec", "q"))
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("vec_id"), pa.array(np.sqrt(((x - q) ** 2).sum(1)))], ["query_id", "vec_id", "score"])
+
+    found = met.select("query_id", "vec_id", "vec", "q").mapInArrow(true, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
+def indexed(rows: DataFrame, quantizer: Quantizer) -> DataFrame:
+    """index() of rows with numbers, written."""
+    numbered = index(rows, quantizer).select(F.monotonically_increasing_id().alias("rid"), "*")
+    return materialize(numbered, "vectors")
+
+
+def nearest(rows: DataFrame, every: int = 100, k: int = 10, rerank: int = RERANK) -> DataFrame:
     """The k nearest rows of each row whose vec_id is divisible by ``every``, among all others."""
     rows = usable(rows)
     quantizer = train(rows)
     if quantizer is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    table = materialize(index(rows, quantizer), "vectors")
-    return search(table, table.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), quantizer, k)
+    table = indexed(rows, quantizer)
+    queries = table.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return search(table, materialize(queries, "queries"), quantizer, k, rerank)
