@@ -1,18 +1,22 @@
 """PII: detected entities get keyed surrogates of their own type and shape.
 
 Detected are e-mail addresses, IBANs, phone numbers, payment-card-like numbers, social security numbers, IP and MAC
-addresses, secrets that an assignment names (token, key, password, secret) or that start like known keys, and names after a title, with later mentions
-of the same names. Names without a title in TITLES are out of reach. An entity is (kind, canonical value): letters folded, format signs left out, so that two spellings of
-one phone number are one entity.
+addresses, secrets that an assignment names (token, key, password, secret) or that start like known keys, and names:
+those after a title in TITLES, after words by which people introduce themselves (INTRODUCED) and under a closing line
+(CLOSED), with later mentions of the same names in the text. Other names are out of reach. An entity is (kind, canonical
+value): letters folded, format signs left out, so that two spellings of one phone number are one entity. A name is one
+entity whatever its place, given or family.
 
 A surrogate is a keyed hash (BLAKE2b) of the entity, spelled in its alphabet: digits stay digits, hexadecimal stays so,
 card numbers keep their Luhn status and IBANs their valid check digits, given names get given names of the gender that
 the title tells, family names family names, each in the script of the original; the signs and the case of the mention
-are kept. The same entity gets the same surrogate in all documents.
+are kept. The same entity gets the same surrogate in all documents: where documents disagree in a name's role, the one
+that most batches of rows find holds for all. The key is a secret that the caller gives.
 
-Distinctness is checked over all entities of the corpus: a surrogate that two entities would share, or that is a real
-entity itself, is drawn again with the next attempt for all but one, until none clashes. Only clashing entities carry
-an attempt, which is joined to the documents that mention them; with no clash the documents are not shuffled at all.
+Distinctness is checked over all entities of the corpus, on what a reader sees: a surrogate that two entities would
+share, or that is a real entity itself, is drawn again with the next attempt for all but one, until none clashes. Only
+entities that clash or whose role is in doubt carry an attempt and a role, which are joined to the documents that mention
+them; without such the documents are not shuffled at all.
 
 Defined results: a null text stays null; an empty text stays empty; whole texts are read. Repeated rows are changed
 alike. Columns other than text pass through, whatever they are called.
@@ -23,15 +27,16 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import takewhile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm._common import materialize, slices, wider
 
-KEY = "change-me"
 MAX_ATTEMPTS = 64
 
 # Titles by the gender that they tell.
@@ -71,6 +76,12 @@ _KEY_STARTS = r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|sk-|xox[abpr]-|AIza|glpat-)"
 _KEYS = re.compile(rf"(?<![\w-]){_KEY_STARTS}[A-Za-z0-9_\-]{{16,}}")
 _SECRET = re.compile(r"(?i)(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)\W{1,12}([A-Za-z0-9+/_\-]{12,})")
 _TITLE = re.compile(r"\b(" + "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)) + r")\b\.?((?: [^\W\d_][\w'’-]*){1,3})")
+#: How people say their name, and how letters end.
+INTRODUCED = ("my name is", "My name is", "mein Name ist", "Mein Name ist", "ich heiße", "Ich heiße", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "mi chiamo", "Mi chiamo")
+CLOSED = ("Best regards", "Kind regards", "Regards", "Sincerely", "Yours sincerely", "Mit freundlichen Grüßen", "Viele Grüße", "Cordialement", "Saludos", "Atentamente", "Cordiali saluti")
+_NAMES = r"((?: ?[^\W\d_][\w'’-]*){1,3})"
+_INTRODUCED = re.compile(rf"\b(?:{'|'.join(INTRODUCED)}) {_NAMES}")
+_CLOSED = re.compile(rf"^(?:{'|'.join(CLOSED)})[,.]?[ \t]*\n+{_NAMES}[ \t]*$", re.MULTILINE)
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 KINDS = ("email", "iban", "phone", "ssn", "card", "ip", "ipv6", "mac", "secret", "name")
 
@@ -116,11 +127,14 @@ def _ipv6(text: str) -> str | None:
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value), in order and without overlaps; the earlier kind wins."""
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []  # of what is found, in order, and where it ends
+    ends: list[int] = []
 
     def add(a: int, b: int, kind: str, canon: str) -> None:
-        if all(b <= x or y <= a for x, y in taken):
-            taken.append((a, b))
+        i = bisect_left(starts, b)
+        if not i or ends[i - 1] <= a:
+            starts.insert(i, a)
+            ends.insert(i, b)
             found.append((a, b, kind, canon))
 
     at = text.find("@")
@@ -152,16 +166,20 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             if canon:
                 add(m.start(), m.end(), kind, canon)
     names: dict[str, str] = {}
-    for m in _TITLE.finditer(text) if any(t in text for t in _GENDER) else ():
-        parts = [p for p in re.finditer(r"\S+", m[2]) if p[0][0].isupper()]
+    said = [(m[2], _GENDER[m[1]]) for m in _TITLE.finditer(text)] if any(t in text for t in _GENDER) else []
+    if any(t in text for t in INTRODUCED):
+        said += [(m[1], "") for m in _INTRODUCED.finditer(text)]
+    if any(t in text for t in CLOSED):
+        said += [(m[1], "") for m in _CLOSED.finditer(text)]
+    for words, gender in said:
+        parts = list(takewhile(lambda p: p[0][0].isupper(), re.finditer(r"\S+", words)))
         for i, p in enumerate(parts):
-            kind = "family" if i == len(parts) - 1 else f"given-{_GENDER[m[1]]}"
             # A name has one role in a text, so that all its mentions agree.
-            names.setdefault(p[0].casefold(), kind)
+            names.setdefault(p[0].casefold(), f"given-{gender}" if i < len(parts) - 1 else "family")
     if names:
         for m in re.finditer(r"[^\W\d_][\w'’-]*", text):
-            if m[0][0].isupper() and (kind := names.get(m[0].casefold())):
-                add(m.start(), m.end(), "name", f"{kind}:{m[0].casefold()}")
+            if m[0][0].isupper() and (role := names.get(m[0].casefold())):
+                add(m.start(), m.end(), "name", f"{role}:{m[0].casefold()}")
     return sorted(found)
 
 
@@ -182,9 +200,14 @@ def _draw(key: str, kind: str, canon: str, attempt: int) -> Callable[[int], int]
     return next_
 
 
+def _identity(kind: str, canon: str) -> str:
+    """What tells an entity from others: of a name, the name without its role."""
+    return canon.split(":", 1)[1] if kind == "name" else canon
+
+
 def surrogate(kind: str, canon: str, attempt: int, key: str) -> str:
     """The canonical surrogate of an entity."""
-    draw = _draw(key, kind, canon, attempt)
+    draw = _draw(key, kind, _identity(kind, canon), attempt)
     alike = lambda c: str(draw(10)) if c.isdigit() else "abcdefghijklmnopqrstuvwxyz"[draw(26)] if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[draw(26)] if c.isupper() else c
     if kind == "email":
         local, domain = canon.split("@", 1)
@@ -218,14 +241,13 @@ def surrogate(kind: str, canon: str, attempt: int, key: str) -> str:
         script = "cyrillic" if "Ѐ" <= name[0] <= "ԯ" else "greek" if "Ͱ" <= name[0] <= "Ͽ" else "latin"
         ends = ENDINGS[script]["family" if role == "family" else role.removeprefix("given-")]
         body = "".join(SYLLABLES[script][draw(len(SYLLABLES[script]))] for _ in range(3 + attempt // 8))
-        return role + ":" + body + ends[draw(len(ends))]
+        return body + ends[draw(len(ends))]
     return "".join(map(alike, canon))
 
 
 def render(mention: str, kind: str, new: str) -> str:
     """The surrogate in the shape of the mention: its signs, gaps and case."""
     if kind in ("email", "name"):
-        new = new.split(":", 1)[-1] if kind == "name" else new
         letters = [c for c in mention if c.isalpha()]
         if letters and len(letters) > 1 and all(c.isupper() for c in letters):
             return new.upper()
@@ -238,16 +260,17 @@ def render(mention: str, kind: str, new: str) -> str:
     return "".join(next(signs) if c.isalnum() else c for c in mention)
 
 
-def replace(text: str | None, key: str, attempts: dict[tuple[str, str], int]) -> tuple[str | None, dict[str, int]]:
-    """The text with surrogates and the number of mentions of each kind."""
+def replace(text: str | None, key: str, decided: dict[tuple[str, str], tuple[str, int]]) -> tuple[str | None, dict[str, int]]:
+    """The text with surrogates and the number of mentions of each kind; decided: (kind, identity) -> (canon, attempt)."""
     counts: dict[str, int] = {}
     if not text:
         return text, counts
     out, at, made = [], 0, {}
     for a, b, kind, canon in detect(text):
-        if (kind, canon) not in made:
-            made[kind, canon] = surrogate(kind, canon, attempts.get((kind, canon), 0), key)
-        out += [text[at:a], render(text[a:b], kind, made[kind, canon])]
+        own = kind, _identity(kind, canon)
+        if own not in made:
+            made[own] = surrogate(kind, *decided.get(own, (canon, 0)), key)
+        out += [text[at:a], render(text[a:b], kind, made[own])]
         at = b
         counts[kind] = counts.get(kind, 0) + 1
     return "".join(out) + text[at:], counts
@@ -269,55 +292,64 @@ def entities(docs: DataFrame, text: str = "text", *ids: str) -> DataFrame:
 
 
 def _named(rows: DataFrame, key: str) -> DataFrame:
-    """rows (kind, canon, attempt) with new, the surrogate."""
+    """rows (kind, own, canon, attempt) with new, the surrogate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, 4096):
             new = [surrogate(*x, key) for x in zip(*(b.column(c).to_pylist() for c in ("kind", "canon", "attempt")), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], [*b.schema.names, "new"])
 
-    return rows.select("kind", "canon", "attempt").mapInArrow(run, "kind string, canon string, attempt int, new string")
+    return rows.select("kind", "own", "canon", "attempt").mapInArrow(run, "kind string, own string, canon string, attempt int, new string")
+
+
+def _own() -> Column:
+    return F.when(F.col("kind") == "name", F.expr("substring(canon, instr(canon, ':') + 1)")).otherwise(F.col("canon"))
 
 
 def attempts(found: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, attempt): the attempt at which each entity's surrogate is its own and no real entity's."""
-    real = materialize(found.select("kind", "canon").distinct(), "entities")
+    """(kind, own, canon, attempt, new, doubt) for each entity: the attempt at which its surrogate is its own and no real
+    entity's; doubt is set where documents disagree in its role.
+    """
+    roles = found.groupBy("kind", _own().alias("own"), "canon").agg(F.count("*").alias("n"))
+    real = roles.groupBy("kind", "own").agg(F.max_by("canon", F.struct("n", "canon")).alias("canon"), (F.count("*") > 1).alias("doubt"))
+    real = materialize(real, "entities")
     now = materialize(_named(real.withColumn("attempt", F.lit(0)), key), "surrogates")
     for _ in range(MAX_ATTEMPTS):
-        owner = now.groupBy("kind", "new").agg(F.min(F.struct("attempt", "canon")).alias("keep"), F.count("*").alias("n"))
-        twice = owner.filter("n > 1").select("kind", "new", F.col("keep.canon").alias("keep"))
-        known = real.select("kind", F.col("canon").alias("new"), F.lit(True).alias("real"))
+        owner = now.groupBy("kind", "new").agg(F.min(F.struct("attempt", "own")).alias("keep"), F.count("*").alias("n"))
+        twice = owner.filter("n > 1").select("kind", "new", F.col("keep.own").alias("keep"))
+        known = real.select("kind", F.col("own").alias("new"), F.lit(True).alias("real"))
         marked = now.join(twice, ["kind", "new"], "left").join(known, ["kind", "new"], "left")
-        clash = F.coalesce(F.col("keep") != F.col("canon"), F.lit(False)) | F.coalesce("real", F.lit(False))
-        losers = materialize(marked.filter(clash).select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), "clashes")
+        clash = F.coalesce(F.col("keep") != F.col("own"), F.lit(False)) | F.coalesce("real", F.lit(False))
+        losers = materialize(marked.filter(clash).select("kind", "own", "canon", (F.col("attempt") + 1).alias("attempt")), "clashes")
         if losers.isEmpty():
-            return now
-        rest = now.join(losers.select("kind", "canon"), ["kind", "canon"], "left_anti").select("kind", "canon", "attempt", "new")
+            return now.join(real.filter("doubt").select("kind", "own", "doubt"), ["kind", "own"], "left").withColumn("doubt", F.coalesce("doubt", F.lit(False)))
+        rest = now.join(losers.select("kind", "own"), ["kind", "own"], "left_anti").select("kind", "own", "canon", "attempt", "new")
         now = materialize(rest.union(_named(losers, key)), "surrogates")
     raise RuntimeError(f"surrogates still clash after {MAX_ATTEMPTS} attempts")
 
 
-def anonymize(docs: DataFrame, key: str = KEY, *, counts: bool = False) -> DataFrame:
+def anonymize(docs: DataFrame, key: str, *, counts: bool = False) -> DataFrame:
     """docs with surrogates in text; counts adds n_<kind> for each kind, replacing such columns."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
     extra = [f"n_{k}" for k in KINDS] if counts else []
     keep = [c for c in docs.columns if c.lower() not in extra]
     names = [f"c{i}" for i in range(len(keep))]
     text = names[[c.lower() for c in keep].index("text")]
     rows = docs.select(*keep).toDF(*names)
-    redrawn = attempts(entities(rows.select(text), text), key).filter("attempt > 0").select("kind", "canon", "attempt")
-    tries = None
-    if not redrawn.isEmpty():
-        # Rows are matched by a hash of the text and a spread of copies; entities are looked up by value afterwards.
+    decided = attempts(entities(rows.select(text), text), key).filter("attempt > 0 OR doubt").select("kind", "own", F.col("canon").alias("as"), "attempt")
+    if not decided.isEmpty():
+        # Rows are matched by two hashes of the text and a spread of copies; entities are looked up by value afterwards.
         spread = F.pmod(F.xxhash64(*names), F.lit(1024)).cast("long").alias("salt")
-        rows = rows.select("*", F.xxhash64(text).alias("th"), spread)
-        hits = entities(rows, text, "th", "salt").join(redrawn, ["kind", "canon"])
-        tries = hits.groupBy("th", "salt").agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("tries"))
-        rows = rows.join(tries.hint("shuffle_hash"), ["th", "salt"], "left").select(*names, "tries")
+        rows = rows.select("*", F.xxhash64(text).alias("th"), F.coalesce(F.crc32(text), F.lit(0)).alias("c"), spread)
+        hits = entities(rows, text, "th", "c", "salt").withColumn("own", _own()).join(decided, ["kind", "own"])
+        tries = hits.groupBy("th", "c", "salt").agg(F.collect_set(F.struct("kind", "own", "as", "attempt")).alias("tries"))
+        rows = rows.join(tries.hint("shuffle_hash"), ["th", "c", "salt"], "left").select(*names, "tries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             found = b.column("tries").to_pylist() if "tries" in b.schema.names else [None] * b.num_rows
-            done = [replace(t, key, {(x["kind"], x["canon"]): x["attempt"] for x in f or ()}) for t, f in zip(b.column(text).to_pylist(), found, strict=True)]
+            done = [replace(t, key, {(x["kind"], x["own"]): (x["as"], x["attempt"]) for x in f or ()}) for t, f in zip(b.column(text).to_pylist(), found, strict=True)]
             new = pa.array([d[0] for d in done], pa.string())
             columns = [new if n == text else b.column(n) for n in names]
             numbers = [pa.array([d[1].get(k, 0) for d in done], pa.int64()) for k in KINDS] if counts else []

@@ -60,6 +60,38 @@ def test_language_held_out_accuracy(spark):
     assert len(out) == docs.count()
 
 
+def brute_profile(texts, size):
+    counts = Counter()
+    for t in texts:
+        for word in re.findall(r"[^\W\d_]+", t.lower()):
+            counts.update(word)
+            padded = f" {word} "
+            counts.update(padded[i : i + 2] for i in range(len(padded) - 1))
+            counts.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    return counts
+
+
+def brute_order(counts, size):
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[:size]
+
+
+def test_languages_by_brute_force(spark, docs):
+    """Profiles, distances, ties and scores, written plainly."""
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.limit(80).collect() if r.text.isascii() or r.lang != "en"]
+    size = 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, size)
+    langs = sorted({lang for _, _, lang in rows if lang})
+    places = {lang: {g: i for i, g in enumerate(brute_order(brute_profile([t for _, t, x in rows if x == lang], size), size))} for lang in langs}
+    assert model.langs == langs
+    for r in langid.predict(df, model).collect():
+        own = brute_order(brute_profile([r.text], size), size)
+        away = {lang: sum(abs(i - places[lang][g]) if g in places[lang] else size for i, g in enumerate(own)) for lang in langs}
+        best = min(langs, key=lambda lang: (away[lang], lang))
+        assert (r.lang_pred, r.score) == (best, pytest.approx(1 - away[best] / (len(own) * size)))
+
+
 def test_language_reads_no_held_out_labels(spark, docs):
     wrong = docs.withColumn("lang", F.when(langid.held_out(), F.lit("zz")).otherwise(F.col("lang")))
     a, b = (sorted(map(tuple, langid.identify_documents(d).collect())) for d in (docs, wrong))
@@ -124,6 +156,26 @@ def test_compression_bands(spark):
     assert [r.kept for r in quality.quality(df).orderBy("doc_id").collect()] == [True, False, False]
 
 
+def test_quality_verdict_by_brute_force(docs):
+    """Whole and chunk ratios against the bands, computed apart."""
+    import zstandard
+
+    seen = set()
+    for r in quality.quality(docs.select("doc_id", "text")).collect():
+        data = (r.text or "").encode()
+        size = lambda b: len(zstandard.compress(b, 3))
+        low, high = next((low, high) for start, low, high in reversed(quality.BANDS) if len(data) >= start)
+        good = low <= (size(data) / len(data) if data else 0.0) <= high
+        n = max(1, len(data) // 2048 + (len(data) % 2048 >= 1024))
+        if n > 1:
+            chunks = [data[2048 * i : 2048 * (i + 1)] for i in range(n - 1)] + [data[2048 * (n - 1) :]]
+            bad = sum(not 0.20 <= size(c) / len(c) <= 0.80 for c in chunks)
+            good = good and bad <= 0.30 * n
+        assert r.kept == (good and not r.base_failed), r.doc_id
+        seen.add((r.kept, r.base_failed, n > 1))
+    assert {(True, False, False), (True, False, True)} <= seen
+
+
 def test_quality_awkward(awkward):
     rows = {(r.doc_id, i): r for i, r in enumerate(quality.quality(clashing(awkward)).collect())}
     assert len(rows) == len(AWKWARD)
@@ -287,18 +339,18 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     found = spark.createDataFrame([("card", f"{i}") for i in range(4)] + [("name", f"given-f:a{i}") for i in range(3000)], "kind string, canon string")
     out = pii.attempts(found.filter("kind = 'name'"), "k").collect()
     assert len({r.new for r in out}) == len(out) == 3000
-    assert not {r.new for r in out} & {r.canon for r in out}
+    assert not {r.new for r in out} & {r.own for r in out}
 
 
 def test_attempts_are_applied(spark):
     ips = [f"10.0.0.{i}" for i in range(3)]
-    text, _ = pii.replace(" ".join(ips), "k", {("ip", ips[1]): 5})
+    text, _ = pii.replace(" ".join(ips), "k", {("ip", ips[1]): (ips[1], 5)})
     assert text.split() == [pii.surrogate("ip", ips[0], 0, "k"), pii.surrogate("ip", ips[1], 5, "k"), pii.surrogate("ip", ips[2], 0, "k")]
 
 
 def test_redrawn_rows_reach_their_documents(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"host 10.0.{i}.1 up") for i in range(6)], "doc_id long, text string")
-    forced = spark.createDataFrame([("ip", "10.0.3.1", 7, pii.surrogate("ip", "10.0.3.1", 7, "k"))], "kind string, canon string, attempt int, new string")
+    forced = spark.createDataFrame([("ip", "10.0.3.1", "10.0.3.1", 7, pii.surrogate("ip", "10.0.3.1", 7, "k"), False)], "kind string, own string, canon string, attempt int, new string, doubt boolean")
     monkeypatch.setattr(pii, "attempts", lambda found, key: forced)
     out = {r.doc_id: r.text for r in pii.anonymize(clashing(df), "k").collect()}
     assert out[3] == f"host {pii.surrogate('ip', '10.0.3.1', 7, 'k')} up"
@@ -306,10 +358,60 @@ def test_redrawn_rows_reach_their_documents(spark, monkeypatch):
 
 
 def test_surrogates_awkward(awkward):
-    out = pii.anonymize(clashing(awkward))
+    out = pii.anonymize(clashing(awkward), "k")
     assert out.columns == clashing(awkward).columns
     assert out.count() == len(AWKWARD)
-    assert pii.anonymize(awkward.limit(0)).count() == 0
+    assert pii.anonymize(awkward.limit(0), "k").count() == 0
+    with pytest.raises(ValueError, match="key"):
+        pii.anonymize(awkward, "")
+    many = " ".join(f"a{i}@b{i}.org" for i in range(20000))  # long texts with many entities take linear time
+    assert len(pii.detect(many)) == 20000
+
+
+def test_surrogates_by_brute_force(spark):
+    """Planted entities: texts come back with each entity changed alike everywhere, differently from others, in its shape."""
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    name = lambda: "".join(rng.choices("bdfgklmnprst", k=1) + rng.choices("aeiou", k=2) + rng.choices("lmnrst", k=2)).capitalize()
+    pool = {
+        "email": [f"{name().lower()}.{name().lower()}{i}@{name().lower()}.example.org" for i in range(30)],
+        "phone": [f"+1 ({digits(3)}) {digits(3)}-{digits(4)}" for _ in range(30)],
+        "ip": [f"10.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}" for _ in range(30)],
+        "ssn": [f"{digits(3)}-{digits(2)}-{digits(4)}" for _ in range(30)],
+        "name": sorted({name() for _ in range(60)}),
+    }
+    before = {"name": "Mr. "}
+    shape = {"email": r"[a-z.0-9]+@[a-z]+\.example\.org", "name": "[A-Z][a-z]+", "ip": r"\d+\.\d+\.\d+\.\d+"}
+    rows, parts = [], []
+    for d in range(200):
+        said = []
+        for _ in range(rng.randint(1, 6)):
+            said.append((f"so {before.get(kind := rng.choice(list(pool)), '')}", None))
+            said += [(rng.choice(pool[kind]), kind), (" it was ; ", None)]
+        parts.append(said)
+        rows.append((d, "".join(t for t, _ in said)))
+    out = {r.doc_id: r.text for r in pii.anonymize(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "secret").collect()}
+    seen = {}
+    for d, said in enumerate(parts):
+        pattern = "".join("(.+?)" if kind else re.escape(t) for t, kind in said) + "$"
+        new = re.match(pattern, out[d])
+        assert new, (rows[d], out[d])
+        for (t, kind), got in zip([x for x in said if x[1]], new.groups(), strict=True):
+            assert seen.setdefault((kind, t), got) == got != t
+            assert kind in ("email", "name", "ip") or [c.isdigit() or c for c in got] == [c.isdigit() or c for c in t]
+            assert re.fullmatch(shape.get(kind, ".*"), got)
+    assert len(set(seen.values())) == len(seen)
+    assert not {g for g in seen.values()} & {t for _, t in seen}
+
+
+def test_names_have_one_surrogate(spark):
+    """A name that is a given name here and a family name there stays one person's name."""
+    texts = ["Mr. Martin agreed.", "Mrs. Martin Keller agreed.", "Mr. Martin agreed to it.", "My name is Olga Petrow. Petrow it is.", "Thanks for all\n\nBest regards,\nJonas Lindt\n"]
+    out = [r.text for r in pii.anonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "k").orderBy("doc_id").collect()]
+    assert out[0].split()[1] == out[1].split()[1] == out[2].split()[1] != "Martin"
+    assert "Petrow" not in out[3]
+    assert out[3].split(". ")[1].split()[0] == out[3].split(". ")[0].split()[-1]
+    assert not {"Jonas", "Lindt"} & set(out[4].split())
 
 
 # --- mixing -----------------------------------------------------------------------------------------------------
