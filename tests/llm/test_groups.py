@@ -168,8 +168,8 @@ def test_refused_links_do_not_hide_others(spark):
     sk = np.zeros((5, 8), np.uint64)
     for i, bits in enumerate((0, 1, 3, 7, 15)):
         sk[i, 0] = bits
-    rows = [(i, [7], sk[i].tobytes()) for i in range(5)]
-    kinds = spark.createDataFrame(rows, "node long, bands array<long>, sk binary")
+    rows = [(i, [7], sk[i].tobytes(), 10) for i in range(5)]
+    kinds = spark.createDataFrame(rows, "node long, bands array<long>, sk binary, size long")
     # 1 to 4 are near in bits but share nothing with each other; 0 and 4, the ends, are alike.
     sets = {0: range(10), 4: range(11), **{i: range(100 * i, 100 * i + 10) for i in (1, 2, 3)}}
     made = spark.createDataFrame([(i, np.array(list(s), "<u8").tobytes()) for i, s in sets.items()], "node long, grams binary")
