@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,20 +67,25 @@ def edge_list_network(nodes: DataFrame, edges: DataFrame, node_key: str, from_co
 
 
 def build_network(lines: DataFrame, nodes: DataFrame, tolerance_m: float, node_key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): each line's two ends at the nearest node within the tolerance (ties: the smaller key)."""
+    """(nodes, edges): the two ends of each part of a line at the nearest node within the tolerance (ties: the smaller key).
+
+    Edges keep the lines' other columns; of parallel edges the shortest stays, and parallel_edges counts them all, the
+    same line twice too. Parts with an end at no node go.
+    """
     c = G.centroid(F.col("geometry"))
     at = nodes.select(F.col(node_key).alias("id"), c["x"].alias("x"), c["y"].alias("y"))
-    parts = lines.select(F.explode("geometry.parts").alias("p")).select(F.xxhash64("p").alias("k"), F.col("p")[0].alias("ring"))
-    size = G.length(G.line_of(F.col("ring")))
-    parts = parts.select("k", size.alias("length"), F.posexplode(F.array(F.col("ring")[0], F.element_at("ring", -1))).alias("end", "e")).distinct()
+    more = [n for n in lines.columns if n not in ("geometry", "u", "v", "length", "parallel_edges")]
+    parts = lines.select(F.monotonically_increasing_id().alias("row"), F.struct(F.lit(0).alias("_"), *more).alias("a"), F.posexplode("geometry.parts").alias("part", "p")).withColumn("ring", F.col("p")[0])
+    parts = parts.select("row", "part", "a", G.length(G.line_of(F.col("ring"))).alias("length"), F.posexplode(F.array(F.col("ring")[0], F.element_at("ring", -1))).alias("end", "e"))
     step = lambda v: F.floor(v / tolerance_m).cast("long")
     near = lambda v: F.explode(F.sequence(step(v) - 1, step(v) + 1))
     asked = parts.withColumn("cx", near(F.col("e.x"))).withColumn("cy", near(F.col("e.y")))
     met = asked.join(at.withColumn("cx", step(F.col("x"))).withColumn("cy", step(F.col("y"))), ["cx", "cy"])
     met = met.withColumn("d", F.hypot(F.col("x") - F.col("e.x"), F.col("y") - F.col("e.y"))).filter(F.col("d") <= tolerance_m)
-    ends = met.groupBy("k", "length", "end").agg(F.min_by("id", F.struct("d", "id")).alias("id"))
-    both = ends.groupBy("k", "length").agg(F.max(F.when(F.col("end") == 0, F.col("id"))).alias("u"), F.max(F.when(F.col("end") == 1, F.col("id"))).alias("v"))
-    return at, merge_parallel(both.filter("u IS NOT NULL AND v IS NOT NULL").select("u", "v", "length"))
+    end = lambda n: F.min_by(F.when(F.col("end") == n, F.col("id")), F.when(F.col("end") == n, F.struct("d", "id")))
+    both = met.groupBy("row", "part").agg(end(0).alias("u"), end(1).alias("v"), F.any_value("length").alias("length"), F.any_value("a").alias("a"))
+    both = both.filter("u IS NOT NULL AND v IS NOT NULL").select("u", "v", "length", *[F.col(f"a.{n}").alias(n) for n in more], "row", "part")
+    return at, merge_parallel(both, ["row", "part"]).drop("row", "part")
 
 
 def line_network(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -119,21 +125,31 @@ def _both_ways(edges: DataFrame, weight: str = "length") -> DataFrame:
     return e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, weight: str = "length", paths: bool = False) -> DataFrame:
-    """(source, node, d[, path]) of all nodes that each source (source, node) reaches, by rounds over the changed nodes."""
+#: Generations of changed nodes that are read side by side before they are merged.
+GENERATIONS = 12
+
+
+def distances(edges: DataFrame, sources: DataFrame, weight: str = "length", paths: bool = False, limit: float | None = None) -> DataFrame:
+    """(source, node, d[, path]) of all nodes that each source (source, node) reaches, within the limit if there is one.
+
+    Rounds over the changed nodes: each round writes only these, and what is known is the least of all generations.
+    """
     arcs = materialize(_both_ways(edges, weight), "arcs")
     start = sources.select("source", "node", F.lit(0.0).alias("d"), *([F.array("node").alias("path")] if paths else []))
-    known = fresh = materialize(start, "reached")
     extra = ["path"] if paths else []
+    fresh = materialize(start, "reached")
+    known = [fresh]
+    best_of = lambda rows: rows.groupBy("source", "node").agg(F.min(F.struct("d", *extra)).alias("b")).select("source", "node", "b.*")
     while True:
         step = fresh.join(arcs, fresh.node == arcs.u).select("source", F.col("v").alias("node"), (F.col("d") + F.col("w")).alias("d"), *([F.concat("path", F.array("v")).alias("path")] if paths else []))
-        best = step.unionByName(known).groupBy("source", "node").agg(F.min(F.struct("d", *extra)).alias("b")).select("source", "node", "b.*")
-        old = known.select("source", "node", F.col("d").alias("was"))
-        best = materialize(best.join(old, ["source", "node"], "left"), "reached")
-        fresh = best.filter("was IS NULL OR d < was").drop("was")
-        known = best.drop("was")
+        step = step if limit is None else step.filter(F.col("d") <= limit)
+        old = reduce(DataFrame.union, [k.select("source", "node", "d") for k in known]).groupBy("source", "node").agg(F.min("d").alias("was"))
+        fresh = materialize(best_of(step).join(old, ["source", "node"], "left").filter("was IS NULL OR d < was").drop("was"), "reached")
         if fresh.isEmpty():
-            return known
+            return best_of(reduce(DataFrame.union, known))
+        known.append(fresh)
+        if len(known) > GENERATIONS:
+            known = [materialize(best_of(reduce(DataFrame.union, known)), "known")]
 
 
 def _snap(points: DataFrame, nodes: DataFrame, key: str, max_snap_m: float) -> DataFrame:
@@ -158,7 +174,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, origins: DataFrame, destin
 def reached(nodes: DataFrame, edges: DataFrame, origins: DataFrame, key: str, max_snap_m: float, limit_m: float) -> DataFrame:
     """(id, x, y, d): nodes within limit_m of any origin."""
     starts = _snap(origins, nodes, key, max_snap_m).select(F.lit(0).alias("source"), "node").distinct()
-    return distances(edges, starts).filter(F.col("d") <= limit_m).select(F.col("node").alias("id"), "d").join(nodes, "id").select("id", "x", "y", "d")
+    return distances(edges, starts, limit=limit_m).select(F.col("node").alias("id"), "d").join(nodes, "id").select("id", "x", "y", "d")
 
 
 def route(nodes: DataFrame, edges: DataFrame, origins: DataFrame, destinations: DataFrame, key: str, max_snap_m: float, pairing: str = "pairwise", weight: str = "length") -> DataFrame:
@@ -320,7 +336,7 @@ def grid_of_lines(lines: DataFrame, substations: DataFrame, key: str, tolerance_
     """(nodes, edges) of power lines: an end in a substation's area (or within the tolerance of its centre) is that
     substation, the other ends are joined by single linkage. Loops go, parallel edges merge to the shortest.
     """
-    parts = lines.select(F.explode("geometry.parts").alias("p")).select(F.xxhash64("p").alias("k"), F.col("p")[0].alias("ring")).dropDuplicates(["k"])
+    parts = lines.select(F.monotonically_increasing_id().alias("row"), F.posexplode("geometry.parts").alias("part", "p")).select(F.struct("row", "part").alias("k"), F.col("p")[0].alias("ring"))
     ends = parts.select("k", G.length(G.line_of(F.col("ring"))).alias("length"), F.posexplode(F.array(F.col("ring")[0], F.element_at("ring", -1))).alias("end", "e"))
     ends = materialize(ends.select("k", "length", "end", F.col("e.x").alias("x"), F.col("e.y").alias("y"), F.xxhash64("e.x", "e.y").alias("id"), G.point(F.col("e.x"), F.col("e.y")).alias("geometry")), "ends")
     inside = pairs(ends.select("k", "end", "geometry").withColumn("key", F.struct("k", "end")), substations.select(F.col(key).alias("station"), "geometry"), max(10 * tolerance_m, 1000.0), G.intersects(F.col("l.geometry"), F.col("r.geometry")))

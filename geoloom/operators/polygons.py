@@ -1,22 +1,27 @@
 """Boolean operators on polygons: overlay, clip, dissolve, area share, line buffers, isochrones, repair.
 
-Candidate pairs come from the grid join of geoloom.operators.spatial; groups are formed by Spark; one small kernel then
-works on the polygons of a pair or a group, by vertical slabs: the corners and crossings of all edges cut the plane into
+Candidate pairs come from the grid join of geoloom.operators.spatial. What unites many polygons, or sets them against
+many, first cuts them by the cells of a grid, so that a group is what lies in one cell and never a whole layer; choose
+cells that hold some dozens of polygons. One small kernel works on a pair or a cell, by vertical slabs: the corners and crossings of all edges cut the plane into
 slabs in which no two edges cross, so inside a slab each polygon is a list of intervals between edges.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from geoloom.functions import geometry as G
-from geoloom.operators.spatial import pairs
+from geoloom.operators.spatial import _cells, pairs
 from geoloom.plans.stages import components
 
 Edges = np.ndarray  # (n, 4): x1, y1, x2, y2 with x1 < x2
@@ -132,6 +137,20 @@ def polygon_parts(pieces: list[tuple]) -> list:
     return out
 
 
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df through run, a function of pandas frames. Columns go as Python objects: rings of different lengths side by side
+    are no array.
+    """
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (pd.DataFrame({n: pd.Series(c.to_pylist(), dtype=object) for n, c in zip(b.schema.names, b.columns, strict=True)}) for b in rows)
+        for out in run(frames):
+            yield pa.RecordBatch.from_arrays([pa.array(list(out[k.name]), k.type) for k in kinds], schema=kinds)
+
+    return df.mapInArrow(batches, schema)
+
+
 def multi(pieces: list[tuple]) -> dict | None:
     return {"kind": "MultiPolygon", "dim": 2, "parts": polygon_parts(pieces)} if pieces else None
 
@@ -147,14 +166,64 @@ def _parts(g) -> list:  # noqa: ANN001
     return [[[(v["x"], v["y"]) for v in r] for r in p] for p in g["parts"]]
 
 
-def overlay(a: DataFrame, b: DataFrame, key_a: str, key_b: str, how: str = "intersection", cell: float = 1000.0) -> DataFrame:
-    """(key_a, key_b, geometry, area): pieces of two polygon layers, each unique in its key.
+def _cut(df: DataFrame, key: str | None, cell: float) -> DataFrame:
+    """(k, cx, cy, g): the polygons of df cut by the grid's cells; pieces without area are left out."""
+    rows = _cells(df.select(F.col(key).alias("k") if key else F.lit(0).alias("k"), "geometry").filter("geometry.dim = 2"), cell, "l")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            cut = []
+            for g, cx, cy in zip(f["geometry"], f["cx"], f["cy"], strict=True):
+                x, y = cx * cell, cy * cell
+                square = [[[(x, y), (x + cell, y), (x + cell, y + cell), (x, y + cell), (x, y)]]]
+                cut.append(multi(trapezoids([[_parts(g)], [square]], RULES["intersection"])))
+            out = f[["k", "cx", "cy"]].assign(g=cut)
+            yield out[out["g"].notna()]
+
+    kind = dict(df.dtypes)[key] if key else "int"
+    return mapped(rows.select("k", "cx", "cy", "geometry"), run, f"k {kind}, cx long, cy long, g {G.GEOMETRY}")
+
+
+def _by_cell(cells: DataFrame, rule: str, kind: str) -> DataFrame:
+    """(k, geometry, area) from rows (k, gs, os) of cells: gs and os are what the two sides have there, united by the rule.
+
+    Cells do not overlap, so areas add up and the pieces of all cells together are the result.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            sides = lambda gs: [_parts(g) for g in gs] if gs is not None else []
+            cut = [trapezoids([sides(gs), sides(os)], RULES[rule]) for gs, os in zip(f["gs"], f["os"], strict=True)]
+            out = pd.DataFrame({"k": f["k"], "g": [multi(c) for c in cut], "part": [total_area(c) for c in cut]})
+            yield out[out["part"] > 0]
+
+    parts = mapped(cells.select("k", "gs", "os"), run, f"k {kind}, g {G.GEOMETRY}, part double")
+    whole = parts.groupBy("k").agg(F.flatten(F.collect_list("g.parts")).alias("parts"), F.sum("part").alias("area"))
+    return whole.select("k", G.geometry("MultiPolygon", F.col("parts")).alias("geometry"), "area")
+
+
+def united(df: DataFrame, key: str, cell: float = 1000.0) -> DataFrame:
+    """(k, geometry, area): the union of the polygons of each key, cell by cell."""
+    groups = _cut(df, key, cell).groupBy("k", "cx", "cy").agg(F.collect_list("g").alias("gs"))
+    return _by_cell(groups.withColumn("os", F.array().cast(f"array<{G.GEOMETRY}>")), "union", dict(df.dtypes)[key])
+
+
+def _against(one: DataFrame, other: DataFrame, key: str, rule: str, cell: float) -> DataFrame:
+    """(k, geometry, area) of each polygon of one (unique in key) by the rule against all polygons of other."""
+    there = _cut(other, None, cell).groupBy("cx", "cy").agg(F.collect_list("g").alias("os"))
+    met = _cut(one, key, cell).join(there, ["cx", "cy"], "inner" if rule == "intersection" else "left")
+    return _by_cell(met.withColumn("gs", F.array("g")), rule, dict(one.dtypes)[key])
+
+
+def overlay(a: DataFrame, b: DataFrame, key_a: str, key_b: str, how: str = "intersection", cell: float = 1000.0, *, attributes: bool = False) -> DataFrame:
+    """(key_a_1, key_b_2, geometry, area): pieces of two polygon layers, each unique in its key.
 
     intersection: a piece for each pair; difference: each a without all b (key_b null); union: the intersection, and each
-    side without the other.
+    side without the other. attributes adds the other columns of both sides; names that both have get _1 and _2.
     """
     polygons = lambda df: df.filter(F.col("geometry.dim") == 2)
-    schema = f"__a string, __b string, geometry {G.GEOMETRY}, area double"
+    types = [dict(a.dtypes)[key_a], dict(b.dtypes)[key_b]]
+    schema = f"__a {types[0]}, __b {types[1]}, geometry {G.GEOMETRY}, area double"
 
     def clip_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -162,71 +231,117 @@ def overlay(a: DataFrame, b: DataFrame, key_a: str, key_b: str, how: str = "inte
             out = pd.DataFrame({"__a": f["__a"], "__b": f["__b"], "geometry": [multi(c) for c in cut], "area": [total_area(c) for c in cut]})
             yield out[out["area"] > 0]
 
-    def difference(one: DataFrame, other: DataFrame, k1: str, k2: str) -> DataFrame:
-        met = pairs(one, other, cell, F.lit(True)).select(F.col(f"l.{k1}").cast("string").alias("__k"), F.col("r.geometry").alias("g"))
-        near = met.groupBy("__k").agg(F.collect_list("g").alias("others"))
-        rows = one.select(F.col(k1).cast("string").alias("__k"), F.col("geometry").alias("g")).join(near, "__k", "left")
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                cut = [trapezoids([[_parts(g)], [_parts(o) for o in (os if os is not None else [])]], RULES["difference"]) for g, os in zip(f["g"], f["others"], strict=True)]
-                out = pd.DataFrame({"__k": f["__k"], "geometry": [multi(c) for c in cut], "area": [total_area(c) for c in cut]})
-                yield out[out["area"] > 0]
-
-        return rows.mapInPandas(run, f"__k string, geometry {G.GEOMETRY}, area double")
-
     a, b = polygons(a), polygons(b)
+    none = [F.lit(None).cast(t) for t in types]
     out = []
     if how in ("intersection", "union"):
-        met = pairs(a, b, cell, F.lit(True)).select(F.col(f"l.{key_a}").cast("string").alias("__a"), F.col(f"r.{key_b}").cast("string").alias("__b"), F.col("l.geometry").alias("ga"), F.col("r.geometry").alias("gb"))
-        out.append(met.mapInPandas(clip_pairs, schema))
+        met = pairs(a, b, cell, F.lit(True)).select(F.col(f"l.{key_a}").alias("__a"), F.col(f"r.{key_b}").alias("__b"), F.col("l.geometry").alias("ga"), F.col("r.geometry").alias("gb"))
+        out.append(mapped(met, clip_pairs, schema))
     if how in ("difference", "union"):
-        out.append(difference(a, b, key_a, key_b).select(F.col("__k").alias("__a"), F.lit(None).cast("string").alias("__b"), "geometry", "area"))
+        out.append(_against(a, b, key_a, "difference", cell).select(F.col("k").alias("__a"), none[1].alias("__b"), "geometry", "area"))
     if how == "union":
-        out.append(difference(b, a, key_b, key_a).select(F.lit(None).cast("string").alias("__a"), F.col("__k").alias("__b"), "geometry", "area"))
-    whole = out[0]
-    for o in out[1:]:
-        whole = whole.union(o)
-    types = [dict(a.dtypes)[key_a], dict(b.dtypes)[key_b]]
-    return whole.select(F.col("__a").cast(types[0]).alias(f"{key_a}_1"), F.col("__b").cast(types[1]).alias(f"{key_b}_2"), "geometry", "area")
+        out.append(_against(b, a, key_b, "difference", cell).select(none[0].alias("__a"), F.col("k").alias("__b"), "geometry", "area"))
+    whole = reduce(DataFrame.union, out)
+    more = []
+    if attributes:
+        clash = set(a.columns) & set(b.columns)
+        for side, df, key, n in (("__a", a, key_a, 1), ("__b", b, key_b, 2)):
+            names = {c: f"{c}_{n}" if c in clash else c for c in df.columns if c not in (key, "geometry")}
+            own = df.select(F.col(key).alias(f"__k{n}"), *[F.col(c).alias(x) for c, x in names.items()])
+            whole = whole.join(own, F.col(side) == F.col(f"__k{n}"), "left")
+            more += names.values()
+    return whole.select(F.col("__a").alias(f"{key_a}_1"), F.col("__b").alias(f"{key_b}_2"), *more, "geometry", "area")
 
 
 def clip(features: DataFrame, mask: DataFrame, key: str, cell: float = 1000.0) -> DataFrame:
-    """The features' parts inside the mask's polygons: points and polygons (lines: those within)."""
-    met = pairs(features, mask, cell, G.intersects(F.col("l.geometry"), F.col("r.geometry")))
-    inside = met.groupBy(F.col(f"l.{key}").alias("__k")).agg(F.collect_list("r.geometry").alias("masks"))
-    rows = features.join(inside, features[key] == F.col("__k")).drop("__k")
-    kept = rows.filter(F.col("geometry.dim") < 2).drop("masks")
-    cut = rows.filter(F.col("geometry.dim") == 2)
-    schema = ", ".join(f"{c} {t}" for c, t in features.dtypes)
+    """The features' parts (unique in key) inside the mask's polygons. A line or polygon that only touches them goes."""
+    mask = mask.filter("geometry.dim = 2").select("geometry")
+    met = pairs(features.filter("geometry.dim < 2"), mask, cell, G.intersects(F.col("l.geometry"), F.col("r.geometry")))
+    points = met.filter("l.geometry.dim = 0").select(F.col(f"l.{key}").alias("__k")).distinct()
+    out = features.join(points, features[key] == F.col("__k"), "left_semi")
+    lines = inside_lines(met.filter("l.geometry.dim = 1"), features, key)
+    polygons = _against(features.filter("geometry.dim = 2"), mask, key, "intersection", cell).select("k", "geometry")
+    cut = lines.union(polygons).select(F.col("k").alias("__k"), F.col("geometry").alias("__g"))
+    new = features.join(cut, features[key] == F.col("__k")).withColumn("geometry", F.col("__g")).drop("__k", "__g")
+    return out.unionByName(new)
+
+
+def _inside(a: tuple, b: tuple, edges: np.ndarray) -> list[tuple[float, float]]:
+    """The stretches (t0, t1) of the segment from a to b that lie in the polygon with these edges, or on its border."""
+    (ax, ay), d = a, (b[0] - a[0], b[1] - a[1])
+    ex, ey = edges[:, 2] - edges[:, 0], edges[:, 3] - edges[:, 1]
+    px, py = edges[:, 0] - ax, edges[:, 1] - ay
+    cross, long = d[0] * ey - d[1] * ex, d[0] ** 2 + d[1] ** 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = (px * ey - py * ex) / cross, (px * d[1] - py * d[0]) / cross
+    ends = [((edges[:, i] - ax) * d[0] + (edges[:, i + 1] - ay) * d[1]) / long for i in (0, 2)] if long else []
+    ts = np.concatenate([[0.0, 1.0], t[(cross != 0) & (u >= -EPS) & (u <= 1 + EPS)], *[e[cross == 0] for e in ends]])
+    ts = np.unique(ts[(ts >= 0) & (ts <= 1)])
+    out: list[tuple[float, float]] = []
+    for t0, t1 in zip(ts, ts[1:], strict=False):
+        x, y = ax + d[0] * (t0 + t1) / 2, ay + d[1] * (t0 + t1) / 2
+        side = ex * (y - edges[:, 1]) - ey * (x - edges[:, 0])
+        hit = ((edges[:, 1] > y) != (edges[:, 3] > y)) & ((side > 0) == (ey > 0))
+        size = np.hypot(ex, ey)
+        along = ((x - edges[:, 0]) * ex + (y - edges[:, 1]) * ey) / np.maximum(size, EPS)
+        border = (np.abs(side) <= 1e-7 * size) & (along >= -EPS) & (along <= size + EPS)
+        if hit.sum() % 2 or border.any():
+            out.append((out.pop()[0], t1) if out and out[-1][1] == t0 else (t0, t1))
+    return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            new = [multi(trapezoids([[_parts(g)], [_parts(m) for m in ms]], RULES["intersection"])) for g, ms in zip(f["geometry"], f["masks"], strict=True)]
-            out = f.drop(columns="masks").assign(geometry=new)
-            yield out[out["geometry"].notna()]
 
-    return kept.unionByName(cut.mapInPandas(run, schema))
+def inside_lines(met: DataFrame, features: DataFrame, key: str) -> DataFrame:
+    """(k, geometry) of the lines in pairs (l, r) inside the polygons they meet, overlaps of polygons taken once."""
+    kind = dict(features.dtypes)[key]
+
+    def stretches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for k, g, o in zip(f["k"], f["g"], f["o"], strict=True):
+                rings = [np.array(r, float) for p in _parts(o) for r in p]
+                edges = np.vstack([np.hstack([r[:-1], r[1:]]) for r in rings])
+                for p, (line,) in enumerate(_parts(g)):
+                    rows += [(k, p, i, t0, t1) for i, (a, b) in enumerate(zip(line, line[1:], strict=False)) for t0, t1 in _inside(a, b, edges)]
+            yield pd.DataFrame(rows, columns=["k", "p", "i", "t0", "t1"])
+
+    pieces = mapped(met.select(F.col(f"l.{key}").alias("k"), F.col("l.geometry").alias("g"), F.col("r.geometry").alias("o")), stretches, f"k {kind}, p long, i long, t0 double, t1 double")
+    of_line = pieces.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "i", "t0", "t1"))).alias("at"))
+    rows = features.select(F.col(key).alias("__k"), F.col("geometry").alias("g")).join(of_line, F.col("__k") == F.col("k"))
+
+    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            made = []
+            for g, at in zip(f["g"], f["at"], strict=True):
+                lines, parts, last = _parts(g), [], None
+                for p, i, t0, t1 in ((s["p"], s["i"], s["t0"], s["t1"]) for s in at):
+                    (a, b) = lines[p][0][i : i + 2]
+                    place = lambda t: (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])) if t < 1 else b  # noqa: E731, B023
+                    if last and (p, i + t0) <= last:  # goes on from, or overlaps with, what is there
+                        if (p, i + t1) > last:
+                            parts[-1].append(place(t1))
+                            last = (p, i + t1)
+                    else:
+                        parts.append([place(t0), place(t1)])
+                        last = (p, i + t1)
+                made.append({"kind": "MultiLineString", "dim": 1, "parts": [[[{"x": float(x), "y": float(y)} for x, y in part]] for part in parts]})
+            yield pd.DataFrame({"k": f["k"], "geometry": made})
+
+    return mapped(rows.select("k", "g", "at"), build, f"k {kind}, geometry {G.GEOMETRY}")
 
 
 def area_share(zones: DataFrame, features: DataFrame, key: str, output_field: str = "share", dissolve: bool = True, decimals: int = 3, absolute_field: str | None = None, cell: float = 1000.0) -> DataFrame:
     """zones (unique in key) with the share of their area that features cover; dissolve counts overlaps once."""
-    met = pairs(zones, features.filter(F.col("geometry.dim") == 2), cell, F.lit(True))
-    rows = met.select(F.col(f"l.{key}").alias("__k"), F.col("l.geometry").alias("g"), F.col("r.geometry").alias("o"))
+    features = features.filter(F.col("geometry.dim") == 2)
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield pd.DataFrame({"__k": f["__k"], "part": [total_area(trapezoids([[_parts(g)], [_parts(o)]], RULES["intersection"])) for g, o in zip(f["g"], f["o"], strict=True)]})
 
-    def group(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"__k": f["__k"], "part": [total_area(trapezoids([[_parts(g)], [_parts(o) for o in os]], RULES["intersection"])) for g, os in zip(f["g"], f["os"], strict=True)]})
-
-    schema = f"__k {dict(zones.dtypes)[key]}, part double"
     if dissolve:
-        parts = rows.groupBy("__k").agg(F.any_value("g").alias("g"), F.collect_list("o").alias("os")).mapInPandas(group, schema)
+        parts = _against(zones, features, key, "intersection", cell).select(F.col("k").alias("__k"), F.col("area").alias("part"))
     else:
-        parts = rows.mapInPandas(each, schema).groupBy("__k").agg(F.sum("part").alias("part"))
+        met = pairs(zones, features, cell, F.lit(True)).select(F.col(f"l.{key}").alias("__k"), F.col("l.geometry").alias("g"), F.col("r.geometry").alias("o"))
+        parts = mapped(met, each, f"__k {dict(zones.dtypes)[key]}, part double").groupBy("__k").agg(F.sum("part").alias("part"))
     out = zones.join(parts, zones[key] == F.col("__k"), "left")
     whole = G.area(F.col("geometry"))
     covered = F.coalesce("part", F.lit(0.0))
@@ -236,27 +351,23 @@ def area_share(zones: DataFrame, features: DataFrame, key: str, output_field: st
     return out.drop("__k", "part")
 
 
-def _union_rows(grouped: DataFrame, key_type: str) -> DataFrame:
-    """grouped (k, gs) with the union of each list."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            cut = [trapezoids([[_parts(g) for g in gs]], lambda n: n[0] > 0) for gs in f["gs"]]
-            yield pd.DataFrame({"k": f["k"], "geometry": [multi(c) for c in cut], "area": [total_area(c) for c in cut]})
-
-    return grouped.mapInPandas(run, f"k {key_type}, geometry {G.GEOMETRY}, area double")
+def dissolve(df: DataFrame, by: str | None = None, key: str | None = None, cell: float = 1000.0, first: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
+    """(by, geometry, area): one geometry for each value of by (null goes); or, by key, one for each connected part.
 
-
-def dissolve(df: DataFrame, by: str | None = None, key: str | None = None, cell: float = 1000.0) -> DataFrame:
-    """(by, geometry, area): one geometry for each value of by (null goes); or, by key, one for each connected part."""
+    first: further columns, of which each value of by keeps the first that is not null in the order given.
+    """
     df = df.filter(F.col("geometry.dim") == 2)
     if by:
-        groups = df.filter(F.col(by).isNotNull()).groupBy(F.col(by).alias("k")).agg(F.collect_list("geometry").alias("gs"))
-        return _union_rows(groups, dict(df.dtypes)[by]).withColumnRenamed("k", by)
+        df = df.filter(F.col(by).isNotNull())
+        out = united(df, by, cell).withColumnRenamed("k", by)
+        if not first:
+            return out
+        kept = df.groupBy(by).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in first])
+        return out.join(kept, by).select(by, *first, "geometry", "area")
     met = pairs(df, df, cell, (F.col(f"l.{key}") < F.col(f"r.{key}")) & G.intersects(F.col("l.geometry"), F.col("r.geometry")))
     roots = components(met.select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b")))
-    groups = df.join(roots, df[key] == roots.node, "left").groupBy(F.coalesce("root", key).alias("k")).agg(F.collect_list("geometry").alias("gs"))
-    return _union_rows(groups, dict(df.dtypes)[key]).withColumnRenamed("k", "id")
+    groups = df.join(roots, df[key] == roots.node, "left").select(F.coalesce("root", key).alias("id"), "geometry")
+    return united(groups, "id", cell).withColumnRenamed("k", "id")
 
 
 def buffer(df: DataFrame, key: str, radius_km: float) -> DataFrame:
@@ -269,7 +380,7 @@ def buffer(df: DataFrame, key: str, radius_km: float) -> DataFrame:
             yield pd.DataFrame({"k": f["k"], "geometry": [multi(m) for m in made], "area": [total_area(m) for m in made]})
 
     rows = df.filter("geometry IS NOT NULL").select(F.col(key).alias("k"), "geometry")
-    return rows.mapInPandas(run, f"k {dict(df.dtypes)[key]}, geometry {G.GEOMETRY}, area double").withColumnRenamed("k", key)
+    return mapped(rows, run, f"k {dict(df.dtypes)[key]}, geometry {G.GEOMETRY}, area double").withColumnRenamed("k", key)
 
 
 def grown(dim: int, parts: list, r: float) -> list:
@@ -293,23 +404,32 @@ def isochrone(reached: DataFrame, edges: DataFrame, breaks_m: Sequence[float], b
     at = reached.select("id", "x", "y", "d", limits).filter("d <= limit_m")
     a = at.select("limit_m", F.col("id").alias("u"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     b = at.select("limit_m", F.col("id").alias("v"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    chords = edges.select("u", "v").join(a, "u").join(b, ["limit_m", "v"]).select("limit_m", G.line(G.xy(F.col("x1"), F.col("y1")), G.xy(F.col("x2"), F.col("y2"))).alias("g"))
-    shapes = at.select("limit_m", G.point(F.col("x"), F.col("y")).alias("g")).union(chords)
-    groups = shapes.groupBy("limit_m").agg(F.collect_list("g").alias("gs"))
+    met = edges.select("u", "v").join(a, "u").join(b, ["limit_m", "v"])
+    # Discs at the nodes and strips along the edges, as SQL expressions; each is a polygon of its own.
+    d = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    u, v = -(F.col("y2") - F.col("y1")) / d * buffer_m, (F.col("x2") - F.col("x1")) / d * buffer_m
+    corner = lambda n, s: G.xy(F.col(f"x{n}") + s * u, F.col(f"y{n}") + s * v)
+    strips = met.filter(d > 0).select("limit_m", G.polygon_of(F.array(corner(1, 1), corner(2, 1), corner(2, -1), corner(1, -1), corner(1, 1))).alias("geometry"))
+    discs = at.select("limit_m", G.circle(F.col("x"), F.col("y"), buffer_m).alias("geometry"))
+    return united(discs.union(strips), "limit_m", 8 * buffer_m).withColumnRenamed("k", "limit_m")
+
+
+def _rebuilt(rows: DataFrame, key_type: str) -> DataFrame:
+    """(k, geometry, area): each polygon by the even-odd rule."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            made = [trapezoids([[p for g in gs for p in grown(g["dim"], _parts(g), buffer_m)]], lambda n: n[0] > 0) for gs in f["gs"]]
-            yield pd.DataFrame({"limit_m": f["limit_m"], "geometry": [multi(m) for m in made], "area": [total_area(m) for m in made]})
+            cut = [trapezoids([[_parts(g)]], lambda n: n[0] > 0) for g in f["geometry"]]
+            yield pd.DataFrame({"k": f["k"], "geometry": [multi(c) for c in cut], "area": [total_area(c) for c in cut]})
 
-    return groups.mapInPandas(run, f"limit_m double, geometry {G.GEOMETRY}, area double")
+    return mapped(rows, run, f"k {key_type}, geometry {G.GEOMETRY}, area double")
 
 
 def repair_geometry(df: DataFrame, key: str) -> DataFrame:
     """Rows without a geometry go; polygons are rebuilt by the even-odd rule, and go if nothing is left of them."""
     rest = df.filter((F.col("geometry.dim") < 2) & (F.size(G.vertices(F.col("geometry"))) > 0))
-    rows = df.filter(F.col("geometry.dim") == 2).select(F.col(key).alias("k"), F.array("geometry").alias("gs"))
-    fixed = _union_rows(rows, dict(df.dtypes)[key]).filter("area > 0").select(F.col("k").alias("__k"), F.col("geometry").alias("__g"))
+    rows = df.filter(F.col("geometry.dim") == 2).select(F.col(key).alias("k"), "geometry")
+    fixed = _rebuilt(rows, dict(df.dtypes)[key]).filter("area > 0").select(F.col("k").alias("__k"), F.col("geometry").alias("__g"))
     polygons = df.join(fixed, df[key] == F.col("__k")).withColumn("geometry", F.col("__g")).drop("__k", "__g")
     return rest.unionByName(polygons)
 
@@ -336,4 +456,4 @@ def to_points(df: DataFrame) -> DataFrame:
         for f in frames:
             yield f.assign(geometry=[inner(g) for g in f["geometry"]])
 
-    return df.mapInPandas(run, schema)
+    return mapped(df, run, schema)

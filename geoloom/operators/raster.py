@@ -5,6 +5,7 @@ A grid says where cell (0, 0) has its upper left corner and how large cells are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -89,8 +90,56 @@ def warp(cells: DataFrame, band: str, source: Grid, target: Grid, to_source_x: C
     return met.groupBy("row", "col").agg(F.try_divide(F.sum(F.col("w") * F.col("z")), F.sum("w")).alias(band))
 
 
-def rasterize(df: DataFrame, grid: Grid, order: Sequence[str], value_field: str | None = None, fill: float | None = None) -> DataFrame:
-    """(row, col, value) of all cells of the grid whose centre a polygon covers, or that a point is in.
+def grid_of(df: DataFrame, cell: float) -> Grid | None:
+    """The grid of the layer's extent, widened to multiples of the cell; points and lines on its right or lower border get
+    one more cell. None for an empty layer.
+    """
+    b = G.bbox(F.col("geometry"))
+    flat = F.col("geometry.dim") < 2
+    ends = df.select(b.alias("b"), flat.alias("flat")).agg(
+        F.min("b.xmin"), F.min("b.ymin"), F.max("b.xmax"), F.max("b.ymax"), F.max(F.when(F.col("flat"), F.col("b.xmax"))), F.min(F.when(F.col("flat"), F.col("b.ymin")))
+    ).first()
+    if ends[0] is None:
+        return None
+    x0, y0 = math.floor(ends[0] / cell), math.ceil(ends[3] / cell)
+    cols, rows = max(1, math.ceil(ends[2] / cell) - x0), max(1, y0 - math.floor(ends[1] / cell))
+    cols += ends[4] is not None and ends[4] >= (x0 + cols) * cell
+    rows += ends[5] is not None and ends[5] <= (y0 - rows) * cell
+    return Grid(x0 * cell, y0 * cell, cell, rows, cols)
+
+
+def _on_line(rows: DataFrame, grid: Grid) -> DataFrame:
+    """rows once for each cell of the thin lines along their rings: one cell a step of the longer axis, as Bresenham draws."""
+    seg = rows.withColumn("__s", F.explode(F.flatten(F.transform(G.rings(F.col("geometry")), G.segments))))
+    cell = lambda end: (grid.row_of(F.col(f"__s.{end}.y")), grid.col_of(F.col(f"__s.{end}.x")))
+    (r0, c0), (r1, c1) = cell("a"), cell("b")
+    seg = seg.select(*rows.columns, r0.alias("__r"), c0.alias("__c"), (r1 - r0).alias("__dr"), (c1 - c0).alias("__dc"))
+    seg = seg.withColumn("__n", F.greatest(F.abs("__dr"), F.abs("__dc"))).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n"))))
+    minor = F.ceil((F.col("__i") * F.least(F.abs("__dr"), F.abs("__dc")) - F.floor(F.col("__n") / 2)) / F.greatest(F.col("__n"), F.lit(1)))
+    minor = F.greatest(minor, F.lit(0))
+    flat = F.abs("__dc") >= F.abs("__dr")
+    move = lambda d, longer: F.signum(F.col(d)).cast("long") * F.when(longer, F.col("__i")).otherwise(minor)
+    return seg.withColumn("row", F.col("__r") + move("__dr", ~flat)).withColumn("col", F.col("__c") + move("__dc", flat)).select(*rows.columns, "row", "col")
+
+
+def _touched(rows: DataFrame, grid: Grid) -> DataFrame:
+    """rows once for each cell that a segment of their rings passes through; a cell has its left and its upper border."""
+    seg = rows.withColumn("__s", F.explode(F.flatten(F.transform(G.rings(F.col("geometry")), G.segments))))
+    at = lambda end: ((F.col(f"__s.{end}.x") - grid.x0) / grid.cell, (grid.y0 - F.col(f"__s.{end}.y")) / grid.cell)
+    (ax, ay), (bx, by) = at("a"), at("b")
+    seg = seg.select(*rows.columns, F.when(ax <= bx, ax).otherwise(bx).alias("__x0"), F.when(ax <= bx, ay).otherwise(by).alias("__y0"), F.when(ax <= bx, bx).otherwise(ax).alias("__x1"), F.when(ax <= bx, by).otherwise(ay).alias("__y1"))
+    whole = lambda c: F.floor(c).cast("long")
+    seg = seg.withColumn("col", F.explode(F.sequence(whole(F.col("__x0")), whole(F.col("__x1")))))
+    slope = F.try_divide(F.col("__y1") - F.col("__y0"), F.col("__x1") - F.col("__x0"))
+    y_at = lambda x: F.coalesce(F.col("__y0") + slope * (x - F.col("__x0")), F.col("__y0"))
+    first = y_at(F.greatest(F.col("__x0"), F.col("col").cast("double")))
+    last = F.when(slope.isNull(), F.col("__y1")).otherwise(y_at(F.least(F.col("__x1"), F.col("col") + 1.0)))
+    return seg.withColumn("row", F.explode(F.sequence(whole(F.least(first, last)), whole(F.greatest(first, last))))).select(*rows.columns, "row", "col")
+
+
+def rasterize(df: DataFrame, grid: Grid, order: Sequence[str], value_field: str | None = None, fill: float | None = None, *, all_touched: bool = False) -> DataFrame:
+    """(row, col, value) of all cells of the grid that the objects burn: those whose centre a polygon covers, that a point
+    is in, or that a line steps through. all_touched: all cells that lines and the borders of polygons pass through.
 
     The later object by order wins; value 1 without value_field; fill is the value of all other cells.
     """
@@ -100,21 +149,29 @@ def rasterize(df: DataFrame, grid: Grid, order: Sequence[str], value_field: str
     rows = df.withColumn("__b", b).filter("__b.xmin IS NOT NULL")
     clip = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1))
     inside = (F.col("__b.xmax") >= grid.x0) & (F.col("__b.xmin") <= grid.x0 + grid.cell * grid.cols) & (F.col("__b.ymin") <= grid.y0) & (F.col("__b.ymax") >= grid.y0 - grid.cell * grid.rows)
-    rows = rows.filter(inside)
-    rows = rows.withColumn("row", F.explode(F.sequence(clip(grid.row_of(F.col("__b.ymax")), grid.rows), clip(grid.row_of(F.col("__b.ymin")), grid.rows))))
-    rows = rows.withColumn("col", F.explode(F.sequence(clip(grid.col_of(F.col("__b.xmin")), grid.cols), clip(grid.col_of(F.col("__b.xmax")), grid.cols))))
-    own = (F.col("row") == grid.row_of(F.col("__b.ymin"))) & (F.col("col") == grid.col_of(F.col("__b.xmin")))
-    covered = ((F.col("geometry.dim") == 0) & own) | ((F.col("geometry.dim") == 2) & G.covers_point(F.col("geometry"), grid.x(F.col("col")), grid.y(F.col("row"))))
     value = F.col(value_field).cast("double") if value_field else F.lit(1.0)
-    burnt = rows.filter(covered).groupBy("row", "col").agg(F.max_by(value, F.struct(*order)).alias("value"))
+    rows = rows.filter(inside).select("geometry", "__b", value.alias("__v"), F.struct(*order).alias("__o"))
+    points = rows.filter("geometry.dim = 0").withColumn("__p", F.explode(G.vertices(F.col("geometry"))))
+    burnt = points.select("__v", "__o", grid.row_of(F.col("__p.y")).alias("row"), grid.col_of(F.col("__p.x")).alias("col"))
+    area = rows.filter("geometry.dim = 2")
+    area = area.withColumn("row", F.explode(F.sequence(clip(grid.row_of(F.col("__b.ymax")), grid.rows), clip(grid.row_of(F.col("__b.ymin")), grid.rows))))
+    area = area.withColumn("col", F.explode(F.sequence(clip(grid.col_of(F.col("__b.xmin")), grid.cols), clip(grid.col_of(F.col("__b.xmax")), grid.cols))))
+    burnt = burnt.union(area.filter(G.covers_point(F.col("geometry"), grid.x(F.col("col")), grid.y(F.col("row")))).select("__v", "__o", "row", "col"))
+    lines = _touched(rows.filter("geometry.dim > 0"), grid) if all_touched else _on_line(rows.filter("geometry.dim = 1"), grid)
+    burnt = burnt.union(lines.select("__v", "__o", "row", "col")).filter((F.col("row").between(0, grid.rows - 1)) & F.col("col").between(0, grid.cols - 1))
+    burnt = burnt.groupBy("row", "col").agg(F.max_by("__v", "__o").alias("value"))
     return grid.cells(df.sparkSession).join(burnt, ["row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(fill).cast("double")))
 
 
 STATS = ("sum", "mean", "max", "min", "count", "std", "share")
 
 
-def zonal_stats(zones: DataFrame, cells: DataFrame, grid: Grid, key: str, band: str, stat: str = "sum", decimals: int | None = None, class_value: float = 1.0, output_field: str | None = None) -> DataFrame:
-    """zones (polygons, unique in key) with a statistic of the cells whose centre is inside; null without a valid cell."""
+def zonal_stats(zones: DataFrame, cells: DataFrame, grid: Grid, key: str, band: str, stat: str = "sum", decimals: int | None = None, class_value: float = 1.0, output_field: str | None = None, valid_share_field: str | None = None, min_valid_share: float | None = None) -> DataFrame:
+    """zones (polygons, unique in key) with a statistic of the cells whose centre is inside; null without a valid cell.
+
+    valid_share_field takes the share of a zone's cells that have a value; cells outside the raster have none, so it is
+    the number of valid cells by the zone's area in cells. Below min_valid_share the statistic is null.
+    """
     v = finite(F.col(band))
     tile = lambda c: F.floor(F.col(c) / TILE).cast("long")
     have = cells.select("row", "col", v.alias("__v")).filter("__v IS NOT NULL").withColumn("tr", tile("row")).withColumn("tc", tile("col"))
@@ -131,8 +188,15 @@ def zonal_stats(zones: DataFrame, cells: DataFrame, grid: Grid, key: str, band:
     }[stat]
     decimals = (3 if stat == "share" else 0) if decimals is None else decimals
     name = output_field or f"{stat}_value"
-    by_zone = met.groupBy("__k").agg(F.bround(value, decimals).alias(name))
-    return zones.join(by_zone, zones[key] == F.col("__k"), "left").drop("__k")
+    by_zone = met.groupBy("__k").agg(F.bround(value, decimals).alias(name), F.count("__v").alias("__n"))
+    out = zones.join(by_zone, zones[key] == F.col("__k"), "left").drop("__k")
+    if valid_share_field or min_valid_share is not None:
+        share = F.least(F.lit(1.0), F.try_divide(F.coalesce("__n", F.lit(0)), G.area(F.col("geometry")) / grid.cell**2))
+        if min_valid_share is not None:
+            out = out.withColumn(name, F.when(share >= min_valid_share, F.col(name)))
+        if valid_share_field:
+            out = out.withColumn(valid_share_field, share)
+    return out.drop("__n")
 
 
 def warp_area(cells: DataFrame, band: str, source: Grid, target: Grid, how: str = "average") -> DataFrame:

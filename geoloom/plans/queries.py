@@ -305,6 +305,20 @@ def clip_points(spark, sf_dir):
     return P.clip(_events(spark, sf_dir).select("event_id", "geometry"), _zones(spark).filter("zone % 7 = 0"), "event_id").select("event_id")
 
 
+_WAYS = "SELECT s_suppkey, s_suppkey * 7919 % 10007 AS x, s_suppkey * 104729 % 10009 AS y FROM supplier"
+
+
+@query(f"""WITH t AS (SELECT s.s_suppkey, greatest(0.0, (z.x0 - s.x) / 900.0, (z.y0 - s.y) / 1200.0) AS t0, least(1.0, (z.x0 + 1000 - s.x) / 900.0, (z.y0 + 1000 - s.y) / 1200.0) AS t1
+ FROM ({_WAYS}) s, ({_ZONES}) z WHERE z.zone % 7 = 0)
+SELECT s_suppkey, round(sum(1500.0::DOUBLE * (t1 - t0)), 3) AS length FROM t WHERE t1 > t0 GROUP BY s_suppkey""")
+def clip_lines(spark, sf_dir):
+    """Slanted lines, cut at the borders of a mask of squares."""
+    x, y = F.col("s_suppkey") * 7919 % 10007, F.col("s_suppkey") * 104729 % 10009
+    lines = _t(spark, sf_dir, "supplier").select("s_suppkey", G.line(G.xy(x, y), G.xy(x + 900, y + 1200)).alias("geometry"))
+    out = P.clip(lines, _zones(spark).filter("zone % 7 = 0"), "s_suppkey")
+    return out.select("s_suppkey", F.round(G.length(F.col("geometry")), 3).alias("length"))
+
+
 @query("SELECT z // 10 AS strip, 1e7 AS area FROM range(100) t(z) GROUP BY 1")
 def dissolve_strips(spark, sf_dir):
     zones = _zones(spark).withColumn("strip", F.floor(F.col("zone") / 10).cast("long"))
@@ -348,6 +362,15 @@ def rasterize_events(spark, sf_dir):
     return R.rasterize(_events(spark, sf_dir), _GRID, ["event_id"], "value")
 
 
+@query(f"""WITH s AS (SELECT s_suppkey, CAST(floor((10050 - y) / 50.0) AS BIGINT) AS r0, CAST(floor(x / 50.0) AS BIGINT) AS c0, CAST(floor((10050 - y - 1200) / 50.0) AS BIGINT) AS r1, CAST(floor((x + 900) / 50.0) AS BIGINT) AS c1 FROM ({_WAYS})),
+t AS (SELECT s_suppkey, r0 - i AS row, c0 + greatest(0, CAST(ceil((i * (c1 - c0) - (r0 - r1) // 2) / (r0 - r1)::DOUBLE) AS BIGINT)) AS col FROM s, range(25) g(i) WHERE i <= r0 - r1)
+SELECT row, col, max(s_suppkey)::DOUBLE AS value FROM t WHERE row BETWEEN 0 AND 200 AND col BETWEEN 0 AND 201 GROUP BY 1, 2""")
+def rasterize_lines(spark, sf_dir):
+    x, y = F.col("s_suppkey") * 7919 % 10007, F.col("s_suppkey") * 104729 % 10009
+    lines = _t(spark, sf_dir, "supplier").select("s_suppkey", G.line(G.xy(x, y), G.xy(x + 900, y + 1200)).alias("geometry"))
+    return R.rasterize(lines, _GRID, ["s_suppkey"], "s_suppkey").filter("value IS NOT NULL")
+
+
 _ZONAL = f"({_ZONES}) z LEFT JOIN ({_CELLS}) c ON (c.col + 0.5) * 50 BETWEEN z.x0 AND z.x0 + 1000 AND 10050 - (c.row + 0.5) * 50 BETWEEN z.y0 AND z.y0 + 1000 AND c.nir IS NOT NULL GROUP BY z.zone"
 
 
@@ -567,7 +590,7 @@ def rasterize_zones(spark, sf_dir):
     return R.rasterize(_zones(spark).filter("zone % 4 = 0"), _GRID, ["zone"]).filter("value IS NOT NULL")
 
 
-@query("""SELECT CAST(least(a, b) AS BIGINT) AS u, CAST(greatest(a, b) AS BIGINT) AS v, round(min(d), 6) AS length, count(DISTINCT (a, b)) AS parallel_edges FROM (
+@query("""SELECT CAST(least(a, b) AS BIGINT) AS u, CAST(greatest(a, b) AS BIGINT) AS v, round(min(d), 6) AS length, count(*) AS parallel_edges FROM (
 SELECT s_nationkey AS a, s_suppkey * 5 % 25 AS b, sqrt(power(s_nationkey * 7919 % 10007 - s_suppkey * 5 % 25 * 7919 % 10007, 2) + power(s_nationkey * 104729 % 10009 - s_suppkey * 5 % 25 * 104729 % 10009, 2)) AS d FROM supplier
 ) WHERE a <> b GROUP BY 1, 2""")
 def build_network(spark, sf_dir):
