@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from geoloom.functions import geometry as G
 from geoloom.functions.keys import CASTS, finite, normalize_key
 
 
@@ -120,13 +121,17 @@ def top_n(df: DataFrame, by: str, n: int, order: str = "desc", ties: Sequence[st
 
 
 def deduplicate(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], keep: str = "first") -> DataFrame:
-    """One row for each value of by: the first or last by order. Rows that miss a key all stay.
+    """One row for each value of by: the first or last by order, or that of the largest_geometry (area, or length; ties:
+    the first by order). Rows that miss a key all stay.
 
     An aggregation that combines before the shuffle, so a key that many rows share does not gather in one task.
     """
     need(df, *by)
     missing = reduce(Column.__or__, [F.col(c).isNull() for c in by])
-    pick = F.min_by if keep == "first" else F.max_by
+    if keep == "largest_geometry":
+        g = F.col("geometry")
+        order = [(-F.coalesce(G.area(g), G.length(g), F.lit(0.0))).alias("__size"), *order]
+    pick = F.max_by if keep == "last" else F.min_by
     one = df.filter(~missing).groupBy(*by).agg(pick(F.struct(*df.columns), F.struct(*order)).alias("__row")).select("__row.*")
     return one.unionByName(df.filter(missing))
 

@@ -350,12 +350,17 @@ def read_osm(spark: SparkSession, path: str, tags: dict | Sequence[dict], kinds:
     return rows.select(*[F.try_element_at("tags", F.lit(c)).alias(c) for c in columns], *(["tags"] if not columns else []), "geometry")
 
 
+#: Rows that a region may have; they are sent to all tasks.
+REGION_ROWS = 64
+
+
 def region_filter(df: DataFrame, region: DataFrame, how: str = "intersects") -> DataFrame:
-    """Rows that meet the region (one polygon row): by bounding boxes, or exactly, its border included."""
-    b, r = G.bbox(F.col("geometry")), region.select(F.col("geometry").alias("__r"), G.bbox(F.col("geometry")).alias("__rb")).limit(1)
+    """Rows that meet the region, all of its polygon rows together: by bounding boxes, or exactly, its border included."""
+    if region.limit(REGION_ROWS + 1).count() > REGION_ROWS:
+        raise ValueError(f"a region has up to {REGION_ROWS} rows; join with larger layers by spatial_join or clip")
+    b, r = G.bbox(F.col("geometry")), region.select(F.col("geometry").alias("__r"), G.bbox(F.col("geometry")).alias("__rb"))
     near = (b.xmin <= F.col("__rb.xmax")) & (b.xmax >= F.col("__rb.xmin")) & (b.ymin <= F.col("__rb.ymax")) & (b.ymax >= F.col("__rb.ymin"))
     test = near if how == "bbox" else near & G.intersects(F.col("geometry"), F.col("__r"))
-    # One row is broadcast.
     return df.join(F.broadcast(r), test, "left_semi")
 
 

@@ -1,4 +1,4 @@
-"""Services that answer in pages: OGC WFS, CKAN, REST, STAC scene search, geocoding.
+"""Services that answer in pages: OGC WFS, REST, STAC items, geocoding.
 
 A page is a row; tasks fetch pages in parallel through ``fetch(url) -> text`` (urllib unless given), so that tests and
 closed networks pass recorded answers. Only URL building is service-specific.
@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from geoloom.functions import geometry as G
 from geoloom.functions.keys import CASTS
+from geoloom.plans.stages import materialize
 from geoloom.sources.files import _from_geojson
 
 
@@ -53,15 +54,35 @@ def items(pages: DataFrame, path: str, columns: dict[str, str], x: str | None =
     return rows.select(*picked, g.alias("geometry"))
 
 
-def wfs_urls(base: str, layer: str, bbox: tuple[float, float, float, float], count: int, pages: int) -> list[str]:
-    """GetFeature requests (WFS 2.0, latitude first) for so many pages."""
+def all_pages(spark: SparkSession, urls_from: Callable[[int, int], list[str]], size: int, path: str, get: Callable[[str], str] = http, wave: int = 16, most: int = 10_000) -> DataFrame:
+    """(url, body) of the pages of a service up to the last one, which has fewer than ``size`` items at the dotted path.
+
+    urls_from(k, n) gives the addresses of n pages from page k on. Pages are fetched by tasks in waves and written; a
+    service that gives a page again has no more, and one that has ``most`` full pages is an error, never a shorter layer.
+    """
+    out, at = None, 0
+    items = F.size(F.from_json(F.get_json_object("body", "$." + path), "array<string>"))
+    while at < most:
+        n = min(wave, most - at)
+        got = materialize(fetch_pages(spark, urls_from(at, n), get), "pages")
+        full = got.agg(F.min(F.coalesce(items, F.lit(0))).alias("least"), F.count_distinct("body").alias("kinds")).first()
+        again = out is not None and not got.join(out.select("body"), "body", "left_semi").isEmpty()
+        out = got if out is None else out.union(got)
+        if full.least < size or full.kinds < n or again:
+            return out
+        at += n
+    raise ValueError(f"the service has more than {most} pages")
+
+
+def wfs_urls(base: str, layer: str, bbox: tuple[float, float, float, float], count: int, pages: int, start: int = 0) -> list[str]:
+    """GetFeature requests (WFS 2.0, latitude first) for so many pages from a page on; all_pages() finds how many there are."""
     west, south, east, north = bbox
     same = {"service": "WFS", "version": "2.0.0", "request": "GetFeature", "typeNames": layer, "outputFormat": "application/json", "bbox": f"{south},{west},{north},{east},urn:ogc:def:crs:EPSG::4326", "count": count}
-    return [f"{base}?{urlencode(same | {'startIndex': k * count})}" for k in range(pages)]
+    return [f"{base}?{urlencode(same | {'startIndex': k * count})}" for k in range(start, start + pages)]
 
 
-def offset_urls(base: str, limit: int, pages: int, **query: str) -> list[str]:
-    return [f"{base}?{urlencode(query | {'limit': limit, 'offset': k * limit})}" for k in range(pages)]
+def offset_urls(base: str, limit: int, pages: int, start: int = 0, **query: str) -> list[str]:
+    return [f"{base}?{urlencode(query | {'limit': limit, 'offset': k * limit})}" for k in range(start, start + pages)]
 
 
 def best_date(scenes: DataFrame, share: str = "covered", cloud: str = "cloud") -> DataFrame:

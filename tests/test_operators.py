@@ -1,7 +1,10 @@
 """Operators on small layers with known answers."""
 
 import math
+import os
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +208,100 @@ def test_power_grid(spark):
     assert sorted(r.kind for r in nodes.collect()) == ["end"] * 3 + ["substation"] * 2
     assert edges.count() == 3
     assert {"s1", "s2"} <= {n for e in edges.collect() for n in (e.u, e.v)}
+
+
+def _random_polygon(rng, cx, cy, r, n=9):
+    at = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+    ring = [(cx + rng.uniform(0.4, 1) * r * math.cos(t), cy + rng.uniform(0.4, 1) * r * math.sin(t)) for t in at]
+    return [*ring, ring[0]]
+
+
+def _has(polygon, x, y):
+    """Even-odd rule over all rings, for arrays of places."""
+    inside = np.zeros(len(x), bool)
+    for ring in polygon:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
+            spans = (y1 > y) != (y2 > y)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                inside ^= spans & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+    return inside
+
+
+def test_slanted_polygons_with_holes(spark):
+    """Shares, unions and differences of random polygons against the share of many places."""
+    rng = random.Random(12)
+    hole = lambda ring, cx, cy: [(cx + (x - cx) * 0.3, cy + (y - cy) * 0.3) for x, y in ring]
+    made = {}
+    for side in "ab":
+        for i in range(6):
+            cx, cy = rng.uniform(0, 3000), rng.uniform(0, 3000)
+            ring = _random_polygon(rng, cx, cy, 900)
+            made[side, i] = [ring, hole(ring, cx, cy)]
+    layer = lambda side: spark.createDataFrame(
+        [(i, ("Polygon", 2, [polygon])) for (s, i), polygon in made.items() if s == side], f"id int, geometry {G.GEOMETRY}")
+    x, y = (c.ravel() for c in np.meshgrid(np.arange(-997.3, 4000, 5.0), np.arange(-998.1, 4000, 5.0)))
+    each = 25.0
+    has = {k: _has(p, x, y) for k, p in made.items()}
+    any_b = np.any([h for (s, _), h in has.items() if s == "b"], axis=0)
+    any_a = np.any([h for (s, _), h in has.items() if s == "a"], axis=0)
+    near = lambda got, want: abs(got - want) < 3_000
+    for r in P.overlay(layer("a"), layer("b"), "id", "id", "difference").collect():
+        assert near(r.area, (has["a", r.id_1] & ~any_b).sum() * each)
+    for r in P.area_share(layer("a"), layer("b"), "id", absolute_field="m2").collect():
+        assert near(r.m2, (has["a", r.id] & any_b).sum() * each)
+    whole = P.dissolve(layer("a").withColumn("one", F.lit(1)), by="one", first=["id"], order=["id"]).first()
+    assert near(whole.area, any_a.sum() * each)
+    assert whole.id == 0
+    again = P.area_share(layer("a").limit(1), P.dissolve(layer("a").withColumn("one", F.lit(1)), by="one"), "id", decimals=6).first()
+    assert again.share == 1.0  # the result of a union is a layer again
+
+
+def test_lines_in_cells(spark):
+    grid = R.Grid(0.0, 40.0, 10.0, 4, 4)
+    line = spark.createDataFrame([(1, ("LineString", 1, [[[(1.0, 39.0), (38.0, 12.0)]]]))], f"id int, geometry {G.GEOMETRY}")
+    thin = {(r.row, r.col) for r in R.rasterize(line, grid, ["id"]).filter("value = 1").collect()}
+    thick = {(r.row, r.col) for r in R.rasterize(line, grid, ["id"], all_touched=True).filter("value = 1").collect()}
+    t = np.linspace(0, 1, 100_001)
+    want = set(zip(((40 - (39 - 27 * t)) // 10).astype(int).tolist(), ((1 + 37 * t) // 10).astype(int).tolist(), strict=True))
+    assert thick == want
+    assert thin <= want
+    assert len(thin) == 4
+    assert R.grid_of(line, 10.0) == R.Grid(0.0, 40.0, 10.0, 3, 4)
+    edge = spark.createDataFrame([(1, ("Point", 0, [[[(20.0, 10.0)]]])), (2, ("Point", 0, [[[(0.0, 30.0)]]]))], f"id int, geometry {G.GEOMETRY}")
+    assert R.grid_of(edge, 10.0) == R.Grid(0.0, 30.0, 10.0, 3, 3)
+
+
+def test_parallel_lines_count_and_keep_columns(spark):
+    ends = [("LineString", 1, [[[(0.0, 0.0), (10.0, 0.0)]]]), ("LineString", 1, [[[(0.0, 0.0), (10.0, 0.0)]]]), ("LineString", 1, [[[(0.0, 0.0), (5.0, 5.0), (10.0, 0.0)]]])]
+    lines = spark.createDataFrame([("a", ends[0]), ("b", ends[1]), ("c", ends[2])], f"name string, geometry {G.GEOMETRY}")
+    nodes = spark.createDataFrame([(1, ("Point", 0, [[[(0.0, 0.0)]]])), (2, ("Point", 0, [[[(10.0, 0.0)]]]))], f"id int, geometry {G.GEOMETRY}")
+    (edge,) = N.build_network(lines, nodes, 1.0)[1].collect()
+    assert (edge.u, edge.v, edge.length, edge.parallel_edges) == (1, 2, 10.0, 3)
+    assert edge.name in ("a", "b")
+
+
+def test_clip_cuts_lines(spark):
+    line = spark.createDataFrame([(1, ("LineString", 1, [[[(-500.0, 5.0), (500.0, 5.0)]]])), (2, ("LineString", 1, [[[(20.0, 0.0), (20.0, 9.0)]]]))], f"id int, geometry {G.GEOMETRY}")
+    mask = spark.createDataFrame([(("Polygon", 2, [[[(-50.0, 0.0), (10.0, 0.0), (10.0, 10.0), (-50.0, 10.0), (-50.0, 0.0)]]]),), (("Polygon", 2, [[[(0.0, 0.0), (30.0, 0.0), (0.0, 30.0), (0.0, 0.0)]]]),)], f"geometry {G.GEOMETRY}")
+    out = {r.id: r for r in P.clip(line, mask, "id").withColumn("length", G.length(F.col("geometry"))).collect()}
+    assert out[1].length == pytest.approx(75)
+    assert len(out[1].geometry.parts) == 1
+    assert out[2].length == pytest.approx(9)
+
+
+def test_shared_folder(spark):
+    from geoloom.plans import stages
+
+    class Far:
+        conf = spark.conf
+        sparkContext = type("C", (), {"master": "spark://far:7077"})()
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError, match="checkpoint"):
+            stages.shared_dir(Far())
+    with stages.scratch(spark) as paths:
+        df, path = stages.written(spark.range(3), "test")
+        assert df.count() == 3
+        assert path in paths
+    assert not os.path.exists(path)
+    assert path not in paths

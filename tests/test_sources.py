@@ -4,6 +4,7 @@ import json
 import sqlite3
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
@@ -18,6 +19,24 @@ def layer(spark):
     return spark.createDataFrame([(1, "a\"b", "POINT (1 2)"), (2, None, "POLYGON ((0 0, 2 0, 2 2, 0 0))"), (3, "c", "MULTILINESTRING ((0 0, 1 1), (2 2, 3 3))")], "id long, name string, t string").select("id", "name", G.from_wkt(F.col("t")).alias("geometry"))
 
 
+def test_paging_goes_to_the_end(spark):
+    from urllib.parse import parse_qs, urlparse
+
+    def service(n):
+        def get(url):
+            q = {k: int(v[0]) for k, v in parse_qs(urlparse(url).query).items()}
+            return json.dumps({"items": [{"id": i} for i in range(q["offset"], min(n, q["offset"] + q["limit"]))]})
+
+        return get
+
+    urls = lambda at, n: web.offset_urls("http://x", 5, n, at)
+    for n in (0, 3, 5, 23, 40):
+        pages = web.all_pages(spark, urls, 5, "items", service(n), wave=2)
+        assert sorted(r.id for r in web.items(pages, "items", {"id": "integer"}).collect()) == list(range(n))
+    with pytest.raises(ValueError, match="more than 4 pages"):
+        web.all_pages(spark, urls, 5, "items", service(100), wave=2, most=4)
+
+
 def test_geojson_round_trip(spark, tmp_path):
     df = layer(spark)
     writers.write_geojson(df, str(tmp_path / "out"))
