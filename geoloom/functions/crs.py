@@ -70,10 +70,80 @@ def project(lon: Column, lat: Column, epsg: int) -> tuple[Column, Column]:
     raise ValueError(f"no formula for EPSG:{epsg}")
 
 
-def reproject(g: Column, epsg: int) -> Column:
-    """A geometry in WGS84 degrees, in another reference system; an error if a vertex is not finite there."""
+def _from_tm(x: Column, y: Column, lon0: float) -> tuple[Column, Column]:
+    n = FLAT / (2 - FLAT)
+    a = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi0, eta0 = y / (0.9996 * a), (x - 500000) / (0.9996 * a)
+    xi, eta = xi0, eta0
+    for j, c in enumerate(beta, 1):
+        xi = xi - c * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
+        eta = eta - c * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    phi = chi
+    for j, c in enumerate(delta, 1):
+        phi = phi + c * F.sin(2 * j * chi)
+    return lon0 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(phi)
+
+
+def _from_authalic(beta: Column) -> Column:
+    """Geodetic latitude in degrees of an authalic one."""
+    e4, e6 = E2**2, E2**3
+    terms = (E2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040, 23 * e4 / 360 + 251 * e6 / 3780, 761 * e6 / 45360)
+    phi = beta
+    for j, c in enumerate(terms, 1):
+        phi = phi + c * F.sin(2 * j * beta)
+    return F.degrees(phi)
+
+
+def _from_laea(x: Column, y: Column, lon0: float, lat0: float, x0: float, y0: float) -> tuple[Column, Column]:
+    qp, p0 = _q0(math.pi / 2), math.radians(lat0)
+    beta0 = math.asin(_q0(p0) / qp)
+    rq = A * math.sqrt(qp / 2)
+    d = A * math.cos(p0) / math.sqrt(1 - E2 * math.sin(p0) ** 2) / (rq * math.cos(beta0))
+    dx, dy = (x - x0) / d, (y - y0) * d
+    rho = F.hypot(dx, dy)
+    c = 2 * F.asin(rho / (2 * rq))
+    beta = F.asin(F.cos(c) * math.sin(beta0) + F.when(rho > 0, dy * F.sin(c) * math.cos(beta0) / rho).otherwise(0.0))
+    lam = F.atan2(dx * F.sin(c), rho * math.cos(beta0) * F.cos(c) - dy * math.sin(beta0) * F.sin(c))
+    return lon0 + F.degrees(lam), _from_authalic(beta)
+
+
+def unproject(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
+    """(longitude, latitude) in WGS84 degrees of coordinates in a reference system that project() knows."""
+    if epsg == 4326:
+        return x, y
+    if epsg == 3857:
+        return F.degrees(x / A), F.degrees(2 * F.atan(F.exp(y / A)) - math.pi / 2)
+    if epsg == 3035:
+        return _from_laea(x, y, 10.0, 52.0, 4321000.0, 3210000.0)
+    if epsg == 6933:
+        p = math.radians(30)
+        k = math.cos(p) / math.sqrt(1 - E2 * math.sin(p) ** 2)
+        return F.degrees(x / (A * k)), _from_authalic(F.asin(2 * k * y / A / _q0(math.pi / 2)))
+    zone = epsg % 100
+    if epsg // 100 in (326, 327, 258) and 1 <= zone <= 60:
+        return _from_tm(x, y - 1e7 if epsg // 100 == 327 else y, 6.0 * zone - 183)
+    raise ValueError(f"no formula for EPSG:{epsg}")
+
+
+def between(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
+    """Coordinates of one reference system in another; also what warp() asks for, from the target's to the source's."""
+    return (x, y) if source == target else project(*unproject(x, y, source), target)
+
+
+def utm_epsg(lon: float, lat: float) -> int:
+    """The UTM zone of a place, as EPSG code; an error beyond 84 degrees of latitude."""
+    if abs(lat) > 84:
+        raise ValueError(f"there is no UTM zone at {lat:.1f} degrees of latitude")
+    return (32600 if lat >= 0 else 32700) + min(60, int((lon + 180) // 6) + 1)
+
+
+def reproject(g: Column, epsg: int, source: int = 4326) -> Column:
+    """A geometry in another reference system; an error if a vertex is not finite there."""
     def move(v: Column) -> Column:
-        x, y = project(v["x"], v["y"], epsg)
+        x, y = between(v["x"], v["y"], source, epsg)
         ok = (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
         return F.when(ok, G.named(x=x, y=y)).otherwise(F.raise_error(F.lit("a vertex cannot be projected")).cast(G.XY))
 

@@ -88,19 +88,46 @@ def build_network(lines: DataFrame, nodes: DataFrame, tolerance_m: float, node_k
     return at, merge_parallel(both, ["row", "part"]).drop("row", "part")
 
 
-def line_network(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): lines are split at their ends and at vertices that occur twice or more. ids number places by (x, y)."""
-    parts = lines.select(F.explode("geometry.parts").alias("p")).select(F.xxhash64("p", F.monotonically_increasing_id()).alias("k"), F.col("p")[0].alias("ring"))
-    verts = materialize(parts.select("k", F.size("ring").alias("n"), F.posexplode("ring").alias("i", "v")).select("k", "n", "i", "v.x", "v.y"), "vertices")
-    ends = verts.filter("i = 0 OR i = n - 1").select("x", "y")
+#: Columns of edges that line_network() makes itself.
+MADE = ("length", "geometry", "travel_time_min", "u", "v", "parallel_edges")
+
+
+def line_network(lines: DataFrame, speed_kmh: float | None = None, tolerance_m: float = 0.0, attributes: Sequence[str] = (), polygons: str = "skip") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): lines are split at their ends and at vertices that occur twice or more. ids number places by (x, y).
+
+    Edges have their geometry, travel_time_min if there is a speed, and the attributes of their lines. Vertices that single
+    linkage joins within the tolerance become the smallest (x, y) of them; lines that shrink to a point go. Polygons are
+    skipped, or give their boundary. Of parallel edges the shortest stays.
+    """
+    if clash := [n for n in attributes if n in MADE]:
+        raise ValueError(f"line_network makes {', '.join(clash)} itself")
+    wanted = F.col("geometry.dim") == 1
+    wanted = wanted | (F.col("geometry.dim") == 2) if polygons == "boundary" else wanted
+    held = F.struct(F.lit(0).alias("_"), *attributes).alias("a")
+    parts = lines.filter(wanted).select(F.monotonically_increasing_id().alias("row"), held, F.posexplode(G.rings(F.col("geometry"))).alias("part", "ring"))
+    verts = parts.select(F.struct("row", "part").alias("k"), "a", F.posexplode("ring").alias("i", "p")).select("k", "a", "i", "p.x", "p.y")
+    verts = materialize(verts, "vertices")
+    if tolerance_m > 0:
+        spots = verts.select("x", "y").distinct().withColumn("id", F.struct("x", "y"))
+        moved = merge_ends(spots, tolerance_m).select("x", "y", "group")
+        verts = verts.join(moved, ["x", "y"]).select("k", "a", "i", "group.x", "group.y")
+    line = Window.partitionBy("k").orderBy("i")
+    was = F.lag(F.struct("x", "y")).over(line)
+    verts = verts.withColumn("was", was).filter(~F.col("was").eqNullSafe(F.struct("x", "y")))
+    verts = verts.withColumn("to", F.lead(F.struct("x", "y")).over(line)).filter("was IS NOT NULL OR to IS NOT NULL")
+    verts = materialize(verts, "vertices")
+    ends = verts.filter("was IS NULL OR to IS NULL").select("x", "y")
     shared = verts.groupBy("x", "y").agg(F.count("*").alias("m")).filter("m > 1").select("x", "y")
     spots = ends.union(shared).distinct().withColumn("id", F.format_string("%.6f/%.6f", "x", "y"))
-    line = Window.partitionBy("k").orderBy("i")
-    flags = verts.join(spots, ["x", "y"], "left").withColumn("piece", F.count("id").over(line))
-    step = F.hypot(F.lead("x").over(line) - F.col("x"), F.lead("y").over(line) - F.col("y"))
-    pieces = flags.withColumn("d", step).withColumn("end", F.lead("id").over(line))
-    edges = pieces.filter("d IS NOT NULL").groupBy("k", "piece").agg(F.sum("d").alias("length"), F.min_by("id", "i").alias("u"), F.max_by("end", "i").alias("v"))
-    return spots.select("id", "x", "y"), merge_parallel(edges.filter("u <> v").select("u", "v", "length"))
+    flags = verts.join(spots, ["x", "y"], "left").withColumn("piece", F.count("id").over(line)).withColumn("end", F.lead("id").over(line))
+    steps = flags.filter("to IS NOT NULL").withColumn("d", F.hypot(F.col("to.x") - F.col("x"), F.col("to.y") - F.col("y")))
+    drawn = F.transform(F.array_sort(F.collect_list(F.struct("i", "x", "y"))), lambda p: G.xy(p["x"], p["y"]))
+    edges = steps.groupBy("k", "piece").agg(F.sum("d").alias("length"), F.min_by("id", "i").alias("u"), F.max_by("end", "i").alias("v"), F.any_value("a").alias("a"), F.concat(drawn, F.array(F.max_by("to", "i"))).alias("ring"))
+    edges = edges.filter("u <> v").select("u", "v", "length", *[F.col(f"a.{n}").alias(n) for n in attributes], G.line_of(F.col("ring")).alias("geometry"), "k", "piece")
+    edges = merge_parallel(edges, ["k", "piece"]).drop("k", "piece")
+    if speed_kmh:
+        edges = edges.withColumn("travel_time_min", F.col("length") / 1000 / speed_kmh * 60)
+    return spots.select("id", "x", "y"), edges
 
 
 def network_nodes(lines: DataFrame, decimals: int = 6) -> DataFrame:
@@ -129,19 +156,20 @@ def _both_ways(edges: DataFrame, weight: str = "length") -> DataFrame:
 GENERATIONS = 12
 
 
-def distances(edges: DataFrame, sources: DataFrame, weight: str = "length", paths: bool = False, limit: float | None = None) -> DataFrame:
-    """(source, node, d[, path]) of all nodes that each source (source, node) reaches, within the limit if there is one.
+def distances(edges: DataFrame, sources: DataFrame, weight: str = "length", before: bool = False, limit: float | None = None) -> DataFrame:
+    """(source, node, d[, before]) of all nodes that each source (source, node) reaches, within the limit if there is one.
 
-    Rounds over the changed nodes: each round writes only these, and what is known is the least of all generations.
+    before is the node ahead on the shortest way (ties: the smaller), null at the source. Rounds over the changed nodes:
+    each round writes only these, and what is known is the least of all generations.
     """
     arcs = materialize(_both_ways(edges, weight), "arcs")
-    start = sources.select("source", "node", F.lit(0.0).alias("d"), *([F.array("node").alias("path")] if paths else []))
-    extra = ["path"] if paths else []
-    fresh = materialize(start, "reached")
+    extra = ["before"] if before else []
+    none = F.lit(None).cast(dict(arcs.dtypes)["u"]).alias("before")
+    fresh = materialize(sources.select("source", "node", F.lit(0.0).alias("d"), *([none] if before else [])), "reached")
     known = [fresh]
     best_of = lambda rows: rows.groupBy("source", "node").agg(F.min(F.struct("d", *extra)).alias("b")).select("source", "node", "b.*")
     while True:
-        step = fresh.join(arcs, fresh.node == arcs.u).select("source", F.col("v").alias("node"), (F.col("d") + F.col("w")).alias("d"), *([F.concat("path", F.array("v")).alias("path")] if paths else []))
+        step = fresh.join(arcs, fresh.node == arcs.u).select("source", F.col("v").alias("node"), (F.col("d") + F.col("w")).alias("d"), *([F.col("u").alias("before")] if before else []))
         step = step if limit is None else step.filter(F.col("d") <= limit)
         old = reduce(DataFrame.union, [k.select("source", "node", "d") for k in known]).groupBy("source", "node").agg(F.min("d").alias("was"))
         fresh = materialize(best_of(step).join(old, ["source", "node"], "left").filter("was IS NULL OR d < was").drop("was"), "reached")
@@ -177,21 +205,74 @@ def reached(nodes: DataFrame, edges: DataFrame, origins: DataFrame, key: str, ma
     return distances(edges, starts, limit=limit_m).select(F.col("node").alias("id"), "d").join(nodes, "id").select("id", "x", "y", "d")
 
 
-def route(nodes: DataFrame, edges: DataFrame, origins: DataFrame, destinations: DataFrame, key: str, max_snap_m: float, pairing: str = "pairwise", weight: str = "length") -> DataFrame:
-    """A row for each pair (same key, or all): length_m, straight_line_m, detour_factor, snaps and the way as a line.
+def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes of the component with the most nodes (ties: that of the smaller id)."""
+    of = materialize(connected_components(nodes, edges), "component")
+    top = of.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    return of.join(F.broadcast(top.select("component")), "component", "left_semi").select(*nodes.columns)
+
+
+def steps_back(ways: DataFrame, ends: DataFrame) -> DataFrame:
+    """(source, target, node, i): the nodes of the way from source to target for each of ends (source, target); i counts
+    steps before the target. ways is what distances() gives with before.
+
+    Leaps of 1, 2, 4, ... nodes are made by joining leaps with themselves; each leap then doubles the nodes of a way that
+    are known. So a way of n nodes takes about 2 log2(n) joins, and only the ways that were asked for are laid out.
+    """
+    leaps = [materialize(ways.filter("before IS NOT NULL").select("source", "node", F.col("before").alias("up")), "leaps")]
+    while not leaps[-1].isEmpty():
+        half = leaps[-1].withColumnRenamed("up", "mid")
+        leaps.append(materialize(half.join(leaps[-1].withColumnRenamed("node", "mid"), ["source", "mid"]).select("source", "node", "up"), "leaps"))
+    out = ends.select("source", "target", F.col("target").alias("node"), F.lit(0).alias("i"))
+    for k, leap in reversed(list(enumerate(leaps[:-1]))):
+        far = out.join(leap, ["source", "node"]).select("source", "target", F.col("up").alias("node"), (F.col("i") + (1 << k)).alias("i"))
+        out = materialize(out.union(far), "steps")
+    return out
+
 
-    pairing cross pairs every origin with every destination, as asked; nothing else is crossed.
+def _laid(steps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, target, length_m[, travel_time_min], path, geometry) of the ways that steps are of; no line for a single node."""
+    times = [c for c in ("travel_time_min",) if c in edges.columns]
+    order = Window.partitionBy("source", "target").orderBy(F.desc("i"))
+    at = steps.join(nodes.select(F.col("id").alias("node"), "x", "y"), "node").withColumn("from", F.lag(F.struct("node", "x", "y")).over(order))
+    ring = F.col("geometry.parts")[0][0] if "geometry" in edges.columns else F.lit(None).cast(f"array<{G.XY}>")
+    of = edges.select(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"), "length", *times, ring.alias("ring"))
+    met = at.withColumn("lo", F.least("node", "from.node")).withColumn("hi", F.greatest("node", "from.node")).join(of, ["lo", "hi"], "left")
+    # An edge is drawn either way; it starts at whichever of its ends is nearer to where the way comes from.
+    away = lambda e: F.hypot(e["x"] - F.col("from.x"), e["y"] - F.col("from.y"))
+    turned = F.when(away(F.get("ring", F.lit(0))) <= away(F.try_element_at("ring", F.lit(-1))), F.col("ring")).otherwise(F.reverse("ring"))
+    drawn = F.coalesce(turned, F.array(G.xy(F.col("from.x"), F.col("from.y")), G.xy(F.col("x"), F.col("y"))))
+    piece = F.when(F.col("from").isNotNull(), drawn).otherwise(F.array().cast(f"array<{G.XY}>"))
+    sums = [F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for c, n in (("length", "length_m"), *((t, t) for t in times))]
+    one = met.groupBy("source", "target").agg(*sums, F.array_sort(F.collect_list(F.struct((-F.col("i")).alias("o"), "node", piece.alias("p")))).alias("s"))
+    joined = F.flatten(F.transform("s", lambda s, j: F.when(j <= 1, s["p"]).otherwise(F.slice(s["p"], 2, F.greatest(F.size(s["p"]) - 1, F.lit(0))))))
+    return one.select("source", "target", "length_m", *times, F.transform("s", lambda s: s["node"]).alias("path"), F.when(F.size("s") > 1, G.line_of(joined)).alias("geometry"))
+
+
+def route(nodes: DataFrame, edges: DataFrame, origins: DataFrame, destinations: DataFrame, key: str, max_snap_m: float, pairing: str = "pairwise", weight: str = "length", snap_to: str = "largest_component") -> DataFrame:
+    """A row for each pair (same key, or all): length_m, travel_time_min if edges have it, straight_line_m, detour_factor,
+    snaps, path (ids of nodes) and geometry, the line along the edges (straight where an edge has no geometry).
+
+    A pair that cannot be snapped or joined has nulls. pairing cross pairs every origin with every destination, as asked;
+    nothing else is crossed.
     """
-    a = _snap(origins, nodes, key, max_snap_m).select(F.col("k").alias("origin"), F.col("node").alias("a"), F.col("snap").alias("origin_snap_m"))
-    b = _snap(destinations, nodes, key, max_snap_m).select(F.col("k").alias("destination"), F.col("node").alias("b"), F.col("snap").alias("destination_snap_m"))
+    if weight not in edges.columns:
+        raise ValueError(f"edges have no {weight}")
+    snapped = largest_component(nodes, edges) if snap_to == "largest_component" else nodes
+    a = _snap(origins, snapped, key, max_snap_m).select(F.col("k").alias("origin"), F.col("node").alias("source"), F.col("snap").alias("origin_snap_m"))
+    b = _snap(destinations, snapped, key, max_snap_m).select(F.col("k").alias("destination"), F.col("node").alias("target"), F.col("snap").alias("destination_snap_m"))
     at = lambda df, n, x, y: df.select(F.col(key).alias(n), G.px(F.col("geometry")).alias(x), G.py(F.col("geometry")).alias(y))
     o, d = at(origins, "origin", "ox", "oy"), at(destinations, "destination", "dx", "dy")
     asked = o.crossJoin(d) if pairing == "cross" else o.join(d, o.origin == d.destination)
-    asked = asked.join(a, "origin", "left").join(b, "destination", "left")
-    ways = distances(edges, a.select(F.col("a").alias("source"), F.col("a").alias("node")).distinct(), weight, paths=True)
-    found = asked.join(ways.select(F.col("source").alias("a"), F.col("node").alias("b"), "d", "path"), ["a", "b"], "left")
+    asked = materialize(asked.join(a, "origin", "left").join(b, "destination", "left"), "asked")
+    ends = asked.filter("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct()
+    ways = materialize(distances(edges, ends.select("source", F.col("source").alias("node")).distinct(), weight, before=True), "ways")
+    found = ends.join(ways.select("source", F.col("node").alias("target")), ["source", "target"], "left_semi")
+    laid = _laid(steps_back(ways, found), nodes, edges)
     straight = F.hypot(F.col("dx") - F.col("ox"), F.col("dy") - F.col("oy"))
-    return found.select("origin", "destination", F.col("d").alias("length_m"), straight.alias("straight_line_m"), F.try_divide("d", straight).alias("detour_factor"), "origin_snap_m", "destination_snap_m", "path")
+    times = [c for c in laid.columns if c == "travel_time_min"]
+    out = asked.join(laid, ["source", "target"], "left")
+    return out.select("origin", "destination", "length_m", *times, straight.alias("straight_line_m"), F.try_divide("length_m", straight).alias("detour_factor"), "origin_snap_m", "destination_snap_m", "path", "geometry")
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -431,17 +431,37 @@ def network_distances(spark, sf_dir):
     return N.distances(edges, spark.range(1).select(F.lit(0).alias("source"), F.lit(0).cast("long").alias("node"))).select("node", "d")
 
 
-@query()
+# All shortest distances d(s, t) of the graph: paths of up to 1, 2, 4, ... 32 edges, more than 25 nodes have.
+_ALL_PAIRS = f"""e AS (SELECT u, v, min(length) AS w FROM (SELECT u, v, length FROM ({_LINKS}) WHERE u <> v UNION ALL SELECT v, u, length FROM ({_LINKS}) WHERE u <> v) GROUP BY 1, 2),
+d0 AS (SELECT u AS s, v AS t, w AS d FROM e UNION ALL SELECT n_nationkey, n_nationkey, 0 FROM nation),
+{", ".join(f"d{i + 1} AS MATERIALIZED (SELECT a.s, b.t, min(a.d + b.d) AS d FROM d{i} a JOIN d{i} b ON a.t = b.s GROUP BY 1, 2)" for i in range(5))}"""
+
+
+@query(f"""WITH RECURSIVE {_ALL_PAIRS},
+ways AS (SELECT n_nationkey AS s, n_nationkey AS t FROM nation UNION ALL
+  SELECT ways.s, e.v FROM ways JOIN e ON e.u = ways.t JOIN d5 a ON a.s = ways.s AND a.t = ways.t JOIN d5 b ON b.s = ways.s AND b.t = e.v WHERE a.d + e.w = b.d),
+sigma AS MATERIALIZED (SELECT ways.s, ways.t, count(*) AS n, any_value(d) AS d FROM ways JOIN d5 ON d5.s = ways.s AND d5.t = ways.t GROUP BY 1, 2),
+share AS (SELECT a.t AS id, sum(a.n * b.n / c.n) AS x FROM sigma a JOIN sigma b ON b.s = a.t JOIN sigma c ON c.s = a.s AND c.t = b.t WHERE a.d + b.d = c.d AND a.t <> a.s AND a.t <> b.t GROUP BY 1),
+apart AS (SELECT c.n_nationkey AS cut, s.n_nationkey AS s, s.n_nationkey AS t FROM nation c, nation s WHERE c.n_nationkey <> s.n_nationkey UNION
+  SELECT apart.cut, apart.s, e.v FROM apart JOIN e ON e.u = apart.t WHERE e.v <> apart.cut),
+points AS (SELECT DISTINCT a.u AS id FROM e a JOIN e b ON a.u = b.u LEFT JOIN apart r ON r.cut = a.u AND r.s = a.v AND r.t = b.v WHERE r.cut IS NULL)
+SELECT CAST(n_nationkey AS BIGINT) AS id, round(coalesce(x, 0) / (SELECT (count(*) - 1) * (count(*) - 2) FROM nation), 9) AS betweenness, points.id IS NOT NULL AS is_articulation_point,
+  CAST((SELECT min(t) FROM d5 WHERE s = n_nationkey) AS BIGINT) AS component
+FROM nation LEFT JOIN share ON share.id = n_nationkey LEFT JOIN points ON points.id = n_nationkey""")
 def centrality(spark, sf_dir):
     nodes, edges = N.edge_list_network(_places(spark, sf_dir), _links(spark, sf_dir), "id", "a", "b", "km", 1000.0)
     return N.centrality(nodes, edges)[0].select("id", F.round("betweenness", 9).alias("betweenness"), "is_articulation_point", "component")
 
 
-@query()
+@query(f"""WITH {_ALL_PAIRS},
+p AS (SELECT n_nationkey AS k, n_nationkey * 7919 % 10007 AS x, n_nationkey * 104729 % 10009 AS y FROM nation),
+r AS (SELECT o.k, sqrt(power(o.x - g.x, 2) + power(o.y - g.y, 2)) AS straight, CAST(d AS DOUBLE) AS d FROM p o JOIN p g ON g.k = (o.k + 24) % 25 LEFT JOIN d5 ON d5.s = o.k AND d5.t = g.k)
+SELECT CAST(k AS BIGINT) AS origin, CAST(k AS BIGINT) AS destination, d AS length_m, round(straight, 6) AS straight_line_m, round(d / straight, 9) AS detour_factor, CAST(0 AS DOUBLE) AS origin_snap_m, CAST(0 AS DOUBLE) AS destination_snap_m FROM r""")
 def route_pairs(spark, sf_dir):
     nodes, edges = N.edge_list_network(_places(spark, sf_dir), _links(spark, sf_dir), "id", "a", "b", "km", 1000.0)
     points = nodes.select("id", G.point(F.col("x"), F.col("y")).alias("geometry"))
-    return N.route(nodes, edges, points, points.withColumn("id", (F.col("id") + 1) % 25), "id", 1.0).drop("path")
+    ways = N.route(nodes, edges, points, points.withColumn("id", (F.col("id") + 1) % 25), "id", 1.0, snap_to="any_node")
+    return ways.drop("path", "geometry").withColumns({"straight_line_m": F.round("straight_line_m", 6), "detour_factor": F.round("detour_factor", 9)})
 
 
 @query("SELECT DISTINCT CAST(k AS DOUBLE) AS x, CAST(k % 7 AS DOUBLE) AS y FROM (SELECT s_suppkey AS k FROM supplier UNION ALL SELECT s_suppkey + 1 FROM supplier)")

@@ -184,6 +184,60 @@ def test_networks(spark):
         N.edge_list_network(nodes, spark.createDataFrame([(0, 77)], "a long, b long"), "id", "a", "b")[1].collect()
 
 
+def test_routes_are_lines(spark):
+    t = ["LINESTRING (0 0, 50 10, 100 0)", "LINESTRING (200 0, 150 40, 100 0)", "LINESTRING (100 0, 100 0, 100 100)", "LINESTRING (900 900, 990 900)", "POLYGON ((0 0, -50 0, -50 -50, 0 0))"]
+    lines = spark.createDataFrame([(i, f"w{i}", x) for i, x in enumerate(t)], "i long, way string, t string").select("i", "way", G.from_wkt(F.col("t")).alias("geometry"))
+    nodes, edges = N.line_network(lines, speed_kmh=6.0, attributes=["way"])
+    assert (nodes.count(), edges.count()) == (6, 4)
+    assert values(edges, "way", "parallel_edges") == [("w0", 1), ("w1", 1), ("w2", 1), ("w3", 1)]
+    a, b, c = 2 * math.hypot(50, 10), 2 * math.hypot(50, 40), 100.0
+    r = N.route(nodes, edges, points(spark, [(1, 0.0, 1.0), (2, 900.0, 900.0), (3, 100.0, 0.0)]), points(spark, [(1, 200.0, 0.0), (2, 990.0, 900.0), (3, 100.0, 0.0)]), "id", 5.0, weight="travel_time_min")
+    one, two, three = sorted(r.collect())
+    assert (one.length_m, one.travel_time_min) == (pytest.approx(a + b), pytest.approx((a + b) / 100))
+    assert [(p.x, p.y) for p in one.geometry.parts[0][0]] == [(0, 0), (50, 10), (100, 0), (150, 40), (200, 0)]
+    assert one.origin_snap_m == 1.0
+    assert (two.length_m, two.origin_snap_m, two.geometry) == (None, None, None)  # not in the largest component
+    assert (three.length_m, three.path, three.geometry) == (0.0, ["100.000000/0.000000"], None)
+    any_node = N.route(nodes, edges, points(spark, [(2, 900.0, 900.0)]), points(spark, [(7, 990.0, 900.0), (8, 0.0, 0.0)]), "id", 5.0, "cross", snap_to="any_node")
+    assert values(any_node, "destination", "length_m") == [(7, 90.0), (8, None)]
+    long = spark.range(12).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(10.0).alias("length"))
+    row = spark.range(13).select("id", (F.col("id") * 10.0).alias("x"), F.lit(0.0).alias("y"))
+    far = N.route(row, long, points(spark, [(1, 110.0, 0.0)]), points(spark, [(1, 0.0, 0.0)]), "id", 1.0).first()
+    assert (far.length_m, far.path, len(far.geometry.parts[0][0])) == (110.0, list(range(11, -1, -1)), 12)
+    with pytest.raises(ValueError, match="no travel_time_min"):
+        N.route(row, long, points(spark, [(1, 0.0, 0.0)]), points(spark, [(1, 0.0, 0.0)]), "id", 1.0, weight="travel_time_min")
+
+
+def test_line_network_options(spark):
+    t = ["LINESTRING (0 0, 100 0)", "LINESTRING (100.5 0.2, 200 0)", "LINESTRING (200 0, 200.3 0)", "POLYGON ((200 0, 300 0, 300 100, 200 0))"]
+    lines = spark.createDataFrame([(x,) for x in t], "t string").select(G.from_wkt(F.col("t")).alias("geometry"))
+    nodes, edges = N.line_network(lines, tolerance_m=1.0)
+    assert values(nodes, "x") == [(0.0,), (100.0,), (200.0,)]
+    assert values(edges, "length") == [(100.0,), (100.0,)]
+    assert N.line_network(lines)[1].count() == 3
+    nodes, edges = N.line_network(lines, polygons="boundary")
+    assert nodes.filter("x = 200 AND y = 0").count() == 1
+    with pytest.raises(ValueError, match="makes length itself"):
+        N.line_network(lines, attributes=["length"])
+
+
+def test_projections_there_and_back(spark):
+    df = spark.createDataFrame([(12.0, 51.0), (10.0, 52.0), (8.9, 47.3)], "lon double, lat double")
+    for epsg in (4326, 3857, 3035, 6933, 32632, 25833):
+        x, y = crs.project(F.col("lon"), F.col("lat"), epsg)
+        for r in df.select("lon", "lat", *[c.alias(n) for c, n in zip(crs.unproject(x, y, epsg), "ab", strict=True)]).collect():
+            assert (r.a, r.b) == (pytest.approx(r.lon, abs=1e-7), pytest.approx(r.lat, abs=1e-7))
+    south = df.select(*[c.alias(n) for c, n in zip(crs.unproject(*crs.project(F.col("lon"), -F.col("lat"), 32732), 32732), "ab", strict=True)]).first()
+    assert tuple(south) == (pytest.approx(12.0, abs=1e-7), pytest.approx(-51.0, abs=1e-7))
+    g = df.select(crs.reproject(crs.reproject(G.point(F.col("lon"), F.col("lat")), 32633), 3035, 32633).alias("g"), *[c.alias(n) for c, n in zip(crs.project(F.col("lon"), F.col("lat"), 3035), "xy", strict=True)])
+    for r in g.collect():
+        p = r.g.parts[0][0][0]
+        assert (p.x, p.y) == (pytest.approx(r.x, abs=0.01), pytest.approx(r.y, abs=0.01))
+    assert [crs.utm_epsg(13.7, 51.0), crs.utm_epsg(-70.0, -33.0), crs.utm_epsg(180.0, 10.0)] == [32633, 32719, 32660]
+    with pytest.raises(ValueError, match="no UTM zone"):
+        crs.utm_epsg(0.0, 85.0)
+
+
 def test_projections(spark):
     df = spark.createDataFrame([(12.0, 51.0)], "lon double, lat double")
     at = lambda epsg: tuple(df.select(*[c.alias(n) for c, n in zip(crs.project(F.col("lon"), F.col("lat"), epsg), "xy", strict=True)]).first())

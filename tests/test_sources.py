@@ -11,7 +11,7 @@ from geoloom.functions import geometry as G
 from geoloom.operators import network as N
 from geoloom.operators import raster as R
 from geoloom.outputs import writers
-from geoloom.sources import files, web
+from geoloom.sources import catalogues, files, web
 from geoloom.streaming.hexbin import windowed_hexbin
 
 
@@ -158,3 +158,98 @@ def test_layer_through_a_service(spark):
     df = layer(spark)
     same = web.through_service(df, "u", {"id": "integer", "name": "string"}, 2, lambda url, body: body)
     assert sorted(map(str, same.collect())) == sorted(map(str, df.collect()))
+
+
+def test_pages_that_link_to_the_next(spark):
+    def chain(n, back=None):
+        def get(url):
+            k = int(url.rsplit("=")[-1])
+            to = k + 1 if k + 1 < n else back
+            links = [{"rel": "self", "href": url}] + ([{"rel": "next", "href": f"/items?k={to}"}] if to is not None else [])
+            return json.dumps({"links": links, "features": [{"properties": {"id": str(k)}, "geometry": {"type": "Point", "coordinates": [1.0, k]}}]})
+
+        return get
+
+    pages = catalogues.linked_pages(spark, ["http://x/items?k=0", "http://x/items?k=3"], chain(5))
+    assert sorted(r.id for r in web.features(pages, {"id": "integer"}).collect()) == [0, 1, 2, 3, 4]
+    assert pages.count() == 7
+    for get, most in ((chain(5), 4), (chain(5, 2), 100)):
+        with pytest.raises(Exception, match="links in a circle"):
+            catalogues.linked_pages(spark, ["http://x/items?k=0"], get, most).collect()
+
+
+def test_portal(spark):
+    resources = [{"url": "http://x/1", "format": "PDF"}, {"url": "http://x/2", "format": "GeoJSON"}, {"url": "http://x/3", "format": "GPKG"}, {"url": "http://x/4", "format": "geojson"}]
+    layer_of = lambda n: json.dumps({"features": [{"properties": {"n": str(n)}, "geometry": {"type": "Point", "coordinates": [1, 2]}}]})
+
+    def get(url):
+        if "package_show?id=a" in url:
+            return json.dumps({"success": True, "result": {"resources": resources}})
+        if "package_show?id=b" in url:
+            return json.dumps({"success": True, "result": {"resources": resources[:1]}})
+        if "resource_show?id=r" in url:
+            return json.dumps({"success": True, "result": {"url": "http://x/9", "format": "JSON"}})
+        return json.dumps({"success": False, "error": "no"}) if "action" in url else layer_of(url[-1])
+
+    chosen = lambda wanted, *names: [tuple(r) for r in catalogues.ckan_resources(catalogues.linked_pages(spark, catalogues.ckan_urls("http://x/", names), get), wanted).select("url", "format").collect()]
+    assert chosen("", "a") == [("http://x/4", "geojson")]
+    assert chosen("GeoJSON", "a") == [("http://x/2", "geojson")]
+    assert chosen("gpkg", "a") == [("http://x/3", "gpkg")]
+    assert chosen("", "b") == [("http://x/1", "pdf")]
+    assert [r.n for r in catalogues.read_ckan(spark, "http://x", {"n": "integer"}, ["a"], ["r"], get=get).orderBy("n").collect()] == [4, 9]
+    with pytest.raises(Exception, match="no resource"):
+        catalogues.read_ckan(spark, "http://x", {"n": "integer"}, ["gone"], get=get).collect()
+    with pytest.raises(Exception, match="download it"):
+        catalogues.read_ckan(spark, "http://x", {"n": "integer"}, ["b"], get=get).collect()
+
+
+def test_scene_search(spark):
+    def item(i, day, cloud):
+        props = {"datetime": f"2024-06-{day:02}T10:00:00Z", "grid:code": "g"} | ({} if cloud is None else {"eo:cloud_cover": cloud})
+        return {"id": i, "properties": props, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}, "assets": {"B04": {"href": f"http://x/{i}/red"}}}
+
+    items = [item("a", 1, 5.5), item("b", 2, 3), item("c", 2, 9), item("d", 3, 1), item("e", 4, 2)]
+
+    def send(url, body):
+        at = json.loads(body).get("token", 0)
+        links = [{"rel": "next", "href": url, "merge": True, "body": {"token": at + 2}}] if at + 2 < len(items) else []
+        assert json.loads(body)["query"] == {"eo:cloud_cover": {"lte": 20}}
+        return json.dumps({"features": items[at : at + 2], "links": links})
+
+    body = catalogues.scene_query("s2", (0, 0, 1, 1), "2024-06-01/2024-06-30", 20)
+    found = catalogues.scenes(catalogues.search_pages(spark, "http://x/search", [body, body], send), {"red": "B04", "nir": "B08"})
+    rows = found.orderBy("id").collect()
+    assert [(r.id, r.cloud, str(r.date), r.red, r.nir) for r in rows][:2] == [("a", 5.5, "2024-06-01", "http://x/a/red", None), ("b", 3.0, "2024-06-02", "http://x/b/red", None)]
+    assert len(rows) == 5
+    share = F.when(F.col("id").isin("b", "c"), 0.6).when(F.col("id") == "d", 0.9).otherwise(1.0)
+    covered = found.withColumn("covered", share)
+    ids = lambda df, order: sorted(r.id for r in catalogues.choose_scenes(df, order).collect())
+    assert ids(covered, "cloud_cover") == ["e"]
+    assert ids(covered.filter("id <> 'e'"), "cloud_cover") == ["a"]  # d has fewer clouds and does not cover; c has more
+    assert ids(covered.filter("id NOT IN ('a', 'e')"), "latest") == ["b", "c"]
+    assert ids(covered, "earliest") == ["a"]
+    with pytest.raises(Exception, match="does not tell its clouds"):
+        catalogues.choose_scenes(covered.withColumn("cloud", F.lit(None).cast("double"))).collect()
+    cells = spark.createDataFrame([(0, 4, 1000.0), (1, 9, 1000.0), (2, None, 0.0)], "i int, scl int, red double")
+    seen = catalogues.reflectance(catalogues.mask_clouds(cells, ["red"]), ["red"], 0.0001, -0.1, 0.0)
+    assert [r.red for r in seen.orderBy("i").collect()] == [pytest.approx(0.0), None, None]
+
+
+def test_regions_and_snapshots(spark, tmp_path):
+    assert catalogues.box_region(spark, "13.5, 51, 14, 51.2").select(G.area(F.col("geometry"))).first()[0] == pytest.approx(0.1)
+    for bad in ("14,51,13,52", "1,2,3", "a,b,c,d", "0,-91,1,1"):
+        with pytest.raises(ValueError):
+            catalogues.box_region(spark, bad)
+    ring = [[0, 0], [2, 0], [2, 2], [0, 0]]
+    answers = [("a", json.dumps([{"display_name": "P", "geojson": {"type": "Point", "coordinates": [1, 1]}}, {"display_name": "T", "geojson": {"type": "Polygon", "coordinates": [ring]}}])), ("b", "[]")]
+    hits = catalogues.named_region(spark.createDataFrame(answers, "url string, body string")).collect()
+    assert [(r.url, r.name, r.geometry.kind) for r in hits] == [("a", "T", "Polygon")]
+    calls = []
+
+    def make():
+        calls.append(1)
+        return spark.range(3 * len(calls))
+
+    path = str(tmp_path / "kept")
+    assert [catalogues.snapshot(spark, path, make, refresh=r).count() for r in (False, False, True)] == [3, 3, 6]
+    assert len(calls) == 2
