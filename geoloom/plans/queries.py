@@ -1,7 +1,9 @@
 """A query for each operator on the driver's tables, and the same in DuckDB's SQL.
 
 The tables have no coordinates, so places are made from keys by the same arithmetic on both sides: an event is at
-x = event_id * 7919 % 10007, y = event_id * 104729 % 10009 (metres); a zone is one of 100 squares of 1 km.
+x = event_id * 7919 % 10007, y = event_id * 104729 % 10009 (metres); a zone is one of 100 squares of 1 km, each with the customers
+whose keys end in its number, and a core is a square in it, the larger the more orders they have. The 50 m cells of the
+raster sum the quantities of order lines.
 """
 
 from __future__ import annotations
@@ -49,13 +51,13 @@ def _square(df: DataFrame, x: Column, y: Column, side: float) -> DataFrame:
     return df.withColumn("geometry", G.box(x, y, x + side, y + side))
 
 
-def _zones(spark: SparkSession) -> DataFrame:
-    z = spark.range(100).withColumnRenamed("id", "zone")
+def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = _t(spark, sf_dir, "customer").select((F.col("c_custkey") % 100).alias("zone")).distinct()
     return _square(z, F.col("zone") % 10 * 1000, F.floor(F.col("zone") / 10) * 1000, 1000.0)
 
 
 _EV = "SELECT *, event_id * 7919 % 10007 AS x, event_id * 104729 % 10009 AS y FROM events"
-_ZONES = "SELECT z AS zone, z % 10 * 1000 AS x0, z // 10 * 1000 AS y0 FROM range(100) t(z)"
+_ZONES = "SELECT z AS zone, z % 10 * 1000 AS x0, z // 10 * 1000 AS y0 FROM (SELECT DISTINCT c_custkey % 100 AS z FROM customer)"
 _IN_ZONE = "e.x BETWEEN z.x0 AND z.x0 + 1000 AND e.y BETWEEN z.y0 AND z.y0 + 1000"
 
 
@@ -207,29 +209,29 @@ def homogenize(spark, sf_dir):
 
 @query(f"SELECT e.event_id, z.zone FROM ({_EV}) e LEFT JOIN ({_ZONES}) z ON {_IN_ZONE}")
 def spatial_join(spark, sf_dir):
-    return S.spatial_join(_events(spark, sf_dir).select("event_id", "geometry"), _zones(spark), "event_id").select("event_id", "zone")
+    return S.spatial_join(_events(spark, sf_dir).select("event_id", "geometry"), _zones(spark, sf_dir), "event_id").select("event_id", "zone")
 
 
 @query(f"SELECT z.zone, count(e.event_id) AS count FROM ({_ZONES}) z LEFT JOIN ({_EV}) e ON {_IN_ZONE} GROUP BY z.zone")
 def agg_count(spark, sf_dir):
-    return S.aggregate(_zones(spark), _events(spark, sf_dir), "zone").select("zone", "count")
+    return S.aggregate(_zones(spark, sf_dir), _events(spark, sf_dir), "zone").select("zone", "count")
 
 
 @query(f"SELECT z.zone, round(coalesce(sum(e.value), 0.0), 2) AS sum FROM ({_ZONES}) z LEFT JOIN ({_EV}) e ON {_IN_ZONE} GROUP BY z.zone")
 def agg_sum(spark, sf_dir):
-    return S.aggregate(_zones(spark), _events(spark, sf_dir), "zone", "sum", "value").select("zone", F.round("sum", 2).alias("sum"))
+    return S.aggregate(_zones(spark, sf_dir), _events(spark, sf_dir), "zone", "sum", "value").select("zone", F.round("sum", 2).alias("sum"))
 
 
 @query(f"SELECT z.zone, round(avg(e.value), 6) AS mean FROM ({_ZONES}) z LEFT JOIN ({_EV}) e ON {_IN_ZONE} GROUP BY z.zone")
 def agg_mean(spark, sf_dir):
-    return S.aggregate(_zones(spark), _events(spark, sf_dir), "zone", "mean", "value").select("zone", F.round("mean", 6).alias("mean"))
+    return S.aggregate(_zones(spark, sf_dir), _events(spark, sf_dir), "zone", "mean", "value").select("zone", F.round("mean", 6).alias("mean"))
 
 
 @query(
     "SELECT z.zone, " + ", ".join(f"count(*) FILTER (e.event_type = '{k}') AS count_{k}" for k in ("click", "error", "purchase", "signup", "view")) + f" FROM ({_ZONES}) z LEFT JOIN ({_EV}) e ON {_IN_ZONE} GROUP BY z.zone"
 )
 def agg_group(spark, sf_dir):
-    return S.aggregate(_zones(spark), _events(spark, sf_dir), "zone", group_by="event_type").drop("geometry")
+    return S.aggregate(_zones(spark, sf_dir), _events(spark, sf_dir), "zone", group_by="event_type").drop("geometry")
 
 
 @query("""WITH p AS (SELECT c_custkey AS k, c_custkey * 7919 % 10007 AS x, c_custkey * 104729 % 10009 AS y FROM customer),
@@ -255,9 +257,12 @@ def hexbin(spark, sf_dir):
 
 
 @query(f"""SELECT q, r FROM range(-30, 40) a(q), range(-2, 30) b(r)
-WHERE {_RAD!r} * {math.sqrt(3)!r} * (q + r / 2.0) BETWEEN 0 AND 10007 AND {1.5 * _RAD!r} * r BETWEEN 0 AND 10009""")
+JOIN (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ({_EV})) e ON {_RAD!r} * {math.sqrt(3)!r} * (q + r / 2.0) BETWEEN x0 AND x1 AND {1.5 * _RAD!r} * r BETWEEN y0 AND y1""")
 def hex_grid(spark, sf_dir):
-    region = spark.range(1).select(G.box(F.lit(0), F.lit(0), F.lit(10007), F.lit(10009)).alias("geometry"))
+    """Hexagons over the extent of the events."""
+    x, y = G.px(F.col("geometry")), G.py(F.col("geometry"))
+    ends = _events(spark, sf_dir).agg(F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1"))
+    region = ends.select(G.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("geometry"))
     return S.hex_grid(region, 0.5).select("q", "r")
 
 
@@ -292,17 +297,17 @@ _OVER = "greatest(0, least(s.sx + 400, z.x0 + 1000) - greatest(s.sx, z.x0)) * gr
 
 @query(f"SELECT zone AS zone_1, s_suppkey AS s_suppkey_2, CAST(a AS DOUBLE) AS area FROM (SELECT z.zone, s.s_suppkey, {_OVER} AS a FROM ({_ZONES}) z, ({_SITES}) s) WHERE a > 0")
 def overlay_intersection(spark, sf_dir):
-    return P.overlay(_zones(spark), _sites(spark, sf_dir), "zone", "s_suppkey").select("zone_1", "s_suppkey_2", F.round("area", 3).alias("area"))
+    return P.overlay(_zones(spark, sf_dir), _sites(spark, sf_dir), "zone", "s_suppkey").select("zone_1", "s_suppkey_2", F.round("area", 3).alias("area"))
 
 
 @query(f"SELECT zone, round(sum({_OVER}) / 1e6, 4) AS share FROM ({_ZONES}) z, ({_SITES}) s GROUP BY zone")
 def area_share(spark, sf_dir):
-    return P.area_share(_zones(spark), _sites(spark, sf_dir), "zone", dissolve=False, decimals=4).select("zone", "share")
+    return P.area_share(_zones(spark, sf_dir), _sites(spark, sf_dir), "zone", dissolve=False, decimals=4).select("zone", "share")
 
 
 @query(f"SELECT e.event_id FROM ({_EV}) e WHERE EXISTS (SELECT 1 FROM ({_ZONES}) z WHERE z.zone % 7 = 0 AND {_IN_ZONE})")
 def clip_points(spark, sf_dir):
-    return P.clip(_events(spark, sf_dir).select("event_id", "geometry"), _zones(spark).filter("zone % 7 = 0"), "event_id").select("event_id")
+    return P.clip(_events(spark, sf_dir).select("event_id", "geometry"), _zones(spark, sf_dir).filter("zone % 7 = 0"), "event_id").select("event_id")
 
 
 _WAYS = "SELECT s_suppkey, s_suppkey * 7919 % 10007 AS x, s_suppkey * 104729 % 10009 AS y FROM supplier"
@@ -315,46 +320,61 @@ def clip_lines(spark, sf_dir):
     """Slanted lines, cut at the borders of a mask of squares."""
     x, y = F.col("s_suppkey") * 7919 % 10007, F.col("s_suppkey") * 104729 % 10009
     lines = _t(spark, sf_dir, "supplier").select("s_suppkey", G.line(G.xy(x, y), G.xy(x + 900, y + 1200)).alias("geometry"))
-    out = P.clip(lines, _zones(spark).filter("zone % 7 = 0"), "s_suppkey")
+    out = P.clip(lines, _zones(spark, sf_dir).filter("zone % 7 = 0"), "s_suppkey")
     return out.select("s_suppkey", F.round(G.length(F.col("geometry")), 3).alias("length"))
 
 
-@query("SELECT z // 10 AS strip, 1e7 AS area FROM range(100) t(z) GROUP BY 1")
+_CORES = "SELECT core, core % 10 * 1000 + 50 AS x0, core // 10 * 1000 + 50 AS y0, 100 + n % 800 AS side FROM (SELECT o_custkey % 100 AS core, count(*) AS n FROM orders GROUP BY 1) WHERE core % 3 = 0"
+
+
+def _cores(spark, sf_dir):
+    """A square in every third zone, whose side follows the number of its orders."""
+    n = _t(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 100).alias("core")).agg(F.count("*").alias("n")).filter("core % 3 = 0")
+    side = 100 + F.col("n") % 800
+    return _square(n, F.col("core") % 10 * 1000 + 50, F.floor(F.col("core") / 10) * 1000 + 50, side).drop("n")
+
+
+@query(f"SELECT core // 10 AS strip, sum(side * side)::DOUBLE AS area FROM ({_CORES}) GROUP BY 1")
 def dissolve_strips(spark, sf_dir):
-    zones = _zones(spark).withColumn("strip", F.floor(F.col("zone") / 10).cast("long"))
-    return P.dissolve(zones, by="strip").select("strip", F.round("area", 3).alias("area"))
+    cores = _cores(spark, sf_dir).withColumn("strip", F.floor(F.col("core") / 10).cast("long"))
+    return P.dissolve(cores, by="strip").select("strip", F.round("area", 3).alias("area"))
 
 
 # --- rasters ----------------------------------------------------------------------------------------------------
 
 _GRID = R.Grid(0.0, 10050.0, 50.0, 201, 202)
-_CELLS = "SELECT id // 202 AS row, id % 202 AS col, CAST(id * 7 % 255 AS DOUBLE) AS red, CASE WHEN id % 11 = 0 THEN NULL ELSE CAST(id * 13 % 251 AS DOUBLE) END AS nir FROM range(40602) t(id)"
+_LINE_CELL = "(l_orderkey * 7919 + l_linenumber * 104729) % 40602"
+_CELLS = f"""SELECT id // 202 AS row, id % 202 AS col, coalesce(red, 0.0::DOUBLE) AS red, nir FROM range(40602) t(id)
+LEFT JOIN (SELECT {_LINE_CELL} AS id, sum(l_quantity) AS red, sum(l_quantity) FILTER (l_returnflag = 'A') AS nir FROM lineitem GROUP BY 1) USING (id)"""
 
 
-def _cells(spark):
+def _cells(spark, sf_dir):
+    """Every cell with the quantities of its order lines, and those of returned ones, null where there are none."""
+    lines = _t(spark, sf_dir, "lineitem").withColumn("id", F.expr(_LINE_CELL))
+    sums = lines.groupBy("id").agg(F.sum("l_quantity").alias("red"), F.sum(F.when(F.col("l_returnflag") == "A", F.col("l_quantity"))).alias("nir"))
     ids = _GRID.cells(spark).withColumn("id", F.col("row") * 202 + F.col("col"))
-    return ids.select("row", "col", (F.col("id") * 7 % 255).cast("double").alias("red"), F.when(F.col("id") % 11 != 0, (F.col("id") * 13 % 251).cast("double")).alias("nir"))
+    return ids.join(sums, "id", "left").select("row", "col", F.coalesce("red", F.lit(0.0)).alias("red"), "nir")
 
 
 @query(f"SELECT row, col, round(CASE WHEN nir + red = 0 THEN NULL ELSE (nir - red) / (nir + red) END, 9) AS ndvi FROM ({_CELLS})")
 def raster_calc(spark, sf_dir):
-    out = R.raster_calc(_cells(spark), "try_divide(nir - red, nir + red)", ["red", "nir"], "ndvi")
+    out = R.raster_calc(_cells(spark, sf_dir), "try_divide(nir - red, nir + red)", ["red", "nir"], "ndvi")
     return out.select("row", "col", F.round("ndvi", 9).alias("ndvi"))
 
 
-@query(f"SELECT row, col, CASE WHEN nir IS NULL THEN NULL WHEN nir < 80 THEN 1.0::DOUBLE WHEN nir < 160 THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END AS class FROM ({_CELLS})")
+@query(f"SELECT row, col, CASE WHEN nir IS NULL THEN NULL WHEN nir < 20 THEN 1.0::DOUBLE WHEN nir < 60 THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END AS class FROM ({_CELLS})")
 def raster_classify(spark, sf_dir):
-    return R.raster_classify(_cells(spark), "nir", [80, 160], [1, 2, 3])
+    return R.raster_classify(_cells(spark, sf_dir), "nir", [20, 60], [1, 2, 3])
 
 
 @query(f"SELECT row // 10 AS row, col // 10 AS col, sum(nir) AS nir FROM ({_CELLS}) GROUP BY 1, 2")
 def raster_blocks(spark, sf_dir):
-    return R.block_aggregate(_cells(spark), "nir", 10, 10)
+    return R.block_aggregate(_cells(spark, sf_dir), "nir", 10, 10)
 
 
 @query(f"SELECT a.row, a.col, b.nir FROM (SELECT id // 100 AS row, id % 100 AS col FROM range(10000) t(id)) a LEFT JOIN ({_CELLS}) b ON b.row = CAST(floor(a.row * 2 + 1 - 0.5 + 0.5) AS BIGINT) AND b.col = CAST(floor(a.col * 2 + 1 - 0.5 + 0.5) AS BIGINT)")
 def raster_warp(spark, sf_dir):
-    return R.warp(_cells(spark), "nir", _GRID, R.Grid(0.0, 10050.0, 100.0, 100, 100), F.col("x"), F.col("y"))
+    return R.warp(_cells(spark, sf_dir), "nir", _GRID, R.Grid(0.0, 10050.0, 100.0, 100, 100), F.col("x"), F.col("y"))
 
 
 @query(f"""SELECT g.row, g.col, e.v AS value FROM ({_CELLS}) g LEFT JOIN (SELECT CAST(floor((10050 - y) / 50.0) AS BIGINT) AS row, CAST(floor(x / 50.0) AS BIGINT) AS col, arg_max(value, event_id) AS v FROM ({_EV}) GROUP BY 1, 2) e ON e.row = g.row AND e.col = g.col""")
@@ -376,12 +396,12 @@ _ZONAL = f"({_ZONES}) z LEFT JOIN ({_CELLS}) c ON (c.col + 0.5) * 50 BETWEEN z.x
 
 @query(f"SELECT z.zone, sum(c.nir) AS sum_value FROM {_ZONAL}")
 def zonal_sum(spark, sf_dir):
-    return R.zonal_stats(_zones(spark), _cells(spark), _GRID, "zone", "nir").drop("geometry")
+    return R.zonal_stats(_zones(spark, sf_dir), _cells(spark, sf_dir), _GRID, "zone", "nir").drop("geometry")
 
 
 @query(f"SELECT z.zone, round(stddev_pop(c.nir), 6) AS std_value FROM {_ZONAL}")
 def zonal_std(spark, sf_dir):
-    return R.zonal_stats(_zones(spark), _cells(spark), _GRID, "zone", "nir", "std", 6).drop("geometry")
+    return R.zonal_stats(_zones(spark, sf_dir), _cells(spark, sf_dir), _GRID, "zone", "nir", "std", 6).drop("geometry")
 
 
 # --- networks ---------------------------------------------------------------------------------------------------
@@ -483,38 +503,34 @@ def line_network(spark, sf_dir):
 # --- more of each family ----------------------------------------------------------------------------------------
 
 
-def _cores(spark):
-    """A square of 500 m in the middle of every third zone."""
-    z = spark.range(100).withColumnRenamed("id", "core").filter("core % 3 = 0")
-    return _square(z, F.col("core") % 10 * 1000 + 250, F.floor(F.col("core") / 10) * 1000 + 250, 500.0)
+_APART = f"SELECT zone AS zone_1, NULL::BIGINT AS core_2, (1000000 - coalesce(side * side, 0))::DOUBLE AS area FROM ({_ZONES}) LEFT JOIN ({_CORES}) ON core = zone"
 
 
-@query("SELECT z AS zone_1, NULL::BIGINT AS core_2, CASE WHEN z % 3 = 0 THEN 750000.0::DOUBLE ELSE 1000000.0::DOUBLE END AS area FROM range(100) t(z)")
+@query(_APART)
 def overlay_difference(spark, sf_dir):
-    return P.overlay(_zones(spark), _cores(spark), "zone", "core", "difference").select("zone_1", "core_2", F.round("area", 3).alias("area"))
+    return P.overlay(_zones(spark, sf_dir), _cores(spark, sf_dir), "zone", "core", "difference").select("zone_1", "core_2", F.round("area", 3).alias("area"))
 
 
-@query("""SELECT z AS zone_1, NULL::BIGINT AS core_2, CASE WHEN z % 3 = 0 THEN 750000.0::DOUBLE ELSE 1000000.0::DOUBLE END AS area FROM range(100) t(z)
-UNION ALL SELECT z, z, 250000.0 FROM range(100) t(z) WHERE z % 3 = 0""")
+@query(f"{_APART} UNION ALL SELECT zone, core, (side * side)::DOUBLE FROM ({_ZONES}) JOIN ({_CORES}) ON core = zone")
 def overlay_union(spark, sf_dir):
-    return P.overlay(_zones(spark), _cores(spark), "zone", "core", "union").select("zone_1", "core_2", F.round("area", 3).alias("area"))
+    return P.overlay(_zones(spark, sf_dir), _cores(spark, sf_dir), "zone", "core", "union").select("zone_1", "core_2", F.round("area", 3).alias("area"))
 
 
 @query("SELECT 0::BIGINT AS id, 2e7 AS area UNION ALL SELECT 4, 1e7")
 def dissolve_parts(spark, sf_dir):
-    return P.dissolve(_zones(spark).filter("zone % 10 IN (0, 1, 4)"), key="zone").select("id", F.round("area", 3).alias("area"))
+    return P.dissolve(_zones(spark, sf_dir).filter("zone % 10 IN (0, 1, 4)"), key="zone").select("id", F.round("area", 3).alias("area"))
 
 
-@query("SELECT z AS zone, CASE WHEN z % 3 = 0 THEN 0.25 ELSE 0.0 END::DOUBLE AS share FROM range(100) t(z)")
+@query(f"SELECT zone, coalesce(side * side, 0) / 1e6 AS share FROM ({_ZONES}) LEFT JOIN ({_CORES}) ON core = zone")
 def area_share_dissolved(spark, sf_dir):
-    twice = _cores(spark).union(_cores(spark))
-    return P.area_share(_zones(spark), twice, "zone").select("zone", "share")
+    twice = _cores(spark, sf_dir).union(_cores(spark, sf_dir))
+    return P.area_share(_zones(spark, sf_dir), twice, "zone", decimals=6).select("zone", "share")
 
 
-@query("SELECT z AS zone, (z % 10 * 1000 + 500)::DOUBLE AS x, (z // 10 * 1000 + 500)::DOUBLE AS y FROM range(100) t(z)")
+@query(f"SELECT s_suppkey, (sx + 200)::DOUBLE AS x, (sy + 200)::DOUBLE AS y FROM ({_SITES})")
 def to_points(spark, sf_dir):
     g = F.col("geometry")
-    return P.to_points(_zones(spark)).select("zone", G.px(g).alias("x"), G.py(g).alias("y"))
+    return P.to_points(_sites(spark, sf_dir)).select("s_suppkey", G.px(g).alias("x"), G.py(g).alias("y"))
 
 
 @query("SELECT p_partkey, round(p_size * p_size / 2.0, 3)::DOUBLE AS area FROM part WHERE p_size > 0")
@@ -576,38 +592,38 @@ def layer_summary(spark, sf_dir):
     return summary(_events(spark, sf_dir), ["value"]).withColumn("value_mean", F.round("value_mean", 6)).drop("kinds")
 
 
-@query(f"SELECT z.zone, round(avg(c.nir), 3) AS mean_value FROM {_ZONAL}")
+@query(f"SELECT z.zone, round(avg(c.nir), 9) AS mean_value FROM {_ZONAL}")
 def zonal_mean(spark, sf_dir):
-    return R.zonal_stats(_zones(spark), _cells(spark), _GRID, "zone", "nir", "mean", 3).select("zone", F.round("mean_value", 3).alias("mean_value"))
+    return R.zonal_stats(_zones(spark, sf_dir), _cells(spark, sf_dir), _GRID, "zone", "nir", "mean", 9).select("zone", F.round("mean_value", 9).alias("mean_value"))
 
 
-@query(f"SELECT z.zone, round(avg((c.nir = 13)::INT), 3)::DOUBLE AS share_value FROM {_ZONAL}")
+@query(f"SELECT z.zone, round(avg((c.nir = 13)::INT), 9)::DOUBLE AS share_value FROM {_ZONAL}")
 def zonal_share(spark, sf_dir):
-    return R.zonal_stats(_zones(spark), _cells(spark), _GRID, "zone", "nir", "share", class_value=13.0).drop("geometry")
+    return R.zonal_stats(_zones(spark, sf_dir), _cells(spark, sf_dir), _GRID, "zone", "nir", "share", 9, class_value=13.0).drop("geometry")
 
 
 @query(f"SELECT row // 7 AS row, col // 9 AS col, round(avg(nir), 9) AS nir FROM ({_CELLS}) GROUP BY 1, 2")
 def raster_block_mean(spark, sf_dir):
-    out = R.block_aggregate(_cells(spark), "nir", 7, 9, "mean")
+    out = R.block_aggregate(_cells(spark, sf_dir), "nir", 7, 9, "mean")
     return out.withColumn("nir", F.round("nir", 9))
 
 
 @query(f"SELECT row // 2 AS row, col // 2 AS col, round(avg(red), 6) AS red FROM ({_CELLS}) WHERE row < 200 AND col < 200 GROUP BY 1, 2")
 def raster_warp_area(spark, sf_dir):
-    out = R.warp_area(_cells(spark), "red", _GRID, R.Grid(0.0, 10050.0, 100.0, 100, 100))
+    out = R.warp_area(_cells(spark, sf_dir), "red", _GRID, R.Grid(0.0, 10050.0, 100.0, 100, 100))
     return out.withColumn("red", F.round("red", 6))
 
 
 @query(f"""SELECT a.row, a.col, round((a.red + b.red + c.red + d.red) / 4, 6) AS red FROM ({_CELLS}) a JOIN ({_CELLS}) b ON b.row = a.row AND b.col = a.col + 1
 JOIN ({_CELLS}) c ON c.row = a.row + 1 AND c.col = a.col JOIN ({_CELLS}) d ON d.row = a.row + 1 AND d.col = a.col + 1""")
 def raster_warp_bilinear(spark, sf_dir):
-    out = R.warp(_cells(spark), "red", _GRID, R.Grid(25.0, 10025.0, 50.0, 200, 201), F.col("x"), F.col("y"), "bilinear")
+    out = R.warp(_cells(spark, sf_dir), "red", _GRID, R.Grid(25.0, 10025.0, 50.0, 200, 201), F.col("x"), F.col("y"), "bilinear")
     return out.withColumn("red", F.round("red", 6))
 
 
 @query(f"SELECT row, col, 1.0::DOUBLE AS value FROM ({_CELLS}) WHERE (col + 0.5) * 50 <= 10000 AND 10050 - (row + 0.5) * 50 <= 10000 AND CAST(floor((col + 0.5) * 50 / 1000) + 10 * floor((10050 - (row + 0.5) * 50) / 1000) AS BIGINT) % 4 = 0")
 def rasterize_zones(spark, sf_dir):
-    return R.rasterize(_zones(spark).filter("zone % 4 = 0"), _GRID, ["zone"]).filter("value IS NOT NULL")
+    return R.rasterize(_zones(spark, sf_dir).filter("zone % 4 = 0"), _GRID, ["zone"]).filter("value IS NOT NULL")
 
 
 @query("""SELECT CAST(least(a, b) AS BIGINT) AS u, CAST(greatest(a, b) AS BIGINT) AS v, round(min(d), 6) AS length, count(*) AS parallel_edges FROM (
