@@ -1,14 +1,13 @@
 """Networks: nodes (id, x, y, ...) and undirected edges (u, v, length, ...) with u <= v, at most one edge a pair.
 
-Searches over the whole graph are rounds of joins with a minimum for each node, written between rounds. Only exact
-betweenness and bridges hold a graph in each task; its size is checked first (CSR_EDGES) and larger graphs are refused.
+Searches cut the graph into parts and go in rounds from part to part (see search.py). Only exact betweenness and bridges
+hold a graph in each task; its size is checked first (CSR_EDGES) and larger graphs are refused.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +16,7 @@ from pyspark.sql.window import Window
 
 from geoloom.functions import geometry as G
 from geoloom.functions.keys import to_double
+from geoloom.operators.search import PART_ARCS, cut, search
 from geoloom.operators.spatial import pairs
 from geoloom.plans.stages import components, materialize
 
@@ -28,7 +28,8 @@ def merge_parallel(edges: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """One edge for each pair of nodes: the shortest (ties by order), with parallel_edges, how many there were."""
     low, high = F.least("u", "v"), F.greatest("u", "v")
     row = F.struct(low.alias("u"), high.alias("v"), *[c for c in edges.columns if c not in ("u", "v")])
-    one = edges.groupBy(low.alias("__u"), high.alias("__v")).agg(F.min_by(row, F.struct("length", *order)).alias("e"), F.count("*").alias("parallel_edges"))
+    least = F.struct(F.col("length").isNull(), "length", *order)  # an edge of unknown length only where there is no other
+    one = edges.groupBy(low.alias("__u"), high.alias("__v")).agg(F.min_by(row, least).alias("e"), F.count("*").alias("parallel_edges"))
     return one.select("e.*", "parallel_edges")
 
 
@@ -147,37 +148,14 @@ def graph_to_vector(nodes: DataFrame, edges: DataFrame, part: str = "edges") ->
     return rows.withColumn("geometry", G.line(G.xy(F.col("x1"), F.col("y1")), G.xy(F.col("x2"), F.col("y2")))).drop("x1", "y1", "x2", "y2")
 
 
-def _both_ways(edges: DataFrame, weight: str = "length") -> DataFrame:
-    e = edges.select("u", "v", F.col(weight).alias("w"))
-    return e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-
-
-#: Generations of changed nodes that are read side by side before they are merged.
-GENERATIONS = 12
-
-
-def distances(edges: DataFrame, sources: DataFrame, weight: str = "length", before: bool = False, limit: float | None = None) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, weight: str = "length", before: bool = False, limit: float | None = None, nodes: DataFrame | None = None, part_arcs: int = PART_ARCS) -> DataFrame:
     """(source, node, d[, before]) of all nodes that each source (source, node) reaches, within the limit if there is one.
 
-    before is the node ahead on the shortest way (ties: the smaller), null at the source. Rounds over the changed nodes:
-    each round writes only these, and what is known is the least of all generations.
+    before is the node ahead on the shortest way (ties: fewer hops, then the smaller), null at the source. nodes (id, x, y)
+    tell what lies together. Edges without a weight can't be travelled; a negative weight is an error.
     """
-    arcs = materialize(_both_ways(edges, weight), "arcs")
-    extra = ["before"] if before else []
-    none = F.lit(None).cast(dict(arcs.dtypes)["u"]).alias("before")
-    fresh = materialize(sources.select("source", "node", F.lit(0.0).alias("d"), *([none] if before else [])), "reached")
-    known = [fresh]
-    best_of = lambda rows: rows.groupBy("source", "node").agg(F.min(F.struct("d", *extra)).alias("b")).select("source", "node", "b.*")
-    while True:
-        step = fresh.join(arcs, fresh.node == arcs.u).select("source", F.col("v").alias("node"), (F.col("d") + F.col("w")).alias("d"), *([F.col("u").alias("before")] if before else []))
-        step = step if limit is None else step.filter(F.col("d") <= limit)
-        old = reduce(DataFrame.union, [k.select("source", "node", "d") for k in known]).groupBy("source", "node").agg(F.min("d").alias("was"))
-        fresh = materialize(best_of(step).join(old, ["source", "node"], "left").filter("was IS NULL OR d < was").drop("was"), "reached")
-        if fresh.isEmpty():
-            return best_of(reduce(DataFrame.union, known))
-        known.append(fresh)
-        if len(known) > GENERATIONS:
-            known = [materialize(best_of(reduce(DataFrame.union, known)), "known")]
+    out = search(cut(edges, weight, nodes, part_arcs), sources, limit).labels()
+    return out.select("source", "node", "d", *(["before"] if before else []))
 
 
 def _snap(points: DataFrame, nodes: DataFrame, key: str, max_snap_m: float) -> DataFrame:
@@ -194,7 +172,7 @@ def _snap(points: DataFrame, nodes: DataFrame, key: str, max_snap_m: float) -> D
 def shortest_path(nodes: DataFrame, edges: DataFrame, origins: DataFrame, destinations: DataFrame, key: str, max_snap_m: float) -> DataFrame:
     """origins with network_distance to the nearest destination; null if it cannot be reached."""
     ends = _snap(destinations, nodes, key, max_snap_m).select(F.lit(0).alias("source"), "node").distinct()
-    reach = distances(edges, ends).groupBy("node").agg(F.min("d").alias("network_distance"))
+    reach = distances(edges, ends, nodes=nodes).groupBy("node").agg(F.min("d").alias("network_distance"))
     at = _snap(origins, nodes, key, max_snap_m).join(reach, "node").select(F.col("k").alias("__k"), "network_distance")
     return origins.join(at, origins[key] == F.col("__k"), "left").drop("__k")
 
@@ -202,7 +180,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, origins: DataFrame, destin
 def reached(nodes: DataFrame, edges: DataFrame, origins: DataFrame, key: str, max_snap_m: float, limit_m: float) -> DataFrame:
     """(id, x, y, d): nodes within limit_m of any origin."""
     starts = _snap(origins, nodes, key, max_snap_m).select(F.lit(0).alias("source"), "node").distinct()
-    return distances(edges, starts, limit=limit_m).select(F.col("node").alias("id"), "d").join(nodes, "id").select("id", "x", "y", "d")
+    return distances(edges, starts, limit=limit_m, nodes=nodes).select(F.col("node").alias("id"), "d").join(nodes, "id").select("id", "x", "y", "d")
 
 
 def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -212,24 +190,6 @@ def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return of.join(F.broadcast(top.select("component")), "component", "left_semi").select(*nodes.columns)
 
 
-def steps_back(ways: DataFrame, ends: DataFrame) -> DataFrame:
-    """(source, target, node, i): the nodes of the way from source to target for each of ends (source, target); i counts
-    steps before the target. ways is what distances() gives with before.
-
-    Leaps of 1, 2, 4, ... nodes are made by joining leaps with themselves; each leap then doubles the nodes of a way that
-    are known. So a way of n nodes takes about 2 log2(n) joins, and only the ways that were asked for are laid out.
-    """
-    leaps = [materialize(ways.filter("before IS NOT NULL").select("source", "node", F.col("before").alias("up")), "leaps")]
-    while not leaps[-1].isEmpty():
-        half = leaps[-1].withColumnRenamed("up", "mid")
-        leaps.append(materialize(half.join(leaps[-1].withColumnRenamed("node", "mid"), ["source", "mid"]).select("source", "node", "up"), "leaps"))
-    out = ends.select("source", "target", F.col("target").alias("node"), F.lit(0).alias("i"))
-    for k, leap in reversed(list(enumerate(leaps[:-1]))):
-        far = out.join(leap, ["source", "node"]).select("source", "target", F.col("up").alias("node"), (F.col("i") + (1 << k)).alias("i"))
-        out = materialize(out.union(far), "steps")
-    return out
-
-
 def _laid(steps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(source, target, length_m[, travel_time_min], path, geometry) of the ways that steps are of; no line for a single node."""
     times = [c for c in ("travel_time_min",) if c in edges.columns]
@@ -266,9 +226,8 @@ def route(nodes: DataFrame, edges: DataFrame, origins: DataFrame, destinations:
     asked = o.crossJoin(d) if pairing == "cross" else o.join(d, o.origin == d.destination)
     asked = materialize(asked.join(a, "origin", "left").join(b, "destination", "left"), "asked")
     ends = asked.filter("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct()
-    ways = materialize(distances(edges, ends.select("source", F.col("source").alias("node")).distinct(), weight, before=True), "ways")
-    found = ends.join(ways.select("source", F.col("node").alias("target")), ["source", "target"], "left_semi")
-    laid = _laid(steps_back(ways, found), nodes, edges)
+    found = search(cut(edges, weight, nodes), ends.select("source", F.col("source").alias("node")).distinct())
+    laid = _laid(found.ways(ends), nodes, edges)
     straight = F.hypot(F.col("dx") - F.col("ox"), F.col("dy") - F.col("oy"))
     times = [c for c in laid.columns if c == "travel_time_min"]
     out = asked.join(laid, ["source", "target"], "left")

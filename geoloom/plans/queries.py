@@ -444,8 +444,9 @@ def components(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT u, v, min(length) AS w FROM (SELECT u, v, length FROM ({_LINKS}) WHERE u <> v UNION ALL SELECT v, u, length FROM ({_LINKS}) WHERE u <> v) GROUP BY 1, 2),
-r AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS d, 0 AS hops UNION SELECT e.v, r.d + e.w, r.hops + 1 FROM r JOIN e ON e.u = r.n WHERE r.hops < 6)
-SELECT CAST(n AS BIGINT) AS node, min(d) AS d FROM r GROUP BY n""")
+r(n, d) USING KEY (n) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS DOUBLE) UNION
+  SELECT e.v, min(r.d + e.w) FROM r JOIN e ON e.u = r.n LEFT JOIN recurring.r k ON k.n = e.v WHERE k.d IS NULL OR r.d + e.w < k.d GROUP BY 1)
+SELECT CAST(n AS BIGINT) AS node, d FROM r""")
 def network_distances(spark, sf_dir):
     _, edges = N.edge_list_network(_places(spark, sf_dir), _links(spark, sf_dir), "id", "a", "b", "km", 1000.0)
     return N.distances(edges, spark.range(1).select(F.lit(0).alias("source"), F.lit(0).cast("long").alias("node"))).select("node", "d")
@@ -638,8 +639,9 @@ def build_network(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT u, v, min(length) AS w FROM (SELECT u, v, length FROM ({_LINKS}) WHERE u <> v UNION ALL SELECT v, u, length FROM ({_LINKS}) WHERE u <> v) GROUP BY 1, 2),
-r AS (SELECT n::BIGINT AS n, CAST(0 AS DOUBLE) AS d, 0 AS hops FROM (VALUES (0), (7)) t(n) UNION SELECT e.v, r.d + e.w, r.hops + 1 FROM r JOIN e ON e.u = r.n WHERE r.hops < 6)
-SELECT n_nationkey::BIGINT AS id, min(d) AS network_distance FROM nation LEFT JOIN r ON r.n = n_nationkey GROUP BY 1""")
+r(n, d) USING KEY (n) AS (SELECT n::BIGINT, CAST(0 AS DOUBLE) FROM (VALUES (0), (7)) t(n) UNION
+  SELECT e.v, min(r.d + e.w) FROM r JOIN e ON e.u = r.n LEFT JOIN recurring.r k ON k.n = e.v WHERE k.d IS NULL OR r.d + e.w < k.d GROUP BY 1)
+SELECT n_nationkey::BIGINT AS id, d AS network_distance FROM nation LEFT JOIN r ON r.n = n_nationkey""")
 def shortest_path(spark, sf_dir):
     nodes, edges = N.edge_list_network(_places(spark, sf_dir), _links(spark, sf_dir), "id", "a", "b", "km", 1000.0)
     origins = nodes.select("id", G.point(F.col("x") + 1, F.col("y")).alias("geometry"))

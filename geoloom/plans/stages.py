@@ -6,12 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_WRITTEN: list[str] = []
+#: What the innermost scratch() block of this thread (or context) has written.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +35,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df, written as Parquet in the shared folder and read again, and its path; survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    if (record := _WRITTEN.get()) is not None:
+        record.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -44,17 +47,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Within the block, what written stages leave in the shared folder is recorded; it is deleted at the end.
+    """What written stages leave in the shared folder within the block is recorded and deleted at its end; other threads'
+    stages and those of an inner block are not this block's.
 
     Results that are still lazy read these files, so write or collect them inside the block.
     """
-    before = len(_WRITTEN)
+    record: list[str] = []
+    outer = _WRITTEN.set(record)
     try:
-        yield _WRITTEN
+        yield record
     finally:
-        for path in _WRITTEN[before:]:
+        _WRITTEN.reset(outer)
+        for path in record:
             drop_path(spark, path)
-        del _WRITTEN[before:]
 
 
 def components(edges: DataFrame) -> DataFrame:
