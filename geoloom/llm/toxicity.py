@@ -271,7 +271,8 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, turns: int = 30
 def train(docs: DataFrame, labels: DataFrame, model: CharModel, vocabulary: int = VOCABULARY, rows: int = FIT_ROWS) -> Scorer:
     """A scorer from docs (doc_id, text) and labels (doc_id, toxic), both without what is held out."""
     labels = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text").join(labels, "doc_id")
+    # Labels grow with the texts, so they are never sent to all tasks, however few they are now.
+    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text").join(labels.hint("merge"), "doc_id")
     counted = count_words(texts, model)
     both = counted.withColumn("every", F.col("n0") + F.col("n1")).filter(F.col("every") >= LEAST_TEXTS)
     # How far apart the shares are, against chance; "" comes first by itself.
