@@ -319,6 +319,26 @@ def test_recall(spark):
     assert hit / total >= 0.95
 
 
+@pytest.mark.parametrize("kind", ["shift 10", "shift 100", "uneven", "huge", "two far groups", "many groups"])
+def test_recall_wherever_vectors_lie(spark, kind):
+    rng = np.random.default_rng(11)
+    n = 6000
+    x = rng.normal(size=(n, 64))
+    if kind.startswith("shift"):
+        x += float(kind.split()[1])
+    if kind == "uneven":
+        x *= np.exp(rng.normal(0, 1, (n, 1)))
+    if kind == "huge":
+        x *= 1e20
+    if kind == "two far groups":
+        x += 1000 * rng.choice([-1, 1], (n, 1))
+    if kind == "many groups":
+        x += 100 * rng.normal(size=(200, 64))[rng.integers(0, 200, n)]
+    out = ann.nearest(spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)})), every=200).toPandas()
+    hit = sum(len({v for v, _ in brute_nearest(np.arange(n), x, q)} & set(out[out.query_id == q].vec_id)) for q in range(0, n, 200))
+    assert len(out) == 300 and hit / len(out) >= 0.95
+
+
 def test_many_tiles_and_copies(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 7))
