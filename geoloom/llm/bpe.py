@@ -36,6 +36,40 @@ CACHE, KEPT = 1_000_000, 64
 NEVER = np.iinfo(np.int64).max
 #: Rows that are encoded together.
 ROWS = 512
+#: White space as the tokenizers library has it.
+BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Letters and numbers of Unicode 16, which Python's tables of Unicode 15.1 don't have, as first and last.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+# Their small letters, and those of Unicode 17, which the library changes too.
+SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+NEW_CAPITALS = re.compile("[\u1c89\ua7cb\ua7cc\ua7ce\ua7d2\ua7d4\ua7da\ua7dc\U00010d50-\U00010d65\U00016ea0-\U00016eb8]")
+
+# Marks of Unicode 11 and later (and one pair of letters), which the library's normalisation leaves in place.
+LATER_MARKS = re.compile(
+    "([\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c\U00010d24-\U00010d27\U00010eab\U00010eac"
+    "\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b\U0001145e\U00011839\U0001183a\U00011930\U00011935\U0001193d"
+    "\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44\U00011d45\U00011d97\U00011f41\U00011f42\U00016ff0\U00016ff1"
+    "\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef])"
+)
+#: Beyond these code points the tables of regex and of the library differ.
+FAR = re.compile("[^\x00-\u0557]")
+
+
+@lru_cache(maxsize=2)
+def class_of(kind: str) -> str:
+    """The characters of a general category, L or N, as ranges for the inside of a character class."""
+    more = {"L": LETTERS_16, "N": NUMBERS_16}[kind]
+    own = np.fromiter((unicodedata.category(chr(c))[0] == kind for c in range(0x110000)), bool, 0x110000)
+    for a, b in more:
+        own[a : b + 1] = True
+    edges = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8))).reshape(-1, 2)
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist())
 
 
 def byte_letters() -> list[str]:
@@ -59,9 +93,11 @@ class WordBpe:
         for t, i in [*self.vocab.items(), *self.special.items()]:
             self.tokens[i] = t
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"])
-        # The same pattern for ASCII texts, which the plain module matches faster.
-        ascii_ = split["pattern"]["Regex"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
+        pattern = split["pattern"]["Regex"]
+        self.near_words = regex.compile(pattern.replace(r"\s", BLANKS))
+        self.words = re.compile(pattern.replace(r"\p{L}", class_of("L")).replace(r"\p{N}", class_of("N")).replace(r"\s", BLANKS))
+        # The same pattern for ASCII texts, which is matched faster.
+        ascii_ = pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r ")
         self.ascii_words = re.compile(ascii_, re.ASCII)
         self.cut = regex.compile("|".join(map(regex.escape, self.special)))
         self.letters = byte_letters()
@@ -91,9 +127,12 @@ class WordBpe:
         if text.isascii():
             return self.ascii_words.findall(text.lower())
         if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
+            text = "".join([unicodedata.normalize("NFC", part) for part in LATER_MARKS.split(text)])
         # Each character by itself, so a final sigma is like any other. White space of any kind is in no word.
-        return self.words.findall(text.replace("Σ", "σ").lower())
+        text = text.replace("Σ", "σ").lower()
+        if not FAR.search(text):
+            return self.near_words.findall(text)
+        return self.words.findall(text.translate(SMALL) if NEW_CAPITALS.search(text) else text)
 
     def guess(self, word: str) -> list[int]:
         """Greedy longest match; the end mark belongs to the last letter."""

@@ -252,6 +252,28 @@ def test_tokens_equal_the_library(path):
     assert [own.decode(np.array(x, np.int32)) for x in want] == [ref.decode(x, skip_special_tokens=False) for x in want]
 
 
+def test_every_code_point_equals_the_library(path):
+    from tokenizers import Tokenizer
+
+    own, ref = bpe.WordBpe(path), Tokenizer.from_file(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    # Between letters, after another sign, and twice: 200 of them in a text, set apart by blanks.
+    texts = [" ".join(f"a{c}b .{c}{c}1" for c in points[i : i + 200]) for i in range(0, len(points), 200)]
+    for i in range(0, len(texts), 500):
+        got, want = own.encode(texts[i : i + 500]), ref.encode_batch(texts[i : i + 500], add_special_tokens=False)
+        assert all(x.tolist() == y.ids for x, y in zip(got, want, strict=True))
+
+
+def test_random_texts_equal_the_library(path):
+    from tokenizers import Tokenizer
+
+    own, ref, rng = bpe.WordBpe(path), Tokenizer.from_file(path), random.Random(5)
+    pools = [range(0x20, 0x7F), range(0xA0, 0x500), range(0x500, 0x3000), range(0x3000, 0xD800), range(0xE000, 0x20000), range(0x20000, 0x110000)]
+    letter = lambda: chr(rng.choice(rng.choice(pools[: rng.randint(1, 6)]))) if rng.random() < 0.8 else rng.choice(" '\u0301\u0323\u1ac6sS\n")
+    texts = ["".join(letter() for _ in range(rng.randint(0, 60))) for _ in range(12_000)]
+    assert all(x.tolist() == y.ids for x, y in zip(own.encode(texts), ref.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
 def test_tokens_query(spark, docs, path):
     from tokenizers import Tokenizer
 
