@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.operators.raster import MAX_CELLS, Grid
+from geoloom.sources.geotiff import encode_tif
 
 
 def feature(df: DataFrame, geometry: str = "geometry") -> Column:
@@ -43,35 +42,14 @@ def turtle(df: DataFrame, key: str, base: str) -> DataFrame:
 
 
 def geotiff(cells: DataFrame, bands: Sequence[str], grid: Grid, epsg: int, nodata: float = -9999.0) -> bytes:
-    """A deflated float32 GeoTIFF of a raster within the cell budget, one strip a row, as bytes."""
+    """A GeoTIFF of a raster within the cell budget as bytes, for small rasters; geotiff.write_tifs() writes large ones."""
     if grid.rows * grid.cols * len(bands) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells")
     data = np.full((grid.rows, grid.cols, len(bands)), nodata, "<f4")
     rows = cells.select("row", "col", *bands).toPandas()
     for i, b in enumerate(bands):
         data[rows["row"], rows["col"], i] = rows[b].astype(float).fillna(nodata)
-    strips = [zlib.compress(r.tobytes()) for r in data]
-    starts = np.cumsum([8, *map(len, strips)]).tolist()
-    keys = (1, 1, 0, 3, 1024, 0, 1, 1 if epsg != 4326 else 2, 1025, 0, 1, 1, 3072 if epsg != 4326 else 2048, 0, 1, epsg)
-    tags = [
-        (256, "I", (grid.cols,)), (257, "I", (grid.rows,)), (258, "H", (32,) * len(bands)), (259, "H", (8,)), (262, "H", (1,)), (273, "I", tuple(starts[:-1])),
-        (277, "H", (len(bands),)), (278, "I", (1,)), (279, "I", tuple(map(len, strips))), (284, "H", (1,)), (339, "H", (3,) * len(bands)),
-        (33550, "d", (grid.cell, grid.cell, 0.0)), (33922, "d", (0.0, 0.0, 0.0, grid.x0, grid.y0, 0.0)), (34735, "H", keys), (42113, "s", f"{nodata:g}\0".encode()),
-    ]
-    ids = {"H": 3, "I": 4, "d": 12, "s": 2}
-    at = starts[-1] + starts[-1] % 2
-    more, entries = b"", b""
-    end = at + 2 + 12 * len(tags) + 4
-    for tag, code, values in tags:
-        raw = values if code == "s" else struct.pack(f"<{len(values)}{code}", *values)
-        entries += struct.pack("<HHI", tag, ids[code], len(values))
-        if len(raw) <= 4:
-            entries += raw.ljust(4, b"\0")
-        else:
-            entries += struct.pack("<I", end + len(more))
-            more += raw + b"\0" * (len(raw) % 2)
-    body = b"II*\0" + struct.pack("<I", at) + b"".join(strips)
-    return body.ljust(at, b"\0") + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + more
+    return encode_tif(data, grid.x0, grid.y0, grid.cell, epsg, nodata)
 
 
 def html_map(df: DataFrame, limit: int = 5000) -> str:

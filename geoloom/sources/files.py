@@ -1,5 +1,5 @@
 """Reading layers and tables from files. What Spark reads itself it reads; single-file formats (databases, workbooks,
-archives, GeoTIFF) come in as binaryFile rows and are taken apart inside a task, never on the driver.
+archives) come in as binaryFile rows and are taken apart inside a task, never on the driver; GeoTIFF is in geotiff.py.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import sqlite3
 import struct
 import tempfile
 import zipfile
-import zlib
 from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
@@ -260,70 +259,6 @@ def read_gml(spark: SparkSession, path: str, member: str, columns: dict[str, str
     return rows.select(*[CASTS[t](F.col(c)).alias(c) for c, t in columns.items()], g.alias("geometry"))
 
 
-# --- rasters ----------------------------------------------------------------------------------------------------
-
-_TYPES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
-
-
-def tiff_header(content: bytes) -> dict:
-    """Tags of a TIFF's first image, and its grid if it is a GeoTIFF."""
-    e = "<" if content[:2] == b"II" else ">"
-    (at,) = struct.unpack_from(e + "I", content, 4)
-    (n,) = struct.unpack_from(e + "H", content, at)
-    sizes, tags = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d", 16: "Q"}, {}
-    for i in range(n):
-        tag, kind, count = struct.unpack_from(e + "HHI", content, at + 2 + 12 * i)
-        if kind not in sizes:
-            continue
-        code = f"{count}s" if kind == 2 else sizes[kind] * count
-        where = at + 10 + 12 * i
-        if struct.calcsize(e + code) > 4:
-            (where,) = struct.unpack_from(e + "I", content, where)
-        tags[tag] = struct.unpack_from(e + code, content, where)
-    scale, tie = tags.get(33550, (1.0, 1.0, 0.0)), tags.get(33922, (0.0, 0.0, 0.0, 0.0, 0.0, 0.0))
-    nodata = tags.get(42113)
-    return {"e": e, "tags": tags, "cols": tags[256][0], "rows": tags[257][0], "x0": tie[3] - tie[0] * scale[0], "y0": tie[4] + tie[1] * scale[1], "cell": scale[0], "nodata": float(nodata[0].rstrip(b"\0 ")) if nodata else None}
-
-
-def tiff_rows(content: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first row, first column, values (rows, columns, bands)) of each strip or tile."""
-    h = tiff_header(content)
-    tags, bands = h["tags"], h["tags"].get(277, (1,))[0]
-    kind = np.dtype(h["e"] + _TYPES[tags.get(339, (1,))[0], tags[258][0]])
-    packed, predictor = tags.get(259, (1,))[0], tags.get(317, (1,))[0]
-    if packed not in (1, 8, 32946) or predictor not in (1, 2) or tags.get(284, (1,))[0] != 1:
-        raise ValueError("only plain or deflated, pixel-interleaved images with predictor 1 or 2 are read")
-    tiled = 322 in tags
-    w, t = (tags[322][0], tags[323][0]) if tiled else (h["cols"], tags.get(278, (h["rows"],))[0])
-    across = -(-h["cols"] // w)
-    for i, (start, size) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True)):
-        data = content[start : start + size]
-        data = data if packed == 1 else zlib.decompress(data)
-        row, col = i // across * t, i % across * w
-        block = np.frombuffer(data, kind).reshape(-1, w, bands)
-        block = np.cumsum(block, 1, dtype=kind) if predictor == 2 else block
-        yield row, col, block[: h["rows"] - row, : h["cols"] - col]
-
-
-def read_tif(spark: SparkSession, path: str, band_names: Sequence[str] = ("band",)) -> DataFrame:
-    """(row, col, bands) of a GeoTIFF; nodata is null. tiff_header() has its grid."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for content in map(bytes, f["content"]):
-                nodata = tiff_header(content)["nodata"]
-                for row, col, block in tiff_rows(content):
-                    r, c = np.mgrid[row : row + block.shape[0], col : col + block.shape[1]]
-                    out = pd.DataFrame({"row": r.ravel(), "col": c.ravel()})
-                    for i, n in enumerate(band_names):
-                        v = block[:, :, i].astype(float).ravel()
-                        out[n] = np.where((v == nodata) | ~np.isfinite(v), np.nan, v) if nodata is not None else v
-                    yield out
-
-    bands = ", ".join(f"{n} double" for n in band_names)
-    cells = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, f"row long, col long, {bands}")
-    return cells.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in band_names})
-
-
 # --- map data ---------------------------------------------------------------------------------------------------
 
 

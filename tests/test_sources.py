@@ -11,7 +11,7 @@ from geoloom.functions import geometry as G
 from geoloom.operators import network as N
 from geoloom.operators import raster as R
 from geoloom.outputs import writers
-from geoloom.sources import catalogues, files, web
+from geoloom.sources import catalogues, files, geotiff, web
 from geoloom.streaming.hexbin import windowed_hexbin
 
 
@@ -85,9 +85,9 @@ def test_geotiff_round_trip(spark, tmp_path):
     cells = grid.cells(spark).withColumn("v", F.when(F.col("col") != 2, F.col("row") * 4.0 + F.col("col")))
     data = writers.geotiff(cells, ["v"], grid, 32633)
     (tmp_path / "a.tif").write_bytes(data)
-    head = files.tiff_header(data)
-    assert (head["rows"], head["cols"], head["x0"], head["y0"], head["cell"]) == (3, 4, 100.0, 200.0, 10.0)
-    assert sorted(map(tuple, files.read_tif(spark, str(tmp_path / "a.tif"), ["v"]).collect()), key=str) == sorted(map(tuple, cells.select("row", "col", "v").collect()), key=str)
+    head = geotiff.head(lambda at, size: data[at : at + size])
+    assert (head.rows, head.cols, head.x0, head.y0, head.dx) == (3, 4, 100.0, 200.0, 10.0)
+    assert sorted(map(tuple, geotiff.read_tif(spark, str(tmp_path / "a.tif"), ["v"]).collect()), key=str) == sorted(map(tuple, cells.select("row", "col", "v").collect()), key=str)
 
 
 def test_services(spark):
