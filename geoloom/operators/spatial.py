@@ -96,45 +96,6 @@ def aggregate(zones: DataFrame, features: DataFrame, key: str, statistic: str =
     return out.fillna(fill) if fill else out
 
 
-def nearest_distance(probes: DataFrame, targets: DataFrame, key: str, start: float, output_field: str = "distance") -> DataFrame:
-    """probes (points, unique in key) with the distance to the nearest target point at another place, null without one.
-
-    Rings of growing cells: a probe looks at the 3 x 3 cells around it and is settled once it has found something no
-    farther than a cell's side; the rest go on with cells twice as large. start: the first side, about the usual distance.
-    """
-    need(probes, key)
-    g = F.col("geometry")
-    spots = materialize(targets.select(G.px(g).alias("tx"), G.py(g).alias("ty")).filter("tx IS NOT NULL").distinct(), "spots")
-    open_ = materialize(probes.select(F.col(key).alias("k"), G.px(g).alias("x"), G.py(g).alias("y")).filter("x IS NOT NULL"), "open")
-    ends = spots.agg(F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty")).first()
-    far = open_.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    done, side = [], start
-    if ends[0] is not None and far[0] is not None:
-        whole = max(max(ends[1], far[1]) - min(ends[0], far[0]), max(ends[3], far[3]) - min(ends[2], far[2]), start)
-        while True:
-            near = lambda v: F.explode(F.sequence(F.floor(F.col(v) / side).cast("long") - 1, F.floor(F.col(v) / side).cast("long") + 1))  # noqa: E731, B023
-            asked = open_.withColumn("cx", near("x")).withColumn("cy", near("y"))
-            there = spots.withColumn("cx", F.floor(F.col("tx") / side).cast("long")).withColumn("cy", F.floor(F.col("ty") / side).cast("long"))
-            away = F.hypot(F.col("tx") - F.col("x"), F.col("ty") - F.col("y"))
-            met = asked.join(there, ["cx", "cy"]).filter((F.col("tx") != F.col("x")) | (F.col("ty") != F.col("y")))
-            best = met.groupBy("k").agg(F.min(away).alias("d"))
-            last = side > whole
-            found = materialize(best if last else best.filter(F.col("d") <= side), "found")
-            done.append(found)
-            if last:
-                break
-            open_ = materialize(open_.join(found, "k", "left_anti"), "open")
-            if open_.isEmpty():
-                break
-            side *= 4
-    if not done:
-        return probes.withColumn(output_field, F.lit(None).cast("double"))
-    all_ = done[0]
-    for d in done[1:]:
-        all_ = all_.union(d)
-    return probes.join(all_.select(F.col("k").alias("__k"), F.col("d").alias(output_field)), probes[key] == F.col("__k"), "left").drop("__k")
-
-
 def _hex_axes(width: float) -> tuple[float, float]:
     """Circumradius and row height of pointy-top hexagons of this flat-to-flat width."""
     radius = width / math.sqrt(3)

@@ -19,6 +19,7 @@ from geoloom.operators import attributes as A
 from geoloom.operators import network as N
 from geoloom.operators import polygons as P
 from geoloom.operators import raster as R
+from geoloom.operators import nearest
 from geoloom.operators import spatial as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,7 +241,7 @@ SELECT p.k AS c_custkey, round(min(sqrt(CAST((p.x - t.x) * (p.x - t.x) + (p.y -
 FROM p LEFT JOIN t ON p.x <> t.x OR p.y <> t.y GROUP BY p.k""")
 def nearest_distance(spark, sf_dir):
     probes = _place(_t(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "geometry")
-    out = S.nearest_distance(probes, _place(_t(spark, sf_dir, "supplier"), "s_suppkey"), "c_custkey", 500.0)
+    out = nearest.nearest_distance(probes, _place(_t(spark, sf_dir, "supplier"), "s_suppkey"), "c_custkey", 500.0)
     return out.select("c_custkey", F.round("distance", 6).alias("distance"))
 
 

@@ -15,6 +15,7 @@ from geoloom.operators import attributes as A
 from geoloom.operators import network as N
 from geoloom.operators import polygons as P
 from geoloom.operators import raster as R
+from geoloom.operators import nearest
 from geoloom.operators import spatial as S
 
 
@@ -92,7 +93,7 @@ def test_spatial(spark):
     assert values(S.aggregate(zones, staff, "id", "sum", "staff", cell=7.0), "id", "sum") == [(1, 12.0), (2, 0.0)]
     assert values(S.aggregate(zones, staff, "id", "mean", "staff", cell=7.0), "id", "mean") == [(1, 4.0), (2, None)]
     assert values(S.aggregate(zones, staff, "id", group_by="field", cell=7.0), "id", "count_dentist", "count_general") == [(1, 1, 2), (2, 0, 0)]
-    near = lambda xs, ys: [r[1] for r in values(S.nearest_distance(points(spark, [(i, float(x), 0.0) for i, x in enumerate(xs)]), points(spark, [(i, float(y), 0.0) for i, y in enumerate(ys)]), "id", 0.5), "id", "distance")]
+    near = lambda xs, ys: [r[1] for r in values(nearest.nearest_distance(points(spark, [(i, float(x), 0.0) for i, x in enumerate(xs)]), points(spark, [(i, float(y), 0.0) for i, y in enumerate(ys)]), "id", 0.5), "id", "distance")]
     assert near([0, 1, 5], [0, 1, 5]) == [1, 1, 4]
     assert near([7], [7]) == [None]
     assert near([0], [0, 0, 3]) == [3]
