@@ -90,10 +90,15 @@ def area(g: Column) -> Column:
     return F.when(g["dim"] == 2, _sum(g["parts"], of_part))
 
 
+def outline(g: Column) -> Column:
+    """The length of lines and of polygons' boundaries; 0 for points."""
+    of_ring = lambda r: _sum(segments(r), lambda s: F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]))
+    return _sum(rings(g), of_ring)
+
+
 def length(g: Column) -> Column:
     """Of lines; null for other kinds (a polygon's boundary is no length)."""
-    of_ring = lambda r: _sum(segments(r), lambda s: F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]))
-    return F.when(g["dim"] == 1, _sum(rings(g), of_ring))
+    return F.when(g["dim"] == 1, outline(g))
 
 
 def bbox(g: Column) -> Column:

@@ -121,8 +121,8 @@ def top_n(df: DataFrame, by: str, n: int, order: str = "desc", ties: Sequence[st
 
 
 def deduplicate(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], keep: str = "first") -> DataFrame:
-    """One row for each value of by: the first or last by order, or that of the largest_geometry (area, or length; ties:
-    the first by order). Rows that miss a key all stay.
+    """One row for each value of by: the first or last by order, or that of the largest_geometry (areas before lines before
+    points, then by area, then by length or perimeter; ties: the first by order). Rows that miss a key all stay.
 
     An aggregation that combines before the shuffle, so a key that many rows share does not gather in one task.
     """
@@ -130,7 +130,8 @@ def deduplicate(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
     missing = reduce(Column.__or__, [F.col(c).isNull() for c in by])
     if keep == "largest_geometry":
         g = F.col("geometry")
-        order = [(-F.coalesce(G.area(g), G.length(g), F.lit(0.0))).alias("__size"), *order]
+        measures = (F.coalesce(g["dim"], F.lit(-1)), F.coalesce(G.area(g), F.lit(0.0)), F.coalesce(G.outline(g), F.lit(0.0)))
+        order = [*((-m).alias(f"__size{i}") for i, m in enumerate(measures)), *order]
     pick = F.max_by if keep == "last" else F.min_by
     one = df.filter(~missing).groupBy(*by).agg(pick(F.struct(*df.columns), F.struct(*order)).alias("__row")).select("__row.*")
     return one.unionByName(df.filter(missing))

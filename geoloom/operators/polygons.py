@@ -254,14 +254,23 @@ def overlay(a: DataFrame, b: DataFrame, key_a: str, key_b: str, how: str = "inte
 
 
 def clip(features: DataFrame, mask: DataFrame, key: str, cell: float = 1000.0) -> DataFrame:
-    """The features' parts (unique in key) inside the mask's polygons. A line or polygon that only touches them goes."""
+    """The features' parts (unique in key) inside the mask's polygons. A line or polygon that only touches them goes; of several
+    points those in the mask or on its border stay.
+    """
     mask = mask.filter("geometry.dim = 2").select("geometry")
-    met = pairs(features.filter("geometry.dim < 2"), mask, cell, G.intersects(F.col("l.geometry"), F.col("r.geometry")))
-    points = met.filter("l.geometry.dim = 0").select(F.col(f"l.{key}").alias("__k")).distinct()
+    met = pairs(features.filter("geometry.dim = 1 OR geometry.kind = 'Point'"), mask, cell, G.intersects(F.col("l.geometry"), F.col("r.geometry")))
+    points = met.filter("l.geometry.kind = 'Point'").select(F.col(f"l.{key}").alias("__k")).distinct()
     out = features.join(points, features[key] == F.col("__k"), "left_semi")
+    # Each of several points by itself, named by its place among them.
+    many = features.filter("geometry.kind = 'MultiPoint'").select(F.col(key).alias("k"), F.posexplode(G.vertices(F.col("geometry"))).alias("i", "v"))
+    many = many.select(F.struct("k", "i").alias("one"), G.point(F.col("v.x"), F.col("v.y")).alias("geometry"))
+    stay = pairs(many, mask, cell, G.covers_point(F.col("r.geometry"), G.px(F.col("l.geometry")), G.py(F.col("l.geometry")))).select("l.one", F.col("l.geometry.parts").alias("p")).dropDuplicates(["one"])
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col("one.i").alias("i"), F.col("p")[0].alias("p")))), lambda s: s["p"])
+    stay = stay.groupBy(F.col("one.k").alias("k")).agg(parts.alias("p"))
+    stay = stay.select("k", F.when(F.size("p") == 1, G.geometry("Point", F.col("p"))).otherwise(G.geometry("MultiPoint", F.col("p"))).alias("geometry"))
     lines = inside_lines(met.filter("l.geometry.dim = 1"), features, key)
     polygons = _against(features.filter("geometry.dim = 2"), mask, key, "intersection", cell).select("k", "geometry")
-    cut = lines.union(polygons).select(F.col("k").alias("__k"), F.col("geometry").alias("__g"))
+    cut = lines.union(polygons).union(stay).select(F.col("k").alias("__k"), F.col("geometry").alias("__g"))
     new = features.join(cut, features[key] == F.col("__k")).withColumn("geometry", F.col("__g")).drop("__k", "__g")
     return out.unionByName(new)
 

@@ -169,8 +169,8 @@ STATS = ("sum", "mean", "max", "min", "count", "std", "share")
 def zonal_stats(zones: DataFrame, cells: DataFrame, grid: Grid, key: str, band: str, stat: str = "sum", decimals: int | None = None, class_value: float = 1.0, output_field: str | None = None, valid_share_field: str | None = None, min_valid_share: float | None = None) -> DataFrame:
     """zones (polygons, unique in key) with a statistic of the cells whose centre is inside; null without a valid cell.
 
-    valid_share_field takes the share of a zone's cells that have a value; cells outside the raster have none, so it is
-    the number of valid cells by the zone's area in cells. Below min_valid_share the statistic is null.
+    valid_share_field takes the share of a zone's cells that have a value: of all cells whose centre is inside, those
+    outside the raster too, which have none; null without such a cell. Below min_valid_share the statistic is null.
     """
     v = finite(F.col(band))
     tile = lambda c: F.floor(F.col(c) / TILE).cast("long")
@@ -191,12 +191,31 @@ def zonal_stats(zones: DataFrame, cells: DataFrame, grid: Grid, key: str, band:
     by_zone = met.groupBy("__k").agg(F.bround(value, decimals).alias(name), F.count("__v").alias("__n"))
     out = zones.join(by_zone, zones[key] == F.col("__k"), "left").drop("__k")
     if valid_share_field or min_valid_share is not None:
-        share = F.least(F.lit(1.0), F.try_divide(F.coalesce("__n", F.lit(0)), G.area(F.col("geometry")) / grid.cell**2))
+        every = zone_cells(zones, grid, key).withColumnsRenamed({"zone": "__z", "cells": "__every"})
+        out = out.join(every, out[key] == F.col("__z"), "left").drop("__z")
+        share = F.try_divide(F.coalesce("__n", F.lit(0)), F.col("__every"))
         if min_valid_share is not None:
             out = out.withColumn(name, F.when(share >= min_valid_share, F.col(name)))
         if valid_share_field:
             out = out.withColumn(valid_share_field, share)
-    return out.drop("__n")
+    return out.drop("__n", "__every")
+
+
+def zone_cells(zones: DataFrame, grid: Grid, key: str) -> DataFrame:
+    """(zone, cells): how many cell centres are in each zone (polygons, unique in key), in the raster or beyond it.
+
+    By rows of cells: between the first and second crossing of a row's middle with the border, the third and fourth, ...
+    lie whole stretches of cells, which are counted and not listed.
+    """
+    b, y = G.bbox(F.col("geometry")), grid.y(F.col("row"))
+    rows = zones.select(F.col(key).alias("zone"), "geometry", b.alias("b")).filter("b.xmin IS NOT NULL")
+    rows = rows.withColumn("row", F.explode(F.sequence(grid.row_of(F.col("b.ymax")), grid.row_of(F.col("b.ymin")))))
+    # The first centre at or after a crossing, by which cells are counted.
+    at = lambda s: s["a"]["x"] + (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) * (s["b"]["x"] - s["a"]["x"])
+    crossed = F.filter(F.flatten(F.transform(G.rings(F.col("geometry")), G.segments)), lambda s: (s["a"]["y"] > y) != (s["b"]["y"] > y))
+    firsts = F.array_sort(F.transform(crossed, lambda s: F.ceil((at(s) - grid.x0) / grid.cell - 0.5)))
+    signed = F.aggregate(F.transform(firsts, lambda c, i: F.when(i % 2 == 1, c).otherwise(-c)), F.lit(0).cast("long"), lambda a, v: a + v)
+    return rows.groupBy("zone").agg(F.sum(signed).alias("cells"))
 
 
 def warp_area(cells: DataFrame, band: str, source: Grid, target: Grid, how: str = "average") -> DataFrame:

@@ -8,7 +8,8 @@ from geoloom.functions import geometry as G
 from geoloom.operators import attributes as A
 from geoloom.operators import nearest
 from geoloom.operators import polygons as P
-from geoloom.plans.queries import _place, _t, query
+from geoloom.operators import raster as R
+from geoloom.plans.queries import _CELLS, _GRID, _cells, _place, _t, query
 
 _CUSTOMERS = "SELECT c_custkey, c_custkey * 7919 % 10007 + 0.5 AS x, c_custkey * 104729 % 10009 + 0.5 AS y FROM customer"
 
@@ -37,3 +38,43 @@ def nearest_area(spark, sf_dir):
     x, y, side = k * 7919 % 10007, k * 104729 % 10009, k % 7 * 40 + 20
     squares = _t(spark, sf_dir, "supplier").select(G.box(x, y, x + side, y + side).alias("geometry"))
     return nearest.nearest_distance(_probes(spark, sf_dir), squares, "c_custkey", 200.0).select("c_custkey", F.round("distance", 6).alias("distance"))
+
+
+@query("""WITH z AS (SELECT z, z % 10 * 1000 AS x0, z // 10 * 1000 AS y0 FROM (SELECT DISTINCT c_custkey % 100 AS z FROM customer) WHERE z % 3 = 1),
+e AS (SELECT user_id, event_id, event_id * 7919 % 10007 AS x, event_id * 104729 % 10009 AS y FROM events)
+SELECT user_id, count(DISTINCT event_id) AS n FROM e JOIN z ON x BETWEEN x0 AND x0 + 1000 AND y BETWEEN y0 AND y0 + 1000 GROUP BY 1""")
+def clip_multipoints(spark, sf_dir):
+    """The places of each user's events as one geometry, and how many of them are in a mask of squares."""
+    places = _place(_t(spark, sf_dir, "events"), "event_id")
+    at = F.sort_array(F.collect_list(F.struct("event_id", F.col("geometry.parts")[0].alias("p"))))
+    users = places.groupBy("user_id").agg(G.geometry("MultiPoint", F.transform(at, lambda s: s["p"])).alias("geometry"))
+    z = F.col("zone")
+    mask = _t(spark, sf_dir, "customer").select((F.col("c_custkey") % 100).alias("zone")).distinct().filter("zone % 3 = 1")
+    mask = mask.select("zone", G.box(z % 10 * 1000, F.floor(z / 10) * 1000, z % 10 * 1000 + 1000, F.floor(z / 10) * 1000 + 1000).alias("geometry"))
+    return P.clip(users, mask, "user_id").select("user_id", F.size(G.vertices(F.col("geometry"))).cast("long").alias("n"))
+
+
+@query("""WITH g AS (SELECT s_nationkey, s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS dim, s_suppkey * 31 % 7 + 1 AS a, s_suppkey * 17 % 5 + 1 AS b FROM supplier),
+m AS (SELECT *, CASE dim WHEN 2 THEN a * b ELSE 0 END AS area, CASE dim WHEN 2 THEN 2 * (a + b) WHEN 1 THEN 1000 * a ELSE 0 END AS outline FROM g)
+SELECT s_nationkey, s_suppkey FROM m QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY dim DESC, area DESC, outline DESC, s_suppkey) = 1""")
+def dedupe_largest(spark, sf_dir):
+    """Of each nation's points, lines and areas the largest: small areas go before long lines."""
+    k = F.col("s_suppkey")
+    a, b, zero = k * 31 % 7 + 1, k * 17 % 5 + 1, F.lit(0)
+    shape = F.when(k % 3 == 0, G.point(k, k)).when(k % 3 == 1, G.line(G.xy(zero, zero), G.xy(1000 * a, zero))).otherwise(G.box(zero, zero, a, b))
+    rows = _t(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", shape.alias("geometry"))
+    return A.deduplicate(rows, ["s_nationkey"], ["s_suppkey"], "largest_geometry").select("s_nationkey", "s_suppkey")
+
+
+@query(f"""WITH z AS (SELECT z AS zone, z % 10 * 1000 + 303 AS x0, z // 10 * 1000 + 207 AS y0 FROM (SELECT DISTINCT c_custkey % 100 AS z FROM customer)),
+every AS (SELECT zone, count(*) AS n FROM z, range(-20, 220) r(r), range(0, 230) c(c) WHERE (c + 0.5) * 50 > x0 AND 10050 - (r + 0.5) * 50 > y0 AND (c + 0.5) * 50 - x0 + 10050 - (r + 0.5) * 50 - y0 < 1000 GROUP BY 1),
+good AS (SELECT zone, sum(nir) AS s, count(*) AS n FROM z JOIN ({_CELLS}) ON nir IS NOT NULL AND (col + 0.5) * 50 > x0 AND 10050 - (row + 0.5) * 50 > y0 AND (col + 0.5) * 50 - x0 + 10050 - (row + 0.5) * 50 - y0 < 1000 GROUP BY 1)
+SELECT zone, CASE WHEN coalesce(good.n, 0) / every.n >= 0.5 THEN good.s END AS sum_value, round(coalesce(good.n, 0) / every.n, 9) AS share FROM z LEFT JOIN every USING (zone) LEFT JOIN good USING (zone)""")
+def zonal_valid_share(spark, sf_dir):
+    """Sums in slanted zones, some of them partly beyond the raster, and which share of a zone's cells has a value."""
+    z = F.col("zone")
+    x, y = z % 10 * 1000 + 303, F.floor(z / 10) * 1000 + 207
+    zones = _t(spark, sf_dir, "customer").select((F.col("c_custkey") % 100).alias("zone")).distinct()
+    zones = zones.select("zone", G.polygon_of(F.array(G.xy(x, y), G.xy(x + 1000, y), G.xy(x, y + 1000), G.xy(x, y))).alias("geometry"))
+    out = R.zonal_stats(zones, _cells(spark, sf_dir), _GRID, "zone", "nir", valid_share_field="share", min_valid_share=0.5)
+    return out.select("zone", "sum_value", F.round("share", 9).alias("share"))

@@ -110,10 +110,17 @@ def _xlsx(content: bytes, sheet: str | None) -> list[list]:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
-        sheets = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{ns['m']}}}sheet")]
-        if sheet is None and len(sheets) > 1:
-            raise ValueError(f"name one of the sheets {sheets}")
-        tree = ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheets.index(sheet) + 1 if sheet else 1}.xml"))
+        # A sheet's file is named by the workbook's relations; where there are none, by its place.
+        relation = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+        sheets = {s.get("name"): s.get(relation) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{ns['m']}}}sheet")}
+        if sheet not in sheets and (sheet is not None or len(sheets) > 1):
+            raise ValueError(f"name one of the sheets {list(sheets)}")
+        name = sheet if sheet is not None else next(iter(sheets))
+        targets = {}
+        if "xl/_rels/workbook.xml.rels" in z.namelist():
+            targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        target = targets.get(sheets[name], f"worksheets/sheet{list(sheets).index(name) + 1}.xml")
+        tree = ElementTree.fromstring(z.read(target[1:] if target.startswith("/") else f"xl/{target}"))
     out = []
     for row in tree.iter(f"{{{ns['m']}}}row"):
         cells: dict[int, str | None] = {}

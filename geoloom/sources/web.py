@@ -54,24 +54,52 @@ def items(pages: DataFrame, path: str, columns: dict[str, str], x: str | None =
     return rows.select(*picked, g.alias("geometry"))
 
 
-def all_pages(spark: SparkSession, urls_from: Callable[[int, int], list[str]], size: int, path: str, get: Callable[[str], str] = http, wave: int = 16, most: int = 10_000) -> DataFrame:
-    """(url, body) of the pages of a service up to the last one, which has fewer than ``size`` items at the dotted path.
+def every_page(spark: SparkSession, url_at: Callable[[int, int], str], size: int, path: str, get: Callable[[str], str] = http, wave: int = 16, most: int = 10_000, matched: str | None = "numberMatched") -> DataFrame:
+    """(url, body) of all pages of a service, as items at the dotted path; url_at(offset, count) is a page's address.
 
-    urls_from(k, n) gives the addresses of n pages from page k on. Pages are fetched by tasks in waves and written; a
-    service that gives a page again has no more, and one that has ``most`` full pages is an error, never a shorter layer.
+    The first page tells how many items a page really has: where the service says how many match in all and gives fewer
+    than asked for, it has a limit of its own, and the next pages are asked for in its steps. Pages are then fetched by tasks
+    in waves and written. The last page has fewer items than the others, or reaches the number that match. A page that comes
+    again, pages that don't add up to that number, and more than ``most`` pages are errors, never a shorter layer.
     """
-    out, at = None, 0
-    items = F.size(F.from_json(F.get_json_object("body", "$." + path), "array<string>"))
-    while at < most:
-        n = min(wave, most - at)
-        got = materialize(fetch_pages(spark, urls_from(at, n), get), "pages")
-        full = got.agg(F.min(F.coalesce(items, F.lit(0))).alias("least"), F.count_distinct("body").alias("kinds")).first()
-        again = out is not None and not got.join(out.select("body"), "body", "left_semi").isEmpty()
-        out = got if out is None else out.union(got)
-        if full.least < size or full.kinds < n or again:
-            return out
-        at += n
-    raise ValueError(f"the service has more than {most} pages")
+    listed = F.get_json_object("body", "$." + path)
+    n = F.coalesce(F.size(F.from_json(listed, "array<string>")), F.lit(0))
+    total = F.get_json_object("body", f"$.{matched}").cast("long") if matched else F.lit(None).cast("long")
+
+    def fetched(urls: list[str]) -> DataFrame:
+        return materialize(fetch_pages(spark, urls, get).select("url", "body", F.when(n > 0, F.xxhash64(listed)).alias("own"), n.cast("long").alias("n"), total.alias("total")), "pages")
+
+    out = fetched([url_at(0, size)])
+    first = out.select("n", "total").first()
+    every, step = first.total, first.n if first.total is not None and 0 < first.n < min(size, first.total) else size
+    at, pages = step, 1
+    # Without a number, a page that is not full is the last one.
+    ended = first.n < step if every is None else at >= every or not first.n
+    while not ended:
+        if pages >= most:
+            raise ValueError(f"the service has more than {most} pages")
+        k = min(wave, most - pages, wave if every is None else -(-(every - at) // step))
+        out = out.union(fetched([url_at(at + i * step, step) for i in range(k)]))
+        facts = out.agg(F.count("own").alias("filled"), F.count_distinct("own").alias("kinds"), F.min("n").alias("least"), F.sum("n").alias("items")).first()
+        if facts.kinds < facts.filled:
+            raise ValueError("the service gives a page again; it seems to ignore where a page starts")
+        at, pages = at + k * step, pages + k
+        ended = facts.least < step if every is None else at >= every
+    got = out.agg(F.sum("n")).first()[0]
+    if every is not None and got != every:
+        raise ValueError(f"the service gave {got} of {every} items")
+    return out.select("url", "body")
+
+
+def all_pages(spark: SparkSession, urls_from: Callable[[int, int], list[str]], size: int, path: str, get: Callable[[str], str] = http, wave: int = 16, most: int = 10_000) -> DataFrame:
+    """every_page() of a service whose pages have numbers: urls_from(k, n) gives the addresses of n pages from page k on."""
+
+    def url_at(offset: int, count: int) -> str:
+        if count != size:
+            raise ValueError(f"the service gives {count} of {size} items that a page was asked for")
+        return urls_from(offset // size, 1)[0]
+
+    return every_page(spark, url_at, size, path, get, wave, most)
 
 
 def wfs_urls(base: str, layer: str, bbox: tuple[float, float, float, float], count: int, pages: int, start: int = 0) -> list[str]:
@@ -81,6 +109,11 @@ def wfs_urls(base: str, layer: str, bbox: tuple[float, float, float, float], cou
     return [f"{base}?{urlencode(same | {'startIndex': k * count})}" for k in range(start, start + pages)]
 
 
+def wfs_url(base: str, layer: str, bbox: tuple[float, float, float, float]) -> Callable[[int, int], str]:
+    """url_at of every_page() for a WFS layer."""
+    return lambda offset, count: wfs_urls(base, layer, bbox, count, 1)[0].replace("startIndex=0", f"startIndex={offset}")
+
+
 def offset_urls(base: str, limit: int, pages: int, start: int = 0, **query: str) -> list[str]:
     return [f"{base}?{urlencode(query | {'limit': limit, 'offset': k * limit})}" for k in range(start, start + pages)]
 

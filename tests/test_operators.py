@@ -360,3 +360,30 @@ def test_shared_folder(spark):
         assert path in paths
     assert not os.path.exists(path)
     assert path not in paths
+
+
+def test_several_points_are_clipped_one_by_one(spark):
+    t = ["MULTIPOINT ((1 1), (100 100))", "MULTIPOINT ((1 1), (2 2), (50 50), (10 5))", "MULTIPOINT ((70 70), (80 80))", "POINT (3 3)"]
+    df = spark.createDataFrame(list(enumerate(t)), "id long, t string").select("id", G.from_wkt(F.col("t")).alias("geometry"))
+    out = {r.id: r.w for r in P.clip(df, boxes(spark, [(1, 0, 0, 10, 10), (2, 0, 0, 10, 10)]), "id", 5.0).select("id", G.wkt(F.col("geometry")).alias("w")).collect()}
+    assert out == {0: "POINT (1.0 1.0)", 1: "MULTIPOINT ((1.0 1.0), (2.0 2.0), (10.0 5.0))", 3: "POINT (3.0 3.0)"}
+
+
+def test_largest_geometry_by_dimension(spark):
+    t = ["LINESTRING (0 0, 5000 0)", "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0))", "POLYGON ((0 0, 1 0, 1 100, 0 100, 0 0))", "POINT (0 0)", None]
+    df = spark.createDataFrame([(i, "k", x) for i, x in enumerate(t)], "id long, k string, t string").select("id", "k", G.from_wkt(F.col("t")).alias("geometry"))
+    pick = lambda where: A.deduplicate(df.filter(where), ["k"], ["id"], "largest_geometry").first().id
+    assert (pick("true"), pick("id <> 2"), pick("id IN (0, 3, 4)"), pick("id > 2")) == (2, 1, 0, 3)
+
+
+def test_valid_share_counts_cells(spark):
+    grid = R.Grid(0.0, 100.0, 10.0, 10, 10)
+    cells = grid.cells(spark).withColumn("v", F.lit(1.0))
+    zones = boxes(spark, [(1, 11, 11, 24, 24), (2, 81, 81, 121, 121), (3, 12, 12, 13, 13)])
+    out = R.zonal_stats(zones, cells, grid, "id", "v", min_valid_share=0.8, valid_share_field="share")
+    assert values(out, "id", "sum_value", "share") == [(1, 1.0, 1.0), (2, None, 0.25), (3, None, None)]
+    ring = "POLYGON ((0 0, 100 0, 50 100, 0 0), (40 20, 60 20, 50 40, 40 20))"
+    zone = spark.createDataFrame([(1, ring)], "id long, t string").select("id", G.from_wkt(F.col("t")).alias("geometry"))
+    fine = R.Grid(0.3, 100.4, 1.0, 101, 101)
+    n = fine.cells(spark).crossJoin(zone).filter(G.interior(F.col("geometry"), fine.x(F.col("col")), fine.y(F.col("row")))).count()
+    assert R.zone_cells(zone, fine, "id").first().cells == n

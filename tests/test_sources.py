@@ -253,3 +253,46 @@ def test_regions_and_snapshots(spark, tmp_path):
     path = str(tmp_path / "kept")
     assert [catalogues.snapshot(spark, path, make, refresh=r).count() for r in (False, False, True)] == [3, 3, 6]
     assert len(calls) == 2
+
+
+def wfs(n, cap=None, matched=True, repeat=False):
+    """A service of n features that gives at most cap in a page."""
+    from urllib.parse import parse_qs, urlparse
+
+    def get(url):
+        q = {k: v[0] for k, v in parse_qs(urlparse(url).query).items()}
+        start, count = int(q["startIndex"]), int(q["count"])
+        start = 0 if repeat else start
+        found = [{"properties": {"id": str(i)}, "geometry": {"type": "Point", "coordinates": [i, i]}} for i in range(start, min(n, start + min(count, cap or count)))]
+        return json.dumps({"type": "FeatureCollection", "timeStamp": url} | ({"numberMatched": n} if matched else {}) | {"features": found})
+
+    return get
+
+
+def test_wfs_pages_add_up(spark):
+    url_at = web.wfs_url("http://x/wfs", "l", (1, 2, 3, 4))
+    ids = lambda get, size=10, **how: sorted(r.id for r in web.features(web.every_page(spark, url_at, size, "features", get, **how), {"id": "integer"}).collect())
+    for n in (0, 3, 10, 11, 47):
+        assert ids(wfs(n), wave=2) == ids(wfs(n, matched=False), wave=2) == list(range(n))
+    assert ids(wfs(10, cap=2)) == list(range(10)) and ids(wfs(11, cap=3)) == list(range(11))  # a server with a limit of its own
+    for matched in (True, False):
+        with pytest.raises(ValueError, match="gives a page again"):
+            ids(wfs(40, matched=matched, repeat=True))
+    lost = wfs(40)
+    with pytest.raises(ValueError, match="gave 30 of 40"):
+        ids(lambda url: lost(url) if "startIndex=20" not in url else json.dumps({"numberMatched": 40, "features": []}))
+    with pytest.raises(ValueError, match="more than 3 pages"):
+        ids(wfs(100), wave=2, most=3)
+
+
+def test_sheets_by_relation(spark, tmp_path):
+    ns, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = lambda v: f'<worksheet xmlns="{ns}"><sheetData><row><c r="A1" t="inlineStr"><is><t>id</t></is></c></row><row><c r="A2"><v>{v}</v></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets><sheet name="B" sheetId="7" r:id="r2"/><sheet name="A" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet4.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet(1))
+        z.writestr("xl/worksheets/sheet4.xml", sheet(4))
+    assert [files.read_xlsx(spark, str(tmp_path / "a.xlsx"), ["id"], s).first().id for s in "AB"] == ["1", "4"]
+    with pytest.raises(Exception, match="name one of the sheets"):
+        files.read_xlsx(spark, str(tmp_path / "a.xlsx"), ["id"]).collect()
