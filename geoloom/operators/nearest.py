@@ -22,44 +22,48 @@ from geoloom.operators.spatial import pairs
 from geoloom.plans.stages import materialize
 
 #: Segments of a leaf at most, unless they can't be told apart by cells.
-LEAF = 64
+LEAF = 128
 #: Cells below a cell on each axis, and levels of the tree at most (beyond them a cell is narrower than a double can tell).
 SPLIT, DEEPEST = 4, 22
 #: Levels whose nodes are sent to all tasks: 16 + 256 rows.
 SENT = 2
 
 
-def point_segment(px: Column, py: Column, s: Column) -> Column:
-    """The distance of a point from a segment struct(a, b)."""
-    dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
-    t = F.coalesce(F.try_divide((px - s["a"]["x"]) * dx + (py - s["a"]["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    return F.hypot(px - (s["a"]["x"] + t * dx), py - (s["a"]["y"] + t * dy))
+# Expressions as SQL text: they are long, and text is one call to the JVM.
 
 
-def segment_distance(s: Column, t: Column) -> Column:
-    """The distance of two segments, 0 if they meet."""
-    ends = [point_segment(s[e]["x"], s[e]["y"], t) for e in "ab"] + [point_segment(t[e]["x"], t[e]["y"], s) for e in "ab"]
-    return F.when(G._meet(s, t), 0.0).otherwise(F.least(*ends))
+def _point_segment(p: str, s: str) -> str:
+    """The distance of the point p from the segment s, a struct(a, b)."""
+    dx, dy = f"({s}.b.x - {s}.a.x)", f"({s}.b.y - {s}.a.y)"
+    t = f"greatest(0D, least(1D, coalesce(try_divide(({p}.x - {s}.a.x) * {dx} + ({p}.y - {s}.a.y) * {dy}, {dx} * {dx} + {dy} * {dy}), 0D)))"
+    return f"hypot({p}.x - ({s}.a.x + {t} * {dx}), {p}.y - ({s}.a.y + {t} * {dy}))"
 
 
-def _segments(g: Column) -> Column:
-    """All segments of a geometry; a point is a segment from itself to itself."""
-    dots = F.transform(G.vertices(g), lambda v: G.named(a=v, b=v))
-    lines = F.flatten(F.transform(G.rings(g), lambda r: F.when(F.size(r) > 1, G.segments(r)).otherwise(F.transform(r, lambda v: G.named(a=v, b=v)))))
-    return F.when(g["dim"] == 0, dots).otherwise(lines)
+def segment_distance(s: str, t: str) -> Column:
+    """The distance of two segments, columns struct(a, b); 0 if they meet."""
+    cross = lambda a, b, p: f"signum(({b}.x - {a}.x) * ({p}.y - {a}.y) - ({b}.y - {a}.y) * ({p}.x - {a}.x))"
+    over = [f"greatest({s}.a.{k}, {s}.b.{k}) >= least({t}.a.{k}, {t}.b.{k}) AND greatest({t}.a.{k}, {t}.b.{k}) >= least({s}.a.{k}, {s}.b.{k})" for k in "xy"]
+    sides = [f"{cross(f'{u}.a', f'{u}.b', f'{v}.a')} * {cross(f'{u}.a', f'{u}.b', f'{v}.b')} <= 0" for u, v in ((s, t), (t, s))]
+    ends = [_point_segment(f"{u}.{e}", v) for u, v in ((s, t), (t, s)) for e in "ab"]
+    return F.expr(f"CASE WHEN {' AND '.join([*over, *sides])} THEN 0D ELSE least({', '.join(ends)}) END")
 
 
-def _sign(g: Column) -> Column:
-    """Tells geometries apart: kind of dimension and the set of segments, whichever way they are drawn."""
-    turned = F.transform(_segments(g), lambda s: F.struct(F.least(F.struct(s["a"]["x"], s["a"]["y"]), F.struct(s["b"]["x"], s["b"]["y"])), F.greatest(F.struct(s["a"]["x"], s["a"]["y"]), F.struct(s["b"]["x"], s["b"]["y"]))))
-    own = F.array_distinct(F.array_sort(turned))
-    return F.struct(F.xxhash64(g["dim"], own).alias("h"), F.xxhash64(F.lit(1), own).alias("i"))
+#: All segments of a geometry; a point is a segment from itself to itself.
+_SEGMENTS = """CASE WHEN geometry.dim = 0 THEN transform(flatten(flatten(geometry.parts)), v -> named_struct('a', v, 'b', v))
+ELSE flatten(transform(flatten(geometry.parts), r -> if(size(r) > 1, zip_with(slice(r, 1, size(r) - 1), slice(r, 2, size(r) - 1), (a, b) -> named_struct('a', a, 'b', b)), transform(r, v -> named_struct('a', v, 'b', v))))) END"""
+#: Their set, whichever way they are drawn.
+_SET = "array_distinct(array_sort(transform(segments, s -> struct(least(s.a, s.b), greatest(s.a, s.b)))))"
+
+
+def known(df: DataFrame) -> DataFrame:
+    """Rows with a geometry, and sign, which tells geometries apart: their dimension and their set of segments."""
+    rows = df.withColumn("segments", F.expr(_SEGMENTS)).filter("size(segments) > 0").withColumn("set", F.expr(_SET))
+    return rows.withColumn("sign", F.expr("struct(xxhash64(geometry.dim, set) AS h, xxhash64(1, set) AS i)")).drop("segments", "set")
 
 
 def _parts(df: DataFrame, longest: float | None) -> DataFrame:
     """(sign, s, box): each segment, once for each of its stretches that are no longer than ``longest``; box is the stretch's."""
-    rows = df.select("sign", F.explode(_segments(F.col("geometry"))).alias("s"))
+    rows = df.select("sign", F.expr(f"explode({_SEGMENTS}) AS s"))
     a, b = F.col("s")["a"], F.col("s")["b"]
     if longest is not None:
         n = F.greatest(F.lit(1), F.least(F.ceil(F.hypot(b["x"] - a["x"], b["y"] - a["y"]) / longest), F.lit(1_000_000))).cast("int")
@@ -73,7 +77,7 @@ def _parts(df: DataFrame, longest: float | None) -> DataFrame:
 
 
 class _Tree:
-    """nodes: (l, cx, cy, n, box, low, high, leaf), root left out; leaves: (l, cx, cy, sign, s). Both are written."""
+    """nodes: (l, cx, cy, n, box, low, high, leaf), root left out; leaves: (l, cx, cy, sign, s)."""
 
     def __init__(self, parts: DataFrame, leaf: int) -> None:
         parts = materialize(parts, "segments")
@@ -92,7 +96,7 @@ class _Tree:
             done.append((left, counts, levels))
             last = levels[-1]
             crowded = counts.filter((F.col("l") == last) & (F.col("n") > leaf)).select("l", "cx", "cy")
-            if last >= DEEPEST or crowded.isEmpty():
+            if last >= DEEPEST or not counts.agg(F.max(F.when(F.col("l") == last, F.col("n")))).first()[0] > leaf:
                 break
             left = materialize(left.withColumn("l", F.lit(last)).withColumns(self.cell(F.col("l"))).join(crowded, ["l", "cx", "cy"], "left_semi").select("sign", "s", "box"), "crowded")
             levels = [last + 1]
@@ -103,7 +107,8 @@ class _Tree:
         above = nodes.filter(F.col("n") > leaf).select((F.col("l") + 1).alias("l"), F.col("cx").alias("ux"), F.col("cy").alias("uy"))
         up = nodes.withColumns({"ux": F.floor(F.col("cx") / SPLIT), "uy": F.floor(F.col("cy") / SPLIT)})
         kept = up.filter("l = 1").unionByName(up.filter("l > 1").join(above, ["l", "ux", "uy"], "left_semi").select(*up.columns))
-        self.nodes = materialize(kept.withColumn("leaf", (F.col("n") <= leaf) | (F.col("l") == self.depth)), "nodes")
+        nodes = kept.withColumn("leaf", (F.col("n") <= leaf) | (F.col("l") == self.depth))
+        self.nodes = nodes if len(done) == 1 else materialize(nodes, "nodes")
         ends_ = self.nodes.filter("leaf").select("l", "cx", "cy")
         found = None
         for left, _, levels in done:
@@ -124,53 +129,46 @@ class _Tree:
         return placed.groupBy("l", "cx", "cy").agg(F.count("*").alias("n"), box.alias("box"), F.min("sign").alias("low"), F.max("sign").alias("high"))
 
 
-def _gap(a: Column, b: Column) -> Column:
-    """The least distance of two boxes."""
-    side = lambda k: F.greatest(F.lit(0.0), a[f"{k}0"] - b[f"{k}1"], b[f"{k}0"] - a[f"{k}1"])
-    return F.hypot(side("x"), side("y"))
-
-
-def _span(a: Column, b: Column) -> Column:
-    """The greatest distance of two points of two boxes."""
-    side = lambda k: F.greatest(a[f"{k}1"] - b[f"{k}0"], b[f"{k}1"] - a[f"{k}0"])
-    return F.hypot(side("x"), side("y"))
+#: The least and greatest distance of the boxes box and nbox.
+_GAP = "hypot(greatest(0D, box.x0 - nbox.x1, nbox.x0 - box.x1), greatest(0D, box.y0 - nbox.y1, nbox.y0 - box.y1))"
+_SPAN = "hypot(greatest(box.x1 - nbox.x0, nbox.x1 - box.x0), greatest(box.y1 - nbox.y0, nbox.y1 - box.y0))"
 
 
 def _descend(probes: DataFrame, tree: _Tree) -> DataFrame:
     """(sign, d): the distance of each probe (sign, s, box) from the nearest segment with another sign."""
     # Bounds are doubles; a hair keeps what rounding would leave out.
-    near = lambda lower, best: lower <= best * (1 + 1e-12)
-    asked, leaves, top = probes.withColumns({"cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long")}), [], None
+    near = F.col("lower") <= F.col("best") * (1 + 1e-12)
+    asked, leaves = probes.withColumns({"cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long"), "best": F.lit(float("inf"))}), []
     for level in range(1, tree.depth + 1):
         below = tree.nodes.filter(F.col("l") == level).select(F.floor(F.col("cx") / SPLIT).alias("ux"), F.floor(F.col("cy") / SPLIT).alias("uy"), "cx", "cy", F.col("box").alias("nbox"), "low", "high", "leaf")
         below = F.broadcast(below) if level <= SENT else below
         met = asked.withColumnsRenamed({"cx": "ux", "cy": "uy"}).join(below, ["ux", "uy"])
-        other = (F.col("low") != F.col("high")) | (F.col("low") != F.col("sign"))  # somebody else is in it
-        met = met.withColumns({"lower": _gap(F.col("box"), F.col("nbox")), "upper": F.when(other, _span(F.col("box"), F.col("nbox")))}).filter(other)
+        # Only nodes with somebody else in them count.
+        met = met.filter((F.col("low") != F.col("high")) | (F.col("low") != F.col("sign")))
+        met = met.withColumns({"lower": F.expr(_GAP), "upper": F.expr(f"least(best, {_SPAN})")})
         met = materialize(met.select("sign", "s", "box", "cx", "cy", "leaf", "lower", "upper"), "met")
-        best = met.groupBy("sign").agg(F.min("upper").alias("best"))
-        top = best if top is None else best.union(top).groupBy("sign").agg(F.min("best").alias("best"))
-        top = materialize(top, "bounds")
-        kept = met.join(top, "sign").filter(near(F.col("lower"), F.col("best")))
-        leaves.append(kept.filter("leaf").select("sign", "s", F.lit(level).alias("l"), "cx", "cy", "lower"))
-        asked = kept.filter("NOT leaf").select("sign", "s", "box", "cx", "cy")
-        if asked.isEmpty():
+        kept = met.join(met.groupBy("sign").agg(F.min("upper").alias("best")), "sign").filter(near)
+        leaves.append(kept.filter("leaf").select("sign", "s", F.lit(level).alias("l"), "cx", "cy", "lower", "best"))
+        asked = kept.filter("NOT leaf").select("sign", "s", "box", "cx", "cy", "best")
+        if level > SENT and level < tree.depth and asked.isEmpty():
             break
     all_ = leaves[0]
     for x in leaves[1:]:
         all_ = all_.union(x)
-    all_ = materialize(all_.join(top, "sign").filter(near(F.col("lower"), F.col("best"))), "leaves")
+    if len(leaves) > 1:  # the last bound is the least
+        all_ = all_.drop("best").join(all_.groupBy("sign").agg(F.min("best").alias("best")), "sign").filter(near)
+    all_ = materialize(all_.drop("best"), "leaves")
 
     def searched(rows: DataFrame) -> DataFrame:
         held = tree.leaves.select("l", "cx", "cy", F.col("sign").alias("other"), F.col("s").alias("t"))
         met = rows.join(held, ["l", "cx", "cy"]).filter(F.col("other") != F.col("sign"))
-        return met.groupBy("sign").agg(F.min(segment_distance(F.col("s"), F.col("t"))).alias("d"))
+        return met.groupBy("sign").agg(F.min(segment_distance("s", "t")).alias("d"))
 
     # First the leaf with the least bound, then those that could still be nearer.
     least = all_.groupBy("sign").agg(F.min_by(F.struct("l", "cx", "cy", "s"), F.struct("lower", "l", "cx", "cy")).alias("f")).select("sign", "f.*")
     first = materialize(searched(least), "nearest")
     rest = all_.join(first, "sign", "left").filter(F.col("d").isNull() | (F.col("lower") < F.col("d"))).drop("d")
-    return materialize(first.union(searched(rest)).groupBy("sign").agg(F.min("d").alias("d")), "nearest")
+    return first.union(searched(rest)).groupBy("sign").agg(F.min("d").alias("d"))
 
 
 def nearest_distance(probes: DataFrame, targets: DataFrame, key: str, start: float, output_field: str = "distance", leaf: int = LEAF) -> DataFrame:
@@ -181,23 +179,22 @@ def nearest_distance(probes: DataFrame, targets: DataFrame, key: str, start: flo
     distance; longer segments count as several stretches in the tree.
     """
     need(probes, key)
-    known = lambda df: df.filter(F.size(G.vertices(F.col("geometry"))) > 0).select("*", _sign(F.col("geometry")).alias("sign"))
-    shapes = lambda df: materialize(known(df.select("geometry")).groupBy("sign").agg(F.first("geometry").alias("geometry")), "shapes")
+    shapes = lambda df: known(df.select("geometry")).groupBy("sign").agg(F.first("geometry").alias("geometry"))
     asked, there = shapes(probes), shapes(targets)
     tree = _Tree(_parts(there, start), leaf)
-    if tree.empty or asked.isEmpty():
+    if tree.empty:
         return probes.withColumn(output_field, F.lit(None).cast("double"))
     out = _descend(_parts(asked, None), tree)
     # Where no borders meet, one point says whether a shape lies in another one.
     first = lambda df: df.select(F.col("sign").alias("p"), G.point(*(G.vertices(F.col("geometry"))[0][k] for k in "xy")).alias("geometry"))
+    b = G.bbox(F.col("geometry"))
+    flat = asked.withColumn("side", F.lit("asked")).union(there.withColumn("side", F.lit("there"))).filter("geometry.dim = 2")
+    sizes = {r[0]: r[1] for r in flat.groupBy("side").agg(F.avg(b["xmax"] - b["xmin"] + b["ymax"] - b["ymin"])).collect()}  # two rows at most
     within = []
-    for points, areas, own in ((asked, there, "l.p"), (there, asked, "r.sign")):
-        flat = areas.filter("geometry.dim = 2")
-        b = G.bbox(F.col("geometry"))
-        size = flat.agg(F.avg(b["xmax"] - b["xmin"] + b["ymax"] - b["ymin"])).first()[0]
+    for points, areas, own, size in ((asked, there, "l.p", sizes.get("there")), (there, asked, "r.sign", sizes.get("asked"))):
         if size is not None:
             inside = G.covers_point(F.col("r.geometry"), G.px(F.col("l.geometry")), G.py(F.col("l.geometry")))
-            met = pairs(first(points), flat, max(start, size), inside & (F.col("l.p") != F.col("r.sign")))
+            met = pairs(first(points), areas.filter("geometry.dim = 2"), max(start, size), inside & (F.col("l.p") != F.col("r.sign")))
             within.append(met.select(F.col(own).alias("sign"), F.lit(0.0).alias("d")))
     for w in within:
         out = out.union(w)
