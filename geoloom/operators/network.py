@@ -1,28 +1,25 @@
 """Networks: nodes (id, x, y, ...) and undirected edges (u, v, length, ...) with u <= v, at most one edge a pair.
 
-Searches cut the graph into parts and go in rounds from part to part (see search.py). Only exact betweenness and bridges
-hold a graph in each task; its size is checked first (CSR_EDGES) and larger graphs are refused.
+Searches and centrality cut the graph into parts and go in rounds from part to part (see search.py, betweenness.py and
+biconnected.py); no task holds more than a part.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoloom.functions import geometry as G
 from geoloom.functions.keys import to_double
+from geoloom.operators.betweenness import betweenness
+from geoloom.operators.biconnected import cut_points
 from geoloom.operators.search import PART_ARCS, cut, search
 from geoloom.operators.spatial import pairs
 from geoloom.plans.stages import components, materialize
 
-#: Edges of a graph that one task may hold, about 200 MB.
-CSR_EDGES = 1_000_000
-
 
 def merge_parallel(edges: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """One edge for each pair of nodes: the shortest (ties by order), with parallel_edges, how many there were."""
@@ -240,110 +237,15 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(roots, nodes.id == roots.node, "left").withColumn("component", F.coalesce("root", "id")).drop("node", "root")
 
 
-def _adjacency(edges: DataFrame) -> dict:
-    """The graph for a task: node -> [(node, length)]; its size is checked before it is collected."""
-    if edges.count() > CSR_EDGES:
-        raise ValueError(f"exact centrality holds the graph in each task and takes up to {CSR_EDGES} edges")
-    out: dict = {}
-    for u, v, w in edges.select("u", "v", "length").toPandas().sort_values(["u", "v"]).itertuples(index=False):
-        out.setdefault(u, []).append((v, float(w)))
-        out.setdefault(v, []).append((u, float(w)))
-    return out
-
-
-def _dependencies(graph: dict, source) -> dict:  # noqa: ANN001
-    """How much each node lies on the shortest paths from one source."""
-    dist, count, before, order, queue = {source: 0.0}, {source: 1.0}, {source: []}, [], [(0.0, 0, source)]
-    done, tick = set(), 0
-    while queue:
-        d, _, u = heapq.heappop(queue)
-        if u in done:
-            continue
-        done.add(u)
-        order.append(u)
-        for v, w in graph.get(u, ()):
-            new = d + w
-            if v not in dist or new < dist[v] - 1e-9 * max(1.0, abs(new)):
-                dist[v], count[v], before[v] = new, count[u], [u]
-                tick += 1
-                heapq.heappush(queue, (new, tick, v))
-            elif v not in done and abs(new - dist[v]) <= 1e-9 * max(1.0, abs(new)):
-                count[v] += count[u]
-                before[v].append(u)
-    share = dict.fromkeys(order, 0.0)
-    for w in reversed(order):
-        for u in before[w]:
-            share[u] += count[u] / count[w] * (1 + share[w])
-    share.pop(source)
-    return share
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes with betweenness: exact, by length, normalised; the sources are spread over the tasks."""
-    spark = nodes.sparkSession
-    graph = spark.sparkContext.broadcast(_adjacency(edges))
-    n = nodes.count()
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            total: dict = {}
-            for s in f["id"]:
-                for v, x in _dependencies(graph.value, s).items():
-                    total[v] = total.get(v, 0.0) + x
-            yield pd.DataFrame({"id": list(total), "part": list(total.values())}).astype({"id": f["id"].dtype, "part": "float64"})
-
-    kind = dict(nodes.dtypes)["id"]
-    parts = nodes.select("id").repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, f"id {kind}, part double")
-    total = parts.groupBy("id").agg((F.sum("part") * scale).alias("betweenness"))
-    return nodes.join(total, "id", "left").fillna(0.0, ["betweenness"])
-
-
-def cut_points(edges: DataFrame) -> tuple[list[tuple], list]:
-    """(bridges, articulation points) of a graph of checked size, by one depth-first search."""
-    graph = _adjacency(edges)
-    seen: dict = {}
-    low: dict = {}
-    bridges, points = [], set()
-    for root in graph:
-        if root in seen:
-            continue
-        seen[root] = low[root] = len(seen)
-        stack, children = [(root, None, iter(graph[root]))], 0
-        while stack:
-            u, parent, rest = stack[-1]
-            for v, _ in rest:
-                if v == parent:
-                    continue
-                if v in seen:
-                    low[u] = min(low[u], seen[v])
-                    continue
-                seen[v] = low[v] = len(seen)
-                children += u == root
-                stack.append((v, u, iter(graph[v])))
-                break
-            else:
-                stack.pop()
-                if parent is not None:
-                    low[parent] = min(low[parent], low[u])
-                    if low[u] > seen[parent]:
-                        bridges.append((min(u, parent), max(u, parent)))
-                    if parent != root and low[u] >= seen[parent]:
-                        points.add(parent)
-        if children > 1:
-            points.add(root)
-    return bridges, sorted(points)
-
-
-def centrality(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def centrality(nodes: DataFrame, edges: DataFrame, part_arcs: int = PART_ARCS) -> tuple[DataFrame, DataFrame]:
     """nodes with betweenness, component and is_articulation_point; edges with is_bridge."""
-    spark = nodes.sparkSession
-    bridges, points = cut_points(edges)
-    kind = dict(nodes.dtypes)["id"]
-    at = spark.createDataFrame([(p,) for p in points], f"id {kind}").withColumn("is_articulation_point", F.lit(True))
-    over = spark.createDataFrame(bridges, f"u {kind}, v {kind}").withColumn("is_bridge", F.lit(True))
-    out = connected_components(betweenness(nodes, edges), edges).join(at, "id", "left").fillna(False, ["is_articulation_point"])
-    return out, edges.join(over, ["u", "v"], "left").fillna(False, ["is_bridge"])
+    bridges, points = cut_points(edges, nodes, part_arcs)
+    at = points.select(F.col("id").alias("__p")).withColumn("is_articulation_point", F.lit(True))
+    over = bridges.select(F.col("u").alias("__u"), F.col("v").alias("__v")).withColumn("is_bridge", F.lit(True))
+    scored = connected_components(betweenness(nodes, edges, part_arcs=part_arcs), edges)
+    out = scored.join(at, F.col("id") == F.col("__p"), "left").drop("__p").fillna(False, ["is_articulation_point"])
+    pair = (F.least("u", "v") == F.col("__u")) & (F.greatest("u", "v") == F.col("__v"))
+    return out, edges.join(over, pair, "left").drop("__u", "__v").fillna(False, ["is_bridge"])
 
 
 def voltage(text: Column) -> Column:
