@@ -4,9 +4,8 @@ Targets become segments (a point is one without length), and these a tree of cel
 4 x 4 cells below it, so a crowded place gets small cells and an empty one large ones. A node of the tree says how many
 segments it has and in which box they lie. Probes go down the tree level by level, each as rows of (probe, node): a node's
 box can't be nearer than its lower bound, and something in it is not farther than its upper bound; nodes whose lower bound
-is beyond a probe's least upper bound are left out. Of the leaves that remain, the nearest is searched first, and of the
-others only those whose bound is below what it gave. So a probe meets few segments, however far it is and however many lie
-together, and a level is one join on cells.
+is beyond a probe's least upper bound are left out, and the segments of the leaves that remain are searched. So a probe
+meets few segments, however far it is and however many lie together, and a level is one join on cells.
 """
 
 from __future__ import annotations
@@ -134,8 +133,8 @@ _GAP = "hypot(greatest(0D, box.x0 - nbox.x1, nbox.x0 - box.x1), greatest(0D, box
 _SPAN = "hypot(greatest(box.x1 - nbox.x0, nbox.x1 - box.x0), greatest(box.y1 - nbox.y0, nbox.y1 - box.y0))"
 
 
-def _descend(probes: DataFrame, tree: _Tree) -> DataFrame:
-    """(sign, d): the distance of each probe (sign, s, box) from the nearest segment with another sign."""
+def _descend(probes: DataFrame, tree: _Tree, dots: bool) -> DataFrame:
+    """(sign, d): the distance of each probe (sign, s, box) from the nearest segment with another sign; dots: all are points."""
     # Bounds are doubles; a hair keeps what rounding would leave out.
     near = F.col("lower") <= F.col("best") * (1 + 1e-12)
     asked, leaves = probes.withColumns({"cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long"), "best": F.lit(float("inf"))}), []
@@ -157,18 +156,9 @@ def _descend(probes: DataFrame, tree: _Tree) -> DataFrame:
         all_ = all_.union(x)
     if len(leaves) > 1:  # the last bound is the least
         all_ = all_.drop("best").join(all_.groupBy("sign").agg(F.min("best").alias("best")), "sign").filter(near)
-    all_ = materialize(all_.drop("best"), "leaves")
-
-    def searched(rows: DataFrame) -> DataFrame:
-        held = tree.leaves.select("l", "cx", "cy", F.col("sign").alias("other"), F.col("s").alias("t"))
-        met = rows.join(held, ["l", "cx", "cy"]).filter(F.col("other") != F.col("sign"))
-        return met.groupBy("sign").agg(F.min(segment_distance("s", "t")).alias("d"))
-
-    # First the leaf with the least bound, then those that could still be nearer.
-    least = all_.groupBy("sign").agg(F.min_by(F.struct("l", "cx", "cy", "s"), F.struct("lower", "l", "cx", "cy")).alias("f")).select("sign", "f.*")
-    first = materialize(searched(least), "nearest")
-    rest = all_.join(first, "sign", "left").filter(F.col("d").isNull() | (F.col("lower") < F.col("d"))).drop("d")
-    return first.union(searched(rest)).groupBy("sign").agg(F.min("d").alias("d"))
+    held = tree.leaves.select("l", "cx", "cy", F.col("sign").alias("other"), F.col("s").alias("t"))
+    met = all_.join(held, ["l", "cx", "cy"]).filter(F.col("other") != F.col("sign"))
+    return met.groupBy("sign").agg(F.min(F.expr("hypot(s.a.x - t.a.x, s.a.y - t.a.y)") if dots else segment_distance("s", "t")).alias("d"))
 
 
 def nearest_distance(probes: DataFrame, targets: DataFrame, key: str, start: float, output_field: str = "distance", leaf: int = LEAF) -> DataFrame:
@@ -184,12 +174,14 @@ def nearest_distance(probes: DataFrame, targets: DataFrame, key: str, start: flo
     tree = _Tree(_parts(there, start), leaf)
     if tree.empty:
         return probes.withColumn(output_field, F.lit(None).cast("double"))
-    out = _descend(_parts(asked, None), tree)
+    b = G.bbox(F.col("geometry"))
+    size = F.avg(F.when(F.col("geometry.dim") == 2, b["xmax"] - b["xmin"] + b["ymax"] - b["ymin"]))
+    both = probes.select("geometry", F.lit("asked").alias("side")).union(targets.select("geometry", F.lit("there").alias("side")))
+    facts = both.groupBy("side").agg(F.max("geometry.dim"), size).collect()  # two rows
+    sizes = {r[0]: r[2] for r in facts}
+    out = _descend(_parts(asked, None), tree, not any(r[1] for r in facts))
     # Where no borders meet, one point says whether a shape lies in another one.
     first = lambda df: df.select(F.col("sign").alias("p"), G.point(*(G.vertices(F.col("geometry"))[0][k] for k in "xy")).alias("geometry"))
-    b = G.bbox(F.col("geometry"))
-    flat = asked.withColumn("side", F.lit("asked")).union(there.withColumn("side", F.lit("there"))).filter("geometry.dim = 2")
-    sizes = {r[0]: r[1] for r in flat.groupBy("side").agg(F.avg(b["xmax"] - b["xmin"] + b["ymax"] - b["ymin"])).collect()}  # two rows at most
     within = []
     for points, areas, own, size in ((asked, there, "l.p", sizes.get("there")), (there, asked, "r.sign", sizes.get("asked"))):
         if size is not None:

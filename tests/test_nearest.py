@@ -120,5 +120,4 @@ def test_far_probes_meet_few_of_a_crowd(spark):
         far = out.filter("id < 150").agg(F.min("distance"), F.max("distance")).first()
         assert 1412 < far[0] and far[1] < 1440 and out.filter("id >= 150").agg(F.max("distance")).first()[0] < 0.1
         met = sum(spark.read.parquet(p).count() for p in left if "/met-" in p)
-        searched = sum(spark.read.parquet(p).count() for p in left if "/leaves-" in p and "sign" in spark.read.parquet(p).columns and "lower" in spark.read.parquet(p).columns)
-    assert met < 300 * 200 and searched < 300 * 12  # of six million pairs
+    assert met < 300 * 200  # nodes, of six million pairs
