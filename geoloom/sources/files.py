@@ -11,8 +11,10 @@ import re
 import sqlite3
 import struct
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote, urlparse
 from xml.etree import ElementTree
 
 import numpy as np
@@ -257,13 +259,40 @@ def read_gpkg(spark: SparkSession, path: str, layer: str, names: Sequence[str],
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
-def read_gml(spark: SparkSession, path: str, member: str, columns: dict[str, str]) -> DataFrame:
-    """Features of an XML file: rows are elements ``member``; positions come from pos or posList, first pair as a point."""
+def read_gml(spark: SparkSession, path: str, member: str, columns: dict[str, str], swap_xy: bool = False) -> DataFrame:
+    """Features of an XML file, one for each element ``member``: points, lines and polygons with holes, single or in parts.
+
+    Positions come from pos, posList or coordinates, of two numbers or of three where srsDimension says so; swap_xy turns
+    latitude first into x first. A file is cut at its elements, so many tasks read it.
+    """
     rows = spark.read.format("xml").option("rowTag", member).option("wildcardColName", "__any").schema(", ".join([*(f"`{c}` string" for c in columns), "`__any` array<string>"])).load(path)
-    pos = F.regexp_extract(F.array_join("__any", " "), r"<(?:\w+:)?pos(?:List)?[^>]*>\s*([^<]+?)\s*<", 1)
-    v = F.split(pos, r"\s+")
-    g = G.point(v[0].try_cast("double"), F.try_element_at(v, F.lit(2)).try_cast("double"))
-    return rows.select(*[CASTS[t](F.col(c)).alias(c) for c, t in columns.items()], g.alias("geometry"))
+    rows = rows.withColumn("__text", F.array_join("__any", " "))
+    # A ring or line goes from its element to the end of its numbers; a curve may have several stretches, each its own part.
+    found = r"(?s)<(?:\w+:)?(exterior|interior|outerBoundaryIs|innerBoundaryIs|LineString|LineStringSegment|Point)\b[^>]*>((?:(?!</(?:\w+:)?\1\b).)*)"
+    of = lambda i: F.regexp_extract_all("__text", F.lit(found), F.lit(i))
+    rows = rows.withColumn("__rings", F.arrays_zip(of(1).alias("what"), of(2).alias("body")))
+    width = F.when(F.col("__text").rlike(r"srsDimension\s*=\s*[\"']3"), 3).otherwise(2)
+
+    def ring(r: Column) -> Column:
+        told = F.array_join(F.regexp_extract_all(r["body"], F.lit(r"<(?:\w+:)?(?:pos|posList|coordinates)\b[^>]*>([^<]*)<"), F.lit(1)), " ")
+        v = F.transform(F.filter(F.split(told, r"[\s,]+"), lambda t: t != ""), lambda t: t.try_cast("double"))
+        at = lambda i, k: F.get(v, i * width + k)
+        x, y = (1, 0) if swap_xy else (0, 1)
+        n = F.floor(F.size(v) / width).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: G.xy(at(i, x), at(i, y)))).otherwise(F.array().cast(f"array<{G.XY}>"))
+
+    hole = lambda r: r["what"].isin("interior", "innerBoundaryIs")
+    parts = F.aggregate(
+        "__rings",
+        F.array().cast(f"array<array<array<{G.XY}>>>"),
+        lambda acc, r: F.when(hole(r) & (F.size(acc) > 0), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.array().cast(f"array<array<{G.XY}>>")), F.array(ring(r)))))).otherwise(F.concat(acc, F.array(F.array(ring(r))))),
+    )
+    first, many = F.get("__rings", F.lit(0))["what"], F.size("__parts") > 1
+    kind = F.when(first.isin("exterior", "outerBoundaryIs"), F.when(many, "MultiPolygon").otherwise("Polygon")).when(first == "Point", F.when(many, "MultiPoint").otherwise("Point")).otherwise(F.when(many, "MultiLineString").otherwise("LineString"))
+    whole = F.forall(F.flatten(F.flatten("__parts")), lambda v: v["x"].isNotNull() & v["y"].isNotNull()) & F.forall(F.flatten("__parts"), lambda r: F.size(r) > 0)
+    dim = F.when(kind.endswith("Polygon"), 2).when(kind.endswith("LineString"), 1).otherwise(0)
+    g = F.when((F.size("__parts") > 0) & whole, G.named(kind=kind, dim=dim, parts=F.col("__parts")).cast(G.GEOMETRY))
+    return rows.withColumn("__parts", parts).select(*[CASTS[t](F.col(c)).alias(c) for c, t in columns.items()], g.alias("geometry"))
 
 
 # --- map data ---------------------------------------------------------------------------------------------------
@@ -351,12 +380,125 @@ def _shp(content: bytes) -> Iterator[dict | None]:
         at += 2 * size
 
 
-def read_shp(spark: SparkSession, path: str) -> DataFrame:
-    """(position, geometry) of the .shp files of a path; null shapes have no geometry."""
+def _dbf(content: bytes, names: Sequence[str], encoding: str | None = None) -> Iterator[list[str | None]]:
+    """Fields ``names`` of each record as text, null where blank; in the order of the shapes, deleted ones too."""
+    n, start, size = struct.unpack_from("<IHH", content, 4)
+    fields, at, where = {}, 32, 1
+    while content[at] != 0x0D:
+        name = content[at : at + 11].split(b"\0")[0].decode("latin-1")
+        fields[name.lower()] = (where, content[at + 16])
+        where += content[at + 16]
+        at += 32
+    if missing := [c for c in names if c.lower() not in fields]:
+        raise ValueError(f"no field {', '.join(missing)} among {', '.join(fields)}")
+
+    def text(raw: bytes) -> str | None:
+        try:
+            out = raw.decode(encoding or "utf-8")
+        except UnicodeDecodeError:
+            out = raw.decode("latin-1")
+        return out.strip(" \0") or None
+
+    for i in range(n):
+        record = content[start + i * size : start + (i + 1) * size]
+        yield [text(record[a : a + k]) for a, k in (fields[c.lower()] for c in names)]
+
+
+def read_shp(spark: SparkSession, path: str, columns: dict[str, str] | None = None, encoding: str | None = None) -> DataFrame:
+    """(position, columns, geometry) of the .shp files of a path; null shapes have no geometry.
+
+    columns ({name: type}) are fields of the .dbf file beside each. Its encoding is the one given, or that of the .cpg file
+    beside it, or UTF-8, or Latin-1 where that fails.
+    """
+    names = list(columns or {})
+
+    def beside(shp: str, ending: str) -> bytes | None:
+        from pyarrow import fs
+
+        url = urlparse(shp)
+        store, name = (fs.LocalFileSystem(), unquote(url.path)) if url.scheme in ("", "file") else fs.FileSystem.from_uri(shp.replace("s3a://", "s3://", 1))
+        for end in (ending, ending.upper()):
+            if store.get_file_info(name[:-3] + end).type == fs.FileType.File:
+                with store.open_input_file(name[:-3] + end) as f:
+                    return f.read()
+        return None
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for content in map(bytes, f["content"]):
+            for shp, content in zip(f["path"], map(bytes, f["content"]), strict=True):
                 shapes = list(_shp(content))
-                yield pd.DataFrame({"position": range(len(shapes)), "geometry": shapes})
+                out = pd.DataFrame({"position": range(len(shapes))})
+                if names:
+                    table = beside(shp, "dbf")
+                    if table is None:
+                        raise ValueError(f"{shp} has no .dbf file beside it")
+                    code = encoding or (beside(shp, "cpg") or b"").decode("ascii", "ignore").strip() or None
+                    rows = list(_dbf(table, names, code))
+                    if len(rows) != len(shapes):
+                        raise ValueError(f"{shp} has {len(shapes)} shapes, its .dbf file {len(rows)} records")
+                    out[names] = pd.DataFrame(rows, columns=names, dtype=object)
+                out["geometry"] = shapes
+                yield out
+
+    fields = "".join(f"`{n}` string, " for n in names)
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"position long, {fields}geometry {G.GEOMETRY}")
+    return rows.select("position", *[CASTS[t](F.col(n)).alias(n) for n, t in (columns or {}).items()], "geometry")
+
+
+# --- archives and look-up by extension ------------------------------------------------------------------------------
+
+#: What a file's ending says, and the endings of files that belong to it.
+ENDINGS = {"csv": "csv", "geojson": "geojson", "json": "geojson", "shp": "shp", "gml": "gml", "xml": "gml", "gpkg": "gpkg", "tif": "tif", "tiff": "tif", "xlsx": "xlsx", "sqlite": "sqlite", "db": "sqlite", "sql": "sql"}
+BESIDE = {"shp": ("dbf", "shx", "cpg", "prj")}
+
+
+def unzipped(spark: SparkSession, path: str, member: str | None = None, kinds: Sequence[str] = tuple(ENDINGS)) -> str:
+    """The address of a member of a ZIP archive, unpacked by a task into the shared folder with what belongs to it.
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, f"position long, geometry {G.GEOMETRY}")
+    Without ``member`` the archive must have just one file with an ending of ``kinds``; none or several are an error that
+    names them.
+    """
+    from geoloom.plans.stages import shared_dir
+    from geoloom.sources.geotiff import write_file
+
+    folder = f"{shared_dir(spark)}/unzipped-{uuid.uuid4().hex}"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for content in map(bytes, f["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    names = [n for n in z.namelist() if not n.endswith("/")]
+                    found = [n for n in names if n == member] if member else [n for n in names if n.rpartition(".")[2].lower() in kinds]
+                    if len(found) != 1:
+                        raise ValueError(f"{'no' if not found else 'more than one'} member for it among {sorted(names)}; name one")
+                    stem, _, ending = found[0].rpartition(".")
+                    for n in names:
+                        if n == found[0] or (n.rpartition(".")[0] == stem and n.rpartition(".")[2].lower() in BESIDE.get(ending.lower(), ())):
+                            write_file(f"{folder}/{n.rpartition('/')[2]}", z.read(n))
+                    yield pd.DataFrame({"name": [found[0].rpartition("/")[2]]})
+
+    made = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "name string").collect()  # one row
+    if len(made) != 1:
+        raise ValueError(f"{path} is {len(made)} archives")
+    return f"{folder}/{made[0].name}"
+
+
+def read_file(spark: SparkSession, path: str, kind: str | None = None, member: str | None = None, **how) -> DataFrame:
+    """A layer or table by its file's ending (or kind, which goes before it); a ZIP archive's by that of its member.
+
+    how: the arguments of the reader, such as columns for geojson or layer and names for gpkg.
+    """
+    from geoloom.sources.geotiff import read_tif
+
+    ending = path.rpartition(".")[2].lower()
+    if ending == "zip":
+        wanted = [e for e, k in ENDINGS.items() if k == kind] if kind else list(ENDINGS)
+        path = unzipped(spark, path, member, wanted)
+        ending = path.rpartition(".")[2].lower()
+    elif member:
+        raise ValueError("only an archive has members")
+    kind = kind or ENDINGS.get(ending)
+    readers = {"csv": read_csv, "geojson": read_geojson, "shp": read_shp, "gml": read_gml, "gpkg": read_gpkg, "tif": read_tif, "xlsx": read_xlsx, "sqlite": read_sqlite, "sql": read_sql_dump, "fwf": read_fwf}
+    if kind not in readers:
+        raise ValueError(f"no reader for the ending {ending!r}; name a kind of {', '.join(readers)}")
+    return readers[kind](spark, path, **how)

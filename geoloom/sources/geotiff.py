@@ -359,7 +359,7 @@ def encode_tif(data: np.ndarray, x0: float, y0: float, cell: float, epsg: int, n
     return body.ljust(at, b"\0") + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + more
 
 
-def _write(path: str, data: bytes) -> None:
+def write_file(path: str, data: bytes) -> None:
     """All of data or nothing, over what an earlier attempt left."""
     from pyarrow import fs
 
@@ -393,7 +393,7 @@ def write_tifs(cells: DataFrame, bands: Sequence[str], grid: Grid, epsg: int, fo
         for i, b in enumerate(bands):
             data[f["row"] - r, f["col"] - c, i] = f[b].fillna(nodata)
         name = f"r{r}_c{c}.tif"
-        _write(f"{folder}/{name}", encode_tif(data, grid.x0 + c * grid.cell, grid.y0 - r * grid.cell, grid.cell, epsg, nodata))
+        write_file(f"{folder}/{name}", encode_tif(data, grid.x0 + c * grid.cell, grid.y0 - r * grid.cell, grid.cell, epsg, nodata))
         return pd.DataFrame({"file": [name], "row": [r], "col": [c], "n": [len(f)], "rows": [data.shape[0]], "cols": [data.shape[1]]})
 
     made = rows.groupBy("br", "bc").applyInPandas(run, "file string, row long, col long, n long, rows long, cols long")
@@ -404,5 +404,5 @@ def write_tifs(cells: DataFrame, bands: Sequence[str], grid: Grid, epsg: int, fo
     )
     bands_ = "".join(f'<VRTRasterBand dataType="Float32" band="{i}"><NoDataValue>{nodata:g}</NoDataValue>{part(i)}</VRTRasterBand>' for i in range(1, len(bands) + 1))
     index = f'<VRTDataset rasterXSize="{grid.cols}" rasterYSize="{grid.rows}"><SRS>EPSG:{epsg}</SRS><GeoTransform>{grid.x0}, {grid.cell}, 0, {grid.y0}, 0, {-grid.cell}</GeoTransform>{bands_}</VRTDataset>'
-    _write(f"{folder}/mosaic.vrt", index.encode())
+    write_file(f"{folder}/mosaic.vrt", index.encode())
     return cells.sparkSession.createDataFrame([t[:4] for t in found], "file string, row long, col long, n long")
