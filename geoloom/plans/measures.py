@@ -9,6 +9,7 @@ from geoloom.operators import attributes as A
 from geoloom.operators import nearest
 from geoloom.operators import polygons as P
 from geoloom.operators import raster as R
+from geoloom.sources import osm
 from geoloom.plans.queries import _CELLS, _GRID, _cells, _place, _t, query
 
 _CUSTOMERS = "SELECT c_custkey, c_custkey * 7919 % 10007 + 0.5 AS x, c_custkey * 104729 % 10009 + 0.5 AS y FROM customer"
@@ -78,3 +79,26 @@ def zonal_valid_share(spark, sf_dir):
     zones = zones.select("zone", G.polygon_of(F.array(G.xy(x, y), G.xy(x + 1000, y), G.xy(x, y + 1000), G.xy(x, y))).alias("geometry"))
     out = R.zonal_stats(zones, _cells(spark, sf_dir), _GRID, "zone", "nir", valid_share_field="share", min_valid_share=0.5)
     return out.select("zone", "sum_value", F.round("share", 9).alias("share"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, s_suppkey % 13 + 6 AS a, s_suppkey % 4 + 1 AS b FROM supplier)
+SELECT id, CAST(a * a - b * b + CASE WHEN id % 3 = 0 THEN 4 ELSE 0 END AS DOUBLE) AS area, CAST(CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS lost FROM s""")
+def relation_areas(spark, sf_dir):
+    """Areas of relations made of lines in any direction: a square with a square hole, for some an island beside, or a stray line."""
+    k = F.col("id")
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id")).withColumns({"a": k % 13 + 6, "b": k % 4 + 1})
+    a, b, o = F.col("a"), F.col("b"), F.lit(0)
+    square = lambda x, y, side: [(x, y), (x + side, y), (x + side, y + side), (x, y + side)]
+    lines = []
+    for corners in (square(o, o, a), square(o + 1, o + 1, b), square(a + 5, o, F.lit(2))):
+        p = [G.xy(*c) for c in corners]
+        # One side by itself, one backwards, two in one line.
+        lines += [G.line(p[0], p[1]), G.line(p[2], p[1]), G.line(p[2], p[3], p[0])]
+    stray = G.line(G.xy(o, o), G.xy(o - 3, o - 3))
+    all_ = F.array(*[F.struct(F.lit(i).alias("i"), g.alias("geometry")) for i, g in enumerate([*lines, stray])])
+    ways = s.select("id", F.explode(all_).alias("w")).filter("(w.i < 6) OR (w.i < 9 AND id % 3 = 0) OR (w.i = 9 AND id % 5 = 0)")
+    ways = ways.select("id", F.concat_ws("/", "id", "w.i").alias("ref"), "w.geometry")
+    members = F.collect_list(F.struct(F.lit("way").alias("type"), "ref", F.lit("").alias("role"))).alias("members")
+    relations = ways.groupBy("id").agg(members).withColumn("tags", F.create_map(F.lit("type"), F.lit("multipolygon")))
+    out = osm.relation_areas(relations, ways.select(F.col("ref").alias("id"), "geometry"), {"type": "multipolygon"})
+    return out.select("id", F.round(G.area(F.col("geometry")), 6).alias("area"), "lost")
