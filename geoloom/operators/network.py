@@ -6,7 +6,9 @@ biconnected.py); no task holds more than a part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,13 +130,54 @@ def line_network(lines: DataFrame, speed_kmh: float | None = None, tolerance_m:
     return spots.select("id", "x", "y"), edges
 
 
-def network_nodes(lines: DataFrame, decimals: int = 6) -> DataFrame:
-    """The distinct ends of the lines' parts as points."""
-    ends = lines.select(F.explode("geometry.parts").alias("p")).select(F.explode(F.array(F.col("p")[0][0], F.element_at(F.col("p")[0], -1))).alias("e"))
-    at = ends.select(F.bround("e.x", decimals).alias("x"), F.bround("e.y", decimals).alias("y")).distinct()
+def network_nodes(lines: DataFrame, decimals: int = 6, tolerance_m: float = 0.0, order: Sequence[str] = ()) -> DataFrame:
+    """The distinct ends of the lines' parts as points; with a tolerance, the means of groups of ends.
+
+    Ends are taken in the order of the columns ``order`` (those that a tolerance needs), then of parts, start before end. The
+    first one that is in no group makes one, with all ends within the tolerance that are in none.
+    """
+    parts = lines.filter("geometry.dim = 1").select(F.struct(F.lit(0).alias("_"), *order).alias("o"), F.posexplode("geometry.parts").alias("part", "p"))
+    ends = parts.select("o", "part", F.posexplode(F.array(F.col("p")[0][0], F.element_at(F.col("p")[0], -1))).alias("end", "e"))
+    if tolerance_m > 0:
+        if not order:
+            raise ValueError("a tolerance needs an order of the lines")
+        spots = ends.groupBy(F.col("e.x").alias("x"), F.col("e.y").alias("y")).agg(F.min(F.struct("o", "part", "end")).alias("o"), F.count("*").alias("n"))
+        spots = materialize(spots, "spots")
+        of = first_come(spots.select("x", "y", "o"), tolerance_m)
+        mean = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c)
+        at = spots.join(of, ["x", "y"]).groupBy("centre").agg(mean("x"), mean("y"))
+    else:
+        at = ends.select(F.bround("e.x", decimals).alias("x"), F.bround("e.y", decimals).alias("y")).distinct()
     return at.select("x", "y", G.point(F.col("x"), F.col("y")).alias("geometry"))
 
 
+def first_come(spots: DataFrame, tolerance: float) -> DataFrame:
+    """(x, y, centre) of places (x, y, o): the places in order o, each in the group of the first centre within the tolerance.
+
+    A centre is a place with no centre before it within the tolerance. In cells of tolerance / sqrt(2) all places are
+    neighbours, so a cell has one candidate, its first place; it is a centre if the first places of all cells around come
+    after it. Places near new centres are done, and the next round goes on with the rest: rounds of cells and joins with
+    centres, of which there are few in any place, and no pairs of places.
+    """
+    side = tolerance / math.sqrt(2) * (1 - 1e-12)
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    around = lambda c, d: F.explode(F.sequence(F.col(c) - d, F.col(c) + d))
+    left = materialize(spots.withColumns({"cx": cell("x"), "cy": cell("y")}), "places")
+    found = []
+    near = lambda places, centres: places.join(centres.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("o").alias("centre"), around("cx", 2).alias("cx"), "cy").withColumn("cy", around("cy", 2)), ["cx", "cy"]).filter(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) <= tolerance)
+    while not left.isEmpty():
+        first = left.groupBy("cx", "cy").agg(F.min(F.struct("o", "x", "y")).alias("f"))
+        seen = first.select(F.col("f.o").alias("o"), around("cx", 2).alias("cx"), "cy").withColumn("cy", around("cy", 2)).groupBy("cx", "cy").agg(F.min("o").alias("least"))
+        new = materialize(first.join(seen, ["cx", "cy"]).filter(F.col("f.o") == F.col("least")).select("cx", "cy", "f.*"), "centres")
+        found.append(new)
+        left = materialize(left.join(near(left, new).select("x", "y").distinct(), ["x", "y"], "left_anti"), "places")
+    if not found:
+        return spots.select("x", "y", F.col("o").alias("centre"))
+    centres = reduce(DataFrame.union, found)
+    all_ = spots.withColumns({"cx": cell("x"), "cy": cell("y")})
+    return near(all_, centres).groupBy("x", "y").agg(F.min("centre").alias("centre"))
+
+
 def graph_to_vector(nodes: DataFrame, edges: DataFrame, part: str = "edges") -> DataFrame:
     """Nodes as points, or edges as straight lines with node_u and node_v."""
     if part == "nodes":
