@@ -6,7 +6,7 @@ of its n-grams stands from its place in the language's profile, and the full pro
 it. The nearest language wins, and ties go to the smaller name.
 
 Defined results: a null text, an empty one or one without a letter gives ``und`` and score 0; without training rows all
-documents give ``und``. Repeated rows each get their own row. Other columns pass through unless they have the name of
+documents give ``und``. A text of any length is profiled whole. Repeated rows each get their own row. Other columns pass through unless they have the name of
 an output column, which is replaced.
 """
 

@@ -11,7 +11,7 @@ of all documents share costs one row a task there, and the join back to it can b
 
 Defined results: a null text stays null; a text of fewer than three lines stays as it is; a text that loses all its
 lines becomes what is left (perhaps the empty string). A null doc_id comes after all others. Rows that agree in doc_id
-and text count as one document and get the same result. Other columns pass through whatever their names.
+and text count as one document and get the same result. A text of any length is taken apart whole. Other columns pass through whatever their names.
 """
 
 from __future__ import annotations

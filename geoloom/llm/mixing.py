@@ -12,7 +12,7 @@ hash ranges: counts of BUCKETS hash ranges settle all but one range, and only th
 third of all rows have is never sorted in one task.
 
 Defined results: a null or wordless text has size 0 and is taken with 0 words; a source of empty documents has target
-0; an empty table gives no rows. Repeated rows are documents of their own. Reruns agree, however the files are laid
+0; a text of any length counts whole; an empty table gives no rows. Repeated rows are documents of their own. Reruns agree, however the files are laid
 out: of the documents of one length the hashes of id and text decide, and rows that agree in both are interchangeable.
 The list of sources is ordered in one task: sources are taken to be some thousands at most.
 """

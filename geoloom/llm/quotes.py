@@ -14,7 +14,8 @@ a conversation or passage that a third of all rows have costs no pairs, and no c
 
 Defined results: a null text stays null, links to nothing and is linked by nothing; a quotation that nothing earlier
 says is removed but not linked; a null conv_id is a conversation of its own; a null turn comes before all others. Rows
-that agree in conv_id, turn and text are one message and get the same result; other columns pass through.
+that agree in conv_id, turn and text are one message and get the same result; a text of any length is parsed whole; other
+columns pass through.
 """
 
 from __future__ import annotations
