@@ -60,6 +60,7 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
         _WRITTEN.reset(outer)
         for path in record:
             drop_path(spark, path)
+        record.clear()
 
 
 def components(edges: DataFrame) -> DataFrame:
