@@ -156,3 +156,21 @@ def ball_kmeans(rows: DataFrame, k: int = K, rounds: int = ROUNDS, dimensions: i
     facts = [(i, fits(own[i]), fits(sum(own.values())), hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(centroids.tolist()) if i in own]
     of = spark.createDataFrame(facts, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return members.join(F.broadcast(of), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _round(n: int) -> str:
+    """The nearest centroids of round n, and the centroids that follow from them."""
+    return f"""
+a{n} AS MATERIALIZED (SELECT row, vec_id, v, min(t).k AS k, min(t).d AS d FROM (
+  SELECT row, vec_id, v, {{'d': list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'k': k}} AS t FROM kept, c{n}) GROUP BY row, vec_id, v),
+m{n} AS (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, unnest(range({DIMENSIONS})) AS i FROM a{n}) GROUP BY k, i),
+c{n + 1} AS MATERIALIZED (SELECT k, coalesce(w, c) AS c FROM c{n} LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) / n)::BIGINT ORDER BY i) AS w FROM m{n} GROUP BY k) USING (k))"""
+
+
+#: The plain rounds over all centroids; their results are those of the balls.
+ORACLE_SQL = f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIMENSIONS}),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, v) - 1)::INTEGER AS k, v AS c FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT {K})),
+{",".join(map(_round, range(ROUNDS)))},{_round(ROUNDS).split("m3 AS")[0].rstrip().rstrip(",")}
+SELECT vec_id, k AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN c{ROUNDS} USING (k)"""

@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": linededup.ORACLE_SQL, "op10_chat_quotes": quotes.ORACLE_SQL}
+    return {"op2_line_dedup": linededup.ORACLE_SQL, "op10_chat_quotes": quotes.ORACLE_SQL, "op11_ball_kmeans": balls.ORACLE_SQL}
