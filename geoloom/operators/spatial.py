@@ -1,4 +1,4 @@
-"""Spatial operators: measures, spatial joins on a grid, nearest distance, zone aggregation, hexagons, density clusters.
+"""Spatial operators: measures, spatial joins on a grid, zone aggregation, hexagons.
 
 A theta join of geometries becomes an equi-join: each side is put into the grid cells that its bounding box touches, and
 a pair is judged only in the cell that has the lower left corner of the two boxes' overlap, so no pair appears twice
@@ -11,12 +11,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from geoloom.functions import geometry as G
 from geoloom.functions.keys import column_name, finite
 from geoloom.operators.attributes import need
-from geoloom.plans.stages import components, materialize
 
 AREA_UNITS = {"m2": 1.0, "ha": 1e4, "km2": 1e6}
 LENGTH_UNITS = {"m": 1.0, "km": 1e3}
@@ -140,37 +138,3 @@ def hex_grid(region: DataFrame, cell_km: float) -> DataFrame:
     x, y = radius * math.sqrt(3) * (F.col("q") + F.col("r") / 2), rise * F.col("r")
     rows = rows.filter(G.covers_point(F.col("geometry"), x, y)).select("q", "r").distinct()
     return rows.withColumn("geometry", hex_polygon(F.col("q"), F.col("r"), width))
-
-
-def cluster(points: DataFrame, key: str, eps_m: float, min_samples: int, output_field: str = "cluster", size_field: str | None = None) -> DataFrame:
-    """Density clusters (DBSCAN) of points unique in key, numbered by their smallest key; -1 is noise.
-
-    Places are joined, not points: copies at one place are counted once with their number. A neighbour is at most eps_m
-    away, oneself included; a border point goes to its nearest core (ties: the smaller key).
-    """
-    g = F.col("geometry")
-    rows = points.select(F.col(key).alias("k"), G.px(g).alias("x"), G.py(g).alias("y")).filter("x IS NOT NULL")
-    spots = materialize(rows.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("k").alias("s")), "spots")
-    cell = lambda c: F.floor(F.col(c) / eps_m).cast("long")
-    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
-    a = spots.withColumn("cx", around("x")).withColumn("cy", around("y"))
-    b = spots.select(F.col("s").alias("s2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"), cell("x").alias("cx"), cell("y").alias("cy"))
-    away = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
-    near = materialize(a.join(b, ["cx", "cy"]).withColumn("d", away).filter(F.col("d") <= eps_m).select("s", "s2", "n2", "d"), "near")
-    cores = near.groupBy("s").agg(F.sum("n2").alias("m")).filter(F.col("m") >= min_samples).select("s")
-    core2 = cores.select(F.col("s").alias("s2"))
-    linked = near.join(cores, "s").join(core2, "s2").select(F.col("s").alias("a"), F.col("s2").alias("b"))
-    roots = components(linked)
-    of_core = cores.join(roots, cores.s == roots.node, "left").select("s", F.coalesce("root", "s").alias("root"))
-    border = near.join(cores, "s", "left_anti").join(of_core.select(F.col("s").alias("s2"), "root"), "s2")
-    border = border.groupBy("s").agg(F.min_by("root", F.struct("d", "s2")).alias("root"))
-    of_spot = materialize(of_core.union(border), "labels")
-    named = rows.join(spots.select("x", "y", "s"), ["x", "y"]).join(of_spot, "s").select("k", "root")
-    # The number of a cluster: its place among the smallest keys. One row for each cluster.
-    sizes = materialize(named.groupBy("root").agg(F.min("k").alias("low"), F.count("*").alias("size")), "clusters")
-    ids = sizes.select("root", F.col("size").alias("__size"), (F.row_number().over(Window.orderBy("low")) - 1).cast("long").alias("__id"))
-    labels = named.join(ids, "root").select(F.col("k").alias("__k"), "__id", "__size")
-    out = points.join(labels, points[key] == F.col("__k"), "left").withColumn(output_field, F.coalesce("__id", F.lit(-1).cast("long")))
-    if size_field:
-        out = out.withColumn(size_field, F.coalesce("__size", F.lit(0).cast("long")))
-    return out.drop("__k", "__id", "__size")

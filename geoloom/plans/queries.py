@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.operators import attributes as A
+from geoloom.operators import clusters as CL
 from geoloom.operators import network as N
 from geoloom.operators import polygons as P
 from geoloom.operators import raster as R
@@ -281,7 +282,7 @@ ids AS (SELECT root, row_number() OVER (ORDER BY min(k)) - 1 AS id, count(*) AS
 SELECT p.k AS s_suppkey, coalesce(ids.id, -1) AS cluster, coalesce(ids.size, 0) AS size FROM p LEFT JOIN lab ON lab.k = p.k LEFT JOIN ids ON ids.root = lab.root""")
 def cluster(spark, sf_dir):
     points = _place(_t(spark, sf_dir, "supplier"), "s_suppkey").select("s_suppkey", "geometry")
-    return S.cluster(points, "s_suppkey", 900.0, 4, size_field="size").drop("geometry")
+    return CL.cluster(points, "s_suppkey", 900.0, 4, size_field="size").drop("geometry")
 
 
 # --- polygons ---------------------------------------------------------------------------------------------------

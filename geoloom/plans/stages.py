@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -94,3 +95,13 @@ def components(edges: DataFrame) -> DataFrame:
     for ends in rounds[1:]:
         out = out.join(ends.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     return materialize(out, "components")
+
+
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df with each row's place in the order of by (unique), from 0, as long: ranges are numbered for themselves, then shifted
+    by the sizes of the ranges before them, one row a range."""
+    ranged = materialize(df.repartitionByRange(by).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = before.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(by)) - 1 + F.col("__before")
+    return ranged.join(F.broadcast(before), "__range").withColumn(name, place.cast("long")).drop("__range", "__before")

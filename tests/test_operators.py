@@ -15,6 +15,7 @@ from geoloom.operators import attributes as A
 from geoloom.operators import network as N
 from geoloom.operators import polygons as P
 from geoloom.operators import raster as R
+from geoloom.operators import clusters
 from geoloom.operators import nearest
 from geoloom.operators import spatial as S
 
@@ -99,7 +100,7 @@ def test_spatial(spark):
     assert near([0], [0, 0, 3]) == [3]
     assert near([0], [1000]) == [1000]
     spots = [(0, 0), (10, 0), (0, 10), (10, 10), (500, 500), (100, 100), (110, 100), (100, 110), (900, 0)]
-    got = values(S.cluster(points(spark, [(i, float(x), float(y)) for i, (x, y) in enumerate(spots)]), "id", 20.0, 3, size_field="size"), "id", "cluster", "size")
+    got = values(clusters.cluster(points(spark, [(i, float(x), float(y)) for i, (x, y) in enumerate(spots)]), "id", 20.0, 3, size_field="size"), "id", "cluster", "size")
     assert [r[1] for r in got] == [0, 0, 0, 0, -1, 1, 1, 1, -1]
     assert [r[2] for r in got] == [4, 4, 4, 4, 0, 3, 3, 3, 0]
     bins = S.hexbin(points(spark, [(i, i * 37 % 101 * 10.0, i * 53 % 97 * 10.0) for i in range(200)]), 0.1)
