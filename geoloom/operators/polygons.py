@@ -1,8 +1,8 @@
 """Boolean operators on polygons: overlay, clip, dissolve, area share, line buffers, isochrones, repair.
 
 Candidate pairs come from the grid join of geoloom.operators.spatial. What unites many polygons, or sets them against
-many, first cuts them by the cells of a grid, so that a group is what lies in one cell and never a whole layer; choose
-cells that hold some dozens of polygons. One small kernel works on a pair or a cell, by vertical slabs: the corners and crossings of all edges cut the plane into
+many, first cuts them by the cells of a grid, so that a group is what lies in one cell and never a whole layer; cells that
+are crowded are cut further, and large shapes level by level. One small kernel works on a pair or a cell, by vertical slabs: the corners and crossings of all edges cut the plane into
 slabs in which no two edges cross, so inside a slab each polygon is a list of intervals between edges.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from geoloom.functions import geometry as G
 from geoloom.operators.spatial import _cells, pairs
-from geoloom.plans.stages import components
+from geoloom.plans.stages import components, materialize
 
 Edges = np.ndarray  # (n, 4): x1, y1, x2, y2 with x1 < x2
 EPS = 1e-9
@@ -166,22 +166,106 @@ def _parts(g) -> list:  # noqa: ANN001
     return [[[(v["x"], v["y"]) for v in r] for r in p] for p in g["parts"]]
 
 
-def _cut(df: DataFrame, key: str | None, cell: float) -> DataFrame:
-    """(k, cx, cy, g): the polygons of df cut by the grid's cells; pieces without area are left out."""
-    rows = _cells(df.select(F.col(key).alias("k") if key else F.lit(0).alias("k"), "geometry").filter("geometry.dim = 2"), cell, "l")
+#: A shape is cut by squares of which at most BLOCK x BLOCK (and a border) meet it, and the pieces by the squares in those.
+BLOCK = 16
+#: A cell with more pieces than this to be set against others is cut into 4 x 4, at most DEPTH times.
+CROWD = 256
+DEPTH = 8
+#: Cells whose cuts make more than this many pieces out of one hold shapes too large for smaller cells to part.
+GROWTH = 3
+
+
+def _square(cx: float, cy: float, size: float) -> list:
+    x0, y0, x1, y1 = cx * size, cy * size, (cx + 1) * size, (cy + 1) * size
+    return [[[(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]]]
+
+
+def _cut_by(rows: DataFrame, size: float) -> DataFrame:
+    """(k, cx, cy, g, whole) of rows (k, geometry), cut by squares of this size; whole: the piece is the square."""
+    kind = dict(rows.dtypes)["k"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            cut = []
+            cut, whole = [], []
             for g, cx, cy in zip(f["geometry"], f["cx"], f["cy"], strict=True):
-                x, y = cx * cell, cy * cell
-                square = [[[(x, y), (x + cell, y), (x + cell, y + cell), (x, y + cell), (x, y)]]]
-                cut.append(multi(trapezoids([[_parts(g)], [square]], RULES["intersection"])))
-            out = f[["k", "cx", "cy"]].assign(g=cut)
+                parts, square = _parts(g), _square(cx, cy, size)
+                corners = set(square[0][0])
+                xs, ys = zip(*(v for p in parts for r in p for v in r), strict=True)
+                (x0, y0), (x1, y1) = min(corners), max(corners)
+                inside = x0 <= min(xs) and max(xs) <= x1 and y0 <= min(ys) and max(ys) <= y1
+                if inside and (max(xs) - min(xs) < x1 - x0 or max(ys) - min(ys) < y1 - y0):
+                    cut.append(g)
+                    whole.append(False)
+                    continue
+                cut.append(multi(trapezoids([[parts], [square]], RULES["intersection"])))
+                rings = [r for p in cut[-1]["parts"] for r in p] if cut[-1] else []
+                whole.append(len(rings) == 1 and len(rings[0]) == 5 and {(v["x"], v["y"]) for v in rings[0]} == corners)
+            out = f[["k", "cx", "cy"]].assign(g=cut, whole=whole)
             yield out[out["g"].notna()]
 
-    kind = dict(df.dtypes)[key] if key else "int"
-    return mapped(rows.select("k", "cx", "cy", "geometry"), run, f"k {kind}, cx long, cy long, g {G.GEOMETRY}")
+    return mapped(_cells(rows, size, "l").select("k", "cx", "cy", "geometry"), run, f"k {kind}, cx long, cy long, g {G.GEOMETRY}, whole boolean")
+
+
+def _cut(df: DataFrame, key: str | None, cell: float) -> DataFrame:
+    """(k, cx, cy, g, whole): the polygons of df cut by the grid's cells; pieces without area are left out.
+
+    Large ones are cut level by level, by blocks of cells first, so that no shape is copied whole to all its cells; the
+    pieces of a level are dealt out before the next one. How many levels there are is asked of the data.
+    """
+    rows = df.select(F.col(key).alias("k") if key else F.lit(0).alias("k"), "geometry").filter("geometry.dim = 2")
+    b = G.bbox(F.col("geometry"))
+    side = rows.agg(F.max(F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]))).first()[0] or 0.0
+    if not math.isfinite(side):
+        raise ValueError("a polygon has a corner that is not finite")
+    size = cell
+    while side > size * BLOCK:
+        size *= BLOCK
+    while size > cell:
+        rows = _cut_by(rows, size).select("k", F.col("g").alias("geometry")).hint("rebalance")
+        size /= BLOCK
+    return _cut_by(rows, cell)
+
+
+def _parted(crowd: DataFrame, by: list[str], cell: float, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """crowd, and also along the same squares, as (k, size, cx, cy, g): pieces whose squares are cut further where crowd has
+    more than CROWD pieces with the same values of by (cx, cy and perhaps k).
+
+    Where a piece is the whole square, the others there add nothing to a union: the square stands for all. Equal pieces are
+    one. What is left crowded are squares that many borders cross so that smaller ones would not part them.
+    """
+    was = F.lit(None).cast("double")
+    crowd = materialize(crowd.withColumn("was", was), "pieces")
+    also = also if also is None else materialize(also, "pieces")
+    size, out, beside = cell, [], []
+    final = lambda df: df.select("k", F.lit(size).alias("size"), "cx", "cy", "g")  # noqa: E731, B023
+    for depth in range(DEPTH + 1):
+        up = [F.floor(F.col(c) / 4).alias(f"up_{c}") if c != "k" else F.col("k").alias("up_k") for c in by]
+        n = crowd.groupBy(*by).agg(F.count("*").alias("n"), F.max("whole").alias("any"), F.max("was").alias("was"))
+        full = n.filter(F.col("n") > CROWD)
+        full = materialize(full.select("*", *up), "crowded")
+        if depth == DEPTH or full.isEmpty():
+            break
+        # What a square was cut into: all its pieces, also those of squares that are crowded no more.
+        total = crowd.select(*up, "was").filter("was IS NOT NULL").groupBy(*[f"up_{c}" for c in by]).agg((F.count("*") <= GROWTH * F.max("was")).alias("parts"))
+        cut = full.filter("NOT any").join(total, [f"up_{c}" for c in by], "left").filter("coalesce(parts, true)").select(*by, F.col("n").cast("double").alias("n"))
+        cut = materialize(cut, "cut")
+        squares = full.filter("any").select(*by)
+        gone = cut.select(*by).union(squares)
+        square = G.box(*[(F.col(c) + i) * size for i in (0, 1) for c in ("cx", "cy")])
+        named = squares if "k" in by else squares.withColumn("k", F.lit(0))
+        out += [final(crowd.join(gone, by, "left_anti")), final(named.withColumn("g", square))]
+        if also is not None:
+            beside.append(final(also.join(cut, by, "left_anti")))
+            also = materialize(_cut_by(also.join(cut, by, "left_semi").select("k", F.col("g").alias("geometry")), size / 4), "pieces")
+        kids = _cut_by(crowd.join(cut, by, "left_semi").select("k", F.col("g").alias("geometry")).distinct(), size / 4)
+        sizes = cut.select(*[c for c in by if c == "k"], *[F.col(c).alias(f"up_{c}") for c in ("cx", "cy")], F.col("n").alias("was"))
+        kids = kids.withColumns({f"up_{c}": F.floor(F.col(c) / 4) for c in ("cx", "cy")}).join(sizes, ["up_cx", "up_cy", *[c for c in by if c == "k"]])
+        crowd = materialize(kids.select("k", "cx", "cy", "g", "whole", "was"), "pieces")
+        size /= 4
+    out.append(final(crowd))
+    if also is not None:
+        beside.append(final(also))
+    return reduce(DataFrame.union, out), reduce(DataFrame.union, beside) if beside else None
 
 
 def _by_cell(cells: DataFrame, rule: str, kind: str) -> DataFrame:
@@ -204,14 +288,16 @@ def _by_cell(cells: DataFrame, rule: str, kind: str) -> DataFrame:
 
 def united(df: DataFrame, key: str, cell: float = 1000.0) -> DataFrame:
     """(k, geometry, area): the union of the polygons of each key, cell by cell."""
-    groups = _cut(df, key, cell).groupBy("k", "cx", "cy").agg(F.collect_list("g").alias("gs"))
+    pieces, _ = _parted(_cut(df, key, cell), ["k", "cx", "cy"], cell)
+    groups = pieces.groupBy("k", "size", "cx", "cy").agg(F.collect_list("g").alias("gs"))
     return _by_cell(groups.withColumn("os", F.array().cast(f"array<{G.GEOMETRY}>")), "union", dict(df.dtypes)[key])
 
 
 def _against(one: DataFrame, other: DataFrame, key: str, rule: str, cell: float) -> DataFrame:
     """(k, geometry, area) of each polygon of one (unique in key) by the rule against all polygons of other."""
-    there = _cut(other, None, cell).groupBy("cx", "cy").agg(F.collect_list("g").alias("os"))
-    met = _cut(one, key, cell).join(there, ["cx", "cy"], "inner" if rule == "intersection" else "left")
+    there, here = _parted(_cut(other, None, cell), ["cx", "cy"], cell, _cut(one, key, cell))
+    there = there.groupBy("size", "cx", "cy").agg(F.collect_list("g").alias("os"))
+    met = here.join(there, ["size", "cx", "cy"], "inner" if rule == "intersection" else "left")
     return _by_cell(met.withColumn("gs", F.array("g")), rule, dict(one.dtypes)[key])
 
 
