@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -140,8 +141,66 @@ def utm_epsg(lon: float, lat: float) -> int:
     return (32600 if lat >= 0 else 32700) + min(60, int((lon + 180) // 6) + 1)
 
 
-def reproject(g: Column, epsg: int, source: int = 4326) -> Column:
-    """A geometry in another reference system; an error if a vertex is not finite there."""
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of value, which is worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+#: Edges are halved at most this often.
+HALVINGS = 16
+
+
+def densify(g: Column, epsg: int, within: float, source: int = 4326) -> Column:
+    """A geometry with vertices added on its edges, so that the edges stay within a distance (in units of the reference system
+    epsg) of where they belong there.
+
+    An edge is cut into 1, 2, 4, ... equal pieces until the projected quarter points and midpoint of each piece are as near
+    as that to the same points of the projected piece; points stay as they are. An edge that is not there after HALVINGS
+    is an error.
+    """
+    def between_ends(s: Column, t: Column) -> Column:
+        return G.xy(*[s["a"][k] + (s["b"][k] - s["a"][k]) * t for k in "xy"])
+
+    def off(s: Column, n: Column) -> Column:
+        """How far the n pieces are off at most."""
+        def moved(j: Column) -> Column:
+            v = between_ends(s, j / (4 * n))
+            return G.xy(*between(v["x"], v["y"], source, epsg))
+
+        def gap(p: Column, j: Column) -> Column:
+            first, t = (F.floor(j / 4) * 4).cast("int"), (j % 4) / 4
+            straight = lambda k: p[first][k] + (p[first + 4][k] - p[first][k]) * t
+            return F.when(j % 4 == 0, 0.0).otherwise(F.hypot(p[j]["x"] - straight("x"), p[j]["y"] - straight("y")))
+
+        steps = F.sequence(F.lit(0), (4 * n).cast("int"))
+        return _let(F.transform(steps, moved), lambda p: F.array_max(F.transform(steps, lambda j: gap(p, j))))
+
+    def tried(s: Column, acc: Column) -> Column:
+        def judged(d: Column) -> Column:
+            # What is not finite is told by the projection itself.
+            done = (d <= within) | F.isnan(d) | (d == float("inf"))
+            return G.named(done=done, n=F.when(done, acc["n"]).otherwise(acc["n"] * 2))
+
+        return F.when(acc["done"], acc).otherwise(_let(off(s, acc["n"]), judged))
+
+    def pieces(s: Column) -> Column:
+        rounds = F.sequence(F.lit(0), F.lit(HALVINGS))
+        found = F.aggregate(rounds, G.named(done=F.lit(False), n=F.lit(1)), lambda acc, _: tried(s, acc))
+        n = _let(found, lambda f: F.when(f["done"], f["n"]).otherwise(F.raise_error(F.lit("an edge stays too far off")).cast("int")))
+        return _let(n, lambda m: F.transform(F.sequence(F.lit(0), m - 1), lambda i: between_ends(s, i / m)))
+
+    def ring(r: Column) -> Column:
+        return F.concat(F.flatten(F.transform(G.segments(r), pieces)), F.slice(r, -1, 1))
+
+    parts = F.transform(g["parts"], lambda p: F.transform(p, ring))
+    return F.when(g["dim"] == 0, g).otherwise(F.when(g.isNotNull(), G.named(kind=g["kind"], dim=g["dim"], parts=parts).cast(G.GEOMETRY)))
+
+
+def reproject(g: Column, epsg: int, source: int = 4326, within: float | None = None) -> Column:
+    """A geometry in another reference system; an error if a vertex is not finite there. within: densify() first."""
+    if within is not None:
+        g = densify(g, epsg, within, source)
+
     def move(v: Column) -> Column:
         x, y = between(v["x"], v["y"], source, epsg)
         ok = (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))

@@ -2,12 +2,14 @@
 
 A theta join of geometries becomes an equi-join: each side is put into the grid cells that its bounding box touches, and
 a pair is judged only in the cell that has the lower left corner of the two boxes' overlap, so no pair appears twice
-and no distinct is needed. Choose a cell about as large as the larger side's usual geometry.
+and no distinct is needed. Choose a cell about as large as the larger side's usual geometry,
+or several sizes.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,22 +52,44 @@ def _cells(df: DataFrame, cell: float, prefix: str, reach: float = 0.0) -> DataF
     return df.withColumn("cx", F.explode(span("xmin", "xmax"))).withColumn("cy", F.explode(span("ymin", "ymax")))
 
 
-def pairs(left: DataFrame, right: DataFrame, cell: float, test: Column) -> DataFrame:
-    """(l, r): rows of both whose boxes overlap and for which test, on l.geometry and r.geometry, holds."""
-    a = _cells(left, cell, "l").select(F.struct(*left.columns).alias("l"), "lb", "cx", "cy")
-    b = _cells(right, cell, "r").select(F.struct(*right.columns).alias("r"), "rb", "cx", "cy")
+def _placed(df: DataFrame, sizes: Sequence[float], prefix: str) -> DataFrame:
+    """Rows (row, box, own) once for each cell (at, cx, cy) that they touch in the grid of their size and in those of larger
+    sizes: own is the first of the sizes that the box does not exceed, or the last."""
+    b = f"{prefix}b"
+    rows = df.select(F.struct(*df.columns).alias(prefix), G.bbox(F.col("geometry")).alias(b)).filter(F.col(f"{b}.xmin").isNotNull())
+    side = F.greatest(F.col(f"{b}.xmax") - F.col(f"{b}.xmin"), F.col(f"{b}.ymax") - F.col(f"{b}.ymin"))
+    own = F.coalesce(*[F.when(side <= size, F.lit(i)) for i, size in enumerate(sizes)], F.lit(len(sizes) - 1))
+    rows = rows.withColumn(f"{prefix}_own", own).withColumn("at", F.explode(F.sequence(f"{prefix}_own", F.lit(len(sizes) - 1))))
+    size = F.array(*map(F.lit, sizes))[F.col("at")]
+    for k in "xy":
+        rows = rows.withColumn(f"c{k}", F.explode(F.sequence(*[F.floor(F.col(f"{b}.{k}{end}") / size).cast("long") for end in ("min", "max")])))
+    return rows
+
+
+def pairs(left: DataFrame, right: DataFrame, cell: float | Sequence[float], test: Column) -> DataFrame:
+    """(l, r): rows of both whose boxes overlap and for which test, on l.geometry and r.geometry, holds.
+
+    Several sizes of cells, for layers of very uneven shapes: two rows meet in the grid of the larger one's size, so that a
+    large shape lies in few cells, and small ones meet each other in small cells only.
+    """
+    sizes = [float(cell)] if isinstance(cell, int | float) else sorted(map(float, cell))
+    a, b = _placed(left, sizes, "l"), _placed(right, sizes, "r")
     low = lambda k: F.greatest(F.col(f"lb.{k}min"), F.col(f"rb.{k}min"))
     high = lambda k: F.least(F.col(f"lb.{k}max"), F.col(f"rb.{k}max"))
-    here = (F.floor(low("x") / cell) == F.col("cx")) & (F.floor(low("y") / cell) == F.col("cy"))
+    size = F.array(*map(F.lit, sizes))[F.col("at")]
+    here = (F.floor(low("x") / size) == F.col("cx")) & (F.floor(low("y") / size) == F.col("cy"))
     overlap = (low("x") <= high("x")) & (low("y") <= high("y"))
-    return a.join(b, ["cx", "cy"]).filter(here & overlap & test).select("l", "r")
+    met = a.filter("l_own = at").join(b, ["at", "cx", "cy"])
+    if len(sizes) > 1:
+        met = met.unionByName(a.filter("l_own < at").join(b.filter("r_own = at"), ["at", "cx", "cy"]))
+    return met.filter(here & overlap & test).select("l", "r")
 
 
 def _test(predicate: str) -> Column:
     return G.PREDICATES[predicate](F.col("l.geometry"), F.col("r.geometry"))
 
 
-def spatial_join(left: DataFrame, right: DataFrame, key: str, predicate: str = "intersects", cell: float = 1000.0) -> DataFrame:
+def spatial_join(left: DataFrame, right: DataFrame, key: str, predicate: str = "intersects", cell: float | Sequence[float] = 1000.0) -> DataFrame:
     """left (unique in key) with each right row it meets, or nulls; clashing names get _left and _right; no right geometry."""
     need(left, key)
     clash = (set(left.columns) & set(right.columns)) - {"geometry"}
@@ -75,7 +99,7 @@ def spatial_join(left: DataFrame, right: DataFrame, key: str, predicate: str = "
     return out.select(*[F.col(c).alias(f"{c}_left" if c in clash else c) for c in left.columns], *[F.col(f"r.{c}").alias(n) for c, n in right_names.items()])
 
 
-def aggregate(zones: DataFrame, features: DataFrame, key: str, statistic: str = "count", value_field: str | None = None, group_by: str | None = None, predicate: str = "intersects", cell: float = 1000.0) -> DataFrame:
+def aggregate(zones: DataFrame, features: DataFrame, key: str, statistic: str = "count", value_field: str | None = None, group_by: str | None = None, predicate: str = "intersects", cell: float | Sequence[float] = 1000.0) -> DataFrame:
     """zones (unique in key) with count, sum or mean of the features in them; group_by gives a count for each value."""
     need(zones, key)
     test = G.PREDICATES[predicate](F.col("r.geometry"), F.col("l.geometry"))

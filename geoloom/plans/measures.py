@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from geoloom.functions import crs
 from geoloom.functions import geometry as G
 from geoloom.operators import attributes as A
+from geoloom.operators import clusters as CL
 from geoloom.operators import nearest
 from geoloom.operators import polygons as P
 from geoloom.operators import raster as R
+from geoloom.operators import spatial as S
 from geoloom.sources import osm
 from geoloom.plans.queries import _CELLS, _GRID, _cells, _place, _t, query
 
@@ -102,3 +105,50 @@ def relation_areas(spark, sf_dir):
     relations = ways.groupBy("id").agg(members).withColumn("tags", F.create_map(F.lit("type"), F.lit("multipolygon")))
     out = osm.relation_areas(relations, ways.select(F.col("ref").alias("id"), "geometry"), {"type": "multipolygon"})
     return out.select("id", F.round(G.area(F.col("geometry")), 6).alias("area"), "lost")
+
+
+_CROWD = "SELECT c_custkey AS k, c_nationkey * 1000 + c_custkey * 7919 % 97 AS x, c_custkey * 104729 % 89 AS y FROM customer"
+
+
+@query(f"""WITH RECURSIVE p AS ({_CROWD}),
+n AS (SELECT a.k, b.k AS k2, sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE)) AS d FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 225),
+core AS (SELECT k FROM n GROUP BY k HAVING count(*) >= 4),
+e AS (SELECT k, k2 FROM n WHERE k IN (FROM core) AND k2 IN (FROM core)),
+reach AS (SELECT k, k AS r FROM core UNION SELECT reach.k, e.k2 FROM reach JOIN e ON e.k = reach.r),
+root AS (SELECT k, min(r) AS root FROM reach GROUP BY k),
+lab AS (SELECT * FROM root UNION ALL SELECT n.k, arg_min(root.root, (n.d, n.k2)) FROM n JOIN root ON root.k = n.k2 WHERE n.k NOT IN (FROM core) GROUP BY n.k),
+ids AS (SELECT root, row_number() OVER (ORDER BY min(k)) - 1 AS id, count(*) AS size FROM lab GROUP BY root)
+SELECT p.k AS c_custkey, coalesce(ids.id, -1) AS cluster, coalesce(ids.size, 0) AS size FROM p LEFT JOIN lab ON lab.k = p.k LEFT JOIN ids ON ids.root = lab.root""")
+def cluster_crowds(spark, sf_dir):
+    """Customers crowded around their nations."""
+    x, y = F.col("c_nationkey") * 1000 + F.col("c_custkey") * 7919 % 97, F.col("c_custkey") * 104729 % 89
+    points = _t(spark, sf_dir, "customer").select("c_custkey", G.point(x, y).alias("geometry"))
+    return CL.cluster(points, "c_custkey", 15.0, 4, size_field="size").drop("geometry")
+
+
+_UNEVEN = "SELECT s_suppkey AS k, s_suppkey * 7919 % 10007 AS x, s_suppkey * 104729 % 10009 AS y, CASE WHEN s_suppkey % 10 = 0 THEN 5000 ELSE 50 END AS side FROM supplier"
+
+
+@query(f"""SELECT z.k AS s_suppkey, count(c.x) AS count FROM ({_UNEVEN}) z LEFT JOIN (SELECT c_custkey * 7919 % 10007 AS x, c_custkey * 104729 % 10009 AS y FROM customer) c
+ON c.x BETWEEN z.x AND z.x + z.side AND c.y BETWEEN z.y AND z.y + z.side GROUP BY z.k""")
+def agg_uneven_zones(spark, sf_dir):
+    """Customers in squares of 50 and of 5,000 metres, in cells of two sizes."""
+    at, side = F.col("geometry"), F.when(F.col("s_suppkey") % 10 == 0, 5000).otherwise(50)
+    x, y = G.px(at), G.py(at)
+    zones = _place(_t(spark, sf_dir, "supplier"), "s_suppkey").select("s_suppkey", G.box(x, y, x + side, y + side).alias("geometry"))
+    points = _place(_t(spark, sf_dir, "customer"), "c_custkey").select("geometry")
+    return S.aggregate(zones, points, "s_suppkey", cell=(100.0, 6400.0)).drop("geometry")
+
+
+@query("""WITH l AS (SELECT s_suppkey, s_suppkey % 300 - 150 AS x0, s_suppkey % 140 - 70 AS y0, s_suppkey * 7 % 20 AS dx, s_suppkey * 11 % 17 - 8 AS dy FROM supplier),
+tried AS (SELECT s_suppkey, k, p.j, 6378137.0 * radians(x0 + dx * p.j / (4.0 * k)) AS x, 6378137.0 * ln(tan(pi() / 4 + radians(y0 + dy * p.j / (4.0 * k)) / 2)) AS y
+  FROM l, (SELECT (2 ** i)::INT AS k FROM range(9) t(i)) g, LATERAL (SELECT unnest(range(4 * k + 1)) AS j) p),
+off AS (SELECT a.s_suppkey, a.k, max(sqrt((b.x - a.x - (c.x - a.x) * (b.j - a.j) / 4.0) ** 2 + (b.y - a.y - (c.y - a.y) * (b.j - a.j) / 4.0) ** 2)) AS d
+  FROM tried a JOIN tried b ON b.s_suppkey = a.s_suppkey AND b.k = a.k AND a.j % 4 = 0 AND b.j BETWEEN a.j AND a.j + 4 JOIN tried c ON c.s_suppkey = a.s_suppkey AND c.k = a.k AND c.j = a.j + 4 GROUP BY ALL)
+SELECT s_suppkey, min(k) + 1 AS vertices FROM off WHERE d <= 100 GROUP BY s_suppkey""")
+def densify_lines(spark, sf_dir):
+    """Vertices of lines of up to 20 degrees, so that they stay within 100 metres on a Mercator map."""
+    k = F.col("s_suppkey")
+    x, y = k % 300 - 150, k % 140 - 70
+    line = G.line(G.xy(x, y), G.xy(x + k * 7 % 20, y + (k * 11 % 17 - 8)))
+    return _t(spark, sf_dir, "supplier").select("s_suppkey", F.size(G.vertices(crs.reproject(line, 3857, within=100.0))).cast("long").alias("vertices"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.operators import polygons as P
+from geoloom.operators import spatial as S
 
 
 def layer(spark, rows, keys=None):
@@ -85,3 +86,18 @@ def test_empty_layers(spark):
     assert P.united(none, "id").count() == 0
     assert P._against(layer(spark, [square(0, 0, 1)]), none, "id", "difference", 10.0).first()["area"] == 1.0
     assert P._against(none, none, "id", "intersection", 10.0).count() == 0
+
+
+def test_pairs_in_cells_of_several_sizes(spark):
+    """Each pair once, whatever the sizes; a large shape lies in few cells."""
+    rng = random.Random(9)
+    boxes = lambda n: [square(rng.uniform(-500, 500), rng.uniform(-500, 500), rng.choice([0.5, 8, 90, 700])) for _ in range(n)]
+    a, b = boxes(60), boxes(70)
+    touch = lambda p, q: all(min(v[i] for v in p) <= max(v[i] for v in q) and min(v[i] for v in q) <= max(v[i] for v in p) for i in (0, 1))
+    want = sorted((i, j) for i, p in enumerate(a) for j, q in enumerate(b) if touch(p, q))
+    for cell in (100, [10.0, 100.0, 1000.0], (1000.0, 5.0)):
+        got = S.pairs(layer(spark, a), layer(spark, b), cell, F.lit(True))
+        assert sorted((r.l.id, r.r.id) for r in got.collect()) == want
+    large = layer(spark, [square(0, 0, 10_000)])
+    assert S._placed(large, [10.0, 20_000.0], "l").count() <= 4
+    assert S._placed(large, [10.0], "l").count() == 1001 * 1001
