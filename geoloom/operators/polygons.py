@@ -217,11 +217,11 @@ def _cut(df: DataFrame, key: str | None, cell: float) -> DataFrame:
     side = rows.agg(F.max(F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]))).first()[0] or 0.0
     if not math.isfinite(side):
         raise ValueError("a polygon has a corner that is not finite")
-    size = cell
+    tasks, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), cell
     while side > size * BLOCK:
         size *= BLOCK
     while size > cell:
-        rows = _cut_by(rows, size).select("k", F.col("g").alias("geometry")).hint("rebalance")
+        rows = _cut_by(rows, size).select("k", F.col("g").alias("geometry")).repartition(tasks)
         size /= BLOCK
     return _cut_by(rows, cell)
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.functions.keys import CASTS
+from geoloom.sources.collections import PIECE, feature_texts
 
 
 # --- tables -----------------------------------------------------------------------------------------------------
@@ -181,17 +182,20 @@ def _from_geojson(kind: Column, text: Column) -> Column:
     )
 
 
-def read_geojson(spark: SparkSession, path: str, columns: dict[str, str] | None = None, lines: bool = False) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, columns: dict[str, str] | None = None, lines: bool = False, piece: int = PIECE) -> DataFrame:
     """Features with their properties (a map of text, or the columns {name: type}) and geometry.
 
-    lines: one feature a line, which many tasks can read; else a file is one FeatureCollection.
+    lines: one feature a line; else a file is one FeatureCollection. Many tasks read a file of lines, or one of more bytes
+    than piece.
     """
     feature = "struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>"
     if lines:
         rows = spark.read.text(path).select(F.from_json("value", feature).alias("f"))
     else:
-        whole = spark.read.text(path, wholetext=True)
+        whole = spark.read.text(path, wholetext=True).filter(F.col("_metadata.file_size") <= piece)
         rows = whole.select(F.explode(F.from_json("value", f"struct<features: array<{feature}>>")["features"]).alias("f"))
+        if not spark.read.format("binaryFile").load(path).filter(F.col("length") > piece).select("path").isEmpty():
+            rows = rows.union(feature_texts(spark, path, piece).select(F.from_json("value", feature).alias("f")))
     g = _from_geojson(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))
     picked = [F.col("f.properties")] if columns is None else [CASTS[t](F.col("f.properties")[c]).alias(c) for c, t in columns.items()]
     return rows.select(*picked, g.alias("geometry"))
