@@ -73,15 +73,17 @@ def pairs(left: DataFrame, right: DataFrame, cell: float | Sequence[float], test
     large shape lies in few cells, and small ones meet each other in small cells only.
     """
     sizes = [float(cell)] if isinstance(cell, int | float) else sorted(map(float, cell))
-    a, b = _placed(left, sizes, "l"), _placed(right, sizes, "r")
+    if len(sizes) == 1:
+        rows = lambda df, k: _cells(df, sizes[0], k).select(F.struct(*df.columns).alias(k), f"{k}b", "cx", "cy")
+        size, met = F.lit(sizes[0]), rows(left, "l").join(rows(right, "r"), ["cx", "cy"])
+    else:
+        a, b = _placed(left, sizes, "l"), _placed(right, sizes, "r")
+        size, on = F.array(*map(F.lit, sizes))[F.col("at")], ["at", "cx", "cy"]
+        met = a.filter("l_own = at").join(b, on).unionByName(a.filter("l_own < at").join(b.filter("r_own = at"), on))
     low = lambda k: F.greatest(F.col(f"lb.{k}min"), F.col(f"rb.{k}min"))
     high = lambda k: F.least(F.col(f"lb.{k}max"), F.col(f"rb.{k}max"))
-    size = F.array(*map(F.lit, sizes))[F.col("at")]
     here = (F.floor(low("x") / size) == F.col("cx")) & (F.floor(low("y") / size) == F.col("cy"))
     overlap = (low("x") <= high("x")) & (low("y") <= high("y"))
-    met = a.filter("l_own = at").join(b, ["at", "cx", "cy"])
-    if len(sizes) > 1:
-        met = met.unionByName(a.filter("l_own < at").join(b.filter("r_own = at"), ["at", "cx", "cy"]))
     return met.filter(here & overlap & test).select("l", "r")
 
 
