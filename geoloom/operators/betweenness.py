@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.operators.search import HUB, PART_ARCS, Search, _Graph, cut, search
+from geoloom.operators.search import HUB, PART_ARCS, Search, _Graph, cut, search, solved
 from geoloom.plans.stages import materialize
 
 #: Sources of a task; lengths that differ by less than this share are equal.
@@ -31,17 +31,16 @@ class _Part:
     """One source's ways in a part."""
 
     def __init__(self, graph: _Graph, labels: list[tuple], facts: list[dict], source) -> None:  # noqa: ANN001
-        best = graph.spread(labels, None)
-        self.ids, self.order = graph.ids, sorted(best, key=lambda i: best[i][:2])
+        best = graph.spread(labels, float("inf"))
+        self.order = sorted(best, key=lambda i: best[i][:2])
         self.before: dict[int, list[int]] = {i: [] for i in best}
         for i in self.order:
             d, hops, _ = best[i]
-            for k in range(graph.offsets[i], graph.offsets[i + 1]):
-                j = graph.targets[k]
-                if j in best and (d, hops) < best[j][:2] and tight(d, graph.weights[k], best[j][0]):
+            for j, w in graph.arcs(i):
+                if j in best and (d, hops) < best[j][:2] and tight(d, w, best[j][0]):
                     self.before[j].append(i)
-        self.facts = {graph.at[f["node"]]: f for f in facts if f["node"] in graph.at}
-        self.start = graph.at.get(source)
+        self.facts = {i: f for f in facts if (i := graph.find(f["node"])) is not None}
+        self.start = graph.find(source)
 
     def ways(self) -> dict[int, float]:
         """Numbers of shortest ways to the nodes that all their predecessors are known of."""
@@ -71,17 +70,17 @@ def betweenness(nodes: DataFrame, edges: DataFrame, weight: str = "length", part
     """nodes (id, x, y) with betweenness, by weight and normalised by the pairs of other nodes."""
     parts = cut(edges, weight, nodes, part_arcs)
     found = search(parts, parts.of.select(F.col("node").alias("source"), "node"))
-    found = Search(parts, found.entries, max(1, -(-found.blocks * 16 // SOURCES_AT_ONCE)), None)
+    blocks = max(1, -(-parts.of.count() // SOURCES_AT_ONCE))
     node = dict(parts.of.dtypes)["node"]
     facts_type = f"array<{_FACTS.format(s=node, n=node)}>"
-    labels = materialize(_grouped(found, found.entries, "labels", "node", "d", "hops", "before"), "labels")
+    labels = materialize(_grouped(blocks, found.entries, "labels", "node", "d", "hops", "before"), "labels")
 
-    def solved(facts: DataFrame | None, schema: str, mode: str) -> DataFrame:
+    def worked(facts: DataFrame | None, schema: str, mode: str) -> DataFrame:
         rows = labels
         if facts is None:
             rows = rows.withColumn("facts", F.array().cast(facts_type))
         else:
-            rows = rows.join(_grouped(found, facts, "facts", "node", "ahead", "ways", "come", "behind", "share", "gone"), ["part", "block"], "left")
+            rows = rows.join(_grouped(blocks, facts, "facts", "node", "ahead", "ways", "come", "behind", "share", "gone"), ["part", "block"], "left")
 
         def solve(graph: _Graph, by_source: dict, row: dict) -> Iterator[tuple]:
             given: dict = {}
@@ -92,36 +91,36 @@ def betweenness(nodes: DataFrame, edges: DataFrame, weight: str = "length", part
                 part = _Part(graph, own, given.get(s, []), s)
                 ways = part.ways()
                 if mode == "ways":
-                    yield from ((s, graph.ids[i], ways[i]) for i in part.facts if i in ways)
+                    yield from ((s, graph.name(i), ways[i]) for i in part.facts if i in ways)
                     continue
                 shares = part.shares(ways)
                 if mode == "shares":
-                    yield from ((s, graph.ids[i], (1 + shares[i]) / ways[i]) for i in part.facts if i in shares)
+                    yield from ((s, graph.name(i), (1 + shares[i]) / ways[i]) for i in part.facts if i in shares)
                     continue
                 for i, x in shares.items():
                     if i != part.start:
-                        total[graph.ids[i]] = total.get(graph.ids[i], 0.0) + x
+                        total[graph.name(i)] = total.get(graph.name(i), 0.0) + x
             yield from total.items()
 
-        return found._run(rows, schema, solve)
+        return solved(rows.join(parts.inside, "part", "left"), schema, solve)
 
     facts = None
     if parts.crossed:
-        facts = _crossings(found, parts, solved, node)
-    total = solved(facts, f"node {node}, x double", "total").groupBy(F.col("node").alias("__node")).agg(F.sum("x").alias("__x"))
+        facts = _crossings(found, parts, worked, node)
+    total = worked(facts, f"node {node}, x double", "total").groupBy(F.col("node").alias("__node")).agg(F.sum("x").alias("__x"))
     n = nodes.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
     out = nodes.join(total, nodes["id"] == total["__node"], "left")
     return out.select(*[nodes[c] for c in nodes.columns if c != "betweenness"], (F.coalesce("__x", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def _grouped(found: Search, rows: DataFrame, name: str, *columns: str) -> DataFrame:
+def _grouped(blocks: int, rows: DataFrame, name: str, *columns: str) -> DataFrame:
     """(part, block, name); nodes whose arcs all cross make parts without arcs."""
-    block = F.pmod(F.xxhash64("source"), F.lit(found.blocks)).alias("block")
+    block = F.pmod(F.xxhash64("source"), F.lit(blocks)).alias("block")
     return rows.groupBy("part", block).agg(F.collect_list(F.struct("source", *columns)).alias(name))
 
 
-def _crossings(found: Search, parts, solved, node: str) -> DataFrame:  # noqa: ANN001
+def _crossings(found: Search, parts, worked, node: str) -> DataFrame:  # noqa: ANN001
     """(source, part, node, ahead, ways, come, behind, share, gone): of each node at a border, how many arcs of shortest ways
     cross to and from it, and what comes over them.
     """
@@ -139,7 +138,7 @@ def _crossings(found: Search, parts, solved, node: str) -> DataFrame:  # noqa: A
     for what, number, mode, end, other in (("ways", "come", "ways", "u", "v"), ("share", "gone", "shares", "v", "u")):
         sent = None
         while True:
-            out = solved(all_(), f"source {node}, node {node}, x double", mode)
+            out = worked(all_(), f"source {node}, node {node}, x double", mode)
             out = out if sent is None else out.join(sent, ["source", "node"], "left_anti")
             out = materialize(out, "solved")
             if out.isEmpty():

@@ -18,7 +18,7 @@ from geoloom.functions import geometry as G
 from geoloom.functions.keys import to_double
 from geoloom.operators.betweenness import betweenness
 from geoloom.operators.biconnected import cut_points
-from geoloom.operators.search import PART_ARCS, cut, search
+from geoloom.operators.search import PART_ARCS, arcs_of, cut, search, ways_between
 from geoloom.operators.spatial import pairs
 from geoloom.plans.stages import components, materialize
 
@@ -249,6 +249,24 @@ def _laid(steps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return one.select("source", "target", "length_m", *times, F.transform("s", lambda s: s["node"]).alias("path"), F.when(F.size("s") > 1, G.line_of(joined)).alias("geometry"))
 
 
+def _ways(nodes: DataFrame, edges: DataFrame, ends: DataFrame, weight: str) -> DataFrame:
+    """The steps of the ways of ends (source, target). A search first goes twice as far as edges of the usual weight a metre would
+    be in a straight line, and an edge at least."""
+    parts = cut(edges, weight, nodes)
+    at = nodes.groupBy("id").agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    named = lambda df, *ends: reduce(lambda d, e: d.join(at.select(F.col("id").alias(e), F.struct("x", "y").alias(f"at_{e}")), e), ends, df).withColumn("straight", F.hypot(*[F.col(f"at_{ends[0]}.{k}") - F.col(f"at_{ends[1]}.{k}") for k in "xy"]))
+    facts = named(arcs_of(edges, weight), "u", "v").agg(F.avg("w").alias("edge"), F.try_divide(F.sum("w"), F.sum("straight")).alias("rate"))
+    reach = F.greatest(2 * F.col("straight") * F.col("rate"), F.col("edge"))
+    guessed = named(ends, "source", "target").join(F.broadcast(facts)).select("source", "target", F.coalesce(reach, F.lit(0.0)).alias("reach"))
+
+    def reachable(left: DataFrame) -> DataFrame:
+        roots = materialize(components(arcs_of(edges, weight).select(F.col("u").alias("a"), F.col("v").alias("b"))), "roots")
+        own = lambda e: roots.select(F.col("node").alias(e), F.col("root").alias(f"root_{e}"))
+        return left.join(own("source"), "source").join(own("target"), "target").filter("root_source = root_target").select(*left.columns)
+
+    return ways_between(parts, guessed, reachable)
+
+
 def route(nodes: DataFrame, edges: DataFrame, origins: DataFrame, destinations: DataFrame, key: str, max_snap_m: float, pairing: str = "pairwise", weight: str = "length", snap_to: str = "largest_component") -> DataFrame:
     """A row for each pair (same key, or all): length_m, travel_time_min if edges have it, straight_line_m, detour_factor,
     snaps, path (ids of nodes) and geometry, the line along the edges (straight where an edge has no geometry).
@@ -266,8 +284,7 @@ def route(nodes: DataFrame, edges: DataFrame, origins: DataFrame, destinations:
     asked = o.crossJoin(d) if pairing == "cross" else o.join(d, o.origin == d.destination)
     asked = materialize(asked.join(a, "origin", "left").join(b, "destination", "left"), "asked")
     ends = asked.filter("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct()
-    found = search(cut(edges, weight, nodes), ends.select("source", F.col("source").alias("node")).distinct())
-    laid = _laid(found.ways(ends), nodes, edges)
+    laid = _laid(_ways(nodes, edges, ends, weight), nodes, edges)
     straight = F.hypot(F.col("dx") - F.col("ox"), F.col("dy") - F.col("oy"))
     times = [c for c in laid.columns if c == "travel_time_min"]
     out = asked.join(laid, ["source", "target"], "left")

@@ -16,10 +16,12 @@ Arcs with a null or non-finite weight can't be travelled; a negative weight is a
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 from geoloom.plans.stages import materialize
 
 PART_ARCS = 100_000
-#: Sources that a task searches for in a part, about.
-SOURCES = 16
+#: Sources that are searched for in a part at once, about, and blocks of them that are tasks of their own.
+SOURCES, TASKS = 32, 1000
+#: Rows that a search gives out at once.
+ROWS = 50_000
 #: Rounds whose entries are read side by side before they are merged.
 GENERATIONS = 12
 #: Part of the nodes whose arcs all cross.
@@ -115,21 +119,45 @@ def cut(edges: DataFrame, weight: str = "length", nodes: DataFrame | None = None
 
 
 class _Graph:
-    """A part's arrays as lists, and Dijkstra's algorithm on them."""
-
-    def __init__(self, ids: list, offsets: list, targets: list, weights: list) -> None:
-        self.ids, self.offsets, self.targets, self.weights = ids, offsets, targets, weights
-        self.at = {x: i for i, x in enumerate(ids)}
+    """A part's arrays, of which only what a search meets becomes lists, and Dijkstra's algorithm on them."""
+
+    def __init__(self, ids: pa.Array, offsets: pa.Array, targets: pa.Array, weights: pa.Array) -> None:
+        self.whole = pa.types.is_integer(ids.type)
+        self.ids = ids.to_numpy() if self.whole else ids.to_pylist()
+        self.offsets, self.targets, self.weights = offsets.to_numpy(), targets.to_numpy(), weights.to_numpy()
+        self.size, self.more = len(self.ids), []  # more: nodes without an arc inside the part
+        self.places: dict = {}
+        self.held: dict[int, list] = {}
+
+    def find(self, node) -> int | None:  # noqa: ANN001
+        """The node's number, if it is one of the part's."""
+        i = self.places.get(node)
+        if i is None and node is not None:
+            k = bisect.bisect_left(self.ids, node)
+            if k < self.size and self.ids[k] == node:
+                i = self.places[node] = k
+        return i
+
+    def name(self, i: int):  # noqa: ANN201
+        if i >= self.size:
+            return self.more[i - self.size]
+        return self.ids[i].item() if self.whole else self.ids[i]
+
+    def arcs(self, i: int) -> list[tuple[int, float]]:
+        out = self.held.get(i)
+        if out is None:
+            a, b = (self.offsets[i], self.offsets[i + 1]) if i < self.size else (0, 0)
+            out = self.held[i] = list(zip(self.targets[a:b].tolist(), self.weights[a:b].tolist(), strict=True))
+        return out
 
-    def spread(self, labels: list[tuple], limit: float | None) -> dict[int, tuple]:
-        """node: (d, hops, before), from labels (node id, d, hops, before)."""
+    def spread(self, labels: list[tuple], most: float) -> dict[int, tuple]:
+        """node: (d, hops, before), from labels (node id, d, hops, before), as far as most."""
         best: dict[int, tuple] = {}
         for node, d, hops, before in labels:
-            i = self.at.get(node)
-            if i is None:  # a node without an arc inside the part
-                i = self.at[node] = len(self.ids)
-                self.ids.append(node)
-                self.offsets.append(self.offsets[-1])
+            i = self.find(node)
+            if i is None:
+                i = self.places[node] = self.size + len(self.more)
+                self.more.append(node)
             if i not in best or (d, hops, before) < best[i]:
                 best[i] = (d, hops, before)
         heap = [(d, hops, i) for i, (d, hops, _) in best.items()]
@@ -138,10 +166,10 @@ class _Graph:
             d, hops, i = heapq.heappop(heap)
             if best[i][:2] != (d, hops):
                 continue
-            here = self.ids[i]
-            for k in range(self.offsets[i], self.offsets[i + 1]):
-                j, far = self.targets[k], d + self.weights[k]
-                if limit is not None and far > limit:
+            here = self.name(i)
+            for j, w in self.arcs(i):
+                far = d + w
+                if far > most:
                     continue
                 old = best.get(j)
                 if old is None or (far, hops + 1) < old[:2]:
@@ -152,68 +180,93 @@ class _Graph:
         return best
 
 
-def _each(batches: Iterator[pa.RecordBatch], schema: pa.Schema, solve: Callable[[_Graph, dict, list], Iterator[tuple]]) -> Iterator[pa.RecordBatch]:
-    """Rows of solve(graph, row) for each row of parts with labels."""
+def _each(batches: Iterator[pa.RecordBatch], schema: pa.Schema, solve: Callable[[_Graph, dict, dict], Iterator[tuple]]) -> Iterator[pa.RecordBatch]:
+    """Rows of solve(graph, labels by source, row) for each row of parts with labels, ROWS at once."""
+    arrays = {"ids": None, "offsets": pa.int32(), "targets": pa.int32(), "weights": pa.float64()}
     for b in batches:
         for k in range(b.num_rows):
-            row = {c: b.column(c)[k].as_py() for c in b.schema.names}
-            graph = _Graph(*(row.pop(c) or ([0] if c == "offsets" else []) for c in ("ids", "offsets", "targets", "weights")))
+            row = {c: b.column(c)[k].as_py() for c in b.schema.names if c not in arrays}
+            of = {c: b.column(c)[k].values for c in arrays}
+            graph = _Graph(*(pa.array([], t or b.schema.field(c).type.value_type) if of[c] is None else of[c] for c, t in arrays.items()))
             by_source: dict = {}
             for x in row["labels"]:
                 by_source.setdefault(x["source"], []).append((x["node"], x["d"], x["hops"], x["before"]))
-            out = list(solve(graph, by_source, row))
-            columns = zip(*out, strict=True) if out else [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            row["most"] = {x["source"]: x.get("most") for x in row.pop("labels")}
+            out = solve(graph, by_source, row)
+            while some := list(islice(out, ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+
+def solved(rows: DataFrame, schema: str, solve: Callable[[_Graph, dict, dict], Iterator[tuple]]) -> DataFrame:
+    """What solve(graph, labels by source, row) gives for rows with a part's arrays and its labels."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return rows.mapInArrow(lambda batches: _each(batches, arrow, solve), schema)
 
 
 @dataclass
 class Search:
-    """The entries (source, part, node, d, hops, before) of parts; the sources' own nodes are entries as well."""
+    """The entries (source, part, node, d, hops, before, most) of parts; the sources' own nodes are entries as well. No way of a
+    source is longer than its most.
+
+    Each part's sources make blocks of about SOURCES, so that a source costs the parts that it enters, wherever others are.
+    """
 
     parts: Parts
     entries: DataFrame
-    blocks: int
-    limit: float | None
-
-    def _grouped(self, labels: DataFrame) -> DataFrame:
-        """(part, block, labels): a part's nodes and SOURCES sources at most, about."""
-        block = F.pmod(F.xxhash64("source"), F.lit(self.blocks)).alias("block")
-        return labels.filter(F.col("part") != HUB).groupBy("part", block).agg(F.collect_list(F.struct("source", "node", "d", "hops", "before")).alias("labels"))
-
-    def _run(self, rows: DataFrame, schema: str, solve: Callable[[_Graph, dict, list], Iterator[tuple]]) -> DataFrame:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        arrow = to_arrow_schema(StructType.fromDDL(schema))
-        return rows.join(self.parts.inside, "part", "left").mapInArrow(lambda batches: _each(batches, arrow, solve), schema)
+    @staticmethod
+    def _blocks(labels: DataFrame) -> tuple[DataFrame, int]:
+        """(part, blocks) of the parts that have labels, and how many blocks there are."""
+        n = F.ceil(F.count_distinct("source") / SOURCES).cast("int")
+        out = materialize(labels.filter(F.col("part") != HUB).groupBy("part").agg(n.alias("blocks")), "blocks")
+        return out, out.agg(F.sum("blocks")).first()[0] or 0
+
+    @staticmethod
+    def _grouped(rows: DataFrame, blocks: DataFrame, name: str, *columns: str) -> DataFrame:
+        """(part, block, name): rows as lists."""
+        block = F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int").alias("block")
+        return rows.join(F.broadcast(blocks), "part").groupBy("part", block).agg(F.collect_list(F.struct("source", *columns)).alias(name))
+
+    def _run(self, labels: DataFrame, schema: str, solve: Callable[[_Graph, dict, dict], Iterator[tuple]], asked: DataFrame | None = None) -> DataFrame:
+        """solve() on each block of labels, with the rows asked of its sources: only blocks that have some."""
+        blocks, n = self._blocks(labels)
+        rows = self._grouped(labels, blocks, "labels", "node", "d", "hops", "before", "most")
+        if asked is not None:
+            rows = rows.join(self._grouped(asked, blocks, "asked", "target", "node", "i"), ["part", "block"])
+        # Few bytes mean much work, so partitions are as many as blocks, which no one merges.
+        spread = lambda df: df.repartition(max(1, min(n, TASKS)), "part", "block")
+        held = self.parts.inside.join(F.broadcast(blocks), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        return solved(spread(rows).join(spread(held), ["part", "block"], "left"), schema, solve)
 
     def _kinds(self) -> tuple[str, str]:
         kinds = dict(self.entries.dtypes)
         return kinds["source"], kinds["node"]
 
     def exits(self, labels: DataFrame) -> DataFrame:
-        """(source, node, d, hops): nodes with arcs to other parts, as these labels reach them."""
+        """(source, node, d, hops, most): nodes with arcs to other parts, as these labels reach them."""
         source, node = self._kinds()
-        limit = self.limit
 
         def solve(graph: _Graph, by_source: dict, row: dict) -> Iterator[tuple]:
             for s, own in by_source.items():
-                best = graph.spread(own, limit)
-                yield from ((s, graph.ids[i], *best[i][:2]) for i in row["exits"] or () if i in best)
+                most = row["most"][s]
+                best = graph.spread(own, most)
+                yield from ((s, graph.name(i), *best[i][:2], most) for i in row["exits"] or () if i in best)
 
-        inside = self._run(self._grouped(labels), f"source {source}, node {node}, d double, hops long", solve)
-        return inside.union(labels.filter(F.col("part") == HUB).select("source", "node", "d", "hops"))
+        inside = self._run(labels, f"source {source}, node {node}, d double, hops long, most double", solve)
+        return inside.union(labels.filter(F.col("part") == HUB).select("source", "node", "d", "hops", "most"))
 
     def labels(self) -> DataFrame:
         """(source, node, d, hops, before) of all nodes that are reached."""
         source, node = self._kinds()
-        limit = self.limit
 
         def solve(graph: _Graph, by_source: dict, row: dict) -> Iterator[tuple]:
             for s, own in by_source.items():
-                yield from ((s, graph.ids[i], *label) for i, label in graph.spread(own, limit).items())
+                yield from ((s, graph.name(i), *label) for i, label in graph.spread(own, row["most"][s]).items())
 
-        inside = self._run(self._grouped(self.entries), f"source {source}, node {node}, d double, hops long, before {node}", solve)
+        inside = self._run(self.entries, f"source {source}, node {node}, d double, hops long, before {node}", solve)
         return inside.union(self.entries.filter(F.col("part") == HUB).select("source", "node", "d", "hops", "before"))
 
     def ways(self, ends: DataFrame) -> DataFrame:
@@ -222,29 +275,26 @@ class Search:
         """
         source, node = self._kinds()
         found = f"source {source}, target {node}, node {node}, i long, next {node}"
-        limit = self.limit
 
         def solve(graph: _Graph, by_source: dict, row: dict) -> Iterator[tuple]:
             asked: dict = {}
             for x in row["asked"]:
                 asked.setdefault(x["source"], []).append((x["target"], x["node"], x["i"]))
             for s, ways in asked.items():
-                best = graph.spread(by_source.get(s, []), limit)
+                best = graph.spread(by_source[s], row["most"][s]) if s in by_source else {}
                 for target, at, i in ways:
-                    k = graph.at.get(at)
+                    k = graph.find(at)
                     while k in best:
                         before = best[k][2]
-                        inner = graph.at.get(before)  # ids of other parts are not among this part's
-                        yield s, target, graph.ids[k], i, None if inner is not None else before
+                        inner = graph.find(before)  # ids of other parts are not among this part's
+                        yield s, target, graph.name(k), i, None if inner is not None else before
                         k, i = inner, i + 1
 
         open_ = materialize(ends.select("source", "target", F.col("target").alias("node"), F.lit(0).cast("long").alias("i")), "asked")
         out = []
         while not open_.isEmpty():
             at = open_.join(self.parts.of, "node", "left").withColumn("part", F.coalesce("part", F.lit(HUB).cast("long")))
-            block = F.pmod(F.xxhash64("source"), F.lit(self.blocks)).alias("block")
-            asked = at.filter(F.col("part") != HUB).groupBy("part", block).agg(F.collect_list(F.struct("source", "target", "node", "i")).alias("asked"))
-            met = self._run(self._grouped(self.entries).join(asked, ["part", "block"]), found, solve)
+            met = self._run(self.entries.join(at.select("source", "part").distinct(), ["source", "part"]), found, solve, at.filter(F.col("part") != HUB))
             hubs = self.entries.filter(F.col("part") == HUB).select("source", "node", F.col("before").alias("next"))
             steps = met.union(at.filter(F.col("part") == HUB).join(hubs, ["source", "node"]).select("source", "target", "node", "i", "next"))
             out.append(materialize(steps, "steps"))
@@ -253,25 +303,43 @@ class Search:
 
 
 def search(parts: Parts, sources: DataFrame, limit: float | None = None) -> Search:
-    """Searches from each source (source, node) within the limit; a source may have several nodes."""
+    """Searches from each source (source, node) within the limit; a source may have several nodes, and a column most of
+    sources is its own limit.
+    """
     kind = dict(parts.of.dtypes)["node"]
-    first = sources.select("source", F.col("node").cast(kind).alias("node")).filter("node IS NOT NULL").distinct()
-    first = first.join(parts.of, "node", "left").select("source", F.coalesce("part", F.lit(HUB).cast("long")).alias("part"), "node", F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast(kind).alias("before"))
+    most = F.col("most") if "most" in sources.columns else F.lit(float("inf") if limit is None else float(limit))
+    first = sources.select("source", F.col("node").cast(kind).alias("node"), most.alias("most")).filter("node IS NOT NULL").distinct()
+    first = first.join(parts.of, "node", "left").select("source", F.coalesce("part", F.lit(HUB).cast("long")).alias("part"), "node", F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast(kind).alias("before"), "most")
     fresh = materialize(first, "entries")
-    blocks = max(1, -(-fresh.select("source").distinct().count() // SOURCES))
     known = [fresh]
-    least = lambda rows: rows.groupBy("source", "node").agg(F.min(F.struct("d", "hops", "before")).alias("b"), F.any_value("part").alias("part")).select("source", "part", "node", "b.*")
+    least = lambda rows: rows.groupBy("source", "node").agg(F.min(F.struct("d", "hops", "before")).alias("b"), F.any_value("part").alias("part"), F.any_value("most").alias("most")).select("source", "part", "node", "b.*", "most")
     all_ = lambda: least(reduce(DataFrame.union, known)) if len(known) > 1 else known[0]
     while parts.crossed:
-        out = Search(parts, fresh, blocks, limit).exits(fresh).join(parts.across.withColumnRenamed("u", "node"), "node")
-        out = out.select("source", F.col("pv").alias("part"), F.col("v").alias("node"), (F.col("d") + F.col("w")).alias("d"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("before"))
-        out = out if limit is None else out.filter(F.col("d") <= limit)
+        out = Search(parts, fresh).exits(fresh).join(parts.across.withColumnRenamed("u", "node"), "node")
+        out = out.select("source", F.col("pv").alias("part"), F.col("v").alias("node"), (F.col("d") + F.col("w")).alias("d"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("before"), "most")
         old = all_().select("source", "node", F.struct("d", "hops", "before").alias("was"))
-        better = least(out).join(old, ["source", "node"], "left").filter(F.col("was").isNull() | (F.struct("d", "hops", "before") < F.col("was")))
-        fresh = materialize(better.drop("was").select("source", "part", "node", "d", "hops", "before"), "entries")
+        better = least(out.filter(F.col("d") <= F.col("most"))).join(old, ["source", "node"], "left").filter(F.col("was").isNull() | (F.struct("d", "hops", "before") < F.col("was")))
+        fresh = materialize(better.drop("was").select("source", "part", "node", "d", "hops", "before", "most"), "entries")
         if fresh.isEmpty():
             break
         known.append(fresh)
         if len(known) > GENERATIONS:
             known = [materialize(all_(), "entries")]
-    return Search(parts, all_() if len(known) == 1 else materialize(all_(), "entries"), blocks, limit)
+    return Search(parts, all_() if len(known) == 1 else materialize(all_(), "entries"))
+
+
+def ways_between(parts: Parts, ends: DataFrame, reachable: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Search.ways() of ends (source, target, reach), each source searched no farther than it needs.
+
+    A search goes as far as the greatest reach of its source's targets, a guess; for those that it doesn't meet, twice as
+    far, and so on. A label within that distance is final, so guesses change the work only. reachable() leaves the ends that have
+    a way; it is asked once, when the second search leaves some open.
+    """
+    open_, out, tried = materialize(ends, "ends"), [], 0
+    while not open_.isEmpty():
+        sources = open_.groupBy("source").agg(F.max("reach").alias("most")).select("source", F.col("source").alias("node"), "most")
+        out.append(materialize(search(parts, sources).ways(open_), "ways"))
+        met, tried = out[-1].filter("i = 0").select("source", "target"), tried + 1
+        left = open_.join(met, ["source", "target"], "left_anti").withColumn("reach", F.col("reach") * 2)
+        open_ = materialize(reachable(left) if tried == 2 else left, "ends")
+    return reduce(DataFrame.union, out) if out else search(parts, ends.select("source", F.col("source").alias("node"))).ways(ends)

@@ -118,3 +118,31 @@ def test_scratch_is_of_its_thread(spark):
     done.set()
     t.join()
     assert held["n"] == 5
+
+
+def test_ways_search_no_farther_than_needed(spark):
+    n = 2000
+    chain = spark.range(n).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(1.0).alias("length")).union(spark.createDataFrame([(9000, 9001, 1.0)], "u long, v long, length double"))
+    nodes = chain.select(F.col("u").alias("id")).union(chain.select("v")).distinct().select("id", F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    pairs = [(k, k + 3) for k in range(0, n - 100, 100)] + [(50, 80), (7, 7), (10, 9001)]
+    roots = lambda left: left.filter("target < 9000")
+    ends = spark.createDataFrame([(a, b, 4.0) for a, b in pairs], "source long, target long, reach double")
+    with stages.scratch(spark) as left:
+        steps = S.ways_between(S.cut(chain, "length", nodes, 250), ends, roots).collect()
+        entries = sum(spark.read.parquet(p).count() for p in left if "/entries-" in p)
+    found: dict = {}
+    for r in steps:
+        found.setdefault((r.source, r.target), []).append((r.i, r.node))
+    assert {k: [x for _, x in sorted(v)] for k, v in found.items()} == {(a, b): list(range(b, a - 1, -1)) for a, b in pairs[:-1]}
+    assert entries < 4 * len(pairs)  # whole searches would enter each of 16 parts from each source
+
+
+def test_sources_cost_only_the_parts_they_enter(spark):
+    chain = spark.range(2000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(1.0).alias("length"))
+    nodes = spark.range(2001).select("id", F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    sources = spark.range(0, 2000, 10).select(F.col("id").alias("source"), F.col("id").alias("node"))
+    with stages.scratch(spark) as left:
+        out = N.distances(chain, sources, limit=4.0, nodes=nodes, part_arcs=500)
+        assert out.count() == 200 * 9 - 4
+        blocks = [spark.read.parquet(p).agg(F.sum("blocks")).first()[0] or 0 for p in left if "/blocks-" in p]
+    assert 8 <= max(blocks) <= 10  # 25 sources in each of 8 parts, and a few from beside
