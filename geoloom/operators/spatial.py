@@ -9,14 +9,19 @@ or several sizes.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from geoloom.functions import geometry as G
 from geoloom.functions.keys import column_name, finite
 from geoloom.operators.attributes import need
+from geoloom.plans.stages import materialize
 
 AREA_UNITS = {"m2": 1.0, "ha": 1e4, "km2": 1e6}
 LENGTH_UNITS = {"m": 1.0, "km": 1e3}
@@ -105,6 +110,8 @@ def aggregate(zones: DataFrame, features: DataFrame, key: str, statistic: str =
     """zones (unique in key) with count, sum or mean of the features in them; group_by gives a count for each value."""
     need(zones, key)
     test = G.PREDICATES[predicate](F.col("r.geometry"), F.col("l.geometry"))
+    if not group_by and predicate == "intersects" and not isinstance(cell, int | float) and len(cell) > 1:
+        return _aggregate_by_cells(zones, features, key, statistic, value_field, sorted(map(float, cell)), test)
     met = pairs(zones, features, cell, test)
     if group_by:
         values = sorted(r[0] for r in features.select(group_by).distinct().filter(F.col(group_by).isNotNull()).collect())
@@ -120,6 +127,107 @@ def aggregate(zones: DataFrame, features: DataFrame, key: str, statistic: str =
     return out.fillna(fill) if fill else out
 
 
+#: Cells of the finest grid of _aggregate_by_cells() along the smallest cell that is asked for, at most, and levels at most.
+FINER, LEVELS = 8, 16
+
+
+def _cut_cells(batches: Iterator[pa.RecordBatch], widths: Sequence[float]) -> Iterator[pa.RecordBatch]:
+    """Cells (k, geometry, whole, l, cx, cy) of polygons (k, geometry): whole ones, without the geometry, and the finest ones
+    that a border meets. Level l has cells of widths[l], half of those above."""
+    steps = np.array([(0, 0), (0, 1), (1, 0), (1, 1)])
+
+    def cut(parts: list) -> Iterator[tuple[bool, int, np.ndarray]]:
+        rings = [np.array([(v["x"], v["y"]) for v in ring]) for part in parts for ring in part if len(ring) > 1]
+        if not rings:
+            return
+        p, q = np.concatenate([r[:-1] for r in rings]), np.concatenate([r[1:] for r in rings])
+        low, high = np.minimum(p, q), np.maximum(p, q)
+        side = (high.max(0) - low.min(0)).max()
+        level = next((i for i, w in enumerate(widths) if side >= w), len(widths) - 1)
+        (x0, y0), (x1, y1) = (np.floor(v / widths[level]).astype(np.int64) for v in (low.min(0), high.max(0)))
+        cells = np.stack(np.meshgrid(np.arange(x0, x1 + 1), np.arange(y0, y1 + 1), indexing="ij"), -1).reshape(-1, 2)
+        for at in range(level, len(widths)):
+            border, inside = np.zeros(len(cells), bool), np.zeros(len(cells), bool)
+            several = max(1, 1_000_000 // len(p))
+            for i in range(0, len(cells), several):
+                c = cells[i : i + several, None, :]
+                # A hair wider, so that rounding takes no cell for free of borders.
+                a, b = (c - 1e-6) * widths[at], (c + 1 + 1e-6) * widths[at]
+                near = ((high >= a) & (low <= b)).all(-1)
+                over = [(q[:, 0] - p[:, 0]) * (y[..., 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (x[..., 0] - p[:, 0]) for x in (a, b) for y in (a, b)]
+                border[i : i + several] = (near & (np.minimum.reduce(over) <= 0) & (np.maximum.reduce(over) >= 0)).any(1)
+                m = (c + 0.5) * widths[at]
+                spans = (p[:, 1] > m[..., 1]) != (q[:, 1] > m[..., 1])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    right = m[..., 0] < (q[:, 0] - p[:, 0]) * (m[..., 1] - p[:, 1]) / (q[:, 1] - p[:, 1]) + p[:, 0]
+                inside[i : i + several] = (spans & right).sum(1) % 2 == 1
+            yield True, at, cells[~border & inside]
+            cells = cells[border]
+            if at + 1 < len(widths):
+                cells = (2 * cells[:, None, :] + steps).reshape(-1, 2)
+        yield False, len(widths) - 1, cells
+
+    for b in batches:
+        held, n = [], 0
+        for i in range(b.num_rows):
+            parts = b.column("geometry")[i].as_py()["parts"] or []
+            for x in cut(parts):
+                held.append((i, *x))
+                n += len(x[2])
+            if n and (n > 100_000 or i == b.num_rows - 1):
+                row = np.concatenate([np.full(len(c), i) for i, _, _, c in held])
+                full = np.concatenate([np.full(len(c), w) for _, w, _, c in held])
+                level = np.concatenate([np.full(len(c), at, np.int32) for _, _, at, c in held])
+                cells = np.concatenate([c for *_, c in held])
+                shapes = b.column("geometry").take(pa.array(row, mask=full))
+                yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(row)), shapes, *map(pa.array, (full, level, cells[:, 0], cells[:, 1]))], ["k", "geometry", "whole", "l", "cx", "cy"])
+                held, n = [], 0
+
+
+def _aggregate_by_cells(zones: DataFrame, features: DataFrame, key: str, statistic: str, value_field: str | None, sizes: Sequence[float], test: Column) -> DataFrame:
+    """aggregate() without pairs of a zone and the points deep in it, for zones that hold very many.
+
+    A zone of polygons is cut into cells, each half as wide as those of the level above, until no border meets a cell: a
+    whole one adds what its points add up to, a cell outside goes. Points are looked at one by one only in the finest cells
+    that a border meets. The finest cells hold about one point, but are not much finer than sizes[0]. Other zones and
+    features make pairs.
+    """
+    v = finite(F.col(value_field)).cast("double") if value_field else F.lit(None).cast("double")
+    g, x, y = F.col("geometry"), F.col("x"), F.col("y")
+    single = F.coalesce((g["dim"] == 0) & (F.size(G.vertices(g)) == 1), F.lit(False))
+    points = features.filter(single).select(G.px(g).alias("x"), G.py(g).alias("y"), v.alias("v")).filter("x IS NOT NULL AND y IS NOT NULL")
+    facts = points.agg(F.count("*"), (F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).first()
+    fine = max(sizes[0] / FINER, math.sqrt((facts[1] or 0.0) / max(1, facts[0])))
+    last = min(LEVELS, max(0, math.ceil(math.log2(sizes[-1] / fine))))
+    widths = [sizes[-1] / 2**i for i in range(last + 1)]
+    width = lambda level: F.array(*map(F.lit, widths))[level]
+    at = lambda c, level: F.floor(c / width(level)).cast("long")
+
+    whole_zones = F.coalesce(g["dim"] == 2, F.lit(False))
+    rows = zones.filter(whole_zones).select(F.col(key).alias("k"), "geometry")
+    # A large zone's cells are the work, so few rows go to many tasks.
+    rows = rows.repartition(int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k")
+    made = StructType([rows.schema["k"], StructField("geometry", rows.schema["geometry"].dataType), *StructType.fromDDL("whole boolean, l int, cx long, cy long")])
+    rows = materialize(rows.mapInArrow(lambda batches: _cut_cells(batches, widths), made), "cells")
+    whole = rows.filter("whole").select("k", "l", "cx", "cy")
+
+    sums = [F.count("*").alias("n"), F.sum("v").alias("s"), F.count("v").alias("m")]
+    cells = points.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(last)))).groupBy("l", at(x, F.col("l")).alias("cx"), at(y, F.col("l")).alias("cy")).agg(*sums)
+    place = points.select("x", "y", "v", at(x, F.lit(last)).alias("cx"), at(y, F.lit(last)).alias("cy"))
+    at_border = rows.filter("NOT whole").drop("l", "whole").join(place, ["cx", "cy"]).filter(G.covers_point(g, x, y))
+    parts = [whole.join(cells, ["l", "cx", "cy"]).select("k", "n", "s", "m"), at_border.groupBy("k").agg(*sums)]
+    rv = finite(F.col(f"r.{value_field}")).cast("double") if value_field else F.lit(None).cast("double")
+    for some_zones, others in ((zones.filter(whole_zones), features.filter(~single)), (zones.filter(~whole_zones), features)):
+        if not (some_zones.isEmpty() or others.isEmpty()):
+            rest = pairs(some_zones, others, sizes, test).select(F.col(f"l.{key}").alias("k"), rv.alias("v"))
+            parts.append(rest.groupBy("k").agg(*sums))
+    total = reduce(DataFrame.union, parts).groupBy(F.col("k").alias("__k")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("m").alias("m"))
+    value = {"count": F.col("n"), "sum": F.col("s"), "mean": F.try_divide("s", "m")}[statistic].alias(statistic)
+    joined = zones.join(total.select("__k", value), zones[key] == F.col("__k"), "left").drop("__k")
+    fill = {"count": {statistic: 0}, "sum": {statistic: 0.0}, "mean": {}}[statistic]
+    return joined.fillna(fill) if fill else joined
+
+
 def _hex_axes(width: float) -> tuple[float, float]:
     """Circumradius and row height of pointy-top hexagons of this flat-to-flat width."""
     radius = width / math.sqrt(3)

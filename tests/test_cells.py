@@ -101,3 +101,22 @@ def test_pairs_in_cells_of_several_sizes(spark):
     large = layer(spark, [square(0, 0, 10_000)])
     assert S._placed(large, [10.0, 20_000.0], "l").count() <= 4
     assert S._placed(large, [10.0], "l").count() == 1001 * 1001
+
+
+def test_points_deep_in_zones_are_no_pairs(spark, monkeypatch):
+    """Polygons of any shape, with a hole, and points on borders: the same numbers as by pairs, which only a line and an area need."""
+    rng = random.Random(12)
+    rings = [[ngon(rng.uniform(-900, 900), rng.uniform(-900, 900), rng.choice([5, 60, 900]), rng.randint(3, 7), rng.random())] for _ in range(25)]
+    rings += [[square(-500, -500, 1000), square(-200, -200, 300)[::-1]], [square(0, 0, 64)]]
+    data = [(i, [[[{"x": float(x), "y": float(y)} for x, y in r] for r in of]]) for i, of in enumerate(rings)]
+    zones = spark.createDataFrame(data, "id long, parts array<array<array<struct<x: double, y: double>>>>").select("id", G.geometry("Polygon", F.col("parts")).alias("geometry"))
+    spots = [(rng.uniform(-1000, 1000), rng.uniform(-1000, 1000), float(i)) for i in range(600)] + [(0.0, 0.0, 1.0), (64.0, 32.0, None), (-200.0, -100.0, 5.0), (32.0, 32.0, 7.0)]
+    points = spark.createDataFrame(spots, "x double, y double, v double").select(G.point(F.col("x"), F.col("y")).alias("geometry"), "v")
+    line = spark.range(1).select(G.line(G.xy(F.lit(-999), F.lit(3)), G.xy(F.lit(999), F.lit(3))).alias("geometry"), F.lit(2.0).alias("v"))
+    for statistic in ("count", "sum", "mean"):
+        field = None if statistic == "count" else "v"
+        both = points.unionByName(line)
+        got, want = (S.aggregate(zones, both, "id", statistic, field, cell=c).select("id", F.round(statistic, 6)).orderBy("id").collect() for c in ((10.0, 300.0), 300.0))
+        assert got == want
+    monkeypatch.setattr(S, "pairs", None)
+    assert S.aggregate(zones, points, "id", cell=(10.0, 300.0)).agg(F.sum("count")).first()[0] > 600
