@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.operators.attributes import need
-from geoloom.operators.spatial import pairs
+from geoloom.operators.spatial import some
 from geoloom.plans.stages import materialize
 
 #: Segments of a leaf at most, unless they can't be told apart by cells.
@@ -186,7 +186,7 @@ def nearest_distance(probes: DataFrame, targets: DataFrame, key: str, start: flo
     for points, areas, own, size in ((asked, there, "l.p", sizes.get("there")), (there, asked, "r.sign", sizes.get("asked"))):
         if size is not None:
             inside = G.covers_point(F.col("r.geometry"), G.px(F.col("l.geometry")), G.py(F.col("l.geometry")))
-            met = pairs(first(points), areas.filter("geometry.dim = 2"), max(start, size), inside & (F.col("l.p") != F.col("r.sign")))
+            met = some(first(points), areas.filter("geometry.dim = 2"), max(start, size), inside & (F.col("l.p") != F.col("r.sign")), own[0])
             within.append(met.select(F.col(own).alias("sign"), F.lit(0.0).alias("d")))
     for w in within:
         out = out.union(w)

@@ -92,6 +92,17 @@ def pairs(left: DataFrame, right: DataFrame, cell: float | Sequence[float], test
     return met.filter(here & overlap & test).select("l", "r")
 
 
+def some(left: DataFrame, right: DataFrame, cell: float, test: Column, keep: str) -> DataFrame:
+    """The rows of one side (l or r, which keep names) that have a pair in pairs(), perhaps repeated: the search of a cell ends
+    with the first."""
+    rows = lambda df, k: _cells(df, cell, k).select(F.struct(*df.columns).alias(k), f"{k}b", "cx", "cy")
+    a, b = (rows(left, "l"), rows(right, "r")) if keep == "l" else (rows(right, "r"), rows(left, "l"))
+    a, b = a.alias("own"), b.alias("other")
+    same = [F.col(f"own.{c}") == F.col(f"other.{c}") for c in ("cx", "cy")]
+    apart = [F.col(f"lb.{k}max") < F.col(f"rb.{k}min") for k in "xy"] + [F.col(f"rb.{k}max") < F.col(f"lb.{k}min") for k in "xy"]
+    return a.join(b, reduce(lambda p, q: p & q, [*same, *[~x for x in apart], test]), "left_semi").select(keep)
+
+
 def _test(predicate: str) -> Column:
     return G.PREDICATES[predicate](F.col("l.geometry"), F.col("r.geometry"))
 
