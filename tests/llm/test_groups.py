@@ -178,6 +178,25 @@ def test_refused_links_do_not_hide_others(spark):
         assert {(r.node, r.root) for r in got} == {(0, 0), (4, 0)}
 
 
+def test_stage_finds_copies_by_fingerprints_alone(spark):
+    """Without min-wise keys the covering tables give all pairs within the radius; the sets are checked then."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for g in range(40):
+        words = [word() for _ in range(400)]
+        rows.append((2 * g, " ".join(words)))
+        words[-1 - g % 3] = word()
+        rows.append((2 * g + 1, " ".join(words)))
+    rows += [(80, "a b c d e f g " * 9), (81, "a b c d e f g " * 2 + "a b c d " * 9)]
+    fps = {d: simhash.fingerprint(t, 5) for d, t in rows}
+    near = {d for d in range(1, 80, 2) if (fps[d] ^ fps[d - 1]).bit_count() <= simhash.RADIUS}
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tables=0).collect()}
+    assert len(near) > 20
+    assert not near & kept
+    assert {0, *range(2, 80, 2), 80, 81} <= kept  # some that are just outside the radius meet as well, and are alike
+
+
 def test_near_duplicates_awkward(spark):
     df = spark.createDataFrame(AWKWARD, DOC)
     got = simhash.near_duplicates(clashing(df)).collect()
