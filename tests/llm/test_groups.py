@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -268,6 +269,27 @@ def test_index_grows_and_compacts(spark):
     index.close()
 
 
+def test_ranking_sorts_once(spark):
+    """The ranking of a run takes one sort and one window; late marks all but the first row of a kind."""
+    rows = [(1, 5, 3, 0, 0, False), (1, 5, 2, 0, 0, False), (1, 7, 1, 0, 0, False), (2, 5, 9, 0, 0, False), (2, 5, 0, 0, 0, True)]
+    ranked = substring._ranked(spark.createDataFrame(rows, substring.FingerprintIndex.RUN))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Sort ["), plan.count("Window [")) == (1, 1)
+    got = sorted((r.f, r.g, r.o, r.late, r.low, r.high) for r in ranked.collect())
+    assert got == [(1, 5, 2, False, 5, 7), (1, 5, 3, True, 5, 7), (1, 7, 1, False, 5, 7), (2, 5, 9, False, 5, 5)]
+
+
+def test_window_hashes_come_in_few_batches():
+    """Documents that are verified share batches of rows."""
+    zip_, text = zstandard.ZstdCompressor(), " ".join(f"w{i}" for i in range(40)).encode()
+    n = 600
+    place = 3 << substring.C_BITS + substring.N_BITS | 2
+    columns = [pa.array(range(n)), pa.array([0] * n), pa.array([zip_.compress(text)] * n), pa.array([[place]] * n)]
+    out = list(substring._windows_of(iter([pa.RecordBatch.from_arrays(columns, ["o", "k", "z", "places"])])))
+    assert len(out) == 3
+    assert sum(b.num_rows for b in out) == 2 * n
+
+
 def test_index_opens_again(spark, tmp_path):
     rows = passages(7)
     whole = brute_substrings(rows)
