@@ -15,6 +15,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -509,15 +510,136 @@ def isochrone(reached: DataFrame, edges: DataFrame, breaks_m: Sequence[float], b
     return united(discs.union(strips), "limit_m", 8 * buffer_m).withColumnRenamed("k", "limit_m")
 
 
+#: Polygons with at most this many edges are cut side by side, about SLABS slabs times edges at once; others one by one.
+SMALL, SLABS = 32, 2_000_000
+
+
+def _edges_of(parts: pa.Array) -> tuple[np.ndarray, Edges]:
+    """(row, edges) of polygons' parts, as _edges() gives them, in one array."""
+    rows, where, at = parts, np.arange(len(parts)), None
+    for _ in range(3):  # parts, rings, vertices
+        at = np.repeat(np.arange(len(rows)), pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))
+        rows, where = rows.flatten(), where[at]
+    x, y = (rows.field(k).to_numpy(zero_copy_only=False).astype(float) for k in "xy")
+    k = np.flatnonzero(at[1:] == at[:-1])
+    e, row = np.stack([x[k], y[k], x[k + 1], y[k + 1]], 1), where[k]
+    e, row = e[e[:, 0] != e[:, 2]], row[e[:, 0] != e[:, 2]]
+    back = e[:, 0] > e[:, 2]
+    e[back] = e[back][:, [2, 3, 0, 1]]
+    return row, e
+
+
+def _cut_alike(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """trapezoids() of each of the polygons e (n, edges, 4) by itself: (polygon, slab, pieces, joined), pieces in order. joined are
+    polygons with intervals that touch, which are for trapezoids()."""
+    n, m, _ = e.shape
+    s = np.take_along_axis(e, np.argsort(e[:, :, 0], axis=1)[:, :, None], 1)
+    slope = (s[:, :, 3] - s[:, :, 1]) / (s[:, :, 2] - s[:, :, 0])
+    i, j = np.triu_indices(m, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = (s[:, j, 1] - slope[:, j] * s[:, j, 0] - s[:, i, 1] + slope[:, i] * s[:, i, 0]) / (slope[:, i] - slope[:, j])
+    ok = np.isfinite(x) & (x > np.maximum(s[:, i, 0], s[:, j, 0])) & (x < np.minimum(s[:, i, 2], s[:, j, 2]))
+    xs = np.sort(np.concatenate([e[:, :, 0], e[:, :, 2], np.where(ok, x, e[:, :1, 0])], 1), axis=1)
+    most = np.maximum(np.abs(xs[:, :1]), np.abs(xs[:, -1:]))
+    poly, at = np.nonzero(np.concatenate([np.full((n, 1), True), np.diff(xs, axis=1) > EPS * np.maximum(1.0, most)], 1))
+    x = xs[poly, at]
+    slab = np.flatnonzero(poly[1:] == poly[:-1])
+    poly, x0, x1 = poly[slab], x[slab], x[slab + 1]
+    mid, own = ((x0 + x1) / 2)[:, None], e[poly]
+    on = (own[:, :, 0] <= mid) & (own[:, :, 2] >= mid)
+    slope = (own[:, :, 3] - own[:, :, 1]) / (own[:, :, 2] - own[:, :, 0])
+    y = lambda v: own[:, :, 1] + slope * (v - own[:, :, 0])
+    order = np.argsort(np.where(on, y(mid), np.inf), axis=1, kind="stable")
+    low, high = (np.take_along_axis(y(v[:, None]), order, 1) for v in (x0, x1))
+    count = on.sum(1)
+    joined, out = np.full(n, False), []
+    last = np.full((len(poly), 2), np.nan)
+    for k in range(0, m - 1, 2):  # edges come in pairs by the even-odd rule
+        c = [low[:, k], high[:, k], low[:, k + 1], high[:, k + 1]]
+        has = (k + 1 < count) & ((c[2] - c[0] > EPS) | (c[3] - c[1] > EPS))
+        near = [np.abs(last[:, d] - c[d]) <= EPS * np.maximum(1, np.abs(c[d])) for d in (0, 1)]
+        joined[poly[has & near[0] & near[1]]] = True
+        last[has] = np.stack(c[2:], 1)[has]
+        out.append((np.flatnonzero(has), np.stack([x0, x1, *c], 1)[has]))
+    slab, pieces = (np.concatenate([o[d] for o in out]) for d in (0, 1))
+    order = np.argsort(slab, kind="stable")
+    return poly[slab[order]], slab[order], pieces[order], joined
+
+
+def _merging(pieces: np.ndarray) -> np.ndarray:
+    """Whether polygon_parts() makes a piece and the next one into one, if no other lies between them."""
+    ax, bx, ay, by, cy, dy = pieces[:-1].T
+    x0, x1, a, b, c, d = pieces[1:].T
+    w, v = bx - ax, x1 - x0
+    near = (np.abs(bx - x0) <= EPS * np.maximum(1, np.abs(x0))) & (np.abs(by - a) <= 1e-7 * np.maximum(1, np.abs(a))) & (np.abs(dy - c) <= 1e-7 * np.maximum(1, np.abs(c)))
+    return near & (np.abs((by - ay) * v - (b - a) * w) <= 1e-6 * w * v) & (np.abs((dy - cy) * v - (d - c) * w) <= 1e-6 * w * v)
+
+
+def _rebuilt_batch(parts: pa.Array, kind: pa.StructType) -> tuple[pa.Array, np.ndarray]:
+    """(geometry, area) of a batch of polygons, each by the even-odd rule."""
+    n = len(parts)
+    row, e = _edges_of(parts)
+    order = np.argsort(row, kind="stable")
+    row, e = row[order], e[order]
+    size = np.bincount(row, minlength=n)
+    first = np.cumsum(size) - size
+    odd = np.full(n, False)
+    odd[row[~np.isfinite(e).all(1)]] = True
+    alone, cut = odd | (size > SMALL), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 6)))]  # cut: (row, slab, pieces)
+    for m in np.unique(size[~alone]).tolist():
+        rows = np.flatnonzero((size == m) & ~alone)
+        step = max(1, SLABS // max(1, m * (2 * m + m * (m - 1) // 2)))
+        for k in range(0, len(rows) if m > 1 else 0, step):
+            some = rows[k : k + step]
+            poly, slab, pieces, joined = _cut_alike(e[first[some][:, None] + np.arange(m)])
+            alone[some[joined]] = True
+            whole = ~joined[poly]
+            cut.append((some[poly[whole]], slab[whole], pieces[whole]))
+    for i in np.flatnonzero(alone).tolist():
+        pieces = trapezoids([[_parts({"parts": parts[i].as_py()})]], lambda n: n[0] > 0)
+        cut.append((np.full(len(pieces), i), np.arange(len(pieces)), np.array(pieces, float).reshape(-1, 6)))
+    at, slab, pieces = (np.concatenate(c) for c in zip(*cut, strict=True))
+    order = np.argsort(at, kind="stable")
+    at, slab, pieces = at[order], slab[order], pieces[order]
+    area = np.bincount(at, (pieces[:, 1] - pieces[:, 0]) * ((pieces[:, 4] - pieces[:, 2]) + (pieces[:, 5] - pieces[:, 3])) / 2, n)
+    # Where pieces can't grow together, each is a ring of its own.
+    together = at[1:] == at[:-1]
+    grows = alone.copy()
+    grows[at[1:][together & ((slab[1:] == slab[:-1]) | _merging(pieces))]] = True
+    own = ~grows[at]
+    x0, x1, a, b, c, d = pieces[own].T
+    xy = np.stack([np.stack([x0, x1, x1, x0, x0], 1), np.stack([a, b, d, c, a], 1)], 2)
+    stays = np.concatenate([np.full((len(xy), 1), True), (xy[:, 1:] != xy[:, :-1]).any(2)], 1)
+    ring_row, ring_size, points = [at[own]], [stays.sum(1)], [xy[stays]]
+    starts = np.searchsorted(at, np.arange(n + 1))
+    for i in np.flatnonzero(grows & (starts[1:] > starts[:-1])).tolist():
+        rings = [part[0] for part in polygon_parts([tuple(p) for p in pieces[starts[i] : starts[i + 1]].tolist()])]
+        ring_row.append(np.full(len(rings), i))
+        ring_size.append(np.array([len(r) for r in rings]))
+        points.append(np.array([(v["x"], v["y"]) for r in rings for v in r], float))
+    ring_row, ring_size, points = np.concatenate(ring_row), np.concatenate(ring_size), np.concatenate(points)
+    order = np.argsort(ring_row, kind="stable")
+    points = points[np.argsort(np.repeat(ring_row, ring_size), kind="stable")]
+    ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    listed = kind.field("parts").type
+    xy = pa.StructArray.from_arrays([pa.array(points[:, k].copy()) for k in (0, 1)], fields=list(listed.value_type.value_type.value_type))
+    rings = pa.ListArray.from_arrays(ends(ring_size[order]), xy)
+    shapes = pa.ListArray.from_arrays(ends(np.bincount(ring_row, minlength=n)), pa.ListArray.from_arrays(pa.array(np.arange(len(ring_row) + 1), pa.int32()), rings)).cast(listed)
+    fields = {"kind": pa.array(["MultiPolygon"] * n, pa.string()), "dim": pa.array(np.full(n, 2), kind.field("dim").type), "parts": shapes}
+    return pa.StructArray.from_arrays([fields[f.name] for f in kind], fields=list(kind), mask=pa.array(starts[1:] == starts[:-1])), area
+
+
 def _rebuilt(rows: DataFrame, key_type: str) -> DataFrame:
-    """(k, geometry, area): each polygon by the even-odd rule."""
+    """(k, geometry, area): each polygon by the even-odd rule; small ones side by side."""
+    schema = f"k {key_type}, geometry {G.GEOMETRY}, area double"
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            cut = [trapezoids([[_parts(g)]], lambda n: n[0] > 0) for g in f["geometry"]]
-            yield pd.DataFrame({"k": f["k"], "geometry": [multi(c) for c in cut], "area": [total_area(c) for c in cut]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            geometry, area = _rebuilt_batch(pc.struct_field(b.column("geometry"), "parts"), kinds.field("geometry").type)
+            yield pa.RecordBatch.from_arrays([b.column("k"), geometry, pa.array(area)], schema=kinds)
 
-    return mapped(rows, run, f"k {key_type}, geometry {G.GEOMETRY}, area double")
+    return rows.mapInArrow(run, schema)
 
 
 def repair_geometry(df: DataFrame, key: str) -> DataFrame:
