@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,16 +50,18 @@ def arcs_of(edges: DataFrame, weight: str = "length") -> DataFrame:
 
 
 def z_order(x: Column, y: Column, box: tuple[float, float, float, float], bits: int = 20) -> Column:
-    """The place of (x, y) on a Z-curve through box (x0, y0, x1, y1)."""
+    """The place of (x, y) on a Z-curve through box (x0, y0, x1, y1), in squares: what lies together in a long box has
+    short borders too."""
+    side = max(box[2] - box[0], box[3] - box[1], 1e-300)
 
-    def steps(v: Column, low: float, high: float) -> Column:
-        cell = F.floor((v - low) / max(high - low, 1e-300) * ((1 << bits) - 1)).cast("long")
+    def steps(v: Column, low: float) -> Column:
+        cell = F.floor((v - low) / side * ((1 << bits) - 1)).cast("long")
         out = F.coalesce(F.greatest(F.lit(0), F.least(cell, F.lit((1 << bits) - 1))), F.lit(0)).cast("long")
         for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
             out = out.bitwiseOR(F.shiftleft(out, shift)).bitwiseAND(F.lit(mask))
         return out
 
-    return steps(x, box[0], box[2]).bitwiseOR(F.shiftleft(steps(y, box[1], box[3]), 1))
+    return steps(x, box[0]).bitwiseOR(F.shiftleft(steps(y, box[1]), 1))
 
 
 @dataclass
@@ -72,22 +75,21 @@ class Parts:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arcs and exits of a part as arrays over its sorted ids."""
+    """Arcs and exits of a part as arrays over its sorted ids, one part at a time."""
     for b in batches:
-        out = []
-        for part, arcs, exits in zip(*(b.column(c).to_pylist() for c in ("part", "arcs", "exits")), strict=True):
-            arcs = sorted((a["u"], a["v"], a["w"]) for a in arcs or ())
-            ids = sorted({a[0] for a in arcs} | {a[1] for a in arcs} | set(exits or ()))
-            at = {x: i for i, x in enumerate(ids)}
-            offsets = [0] * (len(ids) + 1)
-            for u, _, _ in arcs:
-                offsets[at[u] + 1] += 1
-            for i in range(len(ids)):
-                offsets[i + 1] += offsets[i]
-            out.append((part, ids, offsets, [at[v] for _, v, _ in arcs], [w for _, _, w in arcs], sorted(at[x] for x in exits or ())))
-        kinds = [pa.int64(), pa.list_(b.schema.field("exits").type.value_type), *[pa.list_(pa.int32())] * 2, pa.list_(pa.float64()), pa.list_(pa.int32())]
-        columns = zip(*out, strict=True) if out else [[] for _ in kinds]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["part", "ids", "offsets", "targets", "weights", "exits"])
+        kind = b.schema.field("exits").type.value_type
+        column = lambda v: v.to_numpy(zero_copy_only=False)
+        for k in range(b.num_rows):
+            arcs, exits = (b.column(c)[k].values for c in ("arcs", "exits"))
+            u, v, w = (column(arcs.field(c)) for c in ("u", "v", "w")) if arcs is not None else (column(pa.array([], t)) for t in (kind, kind, pa.float64()))
+            out = column(exits if exits is not None else pa.array([], kind))
+            ids = np.unique(np.concatenate([u, v, out]))
+            i, j = np.searchsorted(ids, u), np.searchsorted(ids, v)
+            order = np.lexsort((w, j, i))
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(ids)))])
+            lists = [(ids, kind), (offsets, pa.int32()), (j[order], pa.int32()), (w[order], pa.float64()), (np.searchsorted(ids, np.sort(out)), pa.int32())]
+            held = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t)) for x, t in lists]
+            yield pa.RecordBatch.from_arrays([b.column("part").slice(k, 1), *held], ["part", "ids", "offsets", "targets", "weights", "exits"])
 
 
 def cut(edges: DataFrame, weight: str = "length", nodes: DataFrame | None = None, part_arcs: int = PART_ARCS) -> Parts:

@@ -146,3 +146,13 @@ def test_sources_cost_only_the_parts_they_enter(spark):
         assert out.count() == 200 * 9 - 4
         blocks = [spark.read.parquet(p).agg(F.sum("blocks")).first()[0] or 0 for p in left if "/blocks-" in p]
     assert 8 <= max(blocks) <= 10  # 25 sources in each of 8 parts, and a few from beside
+
+
+def test_parts_of_a_long_strip_are_short(spark):
+    """A strip of 8 x 500 nodes: parts lie along it one behind the other, so few arcs cross, not those of whole columns."""
+    nodes = spark.range(4000).select("id", (F.col("id") % 8 * 100.0).alias("x"), (F.floor(F.col("id") / 8) * 100.0).alias("y"))
+    ahead = nodes.select(F.col("id").alias("u"), (F.col("id") + 8).alias("v")).filter("v < 4000")
+    beside = nodes.filter("id % 8 < 7").select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    parts = S.cut(ahead.union(beside).withColumn("length", F.lit(1.0)), nodes=nodes, part_arcs=1000)
+    n = parts.inside.count()
+    assert n > 8 and parts.across.count() < 40 * n
