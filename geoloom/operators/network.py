@@ -204,7 +204,8 @@ def _snap(points: DataFrame, nodes: DataFrame, key: str, max_snap_m: float) -> D
     near = lambda v: F.explode(F.sequence(step(v) - 1, step(v) + 1))
     g = F.col("geometry")
     asked = points.select(F.col(key).alias("k"), G.px(g).alias("px"), G.py(g).alias("py")).withColumn("cx", near(F.col("px"))).withColumn("cy", near(F.col("py")))
-    met = asked.join(nodes.select("id", "x", "y", step(F.col("x")).alias("cx"), step(F.col("y")).alias("cy")), ["cx", "cy"])
+    # Both sides are dealt out by cells: behind a broadcast, a task would sort what its whole split of points becomes.
+    met = asked.hint("merge").join(nodes.select("id", "x", "y", step(F.col("x")).alias("cx"), step(F.col("y")).alias("cy")), ["cx", "cy"])
     met = met.withColumn("snap", F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y"))).filter(F.col("snap") <= max_snap_m)
     return met.groupBy("k").agg(F.min_by("id", F.struct("snap", "id")).alias("node"), F.min("snap").alias("snap"))
 

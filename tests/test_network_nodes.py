@@ -45,3 +45,16 @@ def test_nodes_awkward(spark):
     # A crowd within the tolerance is one group, without pairs of its places.
     crowd = spark.range(20_000).select("id", G.line(G.xy(F.rand(1), F.rand(2)), G.xy(F.rand(3), F.rand(4))).alias("geometry"))
     assert N.network_nodes(crowd, tolerance_m=2.0, order=["id"]).count() == 1
+
+
+def test_points_are_dealt_out_before_they_are_snapped(spark):
+    """A task must not sort what a whole split of points becomes; a broadcast of the nodes would leave them where they are."""
+    from pyspark.sql import functions as F
+
+    from geoloom.functions import geometry as G
+    from geoloom.operators import network as N
+
+    nodes = spark.range(50).select("id", (F.col("id") * 10.0).alias("x"), F.lit(0.0).alias("y"))
+    out = N._snap(nodes.select("id", G.point(F.col("x") + 0.5, F.col("y")).alias("geometry")), nodes, "id", 1.0)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.k, r.node, r.snap) for r in out.collect()} == {(i, i, 0.5) for i in range(50)}
