@@ -145,7 +145,8 @@ def _descend(probes: DataFrame, tree: _Tree, dots: bool) -> DataFrame:
         # Only nodes with somebody else in them count.
         met = met.filter((F.col("low") != F.col("high")) | (F.col("low") != F.col("sign")))
         met = met.withColumns({"lower": F.expr(_GAP), "upper": F.expr(f"least(best, {_SPAN})")})
-        met = materialize(met.select("sign", "s", "box", "cx", "cy", "leaf", "lower", "upper"), "met")
+        # What the level above rules out is neither written nor shuffled.
+        met = materialize(met.filter(near).select("sign", "s", "box", "cx", "cy", "leaf", "lower", "upper"), "met")
         kept = met.join(met.groupBy("sign").agg(F.min("upper").alias("best")), "sign").filter(near)
         leaves.append(kept.filter("leaf").select("sign", "s", F.lit(level).alias("l"), "cx", "cy", "lower", "best"))
         asked = kept.filter("NOT leaf").select("sign", "s", "box", "cx", "cy", "best")

@@ -121,3 +121,11 @@ def test_far_probes_meet_few_of_a_crowd(spark):
         assert 1412 < far[0] and far[1] < 1440 and out.filter("id >= 150").agg(F.max("distance")).first()[0] < 0.1
         met = sum(spark.read.parquet(p).count() for p in left if "/met-" in p)
     assert met < 300 * 200  # nodes, of six million pairs
+
+
+def test_nodes_that_the_level_above_rules_out_are_not_written(spark):
+    at = lambda n, a, b: spark.range(n).select("id", G.point(F.rand(a) * 1000, F.rand(b) * 1000).alias("geometry"))
+    with stages.scratch(spark) as left:
+        assert nearest.nearest_distance(at(100, 1, 2), at(3000, 3, 4), "id", 100.0, leaf=4).filter("distance IS NULL").count() == 0
+        met = [spark.read.parquet(p) for p in left if "/met-" in p]
+        assert len(met) > 1 and all(m.filter("lower > upper * 1.000001").isEmpty() for m in met)
