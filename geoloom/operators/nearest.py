@@ -2,17 +2,19 @@
 
 Targets become segments (a point is one without length), and these a tree of cells: a cell with more than LEAF segments has
 4 x 4 cells below it, so a crowded place gets small cells and an empty one large ones. A node of the tree says how many
-segments it has and in which box they lie. Probes go down the tree level by level, each as rows of (probe, node): a node's
-box can't be nearer than its lower bound, and something in it is not farther than its upper bound; nodes whose lower bound
-is beyond a probe's least upper bound are left out, and the segments of the leaves that remain are searched. So a probe
-meets few segments, however far it is and however many lie together, and a level is one join on cells.
+segments it has and in which box they lie. Segments longer than the finest cells are cut to them, or a place would lie in
+many nodes' boxes. Probes first look at the segments of the leaf they lie in, which bounds their distance. Then they go down
+the tree level by level, each as rows of (probe, node): a node's box can't be nearer than its lower bound, and something in
+it is not farther than its upper bound; nodes whose lower bound is beyond a probe's least upper bound are left out, and the
+segments of the leaves that remain are searched. So a probe meets few segments, however far it is and however many lie
+together, and a level is one join on cells.
 """
 
 from __future__ import annotations
 
-from math import ceil, log
+from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
@@ -26,6 +28,10 @@ LEAF = 128
 SPLIT, DEEPEST = 4, 22
 #: Levels whose nodes are sent to all tasks: 16 + 256 rows.
 SENT = 2
+#: Cutting segments to the width of cells adds up to so many stretches for each one.
+CUTS = 8
+#: A step on more than MANY rows has a task for about TASK of them.
+MANY, TASK = 4_000_000, 50_000
 
 
 # Expressions as SQL text: they are long, and text is one call to the JVM.
@@ -62,7 +68,11 @@ def known(df: DataFrame) -> DataFrame:
 
 def _parts(df: DataFrame, longest: float | None) -> DataFrame:
     """(sign, s, box): each segment, once for each of its stretches that are no longer than ``longest``; box is the stretch's."""
-    rows = df.select("sign", F.expr(f"explode({_SEGMENTS}) AS s"))
+    return _cut(df.select("sign", F.expr(f"explode({_SEGMENTS}) AS s")), longest)
+
+
+def _cut(rows: DataFrame, longest: float | None) -> DataFrame:
+    """As _parts(), of rows (sign, s)."""
     a, b = F.col("s")["a"], F.col("s")["b"]
     if longest is not None:
         n = F.greatest(F.lit(1), F.least(F.ceil(F.hypot(b["x"] - a["x"], b["y"] - a["y"]) / longest), F.lit(1_000_000))).cast("int")
@@ -78,16 +88,24 @@ def _parts(df: DataFrame, longest: float | None) -> DataFrame:
 class _Tree:
     """nodes: (l, cx, cy, n, box, low, high, leaf), root left out; leaves: (l, cx, cy, sign, s)."""
 
-    def __init__(self, parts: DataFrame, leaf: int) -> None:
-        parts = materialize(parts, "segments")
-        ends = parts.agg(F.count("*"), F.min("box.x0"), F.min("box.y0"), F.max("box.x1"), F.max("box.y1")).first()
+    def __init__(self, shapes: DataFrame, longest: float, leaf: int) -> None:
+        parts = materialize(_parts(shapes, longest), "segments")
+        length = F.sum(F.hypot(F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0")))
+        ends = parts.agg(F.count("*"), F.min("box.x0"), F.min("box.y0"), F.max("box.x1"), F.max("box.y1"), length).first()
         self.empty = not ends[0]
         if self.empty:
             return
         self.x0, self.y0 = ends[1], ends[2]
         self.side = max(ends[3] - ends[1], ends[4] - ends[2], 1e-300) * (1 + 1e-9)
-        # As deep as evenly spread segments need at once; crowded cells go on level by level.
-        first = max(1, ceil(log(max(1.0, ends[0] / leaf), SPLIT * SPLIT)))
+        #: What rounding may take from a distance.
+        self.hair = 1e-14 * max(map(abs, ends[1:5]))
+        # As deep as evenly spread segments, cut to the cells, need at once; crowded cells go on level by level.
+        first, width = 1, self.side / SPLIT
+        while first < DEEPEST and ends[0] + (ends[5] / width if width < longest else 0) > leaf * SPLIT ** (2 * first):
+            first, width = first + 1, width / SPLIT
+        width = max(width, ends[5] / (CUTS * ends[0]))
+        if ends[5] and width < longest:
+            parts = materialize(_cut(parts.select("sign", "s").distinct(), width), "segments")
         levels, left, done = list(range(1, first + 1)), parts, []
         while True:
             placed = left.withColumn("l", F.explode(F.array(*map(F.lit, levels)))).withColumns(self.cell(F.col("l")))
@@ -115,11 +133,13 @@ class _Tree:
             own = placed.join(ends_, ["l", "cx", "cy"], "left_semi").select("l", "cx", "cy", "sign", "s")
             found = own if found is None else found.union(own)
         self.leaves = materialize(found.distinct(), "leaves")
+        #: Levels with leaves.
+        self.ends = sorted(r[0] for r in self.leaves.select("l").distinct().collect())
 
     def cell(self, level: Column) -> dict[str, Column]:
         """The cell of a stretch's middle."""
         n = F.pow(F.lit(float(SPLIT)), level)
-        at = lambda a, b, o: F.least(F.floor(((F.col(f"box.{a}") + F.col(f"box.{b}")) / 2 - o) / self.side * n), n - 1).cast("long")
+        at = lambda a, b, o: F.greatest(F.lit(0), F.least(F.floor(((F.col(f"box.{a}") + F.col(f"box.{b}")) / 2 - o) / self.side * n), n - 1)).cast("long")
         return {"cx": at("x0", "x1", self.x0), "cy": at("y0", "y1", self.y0)}
 
     @staticmethod
@@ -133,33 +153,58 @@ _GAP = "hypot(greatest(0D, box.x0 - nbox.x1, nbox.x0 - box.x1), greatest(0D, box
 _SPAN = "hypot(greatest(box.x1 - nbox.x0, nbox.x1 - box.x0), greatest(box.y1 - nbox.y0, nbox.y1 - box.y0))"
 
 
+def _dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df, dealt out by columns to tasks of about TASK of its rows if there are many: rows repeat much, so their size when
+    packed, by which Spark puts tasks together, says little of what sorting them takes."""
+    return df.repartition(ceil(rows / TASK), *by) if rows > MANY else df
+
+
+def _searched(asked: DataFrame, rows: int, tree: _Tree, dots: bool) -> DataFrame:
+    """(sign, d): the least distance of asked (sign, s, l, cx, cy), about so many rows, from segments in their leaves with another sign."""
+    held = tree.leaves.select("l", "cx", "cy", F.col("sign").alias("other"), F.col("s").alias("t"))
+    cell = ["l", "cx", "cy"]
+    met = _dealt(asked.select("sign", "s", *cell), rows, *cell).hint("merge").join(_dealt(held, rows, *cell), cell).filter(F.col("other") != F.col("sign"))
+    return met.groupBy("sign").agg(F.min(F.expr("hypot(s.a.x - t.a.x, s.a.y - t.a.y)") if dots else segment_distance("s", "t")).alias("d"))
+
+
 def _descend(probes: DataFrame, tree: _Tree, dots: bool) -> DataFrame:
     """(sign, d): the distance of each probe (sign, s, box) from the nearest segment with another sign; dots: all are points."""
     # Bounds are doubles; a hair keeps what rounding would leave out.
-    near = F.col("lower") <= F.col("best") * (1 + 1e-12)
-    asked, leaves = probes.withColumns({"cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long"), "best": F.lit(float("inf"))}), []
+    near = F.col("lower") <= F.col("best") * (1 + 1e-12) + F.lit(tree.hair)
+    least = lambda c: F.min(c).over(Window.partitionBy("sign"))
+    probes = materialize(probes, "probes")
+    rows = probes.count()
+    own = probes.withColumn("l", F.explode(F.array(*map(F.lit, tree.ends)))).withColumns(tree.cell(F.col("l")))
+    own = materialize(_searched(own, rows * len(tree.ends), tree, dots), "own")
+    asked = _dealt(probes, rows, "sign").hint("merge").join(_dealt(own, rows, "sign"), "sign", "left")
+    asked = asked.select("sign", "s", "box", *(F.lit(0).cast("long").alias(c) for c in ("cx", "cy")), F.coalesce("d", F.lit(float("inf"))).alias("best"))
+    leaves, ended = [], 0
     for level in range(1, tree.depth + 1):
         below = tree.nodes.filter(F.col("l") == level).select(F.floor(F.col("cx") / SPLIT).alias("ux"), F.floor(F.col("cy") / SPLIT).alias("uy"), "cx", "cy", F.col("box").alias("nbox"), "low", "high", "leaf")
-        below = F.broadcast(below) if level <= SENT else below
-        met = asked.withColumnsRenamed({"cx": "ux", "cy": "uy"}).join(below, ["ux", "uy"])
+        asked = asked.withColumnsRenamed({"cx": "ux", "cy": "uy"})
+        if level <= SENT:
+            met = asked.join(F.broadcast(below), ["ux", "uy"])
+        else:
+            met = _dealt(asked, rows, "ux", "uy").hint("merge").join(_dealt(below, rows, "ux", "uy"), ["ux", "uy"])
         # Only nodes with somebody else in them count.
         met = met.filter((F.col("low") != F.col("high")) | (F.col("low") != F.col("sign")))
         met = met.withColumns({"lower": F.expr(_GAP), "upper": F.expr(f"least(best, {_SPAN})")})
-        # What the level above rules out is neither written nor shuffled.
-        met = materialize(met.filter(near).select("sign", "s", "box", "cx", "cy", "leaf", "lower", "upper"), "met")
-        kept = met.join(met.groupBy("sign").agg(F.min("upper").alias("best")), "sign").filter(near)
-        leaves.append(kept.filter("leaf").select("sign", "s", F.lit(level).alias("l"), "cx", "cy", "lower", "best"))
-        asked = kept.filter("NOT leaf").select("sign", "s", "box", "cx", "cy", "best")
-        if level > SENT and level < tree.depth and asked.isEmpty():
+        # What the level above rules out is not shuffled, and what this one rules out is not written.
+        met = _dealt(met.filter(near).select("sign", "s", "box", "cx", "cy", "leaf", "lower", "upper"), rows * SPLIT, "sign")
+        met = met.withColumn("best", least("upper")).filter(near).drop("upper").withColumnRenamed("best", "upper")
+        met = materialize(met, "met")
+        leaves.append(met.filter("leaf").select("sign", "s", F.lit(level).alias("l"), "cx", "cy", "lower", F.col("upper").alias("best")))
+        asked = met.filter("NOT leaf").select("sign", "s", "box", "cx", "cy", F.col("upper").alias("best"))
+        more, rows = met.agg(F.count_if("leaf"), F.count_if(~F.col("leaf"))).first()
+        ended += more
+        if not rows:
             break
     all_ = leaves[0]
     for x in leaves[1:]:
         all_ = all_.union(x)
     if len(leaves) > 1:  # the last bound is the least
-        all_ = all_.drop("best").join(all_.groupBy("sign").agg(F.min("best").alias("best")), "sign").filter(near)
-    held = tree.leaves.select("l", "cx", "cy", F.col("sign").alias("other"), F.col("s").alias("t"))
-    met = all_.join(held, ["l", "cx", "cy"]).filter(F.col("other") != F.col("sign"))
-    return met.groupBy("sign").agg(F.min(F.expr("hypot(s.a.x - t.a.x, s.a.y - t.a.y)") if dots else segment_distance("s", "t")).alias("d"))
+        all_ = _dealt(all_, ended, "sign").withColumn("best", least("best")).filter(near)
+    return _searched(all_, ended, tree, dots).union(own).groupBy("sign").agg(F.min("d").alias("d"))
 
 
 def nearest_distance(probes: DataFrame, targets: DataFrame, key: str, start: float, output_field: str = "distance", leaf: int = LEAF) -> DataFrame:
@@ -170,16 +215,16 @@ def nearest_distance(probes: DataFrame, targets: DataFrame, key: str, start: flo
     distance; longer segments count as several stretches in the tree.
     """
     need(probes, key)
-    shapes = lambda df: known(df.select("geometry")).groupBy("sign").agg(F.first("geometry").alias("geometry"))
-    asked, there = shapes(probes), shapes(targets)
-    tree = _Tree(_parts(there, start), leaf)
-    if tree.empty:
-        return probes.withColumn(output_field, F.lit(None).cast("double"))
     b = G.bbox(F.col("geometry"))
     size = F.avg(F.when(F.col("geometry.dim") == 2, b["xmax"] - b["xmin"] + b["ymax"] - b["ymin"]))
     both = probes.select("geometry", F.lit("asked").alias("side")).union(targets.select("geometry", F.lit("there").alias("side")))
-    facts = both.groupBy("side").agg(F.max("geometry.dim"), size).collect()  # two rows
-    sizes = {r[0]: r[2] for r in facts}
+    facts = both.groupBy("side").agg(F.max("geometry.dim"), size, F.count("*")).collect()  # two rows
+    sizes, rows = {r[0]: r[2] for r in facts}, {r[0]: r[3] for r in facts}
+    shapes = lambda df, side: _dealt(known(df.select("geometry")), rows.get(side, 0), "sign").groupBy("sign").agg(F.first("geometry").alias("geometry"))
+    asked, there = shapes(probes, "asked"), shapes(targets, "there")
+    tree = _Tree(there, start, leaf)
+    if tree.empty:
+        return probes.withColumn(output_field, F.lit(None).cast("double"))
     out = _descend(_parts(asked, None), tree, not any(r[1] for r in facts))
     # Where no borders meet, one point says whether a shape lies in another one.
     first = lambda df: df.select(F.col("sign").alias("p"), G.point(*(G.vertices(F.col("geometry"))[0][k] for k in "xy")).alias("geometry"))

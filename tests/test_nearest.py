@@ -129,3 +129,27 @@ def test_nodes_that_the_level_above_rules_out_are_not_written(spark):
         assert nearest.nearest_distance(at(100, 1, 2), at(3000, 3, 4), "id", 100.0, leaf=4).filter("distance IS NULL").count() == 0
         met = [spark.read.parquet(p) for p in left if "/met-" in p]
         assert len(met) > 1 and all(m.filter("lower > upper * 1.000001").isEmpty() for m in met)
+
+
+def test_long_lines_in_a_crowd_leave_few_nodes_to_a_probe(spark):
+    """Lines much longer than the tree's cells: before, their boxes lay over many cells, and no bound was better than such a box."""
+    x, y, turn = F.rand(7) * 1000, F.rand(8) * 1000, F.rand(9) * 6.28
+    lines = spark.range(2000).select(G.line(G.xy(x, y), G.xy(x + 200 * F.cos(turn), y + 200 * F.sin(turn))).alias("geometry"))
+    probes = spark.range(500).select("id", G.point(F.rand(10) * 1000, F.rand(11) * 1000).alias("geometry"))
+    with stages.scratch(spark) as left:
+        got = [r.distance for r in nearest.nearest_distance(probes, lines, "id", 200.0, leaf=32).orderBy("id").collect()]
+        met = [spark.read.parquet(p) for p in left if "/met-" in p]
+        assert sum(m.filter("leaf").count() for m in met) < 500 * 16
+    ends = lambda r: [(v.x, v.y) for part in r.geometry.parts for ring in part for v in ring]
+    targets, points = [(1, [ends(r)]) for r in lines.collect()], [(0, [ends(r)]) for r in probes.orderBy("id").collect()]
+    assert got[:100] == pytest.approx(brute(points[:100], targets), rel=1e-9, abs=1e-9)
+
+
+def test_many_rows_are_dealt_out_by_number(spark, monkeypatch):
+    rng = random.Random(5)
+    probes, targets = made(rng, 40, 300), made(rng, 50, 300)
+    monkeypatch.setattr(nearest, "MANY", 10)
+    monkeypatch.setattr(nearest, "TASK", 20)
+    assert nearest._dealt(spark.range(100), 100, "id").rdd.getNumPartitions() == 5
+    out = nearest.nearest_distance(layer(spark, probes), layer(spark, targets), "id", 10.0, leaf=4)
+    assert [r.distance for r in out.orderBy("id").collect()] == pytest.approx(brute(probes, targets), rel=1e-9, abs=1e-9)
